@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from auditlake.llm.near_duplicates import near_duplicates
 from auditlake.llm.substring_dedup import remove_repeats
 
 
@@ -30,5 +31,22 @@ SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(n_k
 FROM w LEFT JOIN k USING (doc_id)
 """
 
-QUERIES = {"op3_substring_dedup": op3_substring_dedup}
-ORACLE_SQL = {"op3_substring_dedup": OP3_SQL}
+def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+OP7_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, CASE WHEN len(ws) < 5 THEN array_to_string(ws, ' ') ELSE array_to_string(ws[i:i+4], ' ') END AS k
+      FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 3, 2))) AS i FROM w WHERE len(ws) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM s a JOIN s b ON a.k = b.k AND a.doc_id <> b.doc_id GROUP BY ALL),
+e AS (SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * common >= 85 * (x.n + y.n - common)),
+r AS (SELECT doc_id AS a, doc_id AS b FROM w UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b),
+g AS (SELECT a AS doc_id, min(b) AS component_id FROM r GROUP BY a)
+SELECT g.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id, g.doc_id = component_id AS kept
+FROM g LEFT JOIN n USING (doc_id)
+"""
+
+QUERIES = {"op3_substring_dedup": op3_substring_dedup, "op7_minhash_near_dedup": op7_minhash_near_dedup}
+ORACLE_SQL = {"op3_substring_dedup": OP3_SQL, "op7_minhash_near_dedup": OP7_SQL}
