@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from auditlake.llm.near_duplicates import near_duplicates
+from auditlake.llm.quality_rules import COMMON_WORDS, quality_rules
 from auditlake.llm.substring_dedup import remove_repeats
+from auditlake.llm.url_filter import filter_urls
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -48,5 +51,105 @@ SELECT g.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id, g.d
 FROM g LEFT JOIN n USING (doc_id)
 """
 
-QUERIES = {"op3_substring_dedup": op3_substring_dedup, "op7_minhash_near_dedup": op7_minhash_near_dedup}
-ORACLE_SQL = {"op3_substring_dedup": OP3_SQL, "op7_minhash_near_dedup": OP7_SQL}
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return quality_rules(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+_OP6_CLASSES = ["[A-Z]", "[0-9]", r"""[!"''()+,\-./:;=?@\[\\\]^_`{}~]""", r"[^\x00-\x7F]"]
+_OP6_WORDS = [w for words in COMMON_WORDS.values() for w in words]
+
+
+def _op6_divergence(counts: str, total: str) -> str:
+    p = f"(h.{counts}[i] / greatest(h.{total}, 1))"
+    q = f"(coalesce(r.{counts}, g.{counts})[i] / greatest(coalesce(r.{total}, g.{total}), 1))"
+    m = f"(({p} + {q}) / 2)"
+    return (
+        f"sqrt(greatest(list_sum([CASE WHEN {p} > 0 THEN {p} * log2({p} / {m}) ELSE 0 END + CASE WHEN {q} > 0 THEN {q} * log2({q} / {m}) ELSE 0 END"
+        f" FOR i IN range(1, len(h.{counts}) + 1)]) / 2, 0))"
+    )
+
+
+OP6_SQL = (
+    r"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text, CASE WHEN lang IN ('en', 'fr', 'de', 'es') THEN lang ELSE '' END AS lang FROM documents),
+w AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws FROM t),
+x AS (SELECT *, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars, CAST(len(regexp_extract_all(text, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
+      [l FOR l IN string_split(text, chr(10)) IF regexp_matches(l, '[^\x20\x09-\x0D]')] AS ls,
+      ["""
+    + ", ".join(f"len(regexp_extract_all(text, '{c}'))" for c in _OP6_CLASSES)
+    + r"""] AS rare, ["""
+    + ", ".join(f"len([x FOR x IN ws IF x = '{w}'])" for w in _OP6_WORDS)
+    + r"""] AS seen FROM w),
+h AS (SELECT doc_id, lang, ws, word_chars, n_symbols, CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines,
+      list_concat(rare, [word_chars - n_symbols - list_sum(rare), length(text) - word_chars, n_symbols]) AS classes, length(text) AS nc,
+      list_concat(seen, [len(ws) - list_sum(seen)]) AS common, len(ws) AS nw FROM x),
+e AS (SELECT lang, doc_id, generate_subscripts(common, 1) AS i, unnest(common) AS c FROM h),
+f AS (SELECT lang, doc_id, generate_subscripts(classes, 1) AS i, unnest(classes) AS c FROM h),
+rw AS (SELECT lang, list(c ORDER BY i) AS common, sum(c) AS nw FROM (SELECT lang, i, sum(c) AS c FROM e GROUP BY ALL) GROUP BY lang),
+rc AS (SELECT lang, list(c ORDER BY i) AS classes, sum(c) AS nc FROM (SELECT lang, i, sum(c) AS c FROM f GROUP BY ALL) GROUP BY lang),
+r AS (SELECT * FROM rw JOIN rc USING (lang) WHERE lang <> ''),
+g AS (SELECT (SELECT list(c ORDER BY i) FROM (SELECT i, sum(c) AS c FROM e GROUP BY i)) AS common, (SELECT sum(c) FROM e) AS nw,
+             (SELECT list(c ORDER BY i) FROM (SELECT i, sum(c) AS c FROM f GROUP BY i)) AS classes, (SELECT sum(c) FROM f) AS nc),
+v AS (SELECT doc_id, i, array_to_string(ws[i:i+7], ' ') AS k FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 6)) AS i FROM h WHERE len(ws) > 8)),
+d AS (SELECT doc_id, k FROM v GROUP BY ALL HAVING count(*) > 1),
+n AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + 8)) AS p FROM v JOIN d USING (doc_id, k)) GROUP BY doc_id),
+o AS (SELECT h.doc_id, CAST(h.nw AS BIGINT) AS n_words, word_chars, n_symbols, n_dup_lines, CAST(coalesce(n.n, 0) AS BIGINT) AS n_repeat_words,
+      """
+    + _op6_divergence("classes", "nc")
+    + " AS cd, "
+    + _op6_divergence("common", "nw")
+    + r""" AS wd
+      FROM h LEFT JOIN r ON r.lang = h.lang CROSS JOIN g LEFT JOIN n ON n.doc_id = h.doc_id)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+       NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND NOT (word_chars >= 200 AND cd > 0.22 + 12 / word_chars)
+       AND NOT (n_words >= 50 AND wd > sqrt(0.0225 + 3.6 / n_words)) AS kept FROM o
+"""
+)
+
+
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outcomes of pages are the labels of the documents of the same number: bad where toxic or of low quality."""
+    labels = _read(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), ((F.col("toxic") == 1) | (F.col("quality") == 0)).alias("bad"))
+    return filter_urls(_read(spark, sf_dir, "pages").select("page_id", "url"), labels).select("page_id", "host", "path", "rule", "verdict")
+
+
+def _op8_level(name: str, parent: str, key: str) -> str:
+    return rf"""
+{name}_m AS (SELECT 1 / least(0.5, greatest(0.01, CASE WHEN room > 0 THEN (spread - q * (k - 1)) / (q * room) ELSE 0 END)) - 1 AS m FROM
+  (SELECT count(*) AS k, sum(n) - sum(n * n) / sum(n) - (count(*) - 1) AS room, sum(n * pow(x / n - mu, 2)) AS spread,
+          (sum(x) + 1) / (sum(n) + 2) * (1 - (sum(x) + 1) / (sum(n) + 2)) AS q FROM (SELECT {name}.*, p.mean AS mu FROM {name} JOIN {parent} p USING ({key})))),
+{name}_r AS (SELECT {name}.*, ({name}.x + m * p.mean) / ({name}.n + m) AS mean, {name}.n + m AS weight FROM {name} JOIN {parent} p USING ({key}) CROSS JOIN {name}_m)"""
+
+
+OP8_SQL = (
+    r"""
+WITH u AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+      regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 2) AS path FROM pages),
+host AS (SELECT host, '.' || array_to_string(string_split(host, '.')[-2:], '.') AS domain, string_split(host, '.')[-1] AS tld, CAST(count(*) AS DOUBLE) AS n,
+         CAST(sum(CASE WHEN toxic = 1 OR quality = 0 THEN 1 ELSE 0 END) AS DOUBLE) AS x
+         FROM u JOIN labels ON labels.doc_id = u.page_id WHERE host <> '' GROUP BY host),
+domain AS (SELECT domain, tld, sum(n) AS n, sum(x) AS x FROM host GROUP BY ALL),
+tld AS (SELECT tld, 1 AS top, sum(n) AS n, sum(x) AS x FROM domain GROUP BY tld),
+world AS (SELECT 1 AS top, (sum(x) + 1) / (sum(n) + 2) AS mean FROM tld),"""
+    + ",".join((_op8_level("tld", "world", "top"), _op8_level("domain", "tld_r", "tld"), _op8_level("host", "domain_r", "domain")))
+    + r"""
+SELECT page_id, u.host, path, CASE
+         WHEN ('.' || u.host) LIKE '%.example.net' AND starts_with(path, '/de/8') THEN 'example.net/de/8'
+         WHEN ('.' || u.host) LIKE '%.example.com' AND starts_with(path, '/en/7') THEN 'example.com/en/7'
+         WHEN ('.' || u.host) LIKE '%.com' AND starts_with(path, '/en/') THEN 'com/en/'
+         WHEN ('.' || u.host) LIKE '%.net' AND starts_with(path, '/de/') THEN 'net/de/'
+         WHEN ('.' || u.host) LIKE '%.org' AND starts_with(path, '/es/') THEN 'org/es/' END AS rule,
+       CASE WHEN rule = 'example.com/en/7' THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
+            WHEN mean - 1.6448536269514722 * sqrt(mean * (1 - mean) / (weight + 1)) > 0.2 THEN 'block' ELSE 'allow' END AS verdict
+FROM u LEFT JOIN host_r USING (host)
+"""
+)
+
+QUERIES = {
+    "op3_substring_dedup": op3_substring_dedup,
+    "op6_quality_rules": op6_quality_rules,
+    "op7_minhash_near_dedup": op7_minhash_near_dedup,
+    "op8_url_filter": op8_url_filter,
+}
+ORACLE_SQL = {"op3_substring_dedup": OP3_SQL, "op6_quality_rules": OP6_SQL, "op7_minhash_near_dedup": OP7_SQL, "op8_url_filter": OP8_SQL}
