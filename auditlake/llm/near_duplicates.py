@@ -163,8 +163,8 @@ def _pack_texts(size: int):
     return make
 
 
-def _confirm(pairs: DataFrame, texts: DataFrame, size: int, percent: int, chunks: int) -> DataFrame:
-    """The pairs (a, b) with exact Jaccard of at least ``percent``; the set of ``a`` is sent once to each chunk that needs it."""
+def _compared(pairs: DataFrame, texts: DataFrame, size: int, percent: int, chunks: int) -> DataFrame:
+    """The pairs (a, b) with the exact size of their intersection and whether it makes a link; the set of ``a`` is sent once to each chunk that needs it."""
 
     def home(c: str):
         return F.pmod(F.xxhash64(c), F.lit(chunks)).cast("int")
@@ -187,20 +187,16 @@ def _confirm(pairs: DataFrame, texts: DataFrame, size: int, percent: int, chunks
         sent = {x: np.frombuffer(s, np.uint64) for x, s in zip(a, body, strict=True) if s is not None}
         todo = [(x, y) for x, y in zip(a, b, strict=True) if y is not None]
         own = sets_of(table, {y for _, y in todo})
-        linked = []
-        for x, y in todo:
-            one, two = sent[x], own[y]
-            common = len(np.intersect1d(one, two, assume_unique=True))
-            if 100 * common >= percent * (len(one) + len(two) - common):
-                linked.append((x, y))
-        return pa.table({"a": pa.array([x for x, _ in linked], pa.int64()), "b": pa.array([y for _, y in linked], pa.int64())})
+        common = [len(np.intersect1d(sent[x], own[y], assume_unique=True)) for x, y in todo]
+        linked = [100 * n >= percent * (len(sent[x]) + len(own[y]) - n) for (x, y), n in zip(todo, common, strict=True)]
+        return pa.table({"a": pa.array([x for x, _ in todo], pa.int64()), "b": pa.array([y for _, y in todo], pa.int64()), "common": pa.array(common, pa.int64()), "linked": pa.array(linked, pa.bool_())})
 
     message = "chunk int, a long, b long, body binary"
     by_chunk = texts.withColumn("chunk", home("cls")).groupBy("chunk")
     asked = pairs.select("a", home("a").alias("chunk"), home("b").alias("to")).distinct()
     sent = by_chunk.cogroup(asked.groupBy("chunk")).applyInArrow(send, message)
     told = sent.unionByName(pairs.select(home("b").alias("chunk"), "a", "b", F.lit(None).cast("binary").alias("body")))
-    return by_chunk.cogroup(told.groupBy("chunk")).applyInArrow(compare, "a long, b long")
+    return by_chunk.cogroup(told.groupBy("chunk")).applyInArrow(compare, "a long, b long, common long, linked boolean")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 85) -> DataFrame:
@@ -257,7 +253,7 @@ def _links(rows: DataFrame, known: DataFrame, size: int, percent: int) -> DataFr
     entries = entries.join(often, "value")
     rank = "row_number() over (partition by cls order by df, value)"
     entries = entries.selectExpr("*", f"{rank} as rank", "count(*) over (partition by cls) as c", "sum(df) over (partition by cls) / k as typical")
-    lists = stored(entries.where(F.col("k") - F.col("c") + F.col("rank") <= PREFIX).select("value", "cls", "n", "shared", "typical"), "lists")
+    lists = stored(entries.where(F.col("k") - F.col("c") + F.col("rank") <= PREFIX).select("value", "rank", "cls", "n", "shared", "typical"), "lists")
 
     centres = lists.groupBy("value").agg(F.min(F.struct(-F.col("typical"), "cls", "n", "shared")).alias("m")).select("value", F.col("m.cls").alias("a"), F.col("m.n").alias("na"), F.col("m.shared").alias("sa"))
     member = lists.select("value", F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("shared").alias("sb"))
@@ -265,14 +261,27 @@ def _links(rows: DataFrame, known: DataFrame, size: int, percent: int) -> DataFr
     bounded = (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent) & (both * 100 >= (F.col("na") + F.col("nb") - both) * percent)
     with_centre = member.join(centres, "value")
     star = with_centre.where("a <> b").where(bounded).select("a", "b", "na", "nb").distinct()
-    first = stored(_confirm(stored(_estimated(star, texts, percent), "pairs"), texts.select("cls", "text"), size, percent, chunks), "links")
-
-    tied = with_centre.join(first.withColumn("tied", F.lit(True)), ["a", "b"], "left").select("value", "b", "nb", "sb", (F.coalesce("tied", F.lit(False)) | (F.col("a") == F.col("b"))).alias("tied"), F.col("a").alias("centre"))
-    tied = stored(tied, "tied")
-    loose = tied.where("not tied").select("value", F.col("b").alias("a"), F.col("nb").alias("na"), F.col("sb").alias("sa"))
-    rest = loose.join(tied, "value").where(F.col("b") != F.col("centre")).where((F.col("tied") & (F.col("a") != F.col("b"))) | (F.col("a") < F.col("b"))).where(bounded)
-    rest = rest.select("a", "b", "na", "nb").distinct()
-    second = stored(_confirm(stored(_estimated(rest, texts, percent), "pairs"), texts.select("cls", "text"), size, percent, chunks), "links")
+    tried = stored(_compared(stored(_estimated(star, texts, percent), "pairs"), texts.select("cls", "text"), size, percent, chunks), "compared")
+    first = tried.where("linked").select("a", "b")
+
+    # only lists that still hold more than one component are looked at again, and a pair only in the first list that both are in
+    roots = connected_components(first).withColumnRenamed("node", "cls")
+    held = lists.join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    mixed = held.groupBy("value").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("value")
+    main = centres.join(roots, F.col("a") == F.col("cls"), "left").select("value", F.col("a").alias("centre"), F.coalesce("root", "a").alias("main"))
+    order = lists.groupBy("cls").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "value"))), lambda e: e["value"]).alias("order"))
+    held = held.join(mixed, "value").join(main, "value").join(order, "cls")
+    # what a member has in common with the list's centre bounds what it can have in common with another member
+    held = stored(held.join(tried.select(F.col("a").alias("centre"), F.col("b").alias("cls"), "common"), ["centre", "cls"], "left"), "mixed")
+    loose = held.where("root <> main").select("value", F.col("cls").alias("a"), F.col("n").alias("na"), F.col("shared").alias("sa"), F.col("root").alias("ra"), F.col("order").alias("oa"), F.col("common").alias("ca"))
+    other = held.select("value", F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("shared").alias("sb"), F.col("root").alias("rb"), F.col("order").alias("ob"), F.col("common").alias("cb"), "main")
+    once = ((F.col("rb") == F.col("main")) | (F.col("a") < F.col("b"))) & (F.col("ra") != F.col("rb"))
+    most = F.least("ca", "cb") + F.least(F.col("sa") - F.col("ca"), F.col("sb") - F.col("cb"))
+    most = F.when(F.col("ca").isNull() | F.col("cb").isNull(), F.least("sa", "sb")).otherwise(most)
+    bounded &= most * 100 >= (F.col("na") + F.col("nb") - most) * percent
+    rest = loose.join(other, "value").where(once & bounded & (F.get(F.array_intersect("oa", "ob"), F.lit(0)) == F.col("value")))
+    rest = rest.select("a", "b", "na", "nb").join(star.select("a", "b"), ["a", "b"], "left_anti").distinct()
+    second = stored(_compared(stored(_estimated(rest, texts, percent), "pairs"), texts.select("cls", "text"), size, percent, chunks), "compared").where("linked").select("a", "b")
     return first.unionByName(second)
 
 
