@@ -70,7 +70,7 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[size]
 
 
-def _block_words(block: bytes, tables: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _block_words(block: bytes, tables: tuple[np.ndarray, np.ndarray], lengths: tuple = ()) -> tuple:
     raw = np.frombuffer(block, np.uint8)
     inside = tables[0][raw]
     edge = np.flatnonzero(np.diff(inside.view(np.int8), prepend=0, append=0))
@@ -78,18 +78,23 @@ def _block_words(block: bytes, tables: tuple[np.ndarray, np.ndarray]) -> tuple[n
     up, down = _power_tables(len(raw) + 1)
     total = np.zeros(len(raw) + 1, _U)
     np.cumsum(tables[1][raw] * up[: len(raw)], out=total[1:])
-    return mix((total[ends] - total[starts]) * down[starts]), starts, ends
+    heads = np.zeros((len(starts), len(lengths)), _U)
+    for j, n in enumerate(lengths):
+        long = ends - starts >= n
+        heads[long, j] = mix((total[starts[long] + n] - total[starts[long]]) * down[starts[long]] + _U(n))
+    return mix((total[ends] - total[starts]) * down[starts]), starts, ends, heads
 
 
-def words(texts: list[bytes], tables: tuple[np.ndarray, np.ndarray], spans: bool = False):
+def words(texts: list[bytes], tables: tuple[np.ndarray, np.ndarray], spans: bool = False, lengths: tuple = ()):
     """Hashes of all words of ``texts`` and, for each text, where its words begin.
 
     Returns ``(hashes, offsets)`` with ``len(texts) + 1`` offsets; with ``spans`` also
-    the byte start and end of each word within its own text.  Works block by block,
+    the byte start and end of each word within its own text; with ``lengths`` a last array with
+    the hash of each word's first so many bytes, a column for each length, 0 for shorter words.  Works block by block,
     so that memory beyond the result is bounded whatever the length of a text.
     """
     counts = np.zeros(len(texts), np.int64)
-    parts, firsts, lasts = [], [], []
+    parts, firsts, lasts, tops = [], [], [], []
     group: list[tuple[int, bytes, int]] = []
     held = 0
 
@@ -98,11 +103,12 @@ def words(texts: list[bytes], tables: tuple[np.ndarray, np.ndarray], spans: bool
         if not group:
             return
         joined = b"\n".join(piece for _, piece, _ in group)
-        hashes, starts, ends = _block_words(joined, tables)
+        hashes, starts, ends, heads = _block_words(joined, tables, lengths)
         bounds = np.cumsum([0] + [len(piece) + 1 for _, piece, _ in group])
         at = np.searchsorted(bounds, starts, "right") - 1
         np.add.at(counts, np.array([i for i, _, _ in group])[at], 1) if len(at) else None
         parts.append(hashes)
+        tops.append(heads)
         if spans:
             shift = np.array([base for _, _, base in group], np.int64)[at] - bounds[at] if len(at) else np.zeros(0, np.int64)
             firsts.append(starts + shift)
@@ -127,7 +133,9 @@ def words(texts: list[bytes], tables: tuple[np.ndarray, np.ndarray], spans: bool
     flush()
     none = np.zeros(0, np.int64)
     out = (np.concatenate(parts) if parts else np.zeros(0, _U)), np.concatenate([[0], np.cumsum(counts)])
-    return (*out, np.concatenate(firsts) if firsts else none, np.concatenate(lasts) if lasts else none) if spans else out
+    if spans:
+        out = *out, np.concatenate(firsts) if firsts else none, np.concatenate(lasts) if lasts else none
+    return (*out, np.concatenate(tops) if tops else np.zeros((0, len(lengths)), _U)) if lengths else out
 
 
 def ngrams(hashes: np.ndarray, n: int) -> np.ndarray:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from auditlake.llm import language_id, toxicity
 from auditlake.llm.near_duplicates import near_duplicates
 from auditlake.llm.quality_rules import COMMON_WORDS, quality_rules
 from auditlake.llm.substring_dedup import remove_repeats
@@ -15,6 +16,13 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Severity of every document; grades are the toxic label, its upper grade split by density."""
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    graded = _read(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("grade"))
+    return toxicity.score(docs, toxicity.train(docs, graded, 2, split=True))
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
     return remove_repeats(docs).select("doc_id", "n_words", "n_removed", "kept_sha256")
@@ -146,10 +154,19 @@ FROM u LEFT JOIN host_r USING (host)
 """
 )
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = language_id.train(docs.where(language_id.learned_from("doc_id", 5, 0)))
+    found = language_id.identify(docs, model)
+    return found.withColumn("held_out", F.coalesce(~language_id.learned_from("doc_id", 5, 0), F.lit(False)))
+
+
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
     "op3_substring_dedup": op3_substring_dedup,
     "op6_quality_rules": op6_quality_rules,
     "op7_minhash_near_dedup": op7_minhash_near_dedup,
     "op8_url_filter": op8_url_filter,
+    "op10_language_id": op10_language_id,
 }
 ORACLE_SQL = {"op3_substring_dedup": OP3_SQL, "op6_quality_rules": OP6_SQL, "op7_minhash_near_dedup": OP7_SQL, "op8_url_filter": OP8_SQL}
