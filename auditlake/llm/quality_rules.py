@@ -38,7 +38,8 @@ def _histograms(docs: DataFrame, text_col: str, lang_col: str | None) -> DataFra
     out = docs.withColumn(f"{_P}lang", F.when(lang.isin(*COMMON_WORDS), lang).otherwise(F.lit("")))
     out = out.withColumn(f"{_P}words", F.filter(F.split(text, _SPACES), lambda w: w != ""))
     out = out.withColumn(f"{_P}chars", F.length(F.array_join(f"{_P}words", "")).cast("long"))
-    out = out.withColumn(f"{_P}joined", F.concat(F.lit(" "), F.array_join(f"{_P}words", "  "), F.lit(" ")))
+    listed = F.filter(f"{_P}words", lambda w: w.isin(*_WORDS))
+    out = out.withColumn(f"{_P}joined", F.concat(F.lit(" "), F.array_join(listed, "  "), F.lit(" ")))
     out = out.withColumn(f"{_P}symbols", _count(text, "[#*$%&|<>]"))
     upper, digits, other = _count(text, "[A-Z]"), _count(text, "[0-9]"), _count(text, r"[^\x00-\x7F]")
     marks = _count(text, r"""[!"'()+,\-./:;=?@\[\\\]^_`{}~]""")
@@ -79,17 +80,25 @@ def _distance(counts: Column, shares: Column) -> Column:
     return F.sqrt(F.greatest(F.aggregate(F.zip_with(counts, shares, term), F.lit(0.0), lambda a, x: a + x) / 2, F.lit(0.0)))
 
 
+def _doubled(held: Column, half: int) -> Column:
+    return F.transform(held, lambda h, i: F.xxhash64(h, F.get(held, i + half)))
+
+
 def _with_repeats(docs: DataFrame, window: int) -> DataFrame:
-    """Adds the number of words in windows of ``window`` words that are found twice or more in the text, the first included.
+    """Adds the number of words in windows of ``window`` words that are found twice or more in the text, the first included; ``window`` is a power of two.
 
     Each array that a lambda reads is a column of its own, read there more than once, so that
     the optimizer keeps it and does not compute it anew for every element.
     """
-    hashes, runs, order = (F.col(f"{_P}{x}") for x in ("hashes", "runs", "order"))
+    runs, order = (F.col(f"{_P}{x}") for x in ("runs", "order"))
     none = F.array().cast("array<bigint>")
-    docs = docs.withColumn(f"{_P}hashes", F.transform(f"{_P}words", lambda w: F.xxhash64(w)))
-    found = F.transform(F.sequence(F.lit(1), F.size(hashes) - (window - 1)), lambda i: F.xxhash64(F.slice(hashes, i, window)))
-    docs = docs.withColumn(f"{_P}runs", F.when(F.size(hashes) > window, found).otherwise(none))
+    docs = docs.withColumn(f"{_P}run1", F.transform(f"{_P}words", lambda w: F.xxhash64(w)))
+    width = 1
+    while width < window:  # the hash of a run is that of the hashes of its halves
+        docs = docs.withColumn(f"{_P}run{2 * width}", _doubled(F.col(f"{_P}run{width}"), width))
+        width *= 2
+    found = F.slice(F.col(f"{_P}run{window}"), F.lit(1), F.greatest(F.size(f"{_P}words") - (window - 1), F.lit(0)))
+    docs = docs.withColumn(f"{_P}runs", F.when(F.size(f"{_P}words") > window, found).otherwise(none))
     again = F.size(F.array_distinct(runs)) < F.size(runs)
     docs = docs.withColumn(f"{_P}order", F.when(again, F.array_sort(F.transform(runs, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
     same = F.transform(order, lambda e, i: F.when((F.get(order, i - 1)["h"] == e["h"]) | (F.get(order, i + 1)["h"] == e["h"]), e["i"]))
