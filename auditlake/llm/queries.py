@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditlake.llm import language_id, toxicity
+from auditlake.llm import language_id, language_model, toxicity
 from auditlake.llm.decontamination import decontaminate
 from auditlake.llm.near_duplicates import near_duplicates
 from auditlake.llm.quality_rules import COMMON_WORDS, quality_rules
@@ -176,6 +176,12 @@ FROM u LEFT JOIN host_r USING (host)
 """
 )
 
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2, F.lit(False))
+    return language_model.score(docs, ~held & F.col("doc_id").isNotNull()).withColumn("held_out", held)
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = language_id.train(docs.where(language_id.learned_from("doc_id", 5, 0)))
@@ -190,6 +196,7 @@ QUERIES = {
     "op6_quality_rules": op6_quality_rules,
     "op7_minhash_near_dedup": op7_minhash_near_dedup,
     "op8_url_filter": op8_url_filter,
+    "op9_lm_scoring": op9_lm_scoring,
     "op10_language_id": op10_language_id,
 }
 ORACLE_SQL = {"op2_decontamination": OP2_SQL, "op3_substring_dedup": OP3_SQL, "op6_quality_rules": OP6_SQL, "op7_minhash_near_dedup": OP7_SQL, "op8_url_filter": OP8_SQL}
