@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditlake.llm import language_id, language_model, toxicity
+from auditlake.llm import language_id, language_model, sentencepiece_codec, toxicity
 from auditlake.llm.decontamination import decontaminate
+from auditlake.llm.license_scan import scan_licences
 from auditlake.llm.near_duplicates import near_duplicates
 from auditlake.llm.quality_rules import COMMON_WORDS, quality_rules
 from auditlake.llm.substring_dedup import remove_repeats
@@ -81,6 +82,17 @@ SELECT g.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id, g.d
 FROM g LEFT JOIN n USING (doc_id)
 """
 
+def op4_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licences(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+TOKENIZER = "/opt/tokenizers/piece_bpe_32k.model"
+
+
+def op5_sentencepiece(spark: SparkSession, sf_dir: str, model_path: str = TOKENIZER) -> DataFrame:
+    return sentencepiece_codec.encode(_read(spark, sf_dir, "documents").select("doc_id", "text"), model_path)
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     return quality_rules(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -193,6 +205,8 @@ QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_decontamination": op2_decontamination,
     "op3_substring_dedup": op3_substring_dedup,
+    "op4_license_scans": op4_license_scans,
+    "op5_sentencepiece": op5_sentencepiece,
     "op6_quality_rules": op6_quality_rules,
     "op7_minhash_near_dedup": op7_minhash_near_dedup,
     "op8_url_filter": op8_url_filter,
