@@ -153,4 +153,6 @@ def quality_rules(
     out = out.withColumn("base_failed", (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words")))
     odd_chars = (F.col("word_chars") >= min_chars) & (F.col("char_distance") > max_char_distance + 12 / F.col("word_chars"))
     odd_words = (F.col("n_words") >= min_words) & (F.col("word_distance") > F.sqrt(max_word_distance**2 + 3.6 / F.col("n_words")))
-    return out.withColumn("kept", ~F.col("base_failed") & ~odd_chars & ~odd_words)
+    out = out.withColumn("kept", ~F.col("base_failed") & ~odd_chars & ~odd_words)
+    # a filter on the results must not be pushed below them, where every array would be computed once for each use
+    return out.withColumn(f"{_P}at", F.spark_partition_id()).where(F.col(f"{_P}at") >= 0).drop(f"{_P}at")
