@@ -54,7 +54,7 @@ class Weights:
         z -= np.log(np.exp(z).sum(axis=1, keepdims=True))
         return z
 
-    def learn(self, context: np.ndarray, target: np.ndarray, seen: np.ndarray, rate: float = 0.35) -> None:
+    def learn(self, context: np.ndarray, target: np.ndarray, seen: np.ndarray, rate: float = 0.12) -> None:
         """One step on a batch; ``seen`` holds the squared gradients of bias and rows so far."""
         g = np.exp(self.log_softmax(context))
         g[np.arange(len(target)), target] -= 1
@@ -204,23 +204,43 @@ def _send(buckets: int):
     return run
 
 
-def _count(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-    """Rows of kind 0: each document's sum of log10(c + 1) and number of known tokens; of kind 1: tokens and distinct words of each class."""
+_COUNTED = "home int, keys binary, a binary, b binary"
 
-    def joined(name: str, kind) -> np.ndarray:
-        return np.concatenate([np.frombuffer(x, kind) for x in table[name].to_pylist()])
 
-    keys, sizes, learned = joined("keys", np.int64), joined("sizes", np.uint32), joined("learned", bool)
-    names, at = np.unique(joined("words", _U), return_inverse=True)
-    times = joined("times", np.uint16).astype(np.float64)
-    count = np.bincount(at, weights=times * np.repeat(learned, sizes), minlength=len(names))
-    owner = np.repeat(np.arange(len(keys)), sizes)
-    logs = np.bincount(owner, weights=times * np.log10(count + 1)[at], minlength=len(keys))
-    known = np.bincount(owner, weights=times * (count > 0)[at], minlength=len(keys))
-    classes = (names & _U(CLASSES - 1)).astype(np.int64)
-    n, v = np.bincount(classes, weights=count, minlength=CLASSES), np.bincount(classes, weights=count > 0, minlength=CLASSES)
-    kind = np.r_[np.zeros(len(keys), np.int32), np.ones(CLASSES, np.int32)]
-    return pa.table({"kind": kind, "key": np.r_[keys, np.arange(CLASSES)], "a": np.r_[logs, n], "b": np.r_[known, v]})
+def _count(homes: int):
+    """For each home of documents: their sums of log10(c + 1) and numbers of known tokens; in home -1: tokens and distinct words of each class."""
+
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        def joined(name: str, kind) -> np.ndarray:
+            return np.concatenate([np.frombuffer(x, kind) for x in table[name].to_pylist()])
+
+        keys, sizes, learned = joined("keys", np.int64), joined("sizes", np.uint32), joined("learned", bool)
+        names, at = np.unique(joined("words", _U), return_inverse=True)
+        times = joined("times", np.uint16).astype(np.float64)
+        count = np.bincount(at, weights=times * np.repeat(learned, sizes), minlength=len(names))
+        owner = np.repeat(np.arange(len(keys)), sizes)
+        logs = np.bincount(owner, weights=times * np.log10(count + 1)[at], minlength=len(keys))
+        known = np.bincount(owner, weights=times * (count > 0)[at], minlength=len(keys))
+        classes = (names & _U(CLASSES - 1)).astype(np.int64)
+        n, v = np.bincount(classes, weights=count, minlength=CLASSES), np.bincount(classes, weights=count > 0, minlength=CLASSES)
+        home = keys % homes
+        order = np.argsort(home, kind="stable")
+        home, keys, logs, known = home[order], keys[order], logs[order], known[order]
+        cut = np.flatnonzero(np.diff(home)) + 1
+        rows = [(-1, np.arange(CLASSES).tobytes(), n.tobytes(), v.tobytes())]
+        for x, y in zip(np.r_[0, cut].tolist(), np.r_[cut, len(home)].tolist(), strict=True):
+            rows.append((int(home[x]), keys[x:y].tobytes(), logs[x:y].tobytes(), known[x:y].tobytes()))
+        kinds = (pa.int32(), pa.binary(), pa.binary(), pa.binary())
+        return pa.table({c: pa.array(v, k) for c, v, k in zip(("home", "keys", "a", "b"), zip(*rows, strict=True), kinds, strict=True)})
+
+    return run
+
+
+def _sum(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+    keys, a, b = (np.concatenate([np.frombuffer(x, k) for x in table[c].to_pylist()]) for c, k in (("keys", np.int64), ("a", np.float64), ("b", np.float64)))
+    names, at = np.unique(keys, return_inverse=True)
+    kind = np.full(len(names), int(key[0].as_py() < 0), np.int32)
+    return pa.table({"kind": kind, "key": names, "a": np.bincount(at, weights=a), "b": np.bincount(at, weights=b)})
 
 
 def score(docs: DataFrame, learned, id_col: str = "doc_id", text_col: str = "text", rounds: int = 2) -> DataFrame:
@@ -240,8 +260,8 @@ def score(docs: DataFrame, learned, id_col: str = "doc_id", text_col: str = "tex
     rows = rows.select("id", "text", "learned", F.xxhash64("id", "text").alias("key"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     sent = rows.select("key", "text", "learned").mapInArrow(_send(size // (16 << 20) + 1), _PACKED)
-    counted = sent.groupBy("bucket").applyInArrow(_count, "kind int, key long, a double, b double")
-    counted = stored(counted.groupBy("kind", "key").agg(F.sum("a").alias("a"), F.sum("b").alias("b")), "counts")
+    counted = sent.groupBy("bucket").applyInArrow(_count(size // (16 << 20) + 1), _COUNTED)
+    counted = stored(counted.groupBy("home").applyInArrow(_sum, "kind int, key long, a double, b double"), "counts")
     held = {r.key: (r.a, r.b) for r in counted.where("kind = 1").collect()}
     n = np.array([held.get(k, (0.0, 0.0))[0] for k in range(CLASSES)])
     v = np.array([held.get(k, (0.0, 0.0))[1] for k in range(CLASSES)])
