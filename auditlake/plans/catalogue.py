@@ -1,17 +1,13 @@
-"""The registry of named queries."""
+"""All named queries of the audit engine."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from auditlake.plans import contracts, layout, registry, texts, versions  # noqa: F401
 
-from pyspark.sql import DataFrame, SparkSession
 
-Query = Callable[[SparkSession, str], DataFrame]
-
-
-def queries() -> dict[str, Query]:
-    return {}
+def queries() -> dict:
+    return dict(registry.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(registry.ORACLES)
