@@ -13,8 +13,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def holds(condition: Column) -> Column:
-    return F.coalesce(condition, F.lit(False))
+def holds(condition: Column | str) -> Column:
+    """The condition (a column or SQL), where unknown is false."""
+    return F.coalesce(F.expr(condition) if isinstance(condition, str) else condition, F.lit(False))
 
 
 def all_hold(*conditions: Column) -> Column:
@@ -42,14 +43,14 @@ def accepted(keys: DataFrame, found: DataFrame, key: str) -> DataFrame:
     return keys.select(key).distinct().join(counted, key, "left").select(key, F.coalesce("errors", F.lit(0)).alias("errors"), F.col("errors").isNull().alias("acceptance_pass"))
 
 
-def dispatch(df: DataFrame, key: str, rules: list[tuple[str, str, Column]], otherwise: str = "ready_for_strict_final_compare") -> DataFrame:
+def dispatch(df: DataFrame, key: str, rules: list[tuple[str, str, Column | str]], otherwise: str = "ready_for_strict_final_compare") -> DataFrame:
     """``key, status, repair_class, hits``: rules are (status, repair class, condition) in order of priority."""
     hit = F.filter(F.array(*(F.when(holds(c), F.struct(F.lit(s).alias("status"), F.lit(r).alias("repair_class"))) for s, r, c in rules)), lambda x: x.isNotNull())
     out = df.select(key, hit.alias("h"))
     return out.select(key, F.coalesce(F.get("h", F.lit(0))["status"], F.lit(otherwise)).alias("status"), F.get("h", F.lit(0))["repair_class"].alias("repair_class"), F.size("h").cast("long").alias("hits"))
 
 
-def queues(df: DataFrame, key: str, rules: list[tuple[str, str, Column]]) -> DataFrame:
+def queues(df: DataFrame, key: str, rules: list[tuple[str, str, Column | str]]) -> DataFrame:
     """``repair_class, key`` for every rule that holds."""
     hit = F.filter(F.array(*(F.when(holds(c), F.lit(r)) for _, r, c in rules)), lambda x: x.isNotNull())
     return df.select(key, F.explode(hit).alias("repair_class"))

@@ -1 +1,167 @@
-"""To come."""
+"""Text rules: over the driver's documents, and over literal cases where those hold no such text."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from auditlake.functions import tex
+from auditlake.functions import text as X
+from auditlake.plans.registry import Tables, query
+
+# Cases: inputs that the rules for formulas and labels must handle.
+TEX_CASES = (
+    "$F′(x)$", "$F″(x)$", "$F‴(x)$", "$y′²$", r"${f}^{\prime2}$", r"$\lim_{x\to0}f(x)$", r"$\lim\limits_{x\to0}f(x)$", r"$\limsup_{n\to\infty}a_n$",
+    r"\underset{x\to0}{\lim}^{+}", "$y''''$", r"\frac{a}{b}\le \left(\alpha x\right)", r"\smallint x", r"\begin{cases}x&y\end{cases}", "x^2'", "", "a{b", "b}a", "𝑥+1", "▒x", "x\ry",
+)
+LABEL_CASES = ("1、甲", "（２）、乙", "\t３、丙\n４、丁", "第1、2项", "甲、乙", "a 1、b", "")
+
+
+def _cases(t: Tables, cases: tuple, name: str = "input"):
+    return t.spark.createDataFrame(list(enumerate(cases)), f"case_id long, {name} string")
+
+
+def _values(cases: tuple) -> str:
+    text = ", ".join("({}, '{}')".format(n, c.replace("'", "''").replace("\r", "' || chr(13) || '").replace("\n", "' || chr(10) || '").replace("\t", "' || chr(9) || '")) for n, c in enumerate(cases))
+    return f"(VALUES {text}) v(case_id, input)"
+
+
+@query("SELECT page_id, len(regexp_extract_all(html, '<h1')) AS headings, len(regexp_extract_all(html, '<li')) AS items, len(regexp_extract_all(html, '<h1')) > 0 OR len(regexp_extract_all(html, '<li')) > 8 AS candidate FROM pages")
+def html_outline_candidates(t: Tables):
+    count = lambda tag: F.regexp_count("html", F.lit(tag)).cast("long")
+    return t.pages.select("page_id", count("<h1").alias("headings"), count("<li").alias("items"), ((count("<h1") > 0) | (count("<li") > 8)).alias("candidate"))
+
+
+_TAGS = ("p", "div", "li", "a", "h1", "h2", "script")
+
+
+@query("SELECT page_id, " + ", ".join(f"len(regexp_extract_all(html, '<{g}[ >]')) AS n_{g}" for g in _TAGS) + " FROM pages")
+def tag_structure_signature(t: Tables):
+    return t.pages.select("page_id", *(F.regexp_count("html", F.lit(f"<{g}[ >]")).cast("long").alias(f"n_{g}") for g in _TAGS))
+
+
+@query("""WITH c AS (SELECT doc_id, unnest(string_split(regexp_replace(text, '[^()]', '', 'g'), '')) AS c, unnest(range(1, len(regexp_replace(text, '[^()]', '', 'g')) + 1)) AS n FROM documents),
+d AS (SELECT doc_id, sum(CASE c WHEN '(' THEN 1 ELSE -1 END) OVER (PARTITION BY doc_id ORDER BY n) AS d, n FROM c WHERE c <> ''),
+g AS (SELECT doc_id, min(d) AS least, arg_max(d, n) AS last FROM d GROUP BY doc_id)
+SELECT doc_id, coalesce(least >= 0 AND last = 0, true) AS balanced FROM documents LEFT JOIN g USING (doc_id)""")
+def bracket_balance(t: Tables):
+    return t.documents.select("doc_id", X.brace_balanced(F.translate(F.regexp_replace("text", r"[{}]", ""), "()", "{}")).alias("balanced"))
+
+
+@query("""SELECT doc_id, len(regexp_extract_all(text, '[A-Z]')) AS upper, len(regexp_extract_all(text, '[0-9]')) AS digits, len(regexp_extract_all(text, '[^\\x00-\\x7F]')) AS other, regexp_matches(text, '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F]') AS control FROM documents""")
+def char_class_counts(t: Tables):
+    n = lambda p: F.regexp_count("text", F.lit(p)).cast("long")
+    return t.documents.select("doc_id", n("[A-Z]").alias("upper"), n("[0-9]").alias("digits"), n(r"[^\x00-\x7F]").alias("other"), X.has_control(F.col("text")).alias("control"))
+
+
+@query("SELECT doc_id, list_sort(list_distinct(regexp_extract_all(text, '[=<>+%&|$#@]'))) AS symbols FROM documents")
+def distinct_symbols(t: Tables):
+    return t.documents.select("doc_id", F.array_sort(F.array_distinct(F.regexp_extract_all("text", F.lit("([=<>+%&|$#@])"), F.lit(1)))).alias("symbols"))
+
+
+@query("SELECT doc_id, substr(text, greatest(x - 48, 1), x + 48 - greatest(x - 48, 1) + 1) AS context FROM (SELECT doc_id, text, strpos(text, '. ') AS x FROM documents) WHERE x > 0")
+def text_context_window(t: Tables):
+    rows = t.documents.withColumn("at", F.instr("text", ". ")).where("at > 0")
+    return rows.select("doc_id", X.context_window(F.col("text"), F.col("at")).alias("context"))
+
+
+_STYLE_CASES = ("width:12.5pt;height:8pt", "HEIGHT: 20pt ; Width :30pt", "position:absolute", "width:-3pt", "xwidth:9pt", "width:7px")
+
+
+@query(f"SELECT case_id, TRY_CAST(nullif(regexp_extract(input, '(?i)(?:^|;)\\s*width\\s*:\\s*(-?[0-9.]+)pt', 1), '') AS DOUBLE) AS width, TRY_CAST(nullif(regexp_extract(input, '(?i)(?:^|;)\\s*height\\s*:\\s*(-?[0-9.]+)pt', 1), '') AS DOUBLE) AS height FROM {_values(_STYLE_CASES)}")
+def style_dimension_extract(t: Tables):
+    return _cases(t, _STYLE_CASES).select("case_id", X.style_points(F.col("input"), "width").alias("width"), X.style_points(F.col("input"), "height").alias("height"))
+
+
+@query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, CASE WHEN json_type(props) = 'ARRAY' THEN 'array' ELSE 'object' END AS shape FROM events")
+def json_props_extract(t: Tables):
+    return t.events.select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"), F.when(F.startswith(F.ltrim(F.col("props")), F.lit("[")), "array").otherwise("object").alias("shape"))
+
+
+@query("""SELECT doc_id, replace(replace(text, '. ', '。'), '。', CASE WHEN doc_id % 2 = 0 THEN '.' ELSE '。' END) AS body, CAST(CASE WHEN doc_id % 2 = 0 THEN len(text) - len(replace(text, '. ', '。')) ELSE 0 END AS BIGINT) AS replaced FROM documents""")
+def body_period_replace(t: Tables):
+    text = F.replace("text", F.lit(". "), F.lit("。"))
+    eligible = F.col("doc_id") % 2 == 0
+    return t.documents.select("doc_id", X.replace_period(text, eligible).alias("body"), F.when(eligible, X.occurrences(text, "。")).otherwise(0).cast("long").alias("replaced"))
+
+
+@query(f"""SELECT case_id, regexp_replace(input, '(^|\\n)([ \\t　]*(?:[0-9０-９]+|[（(][0-9０-９]+[)）]))、', '\\1\\2.', 'g') AS line_start, input AS preserved FROM {_values(LABEL_CASES)}""")
+def numbering_normalize(t: Tables):
+    return _cases(t, LABEL_CASES).select("case_id", X.normalize_labels(F.col("input")).alias("line_start"), X.normalize_labels(F.col("input"), "preserve").alias("preserved"))
+
+
+@query()
+def numbering_anywhere(t: Tables):
+    return _cases(t, LABEL_CASES).select("case_id", X.normalize_labels(F.col("input"), "anywhere").alias("anywhere"))
+
+
+@query(f"""SELECT case_id, regexp_matches(input, '[''′″‴⁗ʹʺ’‘]|\\\\prime([^A-Za-z0-9_]|$)') AS has_prime, trim(input) = '' AS blank, regexp_matches(input, '[\\r\\n\\t]') AS line_control FROM {_values(TEX_CASES)}""")
+def prime_markers(t: Tables):
+    value = F.col("input")
+    return _cases(t, TEX_CASES).select("case_id", X.has_prime(value).alias("has_prime"), X.blank(value).alias("blank"), value.rlike(r"[\r\n\t]").alias("line_control"))
+
+
+_PROGIDS = ("Equation.AxMath", "equation.axmath", " Equation.3 ", "Equation.DSMT4", "Package", "")
+
+
+@query(f"SELECT case_id, CASE WHEN lower(trim(input)) = 'equation.axmath' THEN 'axmath' WHEN regexp_matches(lower(trim(input)), '^equation\\.(3|dsmt)') THEN 'legacy_equation' ELSE 'unclassified' END AS kind FROM {_values(_PROGIDS)}")
+def object_kinds(t: Tables):
+    return _cases(t, _PROGIDS).select("case_id", X.object_kind(F.col("input")).alias("kind"))
+
+
+_HEADINGS = ("Heading 1", "heading2", "标题 3", "Heading 4 Char", "Heading", "Heading 0", "My Heading 1", "标题9 char")
+
+
+@query(f"SELECT case_id, regexp_full_match(input, '(?i)(heading|标题)\\s*[1-9](\\s*char)?') AS heading FROM {_values(_HEADINGS)}")
+def heading_identity(t: Tables):
+    return _cases(t, _HEADINGS).select("case_id", X.is_heading(F.col("input")).alias("heading"))
+
+
+@query("""SELECT user_id, list_sort(list_distinct([CAST(x AS INTEGER) FOR x IN string_split(o, ',') IF trim(x) <> ''])) AS ordinals FROM (SELECT user_id, string_agg(CAST(event_id % 40 AS VARCHAR), ',') || ', ,' AS o FROM events GROUP BY user_id)""")
+def ordinal_list_parsing(t: Tables):
+    listed = t.events.groupBy("user_id").agg(F.concat(F.array_join(F.collect_list((F.col("event_id") % 40).cast("string")), ","), F.lit(", ,")).alias("o"))
+    return listed.select("user_id", X.ordinals(F.col("o")).alias("ordinals"))
+
+
+@query()
+def tex_rules(t: Tables):
+    """Issue codes, prime orders and reasons, by expressions alone."""
+    v = F.col("input")
+    return _cases(t, TEX_CASES).select(
+        "case_id", X.prime_issues(v).alias("prime_issues"), X.prime_orders(v).alias("prime_orders"), X.source_prime_orders(v).alias("source_orders"), X.small_integral_issues(v).alias("integral_issues"), X.latex_reasons(v).alias("reasons"),
+        X.superscripts(X.prime_tokens(v)).alias("tokens"), X.align_at_equals(v).alias("aligned"),
+    )
+
+
+@query()
+def tex_normalize(t: Tables):
+    v = F.col("input")
+    return _cases(t, TEX_CASES).select("case_id", tex.normalize_udf(v).alias("normalized"), tex.limit_issues_udf(v).alias("limit_issues"), tex.limit_placements_udf(v).alias("placements"), tex.exported_udf(v).alias("exported"))
+
+
+@query()
+def semantic_tokens(t: Tables):
+    return _cases(t, TEX_CASES).select("case_id", tex.tokens_udf("input").alias("tokens"), tex.structure_udf("input").alias("structure"))
+
+
+@query()
+def nfkc_anchor(t: Tables):
+    return t.documents.select("doc_id", tex.anchor_udf("text").alias("anchor"))
+
+
+@query()
+def cjk_similarity(t: Tables):
+    pairs = _cases(t, LABEL_CASES).join(_cases(t, (*LABEL_CASES[1:], "甲乙丙"), "other"), "case_id")
+    return pairs.select("case_id", tex.cjk_ratio_udf("input", "other").alias("ratio"))
+
+
+@query()
+def plain_math_class(t: Tables):
+    cases = [(0, "x", "设x为", 1, None), (1, "3", "3、甲", 0, None), (2, "x+1=2", "有x+1=2", 1, None), (3, "2", "x2", 1, "superscript"), (4, "甲", "甲", 0, None), (5, "½", "取½", 1, None), (6, "A", "A甲", 0, None)]
+    rows = t.spark.createDataFrame(cases, "case_id long, run string, paragraph string, start int, vertical string")
+    return rows.select("case_id", tex.plain_math_udf("run", "paragraph", "start", "vertical").alias("c")).select("case_id", "c.is_math", "c.kind")
+
+
+@query()
+def canonical_xml(t: Tables):
+    cases = ('<a b="1" a="2"/>', "<a><b></b></a>", "<a>", "")
+    return _cases(t, cases).select("case_id", tex.canonical_xml_udf("input").alias("canonical"))
