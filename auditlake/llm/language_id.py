@@ -235,7 +235,7 @@ def learned_from(id_col: str, folds: int = 5, held: int = 0):
     return F.crc32(F.col(f"`{id_col}`").cast("string").cast("binary")) % folds != held
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 1500) -> Model:
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 1000) -> Model:
     """Fit on at most ``per_language`` rows of each non-null language, those of least xxhash64 of their id."""
     spark = docs.sparkSession
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), F.col(f"`{lang_col}`").alias("lang")).where("id is not null and text is not null and lang is not null")

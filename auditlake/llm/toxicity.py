@@ -120,7 +120,7 @@ def fit(rows: list[tuple[int, np.ndarray]], grades: int, least_df: int = 5, leas
     return Model(names[chosen], params[:m], unpack(params))
 
 
-def train(docs: DataFrame, graded: DataFrame, grades: int, id_col: str = "doc_id", text_col: str = "text", per_grade: int = 1500, split: bool = False) -> Model:
+def train(docs: DataFrame, graded: DataFrame, grades: int, id_col: str = "doc_id", text_col: str = "text", per_grade: int = 1000, split: bool = False) -> Model:
     """``graded`` has the id and ``grade`` (0 to ``grades`` - 1; others and nulls are ignored)."""
     known = graded.select(F.col(f"`{id_col}`").alias("id"), F.col("grade").cast("int").alias("grade")).where(F.col("id").isNotNull() & F.col("grade").between(0, grades - 1))
     by_hash = Window.partitionBy("grade").orderBy(F.xxhash64("id"), "id")
