@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from auditlake.plans import contracts, layout, registry, texts, versions  # noqa: F401
+from auditlake.plans import contracts, evidence, layout, registry, texts, versions  # noqa: F401
 
 
 def queries() -> dict:
