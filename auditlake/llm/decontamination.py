@@ -30,7 +30,7 @@ from auditlake.llm.fm_index import GAP, FMIndex
 _WORDS = H.alnum_words()
 _SLICE = 4 << 20
 #: Bytes of item text in one block.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 2 << 20
 RESULTS = ("n_words", "n_hit", "n_items", "items_sha256", "contaminated", "item_ids", "spans", "clean_text")
 
 

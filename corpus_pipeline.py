@@ -17,17 +17,24 @@ from auditlake.llm.substring_dedup import remove_repeats
 TOKENIZER = "/opt/tokenizers/piece_bpe_32k.model"
 
 
+def _aside(docs: DataFrame) -> tuple[DataFrame, list]:
+    """Columns that no stage looks at under names that no operator uses, and how to name them back."""
+    names = {c: c if c in ("doc_id", "text", "lang", "n_chars") else f"aside_{i}" for i, c in enumerate(docs.columns)}
+    return docs.select(*(F.col(f"`{c}`").alias(n) for c, n in names.items())), [F.col(n).alias(c) for c, n in names.items()]
+
+
 def _with_text(docs: DataFrame, changed: DataFrame, text: str) -> DataFrame:
     """The columns of ``docs`` from ``changed``, with the new text; n_chars follows it."""
     new = {"text": F.col(text)}
     if "n_chars" in docs.columns:
         new["n_chars"] = F.length(text).cast(docs.schema["n_chars"].dataType)
-    return changed.select(*(new.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns))
+    return changed.select(*(new.get(c, F.col(c)).alias(c) for c in docs.columns))
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules reject go."""
-    return quality_rules(docs).where("kept").select(*docs.columns)
+    plain, back = _aside(docs)
+    return quality_rules(plain).where("kept").select(*back)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,14 +45,16 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages that an earlier document has are cut; a document that was all repeats goes."""
-    cut = remove_repeats(docs).where("n_removed = 0 or n_removed < n_words")
-    return _with_text(docs, cut, "kept_text")
+    plain, back = _aside(docs)
+    cut = remove_repeats(plain).where("n_removed = 0 or n_removed < n_words")
+    return _with_text(plain, cut, "kept_text").select(*back)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Test phrases are cut; a document that was nothing else goes."""
-    clean = decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).where("n_hit = 0 or n_hit < n_words")
-    return _with_text(docs, clean, "clean_text")
+    plain, back = _aside(docs)
+    clean = decontaminate(plain, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).where("n_hit = 0 or n_hit < n_words")
+    return _with_text(plain, clean, "clean_text").select(*back)
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

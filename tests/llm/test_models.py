@@ -246,3 +246,17 @@ def test_pipeline_against_brute_force(spark, pieces):
     assert set(got) == set(want)
     for i, t in want.items():
         assert list(got[i].ids) == pieces.lib.encode(t), i
+
+
+def test_pipeline_stages_keep_clashing_columns(spark, edges, nothing):
+    import corpus_pipeline
+
+    for docs in (edges, nothing):
+        rows = {(r.doc_id, r.text): r for r in docs.collect()}
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, docs, DATA)
+            assert out.dtypes == docs.dtypes, name
+            for r in out.collect():
+                old = rows.get((r.doc_id, r.text))
+                assert old is None or (r.n_words, r.kept, r.chunk) == (old.n_words, old.kept, old.chunk), name
+        assert corpus_pipeline.STAGES[-1][1](spark, docs, DATA).count() == docs.count()
