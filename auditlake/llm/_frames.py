@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+import math
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Bytes of text that one chunk of documents holds, about.
-CHUNK_BYTES = 8 << 20
+
+def chunk_bytes(total: int) -> int:
+    """Bytes of text that one chunk of documents holds, about, for ``total`` bytes in all.
+
+    Chunks and buckets both grow with the root of the corpus, so that a message from a chunk to
+    a bucket stays packed; 2 MB up to some tens of gigabytes, 64 MB from some tens of terabytes.
+    """
+    return min(64 << 20, max(2 << 20, math.isqrt(64 * total)))
 
 
 def shared_folder(spark: SparkSession) -> str:

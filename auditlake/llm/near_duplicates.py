@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from auditlake.llm import _hashing as H
 from auditlake.llm._components import connected_components
-from auditlake.llm._frames import CHUNK_BYTES, checked_name, stored
+from auditlake.llm._frames import checked_name, chunk_bytes, stored
 
 SKETCH = 64
 #: Least number of retained values that two linked classes share, of SKETCH.
@@ -242,7 +242,7 @@ def _links(rows: DataFrame, known: DataFrame, size: int, percent: int) -> DataFr
     texts = rows.where("id is not null").join(heads, "id").mapInArrow(_own_text(size), "cls long, text string, n long, sketch array<long>")
     texts = stored(texts, "candidates")
     total, values = texts.agg(F.sum(F.octet_length("text")), F.sum("n")).first()
-    chunks = (total or 0) // CHUNK_BYTES + 1
+    chunks = (total or 0) // chunk_bytes(total or 0) + 1
     exact = _shared_values(texts.select("cls", "text"), values or 0, _pack_texts(size))
     left = texts.groupBy("cls").agg(F.min("n").alias("n")).join(exact, "cls").where(F.col("shared") * 100 >= F.col("n") * percent)
     left = stored(left.select("cls", "n", "shared"), "bounded")

@@ -7,8 +7,8 @@ joining documents on anchors loses no repeat.  Where an anchor is shared, the ma
 extended to the left and to the right as far as whole windows agree, and neighbouring
 windows melt into maximal repeats.
 
-No pair of documents is ever made.  Documents are dealt into chunks of about
-``CHUNK_BYTES``; a chunk is read three times through one shuffle of the text:
+No pair of documents is ever made.  Documents are dealt into chunks (``chunk_bytes``); a
+chunk is read three times through one shuffle of the text:
 
 1. each chunk sends its distinct anchors, once, to the anchor's bucket (4 bytes each; the
    bucket number makes up the rest of the hash); the bucket answers one bit per anchor;
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from auditlake.llm import _hashing as H
-from auditlake.llm._frames import CHUNK_BYTES, checked_name
+from auditlake.llm._frames import checked_name, chunk_bytes
 
 _LAST = np.iinfo(np.int64).max
 _MESSAGE = "bucket int, chunk int, kind int, keys binary, docs binary, refs binary"
@@ -125,7 +125,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     if not 1 <= anchor_words <= min_words:
         raise ValueError("anchor_words must lie between 1 and min_words")
     total = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
-    chunks, buckets = total // CHUNK_BYTES + 1, total // (4 * CHUNK_BYTES) + 1
+    size = chunk_bytes(total)
+    chunks, buckets = total // size + 1, total // (4 * size) + 1
     names = [c for c in docs.columns if c not in _RESULTS or c in (id_col, text_col)]
     own = [f"c{i}" for i in range(len(names))]
     the_id, the_text = own[names.index(id_col)], own[names.index(text_col)]

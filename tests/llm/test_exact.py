@@ -41,7 +41,7 @@ def brute_removed(rows, size=13):
 
 
 def test_substring_dedup_edges(edges, nothing, monkeypatch):
-    monkeypatch.setattr(substring_dedup, "CHUNK_BYTES", 2000)
+    monkeypatch.setattr(substring_dedup, "chunk_bytes", lambda total: 2000)
     got = substring_dedup.remove_repeats(edges)
     assert got.columns[:2] == ["doc_id", "text"] and "chunk" in got.columns
     rows = got.collect()
@@ -54,7 +54,7 @@ def test_substring_dedup_edges(edges, nothing, monkeypatch):
 
 
 def test_substring_dedup_many_copies(spark, monkeypatch):
-    monkeypatch.setattr(substring_dedup, "CHUNK_BYTES", 3000)
+    monkeypatch.setattr(substring_dedup, "chunk_bytes", lambda total: 3000)
     rng = np.random.RandomState(3)
     passage = " ".join(f"p{i}" for i in range(60))
     rows = []
