@@ -21,7 +21,7 @@ def _cases(t: Tables, cases: tuple, name: str = "input"):
 
 
 def _values(cases: tuple) -> str:
-    text = ", ".join("({}, '{}')".format(n, c.replace("'", "''").replace("\r", "' || chr(13) || '").replace("\n", "' || chr(10) || '").replace("\t", "' || chr(9) || '")) for n, c in enumerate(cases))
+    text = ", ".join("({}::BIGINT, '{}')".format(n, c.replace("'", "''").replace("\r", "' || chr(13) || '").replace("\n", "' || chr(10) || '").replace("\t", "' || chr(9) || '")) for n, c in enumerate(cases))
     return f"(VALUES {text}) v(case_id, input)"
 
 
