@@ -39,7 +39,7 @@ SKETCH = 64
 #: Least number of retained values that two linked classes share, of SKETCH.
 COMMON = 35
 PREFIX = SKETCH - COMMON + 1
-_SLICE = 4 << 20
+_SLICE = 1 << 20
 _WORDS = H.whitespace_words(True)
 
 
