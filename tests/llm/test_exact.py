@@ -201,3 +201,34 @@ def test_host_reputation_shrinks(spark):
     # one bad page says little: a host of a bad domain stays bad, a host of a good one stays good
     assert got["a.big.com"].mean > 0.7 and 0.7 < got["b.big.com"].mean < 1
     assert 0 < got["c.good.com"].mean < got["d.good.com"].mean < 0.2
+
+
+def test_unlabelled_hosts_take_the_judgement_of_their_domain(spark):
+    labelled = [("a.bad.xyz", i < 95) for i in range(100)] + [("b.bad.xyz", i < 97) for i in range(100)] + [("a.fine.xyz", False)] * 300 + [("a.foul.biz", True)] * 100 + [("a.good.dev", i < 2) for i in range(300)]
+    fresh = ["new.bad.xyz", "new.fine.xyz", "new.other.biz", "new.good.dev", "new.unseen.top"]
+    urls = [f"http://{h}/x" for h, _ in labelled] + [f"http://{h}/x" for h in fresh]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    outcomes = spark.createDataFrame([(i, bad) for i, (_, bad) in enumerate(labelled)], "page_id long, bad boolean")
+    rows = U.filter_urls(pages, outcomes).collect()
+    got = {r.host: r for r in rows}
+    assert len(rows) == len(urls)
+    # a bad domain and a bad suffix block hosts never seen
+    assert [got[h].verdict for h in fresh[:4]] == ["block", "allow", "block", "allow"]
+
+    # by hand: each level shrunk to the one above, no labels of its own at the last
+    def strength(groups):
+        k, n, x = len(groups), sum(g[0] for g in groups), sum(g[1] for g in groups)
+        q = (x + 1) / (n + 2) * (1 - (x + 1) / (n + 2))
+        room = n - sum(g[0] ** 2 for g in groups) / n - (k - 1)
+        return 1 / min(0.5, max(0.01, (sum(g[0] * (g[1] / g[0] - g[2]) ** 2 for g in groups) - q * (k - 1)) / (q * room))) - 1
+
+    overall = (294 + 1) / (900 + 2)
+    tlds = {"xyz": (500, 192, overall), "biz": (100, 100, overall), "dev": (300, 2, overall)}
+    m = strength(list(tlds.values()))
+    top = {k: (x + m * mu) / (n + m) for k, (n, x, mu) in tlds.items()}
+    domains = {"bad.xyz": (200, 192, top["xyz"]), "fine.xyz": (300, 0, top["xyz"]), "foul.biz": (100, 100, top["biz"]), "good.dev": (300, 2, top["dev"])}
+    m = strength(list(domains.values()))
+    mean = {k: (x + m * mu) / (n + m) for k, (n, x, mu) in domains.items()}
+    m = strength([(100, 95, mean["bad.xyz"]), (100, 97, mean["bad.xyz"]), (300, 0, mean["fine.xyz"]), (100, 100, mean["foul.biz"]), (300, 2, mean["good.dev"])])
+    for host, mu in zip(fresh, (mean["bad.xyz"], mean["fine.xyz"], top["biz"], mean["good.dev"], overall), strict=True):
+        assert abs(got[host].bad_bound - (mu - 1.6448536269514722 * (mu * (1 - mu) / (m + 1)) ** 0.5)) < 1e-9
