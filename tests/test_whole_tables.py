@@ -1,5 +1,7 @@
 """Queries over whole tables against brute force, also where their SQL looks at a part of the rows."""
 
+from collections import Counter, defaultdict
+
 import pandas as pd
 from auditlake.plans import catalogue
 from helpers import DATA
@@ -29,3 +31,41 @@ def test_class_e_review_takes_every_document(spark, tmp_path):
     got = found(spark, "class_e_review_errors", "ordinal", "rule", folder=tmp_path)
     assert got == sorted(want)
     assert max(i for i, _ in got) >= 520
+
+
+def test_formula_map_takes_every_order(spark):
+    sources, finals = defaultdict(list), defaultdict(list)
+    for k, n in zip(*(table("lineitem")[c].tolist() for c in ("l_orderkey", "l_linenumber")), strict=True):
+        if n % 2:
+            sources[k].append(n)
+            finals[k] += [n, n + 1]
+    want = [(k, "several_owners") for k in sources if len(set(sources[k])) < len(sources[k]) or len(set(finals[k])) < len(finals[k])]
+    want += [(k, "final_coverage") for k in sources if (len(set(finals[k])), min(finals[k]), max(finals[k])) != (6, 1, 6)]
+    got = found(spark, "formula_map_errors", "map_id", "rule")
+    assert got == sorted(want)
+    assert any(k % 5 for k, _ in got)
+
+
+def test_page_styles_take_every_order(spark):
+    source, working, refused = defaultdict(list), defaultdict(list), set()
+    for line in table("lineitem").itertuples():
+        source[line.l_orderkey].append((line.l_linenumber, line.l_returnflag))
+        if line.l_tax > 0.075:
+            refused.add(line.l_orderkey)
+        if line.l_discount < 0.09:
+            working[line.l_orderkey].append((line.l_linenumber, "none" if line.l_quantity > 40 else line.l_returnflag))
+    want = [
+        (k, n, old, new) for k, lines in source.items() if k not in refused and len(lines) == len(working[k]) for n, new in lines for m, old in working[k] if n == m and old != new
+    ]
+    got = found(spark, "page_style_edits", "doc_id", "section", "old", "new")
+    assert got == sorted(want)
+    assert any(k % 3 for k, *_ in got)
+
+
+def test_single_owner_takes_every_part(spark):
+    owners = defaultdict(Counter)
+    for k, n, target in zip(*(table("lineitem")[c].tolist() for c in ("l_orderkey", "l_linenumber", "l_suppkey")), strict=True):
+        owners[k][target] += 1
+        owners[k + n][target] += 1
+    want = [(o, c.total(), len(c)) for o, c in owners.items() if c.total() > 1]
+    assert found(spark, "single_owner_violations", "ordinal", "owners", "targets") == sorted(want)
