@@ -28,8 +28,8 @@ e AS (SELECT doc_id, 'duplicate' AS rule FROM b WHERE n > 1 UNION ALL SELECT doc
 
 
 def _review(t: Tables):
-    inventory = t.documents.where("doc_id % 2 = 0").select("doc_id", F.sha2("text", 256).alias("digest"))
-    said = t.labels.where("doc_id % 2 = 0").join(t.documents.select("doc_id", "text"), "doc_id")
+    inventory = t.documents.select("doc_id", F.sha2("text", 256).alias("digest"))
+    said = t.labels.join(t.documents.select("doc_id", "text"), "doc_id")
     passed = F.when(F.col("quality") == 1, True).when(F.col("toxic") == 1, False)
     digest = F.when(F.col("doc_id") % 14 == 0, "stale").otherwise(F.sha2("text", 256))
     first = said.select((F.col("doc_id") + F.when(F.col("doc_id") % 40 == 0, 1000000).otherwise(0)).alias("doc_id"), digest.alias("digest"), passed.alias("passed"))

@@ -1,5 +1,6 @@
 """Queries over whole tables against brute force, also where their SQL looks at a part of the rows."""
 
+import hashlib
 from collections import Counter, defaultdict
 
 import pandas as pd
@@ -69,3 +70,24 @@ def test_single_owner_takes_every_part(spark):
         owners[k + n][target] += 1
     want = [(o, c.total(), len(c)) for o, c in owners.items() if c.total() > 1]
     assert found(spark, "single_owner_violations", "ordinal", "owners", "targets") == sorted(want)
+
+
+def test_reviews_take_every_document(spark):
+    inventory = {d.doc_id: hashlib.sha256(d.text.encode()).hexdigest() for d in table("documents").itertuples()}
+    reviews = defaultdict(list)
+    for label in table("labels").itertuples():
+        i = label.doc_id
+        if i in inventory:
+            reviews[i + (1000000 if i % 40 == 0 else 0)].append(("stale" if i % 14 == 0 else inventory[i], label.quality == 1))
+    for i in inventory:
+        if i % 26 == 0:
+            reviews[i].append((inventory[i], True))
+    want = [(i, "missing") for i in inventory if i not in reviews] + [(i, "extra") for i in reviews if i not in inventory]
+    want += [(i, "duplicate") for i, r in reviews.items() if len(r) > 1]
+    want += [(i, "hash_mismatch") for i, r in reviews.items() if i in inventory and min(h for h, _ in r) != inventory[i]]
+    want += [(i, "not_passed") for i, r in reviews.items() if i in inventory and not all(passed for _, passed in r)]
+    got = found(spark, "review_join_errors", "doc_id", "rule")
+    assert got == sorted(want)
+    assert any(i % 2 for i, _ in got)
+    errors = Counter(i for i, _ in want)
+    assert found(spark, "finalized_review", "doc_id", "errors", "acceptance_pass") == sorted((i, errors[i], errors[i] == 0) for i in inventory)
