@@ -145,7 +145,7 @@ def structure_defects(t: Tables):
 
 @query("SELECT DISTINCT l_partkey AS ordinal FROM lineitem WHERE l_partkey % 2 = 0 AND l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size > 10)")
 def requested_not_available(t: Tables):
-    return R.not_available(t.lineitem.where("l_partkey % 2 = 0").select(F.col("l_partkey").alias("ordinal")), t.part.where("p_size > 10").select(F.col("p_partkey").alias("ordinal")), "ordinal")
+    return R.not_available(t.lineitem.select(F.col("l_partkey").alias("ordinal")), t.part.where("p_size > 10").select(F.col("p_partkey").alias("ordinal")), "ordinal")
 
 
 @query("SELECT doc_id, sha256(text) = CASE WHEN doc_id % 13 = 0 THEN sha256(text || ' ') ELSE lower(upper(sha256(text))) END AS bound FROM documents")

@@ -91,7 +91,7 @@ def center_drift(t: Tables):
 
 @query("SELECT l_orderkey, l_linenumber, l_returnflag AS before, l_linestatus AS after FROM lineitem WHERE l_returnflag IS NOT NULL AND l_linestatus IS NOT NULL AND l_returnflag <> l_linestatus AND l_linenumber = 1")
 def alignment_breaks(t: Tables):
-    return t.lineitem.where("l_linenumber = 1 and l_returnflag <> l_linestatus").select("l_orderkey", "l_linenumber", F.col("l_returnflag").alias("before"), F.col("l_linestatus").alias("after"))
+    return t.lineitem.where("l_returnflag <> l_linestatus").select("l_orderkey", "l_linenumber", F.col("l_returnflag").alias("before"), F.col("l_linestatus").alias("after"))
 
 
 @query("""WITH r AS (SELECT l_orderkey, l_discount / (l_tax + 0.01) AS ratio, CASE WHEN l_linestatus = 'O' THEN l_quantity END AS pos FROM lineitem)

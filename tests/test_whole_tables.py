@@ -91,3 +91,18 @@ def test_reviews_take_every_document(spark):
     assert any(i % 2 for i, _ in got)
     errors = Counter(i for i, _ in want)
     assert found(spark, "finalized_review", "doc_id", "errors", "acceptance_pass") == sorted((i, errors[i], errors[i] == 0) for i in inventory)
+
+
+def test_alignment_breaks_take_every_line(spark):
+    lines = table("lineitem")
+    broken = lines[lines.l_returnflag.notna() & lines.l_linestatus.notna() & (lines.l_returnflag != lines.l_linestatus)]
+    want = sorted(broken[["l_orderkey", "l_linenumber", "l_returnflag", "l_linestatus"]].itertuples(index=False, name=None))
+    assert found(spark, "alignment_breaks", "l_orderkey", "l_linenumber", "before", "after") == want
+    assert any(n > 1 for _, n, *_ in want)
+
+
+def test_requested_takes_every_part(spark):
+    parts = table("part")
+    want = set(table("lineitem").l_partkey.tolist()) - set(parts[parts.p_size > 10].p_partkey.tolist())
+    assert found(spark, "requested_not_available", "ordinal") == sorted((k,) for k in want)
+    assert any(k % 2 for k in want)
