@@ -9,21 +9,32 @@ How the work stays linear when a third of the corpus is one group:
 
 * documents with equal shingle sets form a class and are handled once;
 * a class links to something only if enough of its retained values lie in other sketches,
-  and only if at least 85 % of its full set lies in other classes (exact); these counts come
-  from one packed exchange of 4 bytes a value, dealt by hash bucket;
-* a class is listed under the rarest of its retained values (``PREFIX`` of them), so that
-  values of common passages are not used where rarer ones decide;
-* each list is compared with one typical member first.  Members confirmed to be linked to it
-  are not compared with each other; the others are compared with the list, subject to the
-  exact bound on shared shingles.
-
-Two linked documents share at least 35 of 64 retained values but for a chance below 1e-8
-(binomial tail at 0.85); for sets that fit in the sketch this is certain.  Sets are compared
-as 64-bit shingle hashes.
+  and only if at least ``percent`` of its full set lies in other classes; these counts come
+  from one packed exchange of 4 bytes a value, dealt by hash bucket.  A value that a task finds
+  in two classes is counted there and sent once for the whole task, so a value that every
+  document has is one entry a task;
+* a class is listed under the rarest of its retained values, so that values of common
+  passages are not used where rarer ones decide;
+* each list is compared with one typical member, its centre.  Lists that still hold several
+  components are split by what their members do *not* share with the centre (below), and
+  the parts are treated in the same way until nothing is left.  Pairs within a list are only
+  made where at most ``SMALL`` members of it are still apart.
+
+Splitting a list.  For a centre c let D(x) be the symmetric difference of x and c.  Then
+|x ^ y| = |D(x) ^ D(y)|, and two classes are linked when (100 + p) |x ^ y| <= (100 - p) (|x| + |y|).
+If x is not linked with c, a link between x and y therefore needs a number of common elements
+of D(x) and D(y) that follows from the sizes alone and is at least one.  By the prefix rule it is
+enough to list x under its first |D(x)| - needed + 1 elements, in an order that puts elements
+outside c before those of c.  Copies with different edits then have no list in common.
+
+Two linked documents of more than ``SKETCH`` shingles share at least ``least_common(percent)``
+retained values but for a chance below 1e-8 (binomial tail; 35 of 64 at 85); for sets that fit in
+the sketch this is certain.  Sets are compared as 64-bit shingle hashes.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,13 +47,28 @@ from auditlake.llm._components import connected_components
 from auditlake.llm._frames import checked_name, chunk_bytes, stored
 
 SKETCH = 64
-#: Least number of retained values that two linked classes share, of SKETCH.
-COMMON = 35
-PREFIX = SKETCH - COMMON + 1
+#: A list is compared pair by pair where so many of its members are still apart, or fewer.
+SMALL = 32
+#: A task remembers so many values of many classes, those that OFTEN classes of a slice have.
+_REMEMBERED = 1 << 16
+_OFTEN = 8
 _SLICE = 1 << 20
 _WORDS = H.whitespace_words(True)
 
 
+def least_common(percent: int) -> int:
+    """Of SKETCH values of a union, how many two linked sets share but for a chance below 1e-8."""
+    p, below, m = percent / 100, 0.0, 0
+    while m < SKETCH:
+        below += math.comb(SKETCH, m) * p**m * (1 - p) ** (SKETCH - m)
+        if below >= 1e-8:
+            break
+        m += 1
+    if m < 1:
+        raise ValueError(f"a similarity of {percent} % is too small for sketches of {SKETCH} values")
+    return m
+
+
 def shingle_sets(texts: list[bytes], size: int) -> list[np.ndarray]:
     """Sorted distinct shingle hashes of each text; a text of fewer words is one shingle."""
     hashes, offsets = H.words(texts, _WORDS)
@@ -98,38 +124,82 @@ def _sketches(size: int):
 _PACKED = "bucket int, classes binary, counts binary, keys binary"
 
 
-def _pack(classes: list[int], sets: list[np.ndarray], buckets: int) -> pa.RecordBatch:
-    """One row per bucket: low 32 bits of the values, grouped by class.  The bucket is made from the high bits."""
-    rows: list[tuple] = []
-    if sets:
-        values = np.concatenate(sets)
-        owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-        home = ((values >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
-        order = np.argsort(home, kind="stable")
-        values, owner, home = values[order].astype(np.uint32), owner[order], home[order]
-        ids = np.array(classes, np.int64)
-        cut = np.flatnonzero(np.diff(home)) + 1
-        for a, b in zip(np.r_[0, cut].tolist(), np.r_[cut, len(home)].tolist(), strict=True):
-            if b > a:
-                step = np.flatnonzero(np.diff(owner[a:b])) + 1
-                first = np.r_[0, step]
-                rows.append((int(home[a]), ids[owner[a:b][first]].tobytes(), np.diff(np.r_[first, b - a]).astype(np.uint32).tobytes(), values[a:b].tobytes()))
-    bucket, one, two, three = zip(*rows, strict=True) if rows else ((), (), (), ())
-    return pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), pa.array(one, pa.binary()), pa.array(two, pa.binary()), pa.array(three, pa.binary())], names=["bucket", "classes", "counts", "keys"])
+def _runs(marks: np.ndarray) -> list[tuple[int, int]]:
+    """Begin and end of the runs of equal values."""
+    cut = np.flatnonzero(np.diff(marks)) + 1
+    return list(zip(np.r_[0, cut].tolist(), np.r_[cut, len(marks)].tolist(), strict=True)) if len(marks) else []
+
+
+class _Packer:
+    """Packs the values of classes by bucket; one for each task.
+
+    A row of a bucket from 0 holds the low 32 bits of values, grouped by class (the bucket is made
+    from the high bits), and, after these, values that lie in several classes and are not listed by class.
+    A row of a bucket below 0 holds counts of values already known to be shared, by class.
+    """
+
+    def __init__(self, buckets: int):
+        self.buckets = buckets
+        self.known = np.zeros(0, np.uint64)
+
+    def pack(self, classes: list[int], sets: list[np.ndarray]) -> pa.RecordBatch:
+        rows: list[tuple] = []
+        if sets and sum(map(len, sets)):
+            ids = np.array(classes, np.int64)
+            values = np.concatenate(sets)
+            owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+            order = np.lexsort((ids[owner], values))
+            values, owner = values[order], owner[order]
+            # rows that repeat a class count once
+            again = np.r_[False, (values[1:] == values[:-1]) & (ids[owner[1:]] == ids[owner[:-1]])]
+            values, owner = values[~again], owner[~again]
+            first = np.flatnonzero(np.r_[True, values[1:] != values[:-1]])
+            times = np.diff(np.r_[first, len(values)])
+            distinct = values[first]
+            at = np.minimum(np.searchsorted(self.known, distinct), max(len(self.known) - 1, 0))
+            old = self.known[at] == distinct if len(self.known) else np.zeros(len(distinct), bool)
+            fresh = distinct[(times > 1) & ~old]
+            here = np.repeat((times > 1) | old, times)
+            often = distinct[(times >= _OFTEN) & ~old]
+            if len(often) and len(self.known) + len(often) <= _REMEMBERED:
+                self.known = np.union1d(self.known, often)
+            counts = np.bincount(owner[here], minlength=len(ids))
+            some = counts > 0
+            if some.any():
+                rows.append((-1 - int(ids[0] % self.buckets), ids[some].tobytes(), counts[some].astype(np.uint32).tobytes(), b""))
+            rest, whose = values[~here], owner[~here]
+            homes = [((v >> np.uint64(32)) % np.uint64(self.buckets)).astype(np.int64) for v in (rest, fresh)]
+            order = np.lexsort((whose, homes[0]))
+            rest, whose, home = rest[order].astype(np.uint32), whose[order], homes[0][order]
+            for a, b in _runs(home):
+                first = np.array([x for x, _ in _runs(whose[a:b])])
+                rows.append((int(home[a]), ids[whose[a:b][first]].tobytes(), np.diff(np.r_[first, b - a]).astype(np.uint32).tobytes(), rest[a:b].tobytes()))
+            order = np.argsort(homes[1], kind="stable")
+            for a, b in _runs(homes[1][order]):
+                rows.append((int(homes[1][order[a]]), b"", b"", fresh[order[a:b]].astype(np.uint32).tobytes()))
+        bucket, one, two, three = zip(*rows, strict=True) if rows else ((), (), (), ())
+        return pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), pa.array(one, pa.binary()), pa.array(two, pa.binary()), pa.array(three, pa.binary())], names=["bucket", "classes", "counts", "keys"])
 
 
 def _count_shared(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-    """For each class, how many of its values in this bucket another class has too."""
-    classes = np.concatenate([np.frombuffer(x, np.int64) for x in table["classes"].to_pylist()])
-    counts = np.concatenate([np.frombuffer(x, np.uint32) for x in table["counts"].to_pylist()])
+    """For each class, how many of its values in this bucket another class has too (rows that repeat a class may count twice)."""
+    rows = list(zip(*(table[c].to_pylist() for c in ("classes", "counts", "keys")), strict=True))
+    classes = np.concatenate([np.frombuffer(c, np.int64) for c, _, _ in rows])
+    counts = np.concatenate([np.frombuffer(n, np.uint32) for _, n, _ in rows])
     names, at = np.unique(classes, return_inverse=True)
-    pairs = np.concatenate([np.frombuffer(x, np.uint32) for x in table["keys"].to_pylist()]).astype(np.uint64) << np.uint64(32)
-    pairs |= np.repeat(at, counts).astype(np.uint64)
-    pairs = np.unique(pairs)
-    values = pairs >> np.uint64(32)
-    same = values[1:] == values[:-1]
-    shared = np.r_[False, same] | np.r_[same, False]
-    n = np.bincount((pairs[shared] & np.uint64(0xFFFFFFFF)).astype(np.int64), minlength=len(names))
+    if key[0].as_py() < 0:
+        n = np.bincount(at, weights=counts, minlength=len(names)).astype(np.int64)
+    else:
+        listed = [np.frombuffer(k, np.uint32) for c, _, k in rows if c]
+        many = [np.frombuffer(k, np.uint32) for c, _, k in rows if not c]
+        pairs = (np.concatenate(listed) if listed else np.zeros(0, np.uint32)).astype(np.uint64) << np.uint64(32)
+        pairs = np.unique(pairs | np.repeat(at, counts).astype(np.uint64))
+        values = pairs >> np.uint64(32)
+        same = values[1:] == values[:-1]
+        shared = (np.r_[False, same] | np.r_[same, False])[: len(values)]
+        if many:
+            shared |= np.isin(values, np.unique(np.concatenate(many)).astype(np.uint64))
+        n = np.bincount((pairs[shared] & np.uint64(0xFFFFFFFF)).astype(np.int64), minlength=len(names))
     some = n > 0
     return pa.table({"cls": pa.array(names[some], pa.int64()), "shared": pa.array(n[some], pa.int64())})
 
@@ -143,9 +213,10 @@ def _shared_values(rows: DataFrame, values: int, pack) -> DataFrame:
 
 def _pack_sketches(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packer = _Packer(buckets)
         for batch in batches:
             first = {c: s for c, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)}
-            yield _pack(list(first), [np.array(s, np.int64).astype(np.uint64) for s in first.values()], buckets)
+            yield packer.pack(list(first), [np.array(s, np.int64).astype(np.uint64) for s in first.values()])
 
     return run
 
@@ -153,18 +224,34 @@ def _pack_sketches(buckets: int):
 def _pack_texts(size: int):
     def make(buckets: int):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            packer = _Packer(buckets)
             for batch in batches:
                 classes, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
                 for a, b in _slices(texts):
-                    yield _pack(classes[a:b], shingle_sets([H.utf8(t) for t in texts[a:b]], size), buckets)
+                    yield packer.pack(classes[a:b], shingle_sets([H.utf8(t) for t in texts[a:b]], size))
 
         return run
 
     return make
 
 
-def _compared(pairs: DataFrame, texts: DataFrame, size: int, percent: int, chunks: int) -> DataFrame:
-    """The pairs (a, b) with the exact size of their intersection and whether it makes a link; the set of ``a`` is sent once to each chunk that needs it."""
+def _difference(centre: np.ndarray, other: np.ndarray, percent: int) -> tuple[bool, np.ndarray, int]:
+    """Whether ``other`` is linked with the centre, the elements of their difference to list it under, and how many of them serve for others that are not linked either."""
+    outside, missing = np.setdiff1d(other, centre, assume_unique=True), np.setdiff1d(centre, other, assume_unique=True)
+    size, p, q = len(outside) + len(missing), 100 + percent, 100 - percent
+    linked = p * size <= q * (len(other) + len(centre))
+    # common elements needed with any other class, and with one that is not linked with the centre either
+    with_any = max(1, -((q * len(other) - percent * size) // percent))
+    with_apart = max(with_any, (p * size - q * len(other) + q * len(centre)) // (2 * p) + 1)
+    needed = with_apart if linked else with_any
+    return linked, np.r_[outside, missing][: max(0, size - needed + 1)].view(np.int64), max(0, size - with_apart + 1)
+
+
+def _compared(pairs: DataFrame, texts: DataFrame, size: int, percent: int, chunks: int, split: bool = False) -> DataFrame:
+    """The pairs (a, b) and whether exact Jaccard links them; the set of ``a`` is sent once to each chunk that needs it.
+
+    With ``split`` also the elements of the difference that ``b`` is listed under, ``a`` being the centre, and how many of them serve for pairs of which neither is linked with it.
+    """
 
     def home(c: str):
         return F.pmod(F.xxhash64(c), F.lit(chunks)).cast("int")
@@ -187,16 +274,18 @@ def _compared(pairs: DataFrame, texts: DataFrame, size: int, percent: int, chunk
         sent = {x: np.frombuffer(s, np.uint64) for x, s in zip(a, body, strict=True) if s is not None}
         todo = [(x, y) for x, y in zip(a, b, strict=True) if y is not None]
         own = sets_of(table, {y for _, y in todo})
-        common = [len(np.intersect1d(sent[x], own[y], assume_unique=True)) for x, y in todo]
-        linked = [100 * n >= percent * (len(sent[x]) + len(own[y]) - n) for (x, y), n in zip(todo, common, strict=True)]
-        return pa.table({"a": pa.array([x for x, _ in todo], pa.int64()), "b": pa.array([y for _, y in todo], pa.int64()), "common": pa.array(common, pa.int64()), "linked": pa.array(linked, pa.bool_())})
+        found = [_difference(sent[x], own[y], percent) for x, y in todo]
+        out = {"a": pa.array([x for x, _ in todo], pa.int64()), "b": pa.array([y for _, y in todo], pa.int64()), "linked": pa.array([f[0] for f in found], pa.bool_())}
+        if split:
+            out |= {"elements": pa.array([f[1] for f in found], pa.list_(pa.int64())), "short": pa.array([f[2] for f in found], pa.int32())}
+        return pa.table(out)
 
     message = "chunk int, a long, b long, body binary"
     by_chunk = texts.withColumn("chunk", home("cls")).groupBy("chunk")
     asked = pairs.select("a", home("a").alias("chunk"), home("b").alias("to")).distinct()
     sent = by_chunk.cogroup(asked.groupBy("chunk")).applyInArrow(send, message)
     told = sent.unionByName(pairs.select(home("b").alias("chunk"), "a", "b", F.lit(None).cast("binary").alias("body")))
-    return by_chunk.cogroup(told.groupBy("chunk")).applyInArrow(compare, "a long, b long, common long, linked boolean")
+    return by_chunk.cogroup(told.groupBy("chunk")).applyInArrow(compare, "a long, b long, linked boolean" + ", elements array<long>, short int" * split)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 85) -> DataFrame:
@@ -214,8 +303,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     not looked at.
     """
     checked_name(docs, id_col, text_col)
-    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    known = stored(rows.mapInArrow(_sketches(size), "id long, n long, cls long, sketch array<long>"), "sketches")
+    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    kind = docs.schema[id_col].dataType.simpleString()
+    known = stored(rows.mapInArrow(_sketches(size), f"id {kind}, n long, cls long, sketch array<long>"), "sketches")
     links = _links(rows, known, size, percent)
     classes = known.where("cls is not null and id is not null").groupBy("cls").agg(F.min("id").alias("least"))
     grouped = classes.join(connected_components(links).select(F.col("node").alias("cls"), "root"), "cls", "left")
@@ -230,10 +320,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def _links(rows: DataFrame, known: DataFrame, size: int, percent: int) -> DataFrame:
     listed = known.where("cls is not null and id is not null")
     retained = listed.agg(F.sum(F.size("sketch"))).first()[0] or 0
-    # what another sketch shares at least: in proportion for sets smaller than a sketch
-    enough = F.ceil(F.least("n", F.lit(SKETCH)) * (F.when(F.col("n") <= SKETCH, percent / 100).otherwise(COMMON / SKETCH)) - F.lit(1e-9))
-    # a set that fits in its sketch can meet a larger one, of which up to n / 0.85 - SKETCH values are not retained
-    enough = F.when((F.col("n") <= SKETCH) & (F.col("n") * 100 / percent > SKETCH), F.lit(COMMON)).otherwise(enough)
+    common = least_common(percent)
+    # what another sketch shares at least: a share of sets that fit in a sketch, unless the other may be larger
+    enough = F.ceil(F.col("n") * percent / 100 - F.lit(1e-9))
+    enough = F.when(F.col("n") * 100 <= SKETCH * percent, enough).otherwise(F.least(enough, F.lit(common)))
     possible = _shared_values(listed.select("cls", "sketch"), retained, _pack_sketches)
     heads = listed.groupBy("cls").agg(F.min("id").alias("id"), F.min("n").alias("n"))
     heads = heads.join(possible, "cls").where(F.col("shared") >= enough).select("cls", "id")
@@ -248,41 +338,64 @@ def _links(rows: DataFrame, known: DataFrame, size: int, percent: int) -> DataFr
     left = stored(left.select("cls", "n", "shared"), "bounded")
 
     sketches = texts.select("cls", "sketch").join(left, "cls").dropDuplicates(["cls"])
-    entries = sketches.select("cls", "n", "shared", F.size("sketch").alias("k"), F.explode("sketch").alias("value"))
+    entries = sketches.select("cls", "n", "shared", F.size("sketch").alias("k"), enough.alias("enough"), F.explode("sketch").alias("value"))
     often = entries.groupBy("value").agg(F.count("*").alias("df")).where("df > 1")
     entries = entries.join(often, "value")
     rank = "row_number() over (partition by cls order by df, value)"
     entries = entries.selectExpr("*", f"{rank} as rank", "count(*) over (partition by cls) as c", "sum(df) over (partition by cls) / k as typical")
-    lists = stored(entries.where(F.col("k") - F.col("c") + F.col("rank") <= PREFIX).select("value", "rank", "cls", "n", "shared", "typical"), "lists")
-
-    centres = lists.groupBy("value").agg(F.min(F.struct(-F.col("typical"), "cls", "n", "shared")).alias("m")).select("value", F.col("m.cls").alias("a"), F.col("m.n").alias("na"), F.col("m.shared").alias("sa"))
-    member = lists.select("value", F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("shared").alias("sb"))
-    both = F.least("sa", "sb")
-    bounded = (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent) & (both * 100 >= (F.col("na") + F.col("nb") - both) * percent)
-    with_centre = member.join(centres, "value")
-    star = with_centre.where("a <> b").where(bounded).select("a", "b", "na", "nb").distinct()
-    tried = stored(_compared(stored(_estimated(star, texts, percent), "pairs"), texts.select("cls", "text"), size, percent, chunks), "compared")
-    first = tried.where("linked").select("a", "b")
-
-    # only lists that still hold more than one component are looked at again, and a pair only in the first list that both are in
-    roots = connected_components(first).withColumnRenamed("node", "cls")
-    held = lists.join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    mixed = held.groupBy("value").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("value")
-    main = centres.join(roots, F.col("a") == F.col("cls"), "left").select("value", F.col("a").alias("centre"), F.coalesce("root", "a").alias("main"))
-    order = lists.groupBy("cls").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "value"))), lambda e: e["value"]).alias("order"))
-    held = held.join(mixed, "value").join(main, "value").join(order, "cls")
-    # what a member has in common with the list's centre bounds what it can have in common with another member
-    held = stored(held.join(tried.select(F.col("a").alias("centre"), F.col("b").alias("cls"), "common"), ["centre", "cls"], "left"), "mixed")
-    loose = held.where("root <> main").select("value", F.col("cls").alias("a"), F.col("n").alias("na"), F.col("shared").alias("sa"), F.col("root").alias("ra"), F.col("order").alias("oa"), F.col("common").alias("ca"))
-    other = held.select("value", F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("shared").alias("sb"), F.col("root").alias("rb"), F.col("order").alias("ob"), F.col("common").alias("cb"), "main")
-    once = ((F.col("rb") == F.col("main")) | (F.col("a") < F.col("b"))) & (F.col("ra") != F.col("rb"))
-    most = F.least("ca", "cb") + F.least(F.col("sa") - F.col("ca"), F.col("sb") - F.col("cb"))
-    most = F.when(F.col("ca").isNull() | F.col("cb").isNull(), F.least("sa", "sb")).otherwise(most)
-    bounded &= most * 100 >= (F.col("na") + F.col("nb") - most) * percent
-    rest = loose.join(other, "value").where(once & bounded & (F.get(F.array_intersect("oa", "ob"), F.lit(0)) == F.col("value")))
-    rest = rest.select("a", "b", "na", "nb").join(star.select("a", "b"), ["a", "b"], "left_anti").distinct()
-    second = stored(_compared(stored(_estimated(rest, texts, percent), "pairs"), texts.select("cls", "text"), size, percent, chunks), "compared").where("linked").select("a", "b")
-    return first.unionByName(second)
+    lists = entries.where("c - rank >= enough - 1").select(F.col("value").alias("list"), "cls", "n", "shared", "typical", F.lit(True).alias("apart"))
+    lists = stored(lists, "lists")
+
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        found = _compared(stored(_estimated(pairs, texts, percent, common), "pairs"), texts.select("cls", "text"), size, percent, chunks)
+        return stored(found.where("linked").select("a", "b"), "links")
+
+    most = F.least("sa", "sb")
+    bounded = (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent) & (most * 100 >= (F.col("na") + F.col("nb") - most) * percent)
+    one = [F.col("cls").alias("a"), F.col("n").alias("na"), F.col("shared").alias("sa")]
+    two = [F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("shared").alias("sb")]
+    links, pairs, first = None, None, True
+    while True:
+        # the most typical member is the list's centre, and is in none of its parts
+        centres = lists.groupBy("list").agg(F.min(F.struct(-F.col("typical"), "cls", "n", "shared")).alias("m"))
+        centres = centres.select("list", F.col("m.cls").alias("a"), F.col("m.n").alias("na"), F.col("m.shared").alias("sa"))
+        star = lists.select("list", *two).join(centres, "list").where(F.col("a") != F.col("b")).where(bounded)
+        found = confirmed(star.select("a", "b", "na", "nb").distinct())
+        links = found if links is None else links.unionByName(found)
+        roots = connected_components(links).withColumnRenamed("node", "cls")
+        held = lists.join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+        mixed = held.groupBy("list").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count_if("apart").alias("loose")).where("low <> high").select("list", "loose")
+        held = stored(held.join(mixed, "list"), "mixed")
+        few = held.where(F.col("loose") <= SMALL)
+        met = few.where("apart").select("list", *one, F.col("root").alias("ra")).join(few.select("list", *two, F.col("root").alias("rb"), F.col("apart").alias("loose_b")), "list")
+        met = met.where((F.col("ra") != F.col("rb")) & (~F.col("loose_b") | (F.col("a") < F.col("b"))) & bounded).select("a", "b", "na", "nb")
+        pairs = met if pairs is None else pairs.unionByName(met)
+        if held.where(F.col("loose") > SMALL).isEmpty():
+            break
+        # lists of single values are split together where they have one centre, parts of lists each on its own
+        group = F.col("a") if first else F.col("list")
+        lists, first = stored(_split(held.where(F.col("loose") > SMALL), centres, group, texts, size, percent, chunks), "lists"), False
+    unordered = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(F.col("a") < F.col("b"), F.col("na")).otherwise(F.col("nb")).alias("na"), F.when(F.col("a") < F.col("b"), F.col("nb")).otherwise(F.col("na")).alias("nb"))
+    return links.unionByName(confirmed(unordered.distinct()))
+
+
+def _split(held: DataFrame, centres: DataFrame, group, texts: DataFrame, size: int, percent: int, chunks: int) -> DataFrame:
+    """Parts of lists, by what their members do not share with the list's centre; of parts with the same members one is kept."""
+    members = held.join(centres.select("list", "a"), "list").where(F.col("a") != F.col("cls"))
+    members = members.withColumn("group", group)
+    asked = members.select("a", F.col("cls").alias("b")).distinct()
+    told = stored(_compared(stored(asked, "pairs"), texts.select("cls", "text"), size, percent, chunks, split=True).withColumnRenamed("b", "cls"), "split")
+    told = told.join(members.select("group", "a", "cls").distinct(), ["a", "cls"])
+    told = told.select("group", "a", "cls", (~F.col("linked")).alias("apart"), "short", F.posexplode("elements").alias("place", "element"))
+    told = told.select(F.xxhash64("group", "a", "element").alias("list"), "cls", "apart", (F.col("place") < F.col("short")).alias("short"))
+    # a part is of use where a member that is apart meets one that is not, or another within both their short parts
+    met = told.groupBy("list").agg(F.count("*").alias("all"), F.count_if("apart").alias("loose"), F.count_if(F.col("apart") & F.col("short")).alias("close")).where("loose > 0 and (all > loose or close > 1)")
+    kinds = members.groupBy("cls").agg(*(F.max(c).alias(c) for c in ("n", "shared", "typical", "root")))
+    used = told.join(met, "list").where("short or all > loose").select("list", "cls", "apart").join(kinds, "cls")
+    marks = [F.bit_xor(F.xxhash64("cls", "apart", F.lit(i))).alias(f"mark{i}") for i in (1, 2)]
+    several = used.groupBy("list").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("all"), *marks).where("low <> high")
+    several = several.groupBy("all", "mark1", "mark2").agg(F.min("list").alias("list")).select("list")
+    return used.join(several, "list").select("list", "cls", "n", "shared", "typical", "apart")
 
 
 def _own_text(size: int):
@@ -304,7 +417,7 @@ def _own_text(size: int):
     return run
 
 
-def _estimated(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+def _estimated(pairs: DataFrame, texts: DataFrame, percent: int, least: int) -> DataFrame:
     """The pairs whose union sketch allows a link: exactly where the sketches are the sets, else by the binomial bound."""
     one = texts.select(F.col("cls").alias("a"), F.col("sketch").alias("one")).dropDuplicates(["a"])
     two = texts.select(F.col("cls").alias("b"), F.col("sketch").alias("two")).dropDuplicates(["b"])
@@ -312,7 +425,7 @@ def _estimated(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     joined = joined.withColumn("union", F.array_sort(F.array_union("one", "two")))
     whole = (F.col("na") <= SKETCH) & (F.col("nb") <= SKETCH)
     common = F.size(F.array_intersect("one", "two"))
-    return joined.where(F.when(whole, common * 100 >= F.size("union") * percent).otherwise(_union_overlap() >= COMMON)).select("a", "b")
+    return joined.where(F.when(whole, common * 100 >= F.size("union") * percent).otherwise(_union_overlap() >= least)).select("a", "b")
 
 
 def _union_overlap():
