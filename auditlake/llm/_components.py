@@ -8,23 +8,35 @@ from pyspark.sql import functions as F
 from auditlake.llm._frames import stored
 
 
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+#: Edges of a node from which it is a hub.
+HUB = 1 << 20
+
+
+def _beside(edges: DataFrame, least: DataFrame, hub: int) -> DataFrame:
+    """``edges`` with ``m`` of their node u; those of a hub stay where they lie, the few hubs (at most edges / hub) are broadcast."""
+    hubs = F.broadcast(least.where(F.col("n") >= hub).select("u", "m"))
+    rest = edges.join(hubs.select("u"), "u", "left_anti").join(least.where(F.col("n") < hub).select("u", "m"), "u")
+    return edges.join(hubs, "u").unionByName(rest)
+
+
+def connected_components(edges: DataFrame, a: str = "a", b: str = "b", hub: int = HUB) -> DataFrame:
     """``node, root`` for every node that has an edge; ``root`` is the least node id reachable.
 
-    Steps use joins and partial aggregates only, so a hub with many edges is never gathered
-    in one task; rounds grow with the logarithm of the largest component.  Self-loops,
-    repeated edges and either direction are allowed; an empty input gives an empty result.
+    Steps use joins and partial aggregates only, and edges of a node with ``hub`` edges or more are
+    joined without a shuffle, so that they are never gathered in one task; rounds grow with the
+    logarithm of the largest component.  Self-loops, repeated edges and either direction are allowed;
+    an empty input gives an empty result.
     """
     links = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
     seen = None
     while True:
         # large-star: every neighbour above a node is tied to the least node around it
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("n"))
+        large = _beside(both, least, hub).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         # small-star: the lower neighbours of a node, and itself, are tied to the least of them
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        small = _beside(large, least, hub).select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         links = stored(small, "components")
         now = tuple(links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == seen:

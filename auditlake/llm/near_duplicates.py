@@ -17,15 +17,15 @@ How the work stays linear when a third of the corpus is one group:
   passages are not used where rarer ones decide;
 * each list is compared with one typical member, its centre.  Lists that still hold several
   components are split by what their members do *not* share with the centre (below), and
-  the parts are treated in the same way until nothing is left.  Pairs within a list are only
-  made where at most ``SMALL`` members of it are still apart.
+  the parts are treated in the same way until nothing is left.  Pairs are only made in lists of
+  at most ``SMALL`` members, or where one side of a list has no more: at most ``SMALL`` for each entry.
 
 Splitting a list.  For a centre c let D(x) be the symmetric difference of x and c.  Then
 |x ^ y| = |D(x) ^ D(y)|, and two classes are linked when (100 + p) |x ^ y| <= (100 - p) (|x| + |y|).
 If x is not linked with c, a link between x and y therefore needs a number of common elements
 of D(x) and D(y) that follows from the sizes alone and is at least one.  By the prefix rule it is
-enough to list x under its first |D(x)| - needed + 1 elements, in an order that puts elements
-outside c before those of c.  Copies with different edits then have no list in common.
+enough to list x under the |D(x)| - needed + 1 elements of D(x) that fewest members have.
+Copies with different edits then have hardly a list in common.
 
 Two linked documents of more than ``SKETCH`` shingles share at least ``least_common(percent)``
 retained values but for a chance below 1e-8 (binomial tail; 35 of 64 at 85); for sets that fit in
@@ -36,6 +36,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -47,7 +48,7 @@ from auditlake.llm._components import connected_components
 from auditlake.llm._frames import checked_name, chunk_bytes, stored
 
 SKETCH = 64
-#: A list is compared pair by pair where so many of its members are still apart, or fewer.
+#: A list is compared pair by pair where one of its sides has so many members, or fewer.
 SMALL = 32
 #: A task remembers so many values of many classes, those that OFTEN classes of a slice have.
 _REMEMBERED = 1 << 16
@@ -235,22 +236,22 @@ def _pack_texts(size: int):
     return make
 
 
-def _difference(centre: np.ndarray, other: np.ndarray, percent: int) -> tuple[bool, np.ndarray, int]:
-    """Whether ``other`` is linked with the centre, the elements of their difference to list it under, and how many of them serve for others that are not linked either."""
-    outside, missing = np.setdiff1d(other, centre, assume_unique=True), np.setdiff1d(centre, other, assume_unique=True)
-    size, p, q = len(outside) + len(missing), 100 + percent, 100 - percent
+def _difference(centre: np.ndarray, other: np.ndarray, percent: int) -> tuple[bool, np.ndarray, int, int]:
+    """Whether ``other`` is linked with the centre, their symmetric difference, and under how many of its elements ``other`` is listed: for any pairs, and for pairs with others that are not linked with the centre either."""
+    elements = np.setxor1d(other, centre, assume_unique=True)
+    size, p, q = len(elements), 100 + percent, 100 - percent
     linked = p * size <= q * (len(other) + len(centre))
     # common elements needed with any other class, and with one that is not linked with the centre either
     with_any = max(1, -((q * len(other) - percent * size) // percent))
     with_apart = max(with_any, (p * size - q * len(other) + q * len(centre)) // (2 * p) + 1)
-    needed = with_apart if linked else with_any
-    return linked, np.r_[outside, missing][: max(0, size - needed + 1)].view(np.int64), max(0, size - with_apart + 1)
+    short = max(0, size - with_apart + 1)
+    return linked, elements.view(np.int64), short if linked else max(0, size - with_any + 1), short
 
 
 def _compared(pairs: DataFrame, texts: DataFrame, size: int, percent: int, chunks: int, split: bool = False) -> DataFrame:
     """The pairs (a, b) and whether exact Jaccard links them; the set of ``a`` is sent once to each chunk that needs it.
 
-    With ``split`` also the elements of the difference that ``b`` is listed under, ``a`` being the centre, and how many of them serve for pairs of which neither is linked with it.
+    With ``split`` also their difference and under how many of its elements ``b`` is listed (``_difference``), ``a`` being the centre.
     """
 
     def home(c: str):
@@ -277,7 +278,7 @@ def _compared(pairs: DataFrame, texts: DataFrame, size: int, percent: int, chunk
         found = [_difference(sent[x], own[y], percent) for x, y in todo]
         out = {"a": pa.array([x for x, _ in todo], pa.int64()), "b": pa.array([y for _, y in todo], pa.int64()), "linked": pa.array([f[0] for f in found], pa.bool_())}
         if split:
-            out |= {"elements": pa.array([f[1] for f in found], pa.list_(pa.int64())), "short": pa.array([f[2] for f in found], pa.int32())}
+            out |= {"elements": pa.array([f[1] for f in found], pa.list_(pa.int64())), "places": pa.array([f[2] for f in found], pa.int32()), "short": pa.array([f[3] for f in found], pa.int32())}
         return pa.table(out)
 
     message = "chunk int, a long, b long, body binary"
@@ -285,7 +286,7 @@ def _compared(pairs: DataFrame, texts: DataFrame, size: int, percent: int, chunk
     asked = pairs.select("a", home("a").alias("chunk"), home("b").alias("to")).distinct()
     sent = by_chunk.cogroup(asked.groupBy("chunk")).applyInArrow(send, message)
     told = sent.unionByName(pairs.select(home("b").alias("chunk"), "a", "b", F.lit(None).cast("binary").alias("body")))
-    return by_chunk.cogroup(told.groupBy("chunk")).applyInArrow(compare, "a long, b long, linked boolean" + ", elements array<long>, short int" * split)
+    return by_chunk.cogroup(told.groupBy("chunk")).applyInArrow(compare, "a long, b long, linked boolean" + ", elements array<long>, places int, short int" * split)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 85) -> DataFrame:
@@ -343,7 +344,7 @@ def _links(rows: DataFrame, known: DataFrame, size: int, percent: int) -> DataFr
     entries = entries.join(often, "value")
     rank = "row_number() over (partition by cls order by df, value)"
     entries = entries.selectExpr("*", f"{rank} as rank", "count(*) over (partition by cls) as c", "sum(df) over (partition by cls) / k as typical")
-    lists = entries.where("c - rank >= enough - 1").select(F.col("value").alias("list"), "cls", "n", "shared", "typical", F.lit(True).alias("apart"))
+    lists = entries.where("c - rank >= enough - 1").select(F.col("value").alias("list"), "cls", "n", "shared", "typical")
     lists = stored(lists, "lists")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
@@ -354,9 +355,15 @@ def _links(rows: DataFrame, known: DataFrame, size: int, percent: int) -> DataFr
     bounded = (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent) & (most * 100 >= (F.col("na") + F.col("nb") - most) * percent)
     one = [F.col("cls").alias("a"), F.col("n").alias("na"), F.col("shared").alias("sa")]
     two = [F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("shared").alias("sb")]
-    links, pairs, first = None, None, True
+    def met(left: DataFrame, right: DataFrame, once) -> DataFrame:
+        """Pairs of members of two sides of lists, in different components and within the bounds."""
+        left = left.select("list", *one, F.col("root").alias("ra"))
+        right = right.select("list", *two, F.col("root").alias("rb"))
+        return left.join(right, "list").where((F.col("ra") != F.col("rb")) & once & bounded).select("a", "b", "na", "nb")
+
+    links, pairs = None, []
     while True:
-        # the most typical member is the list's centre, and is in none of its parts
+        # the most typical member is the list's centre; members of later lists come after it in this order, so that rounds end
         centres = lists.groupBy("list").agg(F.min(F.struct(-F.col("typical"), "cls", "n", "shared")).alias("m"))
         centres = centres.select("list", F.col("m.cls").alias("a"), F.col("m.n").alias("na"), F.col("m.shared").alias("sa"))
         star = lists.select("list", *two).join(centres, "list").where(F.col("a") != F.col("b")).where(bounded)
@@ -364,38 +371,50 @@ def _links(rows: DataFrame, known: DataFrame, size: int, percent: int) -> DataFr
         links = found if links is None else links.unionByName(found)
         roots = connected_components(links).withColumnRenamed("node", "cls")
         held = lists.join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-        mixed = held.groupBy("list").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count_if("apart").alias("loose")).where("low <> high").select("list", "loose")
+        mixed = held.groupBy("list").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("size")).where("low <> high").select("list", "size")
         held = stored(held.join(mixed, "list"), "mixed")
-        few = held.where(F.col("loose") <= SMALL)
-        met = few.where("apart").select("list", *one, F.col("root").alias("ra")).join(few.select("list", *two, F.col("root").alias("rb"), F.col("apart").alias("loose_b")), "list")
-        met = met.where((F.col("ra") != F.col("rb")) & (~F.col("loose_b") | (F.col("a") < F.col("b"))) & bounded).select("a", "b", "na", "nb")
-        pairs = met if pairs is None else pairs.unionByName(met)
-        if held.where(F.col("loose") > SMALL).isEmpty():
+        few, many = held.where(F.col("size") <= SMALL), held.where(F.col("size") > SMALL)
+        pairs.append(met(few, few, F.col("a") < F.col("b")))
+        if many.isEmpty():
             break
-        # lists of single values are split together where they have one centre, parts of lists each on its own
-        group = F.col("a") if first else F.col("list")
-        lists, first = stored(_split(held.where(F.col("loose") > SMALL), centres, group, texts, size, percent, chunks), "lists"), False
-    unordered = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(F.col("a") < F.col("b"), F.col("na")).otherwise(F.col("nb")).alias("na"), F.when(F.col("a") < F.col("b"), F.col("nb")).otherwise(F.col("na")).alias("nb"))
-    return links.unionByName(confirmed(unordered.distinct()))
-
-
-def _split(held: DataFrame, centres: DataFrame, group, texts: DataFrame, size: int, percent: int, chunks: int) -> DataFrame:
-    """Parts of lists, by what their members do not share with the list's centre; of parts with the same members one is kept."""
-    members = held.join(centres.select("list", "a"), "list").where(F.col("a") != F.col("cls"))
-    members = members.withColumn("group", group)
-    asked = members.select("a", F.col("cls").alias("b")).distinct()
-    told = stored(_compared(stored(asked, "pairs"), texts.select("cls", "text"), size, percent, chunks, split=True).withColumnRenamed("b", "cls"), "split")
-    told = told.join(members.select("group", "a", "cls").distinct(), ["a", "cls"])
-    told = told.select("group", "a", "cls", (~F.col("linked")).alias("apart"), "short", F.posexplode("elements").alias("place", "element"))
-    told = told.select(F.xxhash64("group", "a", "element").alias("list"), "cls", "apart", (F.col("place") < F.col("short")).alias("short"))
-    # a part is of use where a member that is apart meets one that is not, or another within both their short parts
-    met = told.groupBy("list").agg(F.count("*").alias("all"), F.count_if("apart").alias("loose"), F.count_if(F.col("apart") & F.col("short")).alias("close")).where("loose > 0 and (all > loose or close > 1)")
+        members = many.join(centres.select("list", "a"), "list").where(F.col("a") != F.col("cls"))
+        parts = _split(members, lambda asked: _compared(stored(asked, "pairs"), texts.select("cls", "text"), size, percent, chunks, split=True))
+        linked, apart, close = parts.where("not apart"), parts.where("apart"), parts.where("apart and short")
+        pairs.append(met(apart.where(F.least("loose", "others") <= SMALL), linked.where(F.least("loose", "others") <= SMALL), F.lit(True)))
+        pairs.append(met(close.where(F.col("close") <= SMALL), close.where(F.col("close") <= SMALL), F.col("a") < F.col("b")))
+        lists = parts.where(F.least("loose", "others") > SMALL).unionByName(close.where(F.col("close") > SMALL).withColumn("list", F.xxhash64("list")))
+        lists = stored(_of_use(lists).select("list", "cls", "n", "shared", "typical"), "lists")
+    every = reduce(DataFrame.unionByName, pairs)
+    swapped = F.col("a") > F.col("b")
+    every = every.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(swapped, F.col("nb")).otherwise(F.col("na")).alias("na"), F.when(swapped, F.col("na")).otherwise(F.col("nb")).alias("nb"))
+    return links.unionByName(confirmed(every.distinct()))
+
+
+def _split(members: DataFrame, compared) -> DataFrame:
+    """Parts of lists by what their members (``cls``) do not share with the centre ``a``, lists of a centre together.
+
+    Of each member of a part: whether it is apart from the centre and serves for pairs with others apart (``short``);
+    and how many members of the part are apart (``loose``), linked with the centre (``others``), and both apart and short (``close``).
+    """
+    told = compared(members.select("a", F.col("cls").alias("b")).distinct())
+    told = stored(told.select(F.col("b").alias("cls"), (~F.col("linked")).alias("apart"), "places", "short", "a", F.explode("elements").alias("element")).withColumn("list", F.xxhash64("a", "element")), "split")
+    often = told.groupBy("list").agg(F.count("*").alias("df"), F.count_if("apart").alias("loose")).where("df > 1").select("list", "df", F.col("loose").alias("any"))
+    found = told.join(often, "list").selectExpr("*", "row_number() over (partition by a, cls order by df, element) as rank", "count(*) over (partition by a, cls) as c")
+    # elements that no other member has come first and are not listed
+    alone = told.groupBy("a", "cls").agg(F.count("*").alias("size"))
+    found = found.join(alone, ["a", "cls"]).withColumn("place", F.col("size") - F.col("c") + F.col("rank")).where("place <= places and any > 0")
+    found = found.select("list", "cls", "apart", (F.col("place") <= F.col("short")).alias("short"))
+    sides = found.groupBy("list").agg(F.count_if("apart").alias("loose"), F.count_if(~F.col("apart")).alias("others"), F.count_if(F.col("apart") & F.col("short")).alias("close"))
+    used = found.join(sides.where("loose > 0 and (others > 0 or close > 1)"), "list")
     kinds = members.groupBy("cls").agg(*(F.max(c).alias(c) for c in ("n", "shared", "typical", "root")))
-    used = told.join(met, "list").where("short or all > loose").select("list", "cls", "apart").join(kinds, "cls")
-    marks = [F.bit_xor(F.xxhash64("cls", "apart", F.lit(i))).alias(f"mark{i}") for i in (1, 2)]
-    several = used.groupBy("list").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("all"), *marks).where("low <> high")
-    several = several.groupBy("all", "mark1", "mark2").agg(F.min("list").alias("list")).select("list")
-    return used.join(several, "list").select("list", "cls", "n", "shared", "typical", "apart")
+    return stored(used.join(kinds, "cls"), "parts")
+
+
+def _of_use(lists: DataFrame) -> DataFrame:
+    """Lists of several components; of lists with the same members one is kept."""
+    marks = [F.bit_xor(F.xxhash64("cls", F.lit(i))).alias(f"mark{i}") for i in (1, 2)]
+    several = lists.groupBy("list").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("size"), *marks).where("low <> high")
+    return lists.join(several.groupBy("size", "mark1", "mark2").agg(F.min("list").alias("list")).select("list"), "list")
 
 
 def _own_text(size: int):
