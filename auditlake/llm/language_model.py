@@ -1,23 +1,30 @@
 """Language-model scoring: a hashed maximum-entropy model with a class-factored softmax.
 
-P(word | history) = P(class | history) * P(word | class).  The class of a word follows from
-its first two bytes and its length alone.  The class softmax is log-linear in hashed features
-of the history: the word before, the one before that (a skip feature) and both together.
-Given its class, a word has one indicator feature, whose maximum-entropy solution is its
-relative frequency; with add-one smoothing and one place for all unknown words.
-
-Training is distributed: in each round every task takes gradient steps on its own documents
-from the shared weights, and the weights are averaged by tokens.  Each training document is
-used in exactly one round.  Word counts, over all training documents, come from one packed
-exchange by word hash: documents send their distinct words, the bucket that owns a word
-counts it and answers with each document's sum of log counts.  Nothing is held per word
-outside its bucket, so the counts grow with the corpus; the weights have a fixed size.
+P(word | history) = P(class | history) * P(cell | class, history) * P(word | cell).  There are
+``CLASSES`` classes of as many cells.  The most frequent words of the learned documents have a
+cell each, in the order of their counts; every other word's class follows from its first two
+bytes and its length, its cell from its hash.  Both softmaxes are log-linear in hashed features
+of the history: the word before, the one before that (a skip feature) and both together; for the
+cells, features are those of the class.  Within a cell of several words a word has its smoothed
+relative frequency, with one place for all unknown words.
+
+* Counts cover all learned documents and grow with them.  Documents are dealt into chunks; a chunk
+  sends each of its distinct words once, to the bucket of the word, and the bucket answers with its
+  count.  A word that every document has is one entry a chunk.
+* Training takes ``STEPS`` synchronous steps, each over the documents of its share (by hash of the
+  id): tasks sum observed and expected counts of each feature and cell, sums of blocks of rows are
+  added up, and the step is the gradient over its diagonal curvature.  Expected counts are whole
+  numbers of 2**-16, so that sums do not depend on how rows are split: scores are a property of
+  the documents alone.
+* Rows of the weight tables grow with the root of the corpus, from ``LEAST_ROWS`` up to
+  ``MOST_ROWS``, which bounds what is broadcast (50 MB).
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -25,80 +32,106 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from auditlake.llm import _hashing as H
-from auditlake.llm._frames import checked_name, stored
+from auditlake.llm._frames import checked_name, chunk_bytes, stored
 
 CLASSES = 32
-TABLE = 1 << 12  # rows of each feature's weights
+CELLS = CLASSES * CLASSES
+OWN = 15 * CLASSES  # words with a cell of their own
+LEAST_ROWS, MOST_ROWS = 1 << 11, 1 << 16
 FEATURES = 3
-STEP = 8192  # tokens in one gradient step
+STEPS = 3
+RATE, PRIOR = 0.5, 4.0
+ONE = 1 << 16  # expected counts are whole numbers of 1 / ONE
+_BATCH = 4096
+_BLOCK = 16  # rows of a table that travel together
 _SLICE = 1 << 21
 _WORDS = H.whitespace_words(True)
 _U = np.uint64
-_END = _U(0x5EED0FE4D0F7E840)
+END = _U(0x5EED0FE4D0F7E840) | _U(CELLS - 1)
+
+
+def table_rows(total: int) -> int:
+    """Rows of each weight table for a corpus of ``total`` bytes."""
+    return min(MOST_ROWS, max(LEAST_ROWS, 1 << (math.isqrt(total) // 4).bit_length()))
 
 
 @dataclass
-class Weights:
-    bias: np.ndarray  # CLASSES
-    rows: np.ndarray  # FEATURES, TABLE, CLASSES
-
-    @staticmethod
-    def zero() -> Weights:
-        return Weights(np.zeros(CLASSES, np.float32), np.zeros((FEATURES, TABLE, CLASSES), np.float32))
-
-    def log_softmax(self, context: np.ndarray) -> np.ndarray:
-        z = self.bias + self.rows[0][context[0]]
-        for f in range(1, FEATURES):
-            z += self.rows[f][context[f]]
+class Model:
+    own: np.ndarray  # sorted hashes of the words with a cell of their own
+    own_cell: np.ndarray
+    n: np.ndarray  # learned tokens of each cell
+    v: np.ndarray  # distinct learned words of each cell
+    size: int  # rows of a table
+    tables: np.ndarray = field(default=None)  # 2 levels, FEATURES, size, CLASSES
+    bias: np.ndarray = field(default=None)  # 1 + CLASSES rows: of the classes, and of each class's cells
+
+    def __post_init__(self):
+        if self.tables is None:
+            self.tables = np.zeros((2, FEATURES, self.size, CLASSES), np.float32)
+        n = self.n.reshape(CLASSES, CLASSES).astype(np.float64)
+        both = np.concatenate([n.sum(axis=1)[None, :], n])
+        self.bias = np.log((both + 1) / (both.sum(axis=1, keepdims=True) + CLASSES)).astype(np.float32)
+
+    @property
+    def places(self) -> np.ndarray:
+        """log10 of the places in each cell; 0 where a word has it alone."""
+        out = np.log10(self.n + self.v + 1.0)
+        out[self.own_cell] = 0.0
+        return out
+
+    def cells(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The cell of each token, and whether the token has it alone."""
+        cell = (hashes & _U(CELLS - 1)).astype(np.int64)
+        alone = np.zeros(len(hashes), bool)
+        if len(self.own):
+            at = np.minimum(np.searchsorted(self.own, hashes), len(self.own) - 1)
+            alone = self.own[at] == hashes
+            cell[alone] = self.own_cell[at[alone]]
+        return cell, alone
+
+    def chances(self, level: int, rows: np.ndarray, classes: np.ndarray) -> np.ndarray:
+        """Probabilities of the classes, or of the cells of ``classes``, for each token."""
+        z = self.bias[1 + classes] if level else np.repeat(self.bias[:1], rows.shape[1], axis=0)
+        for f in range(FEATURES):
+            z += self.tables[level, f][rows[f]]
         z -= z.max(axis=1, keepdims=True)
-        z -= np.log(np.exp(z).sum(axis=1, keepdims=True))
+        np.exp(z, out=z)
+        z /= z.sum(axis=1, keepdims=True)
         return z
 
-    def learn(self, context: np.ndarray, target: np.ndarray, seen: np.ndarray, rate: float = 0.12) -> None:
-        """One step on a batch; ``seen`` holds the squared gradients of bias and rows so far."""
-        g = np.exp(self.log_softmax(context))
-        g[np.arange(len(target)), target] -= 1
-        total = g.sum(axis=0)
-        seen[-1, 0] += float((total * total).mean())
-        self.bias -= rate * total / np.sqrt(seen[-1, 0] + 1)
-        for f in range(FEATURES):
-            index = np.flatnonzero(np.bincount(context[f], minlength=TABLE))
-            place = np.empty(TABLE, np.int64)
-            place[index] = np.arange(len(index)) * CLASSES
-            flat = (place[context[f]][:, None] + np.arange(CLASSES)).ravel()
-            sums = np.bincount(flat, weights=g.ravel(), minlength=len(index) * CLASSES).reshape(-1, CLASSES).astype(np.float32)
-            seen[f, index] += (sums * sums).mean(axis=1)
-            self.rows[f][index] -= rate * sums / np.sqrt(seen[f, index] + 1)[:, None]
-
 
-def tokens(texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of all tokens (words, and an end after each text), their classes, and where each text begins.
+def tokens(texts: list) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all tokens (words, and an end after each text) and where each text begins.
 
-    The low bits of a hash are the class, so that whoever has the hash knows the class.
+    The low bits of a hash are the cell that the word shares with others, so that whoever has the hash knows it.
     """
     words, offsets, first, last, heads = H.words([H.utf8(t) for t in texts], _WORDS, True, (2,))
     shape = np.where(heads[:, 0] != 0, heads[:, 0], words) + np.minimum(last - first, 12).astype(_U) // _U(3)
-    classes = (H.mix(shape) % _U(CLASSES - 1)).astype(np.int64) + 1
-    hashes = (words & ~_U(CLASSES - 1)) | classes.astype(_U)
+    classes = H.mix(shape) % _U(CLASSES - OWN // CLASSES) + _U(OWN // CLASSES)
+    cells = classes * _U(CLASSES) + (H.mix(words) & _U(CLASSES - 1))
     ends = offsets[1:] + np.arange(len(texts))
     out = np.empty(len(words) + len(texts), _U)
     is_word = np.ones(len(out), bool)
     is_word[ends] = False
-    out[is_word], out[ends] = hashes, _END & ~_U(CLASSES - 1)
-    return out, (out & _U(CLASSES - 1)).astype(np.int64), offsets + np.arange(len(texts) + 1)
+    out[is_word], out[ends] = (words & ~_U(CELLS - 1)) | cells, END
+    return out, offsets + np.arange(len(texts) + 1)
 
 
-def contexts(hashes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Rows of the weight tables for each token: by the word before, the one before that, and both."""
+def histories(hashes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """The features of each token, as hashes: the word before, the one before that, both."""
     one, two = np.zeros(len(hashes), _U), np.zeros(len(hashes), _U)
     one[1:], two[2:] = hashes[:-1], hashes[:-2]
     begin = offsets[:-1]
-    one[begin] = 0
-    two[begin] = 0
+    one[begin] = two[begin] = 0
     later = begin + 1
     two[later[later < offsets[1:]]] = 0
-    both = H.mix(one * _U(3) + two)
-    return np.stack([(H.mix(x + _U(n)) % _U(TABLE)).astype(np.int64) for n, x in enumerate((one, two, both))])
+    return np.stack([H.mix(one + _U(1)), H.mix(two + _U(2)), H.mix(one * _U(3) + two + _U(3))])
+
+
+def table_places(found: np.ndarray, classes: np.ndarray, size: int) -> np.ndarray:
+    """Rows of the tables for tokens with these features: for classes, and for the cells of each token's class."""
+    cells = H.mix((found + (classes.astype(_U) + _U(1)) * _U(0x9E3779B97F4A7C15)).ravel()).reshape(found.shape)
+    return np.stack([found & _U(size - 1), cells & _U(size - 1)]).astype(np.int64)
 
 
 def _slices(batch: pa.RecordBatch, text_at: int) -> Iterator[tuple[int, int, list]]:
@@ -111,139 +144,174 @@ def _slices(batch: pa.RecordBatch, text_at: int) -> Iterator[tuple[int, int, lis
             start, held = i + 1, 0
 
 
-def train_weights(docs: DataFrame, rounds: int = 2) -> Weights:
-    """``docs``: id and text of the training documents.  One averaged round for each share of the documents."""
-    spark = docs.sparkSession
-    weights = Weights.zero()
-    for r in range(rounds):
-        shared = spark.sparkContext.broadcast(weights)
-
-        def steps(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            start = shared.value
-            own = Weights(start.bias.copy(), start.rows.copy())
-            seen = np.zeros((FEATURES + 1, TABLE), np.float32)
-            used = 0
-            touched = np.zeros((FEATURES, TABLE), np.float32)
-            for batch in batches:
-                for _, _, texts in _slices(batch, 1):
-                    hashes, classes, offsets = tokens(texts)
-                    context = contexts(hashes, offsets)
-                    for at in range(0, len(hashes), STEP):
-                        own.learn(context[:, at : at + STEP], classes[at : at + STEP], seen)
-                    for f in range(FEATURES):
-                        touched[f] += np.bincount(context[f], minlength=TABLE)
-                    used += len(hashes)
-            if used:
-                # a row counts by the tokens that used it
+class Sums:
+    """Observed and expected counts of every feature and class or cell over some documents, in whole numbers."""
+
+    def __init__(self, model: Model):
+        self.model = model
+        self.observed = np.zeros((2, FEATURES, model.size, CLASSES), np.int64)
+        self.expected = np.zeros((2, FEATURES, model.size, CLASSES), np.int64)
+
+    def add(self, texts: list) -> None:
+        model = self.model
+        hashes, offsets = tokens(texts)
+        cells, _ = model.cells(hashes)
+        found = histories(hashes, offsets)
+        for at in range(0, len(hashes), _BATCH):
+            part = cells[at : at + _BATCH]
+            classes = part // CLASSES
+            rows = table_places(found[:, at : at + _BATCH], classes, model.size)
+            for level, target in ((0, classes), (1, part % CLASSES)):
+                chance = np.rint(model.chances(level, rows[level], classes) * ONE).astype(np.int32)
                 for f in range(FEATURES):
-                    body = ((own.rows[f] - start.rows[f]) * touched[f][:, None]).astype(np.float32)
-                    yield pa.RecordBatch.from_arrays([pa.array([f], pa.int32()), pa.array([touched[f].tobytes()], pa.binary()), pa.array([body.tobytes()], pa.binary())], names=["part", "n", "body"])
-                body = ((own.bias - start.bias) * used).astype(np.float32)
-                yield pa.RecordBatch.from_arrays([pa.array([FEATURES], pa.int32()), pa.array([np.array([used], np.float32).tobytes()], pa.binary()), pa.array([body.tobytes()], pa.binary())], names=["part", "n", "body"])
+                    row = rows[level, f]
+                    order = np.argsort(row, kind="stable")
+                    first = np.flatnonzero(np.r_[True, np.diff(row[order]) != 0])
+                    self.expected[level, f, row[order][first]] += np.add.reduceat(chance[order], first, axis=0)
+                    np.add.at(self.observed[level, f].reshape(-1), row * CLASSES + target, 1)
+
+    def blocks(self) -> Iterator[tuple[int, bytes]]:
+        """Blocks of rows that some token used."""
+        observed, expected = (x.reshape(-1, _BLOCK * CLASSES) for x in (self.observed, self.expected))
+        for block in np.flatnonzero(observed.any(axis=1)).tolist():
+            yield block, observed[block].tobytes() + expected[block].tobytes()
+
 
-        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            held: dict[int, list] = {}
+def step(observed: np.ndarray, expected: np.ndarray) -> np.ndarray:
+    """What a step adds to weights: the gradient of the log likelihood over its diagonal curvature."""
+    expected = expected / ONE
+    return (RATE * (observed - expected) / ((observed + expected) / 2 + PRIOR)).astype(np.float32)
+
+
+_PACKED = "block int, body binary"
+
+
+def _batch(rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["block", "body"])
+
+
+def train(docs: DataFrame, model: Model, steps: int = STEPS) -> Model:
+    """``docs``: id and text of the documents to learn from.  The model is changed in place and returned."""
+    context = docs.sparkSession.sparkContext
+    for s in range(steps):
+        shared = context.broadcast(model)
+
+        def sums(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            held = Sums(shared.value)
+            for batch in batches:
+                for _, _, texts in _slices(batch, 0):
+                    held.add(texts)
+            rows: list[tuple[int, bytes]] = []
+            for row in held.blocks():
+                rows.append(row)
+                if len(rows) == 1024:
+                    yield _batch(rows)
+                    rows = []
+            yield _batch(rows)
+
+        def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held: dict[int, np.ndarray] = {}
             for batch in batches:
-                for part, n, body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                    n, body = np.frombuffer(n, np.float32), np.frombuffer(body, np.float32)
-                    held[part] = [held[part][0] + n, held[part][1] + body] if part in held else [n, body]
-            if held:
-                yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([n.tobytes() for n, _ in held.values()], pa.binary()), pa.array([b.tobytes() for _, b in held.values()], pa.binary())], names=["part", "n", "body"])
-
-        share = docs.where(F.pmod(F.xxhash64("id"), F.lit(rounds)) == r) if rounds > 1 else docs
-        schema = "part int, n binary, body binary"
-        # a tree of sums: never more than FANIN tables in one task, whatever the number of tasks
-        sums, width = share.select("id", "text").mapInArrow(steps, schema), share.rdd.getNumPartitions()
-        while width > 32:
-            width = -(-width // 32)
-            sums = sums.repartition(width).mapInArrow(add, schema)
-        total: dict[int, list] = {}
-        for row in sums.repartition(1).mapInArrow(add, schema).collect():
-            n, body = np.frombuffer(row.n, np.float32), np.frombuffer(row.body, np.float32)
-            total[row.part] = [n, body]
-        for part, (n, body) in total.items():
-            if part == FEATURES:
-                weights.bias = weights.bias + body / np.maximum(n, 1)
-            else:
-                weights.rows[part] += body.reshape(TABLE, CLASSES) / np.maximum(n, 1)[:, None]
+                for block, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    counts = np.frombuffer(body, np.int64)
+                    held[block] = held[block] + counts if block in held else counts
+            yield _batch([(block, step(*np.split(counts, 2)).tobytes()) for block, counts in held.items()])
+
+        share = docs.where(F.pmod(F.xxhash64("id"), F.lit(steps)) == s) if steps > 1 else docs
+        flat = model.tables.reshape(-1, _BLOCK * CLASSES)
+        # a block's sums all go to one partition and are added as they come
+        for row in share.select("text").mapInArrow(sums, _PACKED).repartition("block").mapInArrow(added, _PACKED).toLocalIterator():
+            flat[row.block] += np.frombuffer(row.body, np.float32)
         shared.unpersist()
-    return weights
-
-
-_PACKED = "bucket int, keys binary, learned binary, sizes binary, words binary, times binary"
-
-
-def _send(buckets: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys, learned = batch.column(0).to_numpy(zero_copy_only=False), batch.column(2).to_numpy(zero_copy_only=False).astype(bool)
-            for a, b, texts in _slices(batch, 1):
-                hashes, _, offsets = tokens(texts)
-                docs, words, times = [], [], []
-                for d, (x, y) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
-                    w, t = np.unique(hashes[x:y], return_counts=True)
-                    if t.max() > 65535:
-                        parts = -(-t // 65535)
-                        w, t = np.repeat(w, parts), np.concatenate([[65535] * (p - 1) + [n - 65535 * (p - 1)] for p, n in zip(parts.tolist(), t.tolist(), strict=True)])
-                    docs.append(np.full(len(w), d))
-                    words.append(w)
-                    times.append(t)
-                doc, word, time = np.concatenate(docs), np.concatenate(words), np.concatenate(times).astype(np.uint16)
-                home = ((word >> _U(8)) % _U(buckets)).astype(np.int64)
-                order = np.argsort(home, kind="stable")
-                doc, word, time, home = doc[order], word[order], time[order], home[order]
-                cut = np.flatnonzero(np.diff(home)) + 1
-                rows = []
-                for x, y in zip(np.r_[0, cut].tolist(), np.r_[cut, len(home)].tolist(), strict=True):
-                    first = np.flatnonzero(np.r_[True, doc[x + 1 : y] != doc[x : y - 1]])
-                    which = doc[x:y][first] + a
-                    rows.append((int(home[x]), keys[which].astype(np.int64).tobytes(), learned[which].tobytes(), np.diff(np.r_[first, y - x]).astype(np.uint32).tobytes(), word[x:y].tobytes(), time[x:y].tobytes()))
-                kinds = (pa.int32(), *[pa.binary()] * 5)
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["bucket", "keys", "learned", "sizes", "words", "times"])
-
-    return run
-
-
-_COUNTED = "home int, keys binary, a binary, b binary"
-
-
-def _count(homes: int):
-    """For each home of documents: their sums of log10(c + 1) and numbers of known tokens; in home -1: tokens and distinct words of each class."""
-
-    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        def joined(name: str, kind) -> np.ndarray:
-            return np.concatenate([np.frombuffer(x, kind) for x in table[name].to_pylist()])
-
-        keys, sizes, learned = joined("keys", np.int64), joined("sizes", np.uint32), joined("learned", bool)
-        names, at = np.unique(joined("words", _U), return_inverse=True)
-        times = joined("times", np.uint16).astype(np.float64)
-        count = np.bincount(at, weights=times * np.repeat(learned, sizes), minlength=len(names))
-        owner = np.repeat(np.arange(len(keys)), sizes)
-        logs = np.bincount(owner, weights=times * np.log10(count + 1)[at], minlength=len(keys))
-        known = np.bincount(owner, weights=times * (count > 0)[at], minlength=len(keys))
-        classes = (names & _U(CLASSES - 1)).astype(np.int64)
-        n, v = np.bincount(classes, weights=count, minlength=CLASSES), np.bincount(classes, weights=count > 0, minlength=CLASSES)
-        home = keys % homes
-        order = np.argsort(home, kind="stable")
-        home, keys, logs, known = home[order], keys[order], logs[order], known[order]
-        cut = np.flatnonzero(np.diff(home)) + 1
-        rows = [(-1, np.arange(CLASSES).tobytes(), n.tobytes(), v.tobytes())]
-        for x, y in zip(np.r_[0, cut].tolist(), np.r_[cut, len(home)].tolist(), strict=True):
-            rows.append((int(home[x]), keys[x:y].tobytes(), logs[x:y].tobytes(), known[x:y].tobytes()))
-        kinds = (pa.int32(), pa.binary(), pa.binary(), pa.binary())
-        return pa.table({c: pa.array(v, k) for c, v, k in zip(("home", "keys", "a", "b"), zip(*rows, strict=True), kinds, strict=True)})
-
-    return run
-
-
-def _sum(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-    keys, a, b = (np.concatenate([np.frombuffer(x, k) for x in table[c].to_pylist()]) for c, k in (("keys", np.int64), ("a", np.float64), ("b", np.float64)))
-    names, at = np.unique(keys, return_inverse=True)
-    kind = np.full(len(names), int(key[0].as_py() < 0), np.int32)
-    return pa.table({"kind": kind, "key": names, "a": np.bincount(at, weights=a), "b": np.bincount(at, weights=b)})
-
-
-def score(docs: DataFrame, learned, id_col: str = "doc_id", text_col: str = "text", rounds: int = 2) -> DataFrame:
+    return model
+
+
+_MESSAGE = "bucket int, chunk int, words binary, times binary"
+_ANSWER = "chunk int, bucket int, counts binary, n array<long>, v array<long>, word array<long>, times array<long>"
+
+
+def _distinct(texts: list, learned: np.ndarray | None, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[tuple[int, int, int]]]:
+    """Distinct words of a chunk in order of their buckets, their learned counts, the index of sorted words among them, and the runs of buckets."""
+    words: list[np.ndarray] = []
+    times: list[np.ndarray] = []
+    for a in range(0, len(texts), 1024):
+        hashes, offsets = tokens(texts[a : a + 1024])
+        use = np.repeat(learned[a : a + 1024], np.diff(offsets)) if learned is not None else None
+        w, at = np.unique(hashes, return_inverse=True)
+        words.append(w)
+        times.append(np.bincount(at, weights=use, minlength=len(w)) if use is not None else np.zeros(len(w)))
+    every, at = np.unique(np.concatenate(words), return_inverse=True)
+    counts = np.bincount(at, weights=np.concatenate(times), minlength=len(every)).astype(np.int64)
+    home = ((every >> _U(24)) % _U(buckets)).astype(np.int64)
+    order = np.argsort(home, kind="stable")
+    cut = np.flatnonzero(np.diff(home[order])) + 1
+    runs = [(int(home[order[a]]), a, b) for a, b in zip(np.r_[0, cut].tolist(), np.r_[cut, len(order)].tolist(), strict=True)]
+    return every, counts, order, runs
+
+
+def _packed(counts: np.ndarray) -> bytes:
+    return counts.astype(np.uint32 if not len(counts) or counts.max() < 1 << 32 else np.uint64).tobytes()
+
+
+def _unpacked(body: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(body, np.uint32 if len(body) == 4 * n else np.uint64).astype(np.int64)
+
+
+def _counted(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+    """Answers to each chunk: the learned counts of the words it sent; and for chunk -1 totals of cells and the bucket's most frequent words."""
+    chunks = table["chunk"].to_pylist()
+    words = [np.frombuffer(w, _U) for w in table["words"].to_pylist()]
+    times = [_unpacked(t, len(w)) for t, w in zip(table["times"].to_pylist(), words, strict=True)]
+    names, at = np.unique(np.concatenate(words), return_inverse=True)
+    count = np.bincount(at, weights=np.concatenate(times), minlength=len(names)).astype(np.int64)
+    cuts = np.cumsum([len(w) for w in words])[:-1]
+    cell = (names & _U(CELLS - 1)).astype(np.int64)
+    n, v = (np.bincount(cell, weights=x, minlength=CELLS).astype(np.int64) for x in (count, count > 0))
+    top = np.lexsort((names, -count))[:OWN]
+    top = top[count[top] > 0]
+    bucket = key[0].as_py()
+    rows = [(c, bucket, _packed(count[part]), None, None, None, None) for c, part in zip(chunks, np.split(at, cuts), strict=True)]
+    rows.append((-1, bucket, None, n, v, names[top].view(np.int64), count[top]))
+    kinds = (pa.int32(), pa.int32(), pa.binary(), *[pa.list_(pa.int64())] * 4)
+    names_ = ("chunk", "bucket", "counts", "n", "v", "word", "times")
+    return pa.table({c: pa.array(x, k) for c, x, k in zip(names_, zip(*rows, strict=True), kinds, strict=True)})
+
+
+def counted_model(answers: DataFrame, size: int) -> Model:
+    """The model before training, from at most CELLS totals and OWN words."""
+    totals = answers.where("chunk < 0")
+    n, v = np.zeros(CELLS, np.int64), np.zeros(CELLS, np.int64)
+    for row in totals.select(F.posexplode(F.arrays_zip("n", "v"))).groupBy("pos").agg(F.sum("col.n").alias("n"), F.sum("col.v").alias("v")).collect():
+        n[row.pos], v[row.pos] = row.n, row.v
+    most = totals.select(F.explode(F.arrays_zip("word", "times"))).select("col.*").orderBy(F.desc("times"), "word").limit(OWN).collect()
+    own = np.array([r.word for r in most], np.int64).view(_U)
+    for i, (word, times) in enumerate(zip(own, (r.times for r in most), strict=True)):
+        shared = int(word & _U(CELLS - 1))
+        n[shared], v[shared] = n[shared] - times, v[shared] - 1
+        n[i], v[i] = times, 1
+    order = np.argsort(own)
+    return Model(own[order], order.astype(np.int64), n, v, size)
+
+
+def score_texts(model: Model, texts: list, counts_of) -> tuple[np.ndarray, ...]:
+    """For each text: tokens, known tokens, sum of log10(count + 1), log10 probability; ``counts_of`` gives learned counts of hashes."""
+    hashes, offsets = tokens(texts)
+    count = counts_of(hashes)
+    logs = np.log10(count + 1.0)
+    cells, alone = model.cells(hashes)
+    found = histories(hashes, offsets)
+    each = np.where(alone, 0.0, logs) - model.places[cells]
+    for at in range(0, len(hashes), _BATCH):
+        part = cells[at : at + _BATCH]
+        classes, index = part // CLASSES, np.arange(len(part))
+        rows = table_places(found[:, at : at + _BATCH], classes, model.size)
+        chance = model.chances(0, rows[0], classes)[index, classes].astype(np.float64) * model.chances(1, rows[1], classes)[index, part % CLASSES]
+        each[at : at + _BATCH] += np.log10(np.maximum(chance, 1e-60))
+    begin = offsets[:-1]
+    return np.diff(offsets), np.add.reduceat((count > 0).astype(np.int64), begin), np.add.reduceat(logs, begin), np.add.reduceat(each, begin)
+
+
+def score(docs: DataFrame, learned, id_col: str = "doc_id", text_col: str = "text", steps: int = STEPS) -> DataFrame:
     """Score every document; ``learned`` is a boolean column over ``docs``, true for those to learn from.
 
     Returns the id column, ``n_tokens`` (words and one end), ``n_known`` (tokens that occur in the
@@ -252,43 +320,43 @@ def score(docs: DataFrame, learned, id_col: str = "doc_id", text_col: str = "tex
 
     Defined cases: a null text is an empty one, that is an end alone; a null ``learned`` is false; with
     nothing learned all words are unknown; rows that repeat an id are scored by their own texts; repeated
-    rows count, and get the same result; an empty table gives an empty one; other columns are not looked at.
+    rows count, and get the same result; texts of any length are scored whole, in batches of tokens; an
+    empty table gives an empty one; other columns are not looked at.
     """
     checked_name(docs, id_col, text_col)
     spark = docs.sparkSession
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"), F.coalesce(learned, F.lit(False)).alias("learned"))
-    rows = rows.select("id", "text", "learned", F.xxhash64("id", "text").alias("key"))
-    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    sent = rows.select("key", "text", "learned").mapInArrow(_send(size // (16 << 20) + 1), _PACKED)
-    counted = sent.groupBy("bucket").applyInArrow(_count(size // (16 << 20) + 1), _COUNTED)
-    counted = stored(counted.groupBy("home").applyInArrow(_sum, "kind int, key long, a double, b double"), "counts")
-    held = {r.key: (r.a, r.b) for r in counted.where("kind = 1").collect()}
-    n = np.array([held.get(k, (0.0, 0.0))[0] for k in range(CLASSES)])
-    v = np.array([held.get(k, (0.0, 0.0))[1] for k in range(CLASSES)])
-    weights = train_weights(rows.where("learned").select("id", "text"), rounds)
-    shared = spark.sparkContext.broadcast((weights, np.log10(n + v + 1)))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights, places = shared.value
-        for batch in batches:
-            for a, b, texts in _slices(batch, 2):
-                hashes, classes, offsets = tokens(texts)
-                context = contexts(hashes, offsets)
-                each = np.empty(len(hashes))
-                for at in range(0, len(hashes), STEP):
-                    part = classes[at : at + STEP]
-                    each[at : at + STEP] = weights.log_softmax(context[:, at : at + STEP])[np.arange(len(part)), part]
-                each = each / np.log(10) - places[classes]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(np.diff(offsets)), pa.array(np.add.reduceat(each, offsets[:-1]))], names=["key", "id", "n_tokens", "path"]
-                )
+    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    size = chunk_bytes(total)
+    chunks, buckets = total // size + 1, total // (4 * size) + 1
+    by_chunk = rows.withColumn("chunk", F.pmod(F.xxhash64("id", "text"), F.lit(chunks)).cast("int")).groupBy("chunk")
+
+    def send(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        words, times, order, runs = _distinct(table["text"].to_pylist(), table["learned"].to_numpy().astype(float), buckets)
+        out = [(bucket, key[0].as_py(), words[order[a:b]].tobytes(), _packed(times[order[a:b]])) for bucket, a, b in runs]
+        kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary())
+        return pa.table({c: pa.array(x, k) for c, x, k in zip(("bucket", "chunk", "words", "times"), zip(*out, strict=True), kinds, strict=True)})
+
+    answers = stored(by_chunk.applyInArrow(send, _MESSAGE).groupBy("bucket").applyInArrow(_counted, _ANSWER), "counts")
+    model = counted_model(answers, table_rows(total))
+    n, v = int(model.n.sum()), int(model.v.sum())
+    shared = spark.sparkContext.broadcast(train(rows.where("learned and id is not null").select("id", "text"), model, steps))
+
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table, told: pa.Table) -> pa.Table:
+        texts = table["text"].to_pylist()
+        words, _, order, runs = _distinct(texts, None, buckets)
+        payload = dict(zip(told["bucket"].to_pylist(), told["counts"].to_pylist(), strict=True))
+        count = np.zeros(len(words), np.int64)
+        for bucket, a, b in runs:
+            count[order[a:b]] = _unpacked(payload[bucket], b - a)
+        parts = []
+        for _, _, some in _slices(table.select(["text"]).combine_chunks().to_batches()[0], 0):
+            parts.append(score_texts(shared.value, some, lambda h: count[np.searchsorted(words, h)]))
+        columns = [np.concatenate(c) for c in zip(*parts, strict=True)]
+        return pa.table([table["id"], *(pa.array(c) for c in columns)], names=["id", "n_tokens", "n_known", "logs", "score"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    scored = rows.select("key", "id", "text").mapInArrow(run, f"key long, id {kind}, n_tokens long, path double")
-    # rows repeating id and text share a key; each gets its part of what was counted for all of them
-    times = rows.groupBy("key").agg(F.count("*").alias("rows"))
-    sums = counted.where("kind = 0").join(times, "key").select("key", (F.col("a") / F.col("rows")).alias("logs"), (F.col("b") / F.col("rows")).cast("long").alias("known"))
-    base = F.col("logs") - F.col("n_tokens") * F.log10(F.lit(float(n.sum() + v.sum() + 1)))
-    return scored.join(sums, "key").select(
-        F.col("id").alias(id_col), "n_tokens", F.col("known").alias("n_known"), F.lit(int(n.sum())).cast("long").alias("train_tokens"), base.alias("base_score"), (F.col("path") + F.col("logs")).alias("score")
-    )
+    told = answers.where("chunk >= 0").select("chunk", "bucket", "counts").groupBy("chunk")
+    scored = by_chunk.cogroup(told).applyInArrow(run, f"id {kind}, n_tokens long, n_known long, logs double, score double")
+    base = F.col("logs") - F.col("n_tokens") * F.lit(math.log10(n + v + 1))
+    return scored.select(F.col("id").alias(id_col), "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
