@@ -10,17 +10,24 @@ the other begins, if the model allows the pair.  The best path is the tokenisati
 A state at a boundary is the piece that reaches it or straddles it.  A chunk is a matrix of best
 scores from the states at its begin to those at its end; matrices combine associatively.  Where
 a chunk holds a place that every path must cut (a space mark after another character), the matrix
-is an outer sum, and what lies between the first and the last such place does not depend on the
-states at all.
+is an outer sum: what lies between two such places (a word, with the marks before it) has a single
+state at either end, a 1 x 1 matrix and one best path, which is found once for each distinct word.
+
+The public library reads the model file; it neither encodes nor decodes here.
 """
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 
 MARK = "▁"
 NEVER = -np.inf
 State = tuple[int, int]  # begin and end, counted from the boundary
+_WORD = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
+_HELD = 1 << 19  # distinct words, or pairs of pieces, that a worker remembers
+_LONG = 64  # longer words are not remembered
 
 
 class Pieces:
@@ -44,6 +51,17 @@ class Pieces:
         self.bpe = all(v == int(v) for v in values[:1000])
         self._single: dict[str, bool] = {}
         self._pairs: dict[tuple[str, str], bool] = {}
+        self._words: dict[str, list[int]] = {}
+        self.least = min(self.scores.values()) - 10
+        # what each id decodes to; bytes are put together
+        self.shown = [self._text(i) for i in range(n)]
+        self.byte_of = {i: b for b, i in enumerate(self.bytes)} if self.fallback else {}
+        probe = " Ａﬁ①  é e\u0301\t\n ½ "
+        if lib.decode(lib.encode(probe)) != probe or lib.encode("a", out_type=str)[0][0] != MARK:
+            raise ValueError("the model changes texts before it splits them, or puts no mark in front; only models that do neither are supported")
+
+    def _text(self, i: int) -> str:
+        return "" if self.lib.is_control(i) else " \u2047 " if self.lib.is_unknown(i) else self.lib.id_to_piece(i).replace(MARK, " ")
 
     def merged(self, text: str) -> list[str]:
         parts = list(text)
@@ -68,13 +86,13 @@ class Pieces:
         if not self.bpe or (one[-1] != MARK and two[0] == MARK):
             return True
         if (one, two) not in self._pairs:
-            if len(self._pairs) > 500_000:
+            if len(self._pairs) > _HELD:
                 self._pairs.clear()
             self._pairs[one, two] = self.merged(one + two) == [one, two]
         return self._pairs[one, two]
 
     def weight(self, piece: str) -> float:
-        return 0.0 if self.bpe else self.scores.get(piece, min(self.scores.values()) - 10)
+        return 0.0 if self.bpe else self.scores.get(piece, self.least)
 
     def starting(self, text: str, at: int) -> list[int]:
         """Ends of the pieces that begin at ``at``; a character that no piece is stands alone."""
@@ -86,9 +104,85 @@ class Pieces:
             return [self.ids[piece]]
         return [self.bytes[b] for b in piece.encode("utf-8", "surrogatepass")] if self.fallback else [self.unknown]
 
+    def best(self, word: str) -> list[int]:
+        """Ids of the best path over what lies between two forced cuts."""
+        # {piece end: {piece begin: (score, begin of the piece before)}}
+        ending: list[dict[int, tuple[float, int]]] = [{} for _ in range(len(word) + 1)]
+        for i in range(len(word)):
+            before = ending[i]
+            if i and not before:
+                continue
+            for j in self.starting(word, i):
+                piece = word[i:j]
+                if not i:
+                    ending[j][0] = self.weight(piece), -1
+                    continue
+                found = [(score, a) for a, (score, _) in before.items() if self.allowed(word[a:i], piece)]
+                if found:
+                    score, a = max(found)
+                    ending[j][i] = score + self.weight(piece), a
+        out, end = [], len(word)
+        begin = max(ending[end], key=lambda a: ending[end][a][0])
+        while begin >= 0:
+            out.append(word[begin:end])
+            begin, end = ending[end][begin][1], begin
+        return [n for piece in reversed(out) for n in self.numbers(piece)]
+
+    def words(self, body: str) -> list[int]:
+        """Ids of a marked text, or of a part that begins and ends at forced cuts."""
+        out: list[int] = []
+        known = self._words
+        for word in _WORD.findall(body):
+            ids = known.get(word)
+            if ids is None:
+                ids = self.best(word)
+                if len(word) <= _LONG:
+                    if len(known) >= _HELD:
+                        known.clear()
+                    known[word] = ids
+            out += ids
+        return out
+
     def encode(self, text: str) -> list[int]:
-        """A whole text, or a part that begins and ends at forced cuts, without its leading mark."""
-        return self.lib.encode(text)
+        return self.words(marked(text))
+
+    def decode(self, ids: list[int]) -> str:
+        """The text of pieces, without the mark in front; bytes that are no UTF-8 are shown as U+FFFD each."""
+        if not self.byte_of.keys().isdisjoint(ids):
+            parts: list[str] = []
+            held = bytearray()
+            for i in ids:
+                if i in self.byte_of:
+                    held.append(self.byte_of[i])
+                    continue
+                if held:
+                    parts.append(_shown(held))
+                    held = bytearray()
+                parts.append(self.shown[i])
+            if held:
+                parts.append(_shown(held))
+            out = "".join(parts)
+        else:
+            out = "".join([self.shown[i] for i in ids])
+        first = next((i for i in ids if not self.lib.is_control(i)), None)
+        return out[1:] if first is not None and first not in self.byte_of and not self.lib.is_unknown(first) and out[:1] == " " else out
+
+
+def _shown(data: bytearray) -> str:
+    """Bytes as UTF-8; each byte of what is none as U+FFFD."""
+    out, at = [], 0
+    while at < len(data):
+        for size in (1, 2, 3, 4):
+            try:
+                out.append(bytes(data[at : at + size]).decode("utf-8"))
+                at += size
+                break
+            except UnicodeDecodeError:
+                continue
+        else:
+            out.append("\ufffd")
+            at += 1
+    return "".join(out)
 
 
 def marked(text: str) -> str:
@@ -183,7 +277,7 @@ class Chunk:
         if self.one is None:
             return [n for p in self._walk(self.begin, self.end, self.entry, entry, goal) for n in self.pieces.numbers(p)]
         head = [n for p in self._walk(self.begin, self.one, self.entry, entry, None) for n in self.pieces.numbers(p)]
-        middle = self.pieces.encode(self.text[self.one + 1 : self.two].replace(MARK, " ")) if self.two > self.one else []
+        middle = self.pieces.words(self.text[self.one : self.two])
         tail = [n for p in self._walk(self.two, self.end, [(0, 0)], 0, goal) for n in self.pieces.numbers(p)]
         return head + middle + tail
 

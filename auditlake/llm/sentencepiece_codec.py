@@ -1,10 +1,11 @@
 """SentencePiece encoding and decoding, with a max-plus parallel scan for giant documents.
 
-Documents of up to ``chunk_chars`` characters are one chunk and are encoded where they lie.
-Longer ones are split into chunks that are dealt out over the cluster; each chunk yields its
-boundary-state transfer matrix, the small matrices of a document are combined, and every chunk
-is traced back on its own between the states chosen for it.  The result equals the public
-library's, byte for byte.
+A document of up to ``chunk_chars`` characters is a single chunk, without boundary states, and is
+traced where it lies.  Longer ones are split into chunks that are dealt out over the cluster; each
+chunk yields its boundary-state transfer matrix, the small matrices of a document are combined, and
+every chunk is traced back on its own between the states chosen for it.  All ids come from these
+paths; the result equals the public library's, byte for byte, for models that leave texts as they
+are (others are refused).
 
 The model file is read on the driver and broadcast (a vocabulary, so of bounded size).
 """
@@ -55,7 +56,7 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
     """Per row: the id column, ``n_ids``, ``ids`` (array of piece ids) and ``round_trip`` (decoding gives the text back).
 
     Defined cases: a null text has null ``ids``, 0 ``n_ids`` and a true ``round_trip``; an empty text has
-    an empty array; a text that holds the model's own space mark (U+2581) comes back with a space there,
+    an empty array; a text of any length is encoded whole; a text that holds the model's own space mark (U+2581) comes back with a space there,
     and ``round_trip`` says so; lone surrogates cannot reach Spark strings; rows that repeat an id are
     encoded by their own texts and repeated rows get the same result; an empty table gives an empty one;
     other columns are not looked at.
@@ -67,15 +68,13 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
     giant = F.coalesce(F.length("text") > chunk_chars, F.lit(False))
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lib = _pieces(shared).lib
+        pieces = _pieces(shared)
         for batch in batches:
             every = batch.column(1).to_pylist()
             for a, b in _slices(every):
                 texts = every[a:b]
-                found = lib.encode([t or "" for t in texts], num_threads=1)
-                back = lib.decode(found, num_threads=1) if found else []
-                same = [t is None or t == d for t, d in zip(texts, back, strict=True)]
-                ids = [None if t is None else i for t, i in zip(texts, found, strict=True)]
+                ids = [None if t is None else pieces.encode(t) for t in texts]
+                same = [t is None or t == pieces.decode(i) for t, i in zip(texts, ids, strict=True)]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(a, b - a), pa.array([len(i or ()) for i in ids], pa.int64()), pa.array(ids, pa.list_(pa.int32())), pa.array(same, pa.bool_())], names=["id", "n_ids", "ids", "round_trip"]
                 )
@@ -130,9 +129,8 @@ def _scan(large: DataFrame, shared, chunk_chars: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(ns, pa.int32()), pa.array(ids, pa.list_(pa.int32()))], names=["key", "n", "ids"])
 
     def join_up(key: tuple[pa.Scalar, ...], parts: pa.Table, text: pa.Table) -> pa.Table:
-        lib = _pieces(shared).lib
         ids = [i for _, part in sorted(zip(parts["n"].to_pylist(), parts["ids"].to_pylist(), strict=True)) for i in part]
-        same = lib.decode(ids) == text["text"][0].as_py()
+        same = _pieces(shared).decode(ids) == text["text"][0].as_py()
         return pa.table({"key": pa.array([key[0].as_py()], pa.int64()), "n_ids": pa.array([len(ids)], pa.int64()), "ids": pa.array([ids], pa.list_(pa.int32())), "round_trip": pa.array([same])})
 
     once = large.dropDuplicates(["key"])
@@ -153,9 +151,9 @@ def decode(encoded: DataFrame, model_path: str, ids_col: str = "ids", out_col: s
     at = names.index(ids_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lib = _pieces(shared).lib
+        pieces = _pieces(shared)
         for batch in batches:
-            texts = [None if i is None else lib.decode(i) for i in batch.column(at).to_pylist()]
+            texts = [None if i is None else pieces.decode(i) for i in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, "decoded"])
 
     schema = T.StructType([*source.schema.fields, T.StructField("decoded", T.StringType())])
