@@ -3,9 +3,10 @@
 A passage is a repeat when ``min_words`` consecutive words (a window) also start in a
 document with a smaller id.  Winnowing picks, for every window, the smallest hash among
 its ``anchor_words``-grams as its anchor: two equal windows always pick equal anchors, so
-joining documents on anchors loses no repeat.  Where an anchor is shared, the match is
-extended to the left and to the right as far as whole windows agree, and neighbouring
-windows melt into maximal repeats.
+joining documents on anchors loses no repeat.  From a shared anchor the match is extended
+window by window: all windows to its left and right that hold it are looked up, each against
+every document at once and not against one partner, because neighbouring windows may have
+different sources.  Runs of windows found are the maximal repeats.
 
 No pair of documents is ever made.  Documents are dealt into chunks (``chunk_bytes``); a
 chunk is read three times through one shuffle of the text:
@@ -16,8 +17,9 @@ chunk is read three times through one shuffle of the text:
    id that it has for them; the bucket answers whether a smaller id exists elsewhere;
 3. each chunk cuts the covered words.
 
-A hot passage is one entry per chunk, whatever the number of its copies.  Buckets and
-chunks grow in number, not in size, with the corpus.  Window hashes have 64 bits.
+A hot passage is one entry per chunk, whatever the number of its copies.  Chunks and buckets
+both grow with the root of the corpus.  Windows are equal where 96 bits are: two hashes of the
+words made with different bases.
 """
 
 from __future__ import annotations
@@ -34,6 +36,7 @@ from auditlake.llm import _hashing as H
 from auditlake.llm._frames import checked_name, chunk_bytes
 
 _LAST = np.iinfo(np.int64).max
+_OTHER = np.uint64(0xC2B2AE3D27D4EB4F)
 _MESSAGE = "bucket int, chunk int, kind int, keys binary, docs binary, refs binary"
 _ANSWER = "chunk int, bucket int, kind int, payload binary"
 _RESULTS = ("n_words", "n_removed", "kept_text", "kept_sha256", "repeats")
@@ -56,6 +59,7 @@ class _Chunk:
         if last <= 0:
             self.starts = np.zeros(0, np.int64)
             self.anchors = self.windows = np.zeros(0, np.uint64)
+            self.checks = np.zeros(0, np.uint32)
             return
         self.starts = np.flatnonzero(self.doc[:last] == self.doc[min_words - 1 :])
         grams = H.ngrams(self.words, anchor_words)
@@ -64,6 +68,7 @@ class _Chunk:
             np.minimum(least, grams[shift : shift + last], out=least)
         self.anchors = least[self.starts]
         self.windows = H.ngrams(self.words, min_words)[self.starts]
+        self.checks = (H.ngrams(H.mix(self.words ^ _OTHER), min_words)[self.starts] >> np.uint64(32)).astype(np.uint32)
 
     def seeds(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Distinct anchors as (bucket << 32 | low bits), ascending; which anchor each window has; which lie in two documents."""
@@ -76,12 +81,23 @@ class _Chunk:
         return distinct, at, low < high
 
     def candidates(self, mask: np.ndarray, at: np.ndarray):
-        """Windows around shared anchors: positions, distinct hashes, index into them, smallest id of each."""
+        """Windows around shared anchors: positions, distinct hashes and checks, index into them, smallest id of each."""
         where = np.flatnonzero(mask[at]) if len(at) else np.zeros(0, np.int64)
-        distinct, index = np.unique(self.windows[where], return_inverse=True)
-        least = np.full(len(distinct), _LAST, np.int64)
+        windows, checks = self.windows[where], self.checks[where]
+        first, index = _distinct(windows, checks)
+        least = np.full(len(first), _LAST, np.int64)
         np.minimum.at(least, index, self.ids[self.doc[self.starts[where]]])
-        return where, distinct, index, least
+        return where, windows[first], checks[first], index, least
+
+
+def _distinct(windows: np.ndarray, checks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For the distinct pairs of a hash and a check, where each is first, and for all pairs which of them they are."""
+    order = np.lexsort((checks, windows))
+    new = np.ones(len(order), bool)
+    new[1:] = (np.diff(windows[order]) != 0) | (np.diff(checks[order]) != 0)
+    index = np.empty(len(order), np.int64)
+    index[order] = np.cumsum(new) - 1
+    return order[new], index
 
 
 def _bits(flags: np.ndarray) -> bytes:
@@ -119,9 +135,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Defined cases: a null text has no words and stays null; texts of fewer than
     ``min_words`` words lose nothing; a null id counts as larger than all others and never
     as smaller than itself; rows with equal ids are judged one by one against smaller ids
-    only (repeated rows give repeated results); an empty table gives an empty one.
+    only (repeated rows give repeated results); a text of any length is judged whole, in one
+    task; ids must be whole numbers, others are refused; an empty table gives an empty one.
     """
     checked_name(docs, id_col, text_col)
+    if docs.schema[id_col].dataType.typeName() not in ("byte", "short", "integer", "long"):
+        raise TypeError("ids must be whole numbers: their order decides which passage stays")
     if not 1 <= anchor_words <= min_words:
         raise ValueError("anchor_words must lie between 1 and min_words")
     total = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
@@ -163,15 +182,15 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         chunk, me = opened(table), key[0].as_py()
         answers = dict(zip(told["bucket"].to_pylist(), told["payload"].to_pylist(), strict=True))
         mask, at = anchor_mask(chunk, answers)
-        _, windows, _, least = chunk.candidates(mask, at)
+        _, windows, checks, _, least = chunk.candidates(mask, at)
         # what is known of the anchors comes back with the answer on the windows
         rows = [(b, me, 1, p, None, None) for b, p in answers.items()]
         home = (windows % np.uint64(buckets)).astype(np.int64)
         order = np.argsort(home, kind="stable")
-        windows, least, home = windows[order], least[order], home[order]
+        windows, checks, least, home = windows[order], checks[order], least[order], home[order]
         for bucket, a, b in _parts(home):
             docs_here, refs = np.unique(least[a:b], return_inverse=True)
-            rows.append((bucket, me, 2, windows[a:b].tobytes(), docs_here.tobytes(), refs.astype(np.uint32 if len(docs_here) > 65535 else np.uint16).tobytes()))
+            rows.append((bucket, me, 2, windows[a:b].tobytes() + checks[a:b].tobytes(), docs_here.tobytes(), refs.astype(np.uint32 if len(docs_here) > 65535 else np.uint16).tobytes()))
         return _table(rows, _MESSAGE)
 
     def judge_windows(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
@@ -181,11 +200,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 rows.append((chunk, key[0].as_py(), 1, keys))
                 continue
             ids = np.frombuffer(ids, np.int64)
-            asked.append((chunk, np.frombuffer(keys, np.uint64), ids[np.frombuffer(refs, np.uint32 if len(ids) > 65535 else np.uint16)]))
+            n = len(keys) // 12
+            asked.append((chunk, np.frombuffer(keys, np.uint64, n), np.frombuffer(keys, np.uint32, n, 8 * n), ids[np.frombuffer(refs, np.uint32 if len(ids) > 65535 else np.uint16)]))
         if asked:
-            windows, ids = np.concatenate([a[1] for a in asked]), np.concatenate([a[2] for a in asked])
-            distinct, at = np.unique(windows, return_inverse=True)
-            least = np.full(len(distinct), _LAST, np.int64)
+            windows, checks, ids = (np.concatenate([a[k] for a in asked]) for k in (1, 2, 3))
+            first, at = _distinct(windows, checks)
+            least = np.full(len(first), _LAST, np.int64)
             np.minimum.at(least, at, ids)
             smaller = least[at] < ids
             cuts = np.cumsum([len(a[1]) for a in asked])[:-1]
@@ -210,7 +230,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         for bucket, kind, payload in zip(told["bucket"].to_pylist(), told["kind"].to_pylist(), told["payload"].to_pylist(), strict=True):
             (anchors if kind == 1 else judged)[bucket] = payload
         mask, at = anchor_mask(chunk, anchors)
-        where, windows, index, least = chunk.candidates(mask, at)
+        where, windows, _, index, least = chunk.candidates(mask, at)
         home = (windows % np.uint64(buckets)).astype(np.int64)
         order = np.argsort(home, kind="stable")
         smaller = np.zeros(len(windows), bool)

@@ -36,6 +36,29 @@ def cut_up(pieces, text, size):
     return [n for c, (e, x) in zip(chunks, max_plus.choose(matrices), strict=True) for n in c.trace(e, x)]
 
 
+def merges(pieces, text):
+    """Encoding by definition: of all neighbours that make a piece, the best and leftmost merge first."""
+    parts = list(max_plus.marked(text))
+    while True:
+        ranked = [(-pieces.scores[a + b], i) for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False)) if a + b in pieces.scores]
+        if not ranked:
+            return [n for p in parts for n in pieces.numbers(p)]
+        i = min(ranked)[1]
+        parts[i : i + 2] = [parts[i] + parts[i + 1]]
+
+
+@pytest.mark.parametrize("text", ["", "a", "hello world, it is", "  two  spaces ", "internationalization of things", "日本語 text", "x" * 70])
+def test_encoding_by_definition(pieces, text):
+    assert pieces.encode(text) == merges(pieces, text) == (cut_up(pieces, text, 40) if text else [])
+
+
+def test_own_decoding_equals_the_library(pieces):
+    rng = np.random.RandomState(7)
+    for _ in range(400):
+        ids = [int(i) for i in np.where(rng.rand(8) < 0.5, rng.randint(0, 300, 8), rng.randint(0, 32000, 8))]
+        assert pieces.decode(ids) == pieces.lib.decode(ids)
+
+
 @pytest.mark.parametrize("size", [40, 64, 257])
 @pytest.mark.parametrize("text", ["", " ", "a", "x" * 300, "   " * 60 + "a", "日本語のテキスト" * 20, "a\n\nb \t" * 40, "𝔘𝔙 " * 30, "ab▁▁c " * 30, "http://foo.bar/baz?q=1&r=2" * 10, "internationalization of things, " * 12, "ἡ" * 80])
 def test_scan_equals_the_library(pieces, text, size):
@@ -161,12 +184,82 @@ def test_language_model_scores(spark, edges, nothing):
     assert language_model.score(edges, F.lit(False)).agg(F.max("n_known")).first()[0] == 0
 
 
-def test_class_softmax_sums_to_one():
-    weights = language_model.Weights.zero()
-    rng = np.random.RandomState(0)
-    weights.rows[:] = rng.randn(*weights.rows.shape)
-    context = rng.randint(0, language_model.TABLE, (language_model.FEATURES, 50))
-    assert np.allclose(np.exp(weights.log_softmax(context)).sum(axis=1), 1, atol=1e-4)
+def test_scores_are_a_property_of_the_documents(spark, edges):
+    """However the rows are split, scores are the same to the last bit."""
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text")
+    learned = F.col("doc_id") % 5 != 2
+    one, two = ({r.doc_id: tuple(r) for r in language_model.score(d, learned).collect()} for d in (docs.coalesce(1), docs.repartition(7)))
+    assert one == two and len(one) == docs.count()
+
+
+def brute_model(texts, size, steps_of):
+    """The model of a few texts with dictionaries: log10 probability of any text, word by word."""
+    L = language_model
+
+    def split(text):
+        hashes, _ = L.tokens([text])
+        return [int(h) for h in hashes]
+
+    counts = Counter(h for t in texts for h in split(t))
+    own = {h: i for i, h in enumerate(sorted(counts, key=lambda h: (-counts[h], np.uint64(h).astype(np.int64)))[: L.OWN])}
+    cell = lambda h: own.get(h, h % L.CELLS)
+    n, v = Counter(), Counter()
+    for h, c in counts.items():
+        n[cell(h)] += c
+        v[cell(h)] += 1
+    weights = {}
+
+    def softmax(level, c1, rows):
+        group = range(L.CLASSES)
+        sizes = [n[c1 * L.CLASSES + k] if level else sum(n[k * L.CLASSES + j] for j in group) for k in group]
+        z = [math.log((m + 1) / (sum(sizes) + L.CLASSES)) + sum(weights.get((level, f, r, k), 0.0) for f, r in enumerate(rows)) for k, m in enumerate(sizes)]
+        e = [math.exp(x - max(z)) for x in z]
+        return [x / sum(e) for x in e]
+
+    def each(text):
+        past = [0, 0]
+        for h in split(text):
+            c1, c2 = divmod(cell(h), L.CLASSES)
+            mixed = [int(L.H.mix(np.array([x % 2**64], np.uint64))[0]) for x in (past[1] + 1, past[0] + 2, past[1] * 3 + past[0] + 3)]
+            deep = [int(L.H.mix(np.array([(x + (c1 + 1) * 0x9E3779B97F4A7C15) % 2**64], np.uint64))[0]) for x in mixed]
+            yield h, c1, c2, [x % size for x in mixed], [x % size for x in deep]
+            past = [past[1], h]
+
+    for part in steps_of:
+        seen, hoped = Counter(), Counter()
+        for t in part:
+            for _, c1, c2, one, two in each(t):
+                for level, target, rows in ((0, c1, one), (1, c2, two)):
+                    for k, p in enumerate(softmax(level, c1, rows)):
+                        for f, r in enumerate(rows):
+                            hoped[level, f, r, k] += p
+                            seen[level, f, r, k] += k == target
+        for key, e in hoped.items():
+            weights[key] = weights.get(key, 0.0) + L.RATE * (seen[key] - e) / ((seen[key] + e) / 2 + L.PRIOR)
+
+    def score(text):
+        total = 0.0
+        for h, c1, c2, one, two in each(text):
+            k = cell(h)
+            inside = 1.0 if h in own else (counts[h] + 1) / (n[k] + v[k] + 1)
+            total += math.log10(softmax(0, c1, one)[c1] * softmax(1, c1, two)[c2] * inside)
+        return total
+
+    return score
+
+
+def test_language_model_against_brute_force(spark):
+    rng = np.random.RandomState(4)
+    texts = [" ".join(f"w{rng.zipf(1.15) % 5000}" for _ in range(rng.randint(1, 60))) for _ in range(60)]
+    assert len({w for t in texts for w in t.split()}) > language_model.OWN + 100
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    share = {r.doc_id: r.s for r in rows.select("doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(language_model.STEPS)).alias("s")).collect()}
+    learned = [i for i in range(60) if i % 4]
+    score = brute_model([texts[i] for i in learned], language_model.LEAST_ROWS, [[texts[i] for i in learned if share[i] == s] for s in range(language_model.STEPS)])
+    got = {r.doc_id: r for r in language_model.score(rows, F.col("doc_id") % 4 != 0).collect()}
+    for i, t in enumerate(texts):
+        assert math.isclose(got[i].score, score(t), rel_tol=1e-3), i
+    assert sum(r.score for r in got.values()) > sum(r.base_score for r in got.values())
 
 
 def test_components(spark):
@@ -183,9 +276,9 @@ def test_components(spark):
     for a, b in edges:
         a, b = find(a), find(b)
         root[max(a, b)] = min(a, b)
-    got = {r.node: r.root for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    got, hubs = ({r.node: r.root for r in connected_components(spark.createDataFrame(edges, "a long, b long"), hub=h).collect()} for h in (1 << 20, 3))
     linked = {x for a, b in edges if a != b for x in (a, b)}
-    assert got == {x: find(x) for x in linked}
+    assert got == hubs == {x: find(x) for x in linked}
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
