@@ -18,9 +18,9 @@ def queue_algebra(t: Tables):
     return R.queue_algebra(t.labels.where("toxic = 1"), t.labels.where("quality = 0"), t.labels.where("doc_id % 3 = 0"), "doc_id")
 
 
-_REVIEW_SQL = """i AS (SELECT doc_id, sha256(text) AS digest FROM documents WHERE doc_id % 2 = 0),
+_REVIEW_SQL = """i AS (SELECT doc_id, sha256(text) AS digest FROM documents),
 v AS (SELECT l.doc_id + CASE WHEN l.doc_id % 40 = 0 THEN 1000000 ELSE 0 END AS doc_id, CASE WHEN l.doc_id % 14 = 0 THEN 'stale' ELSE sha256(d.text) END AS digest, CASE WHEN quality = 1 THEN true WHEN toxic = 1 THEN false END AS passed
-  FROM labels l JOIN documents d USING (doc_id) WHERE l.doc_id % 2 = 0 UNION ALL SELECT doc_id, sha256(text), true FROM documents WHERE doc_id % 26 = 0),
+  FROM labels l JOIN documents d USING (doc_id) UNION ALL SELECT doc_id, sha256(text), true FROM documents WHERE doc_id % 26 = 0),
 c AS (SELECT doc_id, count(*) AS n, min(digest) AS lo, max(digest) AS hi, bool_and(coalesce(passed, false)) AS passed FROM v GROUP BY doc_id),
 b AS (SELECT coalesce(i.doc_id, c.doc_id) AS doc_id, i.doc_id IS NOT NULL AS there, i.digest, n, lo, hi, passed FROM i FULL JOIN c USING (doc_id)),
 e AS (SELECT doc_id, 'duplicate' AS rule FROM b WHERE n > 1 UNION ALL SELECT doc_id, 'missing' FROM b WHERE n IS NULL UNION ALL SELECT doc_id, 'extra' FROM b WHERE NOT there
@@ -144,7 +144,7 @@ def structure_defects(t: Tables):
     return R.structure_defects(counted(t.documents), counted(t.documents.where("doc_id % 7 <> 0")), "k", ["docs", "langs", "chars"], exact=True)
 
 
-@query("SELECT DISTINCT l_partkey AS ordinal FROM lineitem WHERE l_partkey % 2 = 0 AND l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size > 10)")
+@query("SELECT DISTINCT l_partkey AS ordinal FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size > 10)")
 def requested_not_available(t: Tables):
     return R.not_available(t.lineitem.select(F.col("l_partkey").alias("ordinal")), t.part.where("p_size > 10").select(F.col("p_partkey").alias("ordinal")), "ordinal")
 

@@ -30,7 +30,7 @@ def internal_audit_errors(t: Tables):
     return checks.internal_audit(header, exports)
 
 
-@query("""WITH t AS (SELECT l_orderkey AS map_id, l_linenumber AS s, [l_linenumber, l_linenumber + 1] AS f FROM lineitem WHERE l_linenumber % 2 = 1 AND l_orderkey % 5 = 0),
+@query("""WITH t AS (SELECT l_orderkey AS map_id, l_linenumber AS s, [l_linenumber, l_linenumber + 1] AS f FROM lineitem WHERE l_linenumber % 2 = 1),
 e AS (SELECT map_id, unnest(f) AS o FROM t), c AS (SELECT map_id, count(*) AS n, count(DISTINCT o) AS k, min(o) AS lo, max(o) AS hi FROM e GROUP BY 1), g AS (SELECT map_id, count(*) AS n, count(DISTINCT s) AS k FROM t GROUP BY 1),
 b AS (SELECT map_id, c.n AS cn, c.k AS ck, lo, hi, g.n AS gn, g.k AS gk FROM c JOIN g USING (map_id))
 SELECT map_id, 'several_owners' AS rule FROM b WHERE cn <> ck OR gn <> gk UNION ALL SELECT map_id, 'final_coverage' FROM b WHERE NOT (ck = 6 AND lo = 1 AND hi = 6)""")
@@ -42,7 +42,7 @@ def formula_map_errors(t: Tables):
     return checks.formula_map(header, targets).where("rule in ('several_owners', 'final_coverage')").drop("priority")
 
 
-@query("""WITH a AS (SELECT doc_id AS ordinal, sha256(text) AS h, n_chars FROM documents WHERE doc_id < 500), b AS (SELECT doc_id AS ordinal, CASE WHEN doc_id % 17 = 0 THEN 'stale' ELSE sha256(text) END AS h, n_chars, CASE WHEN doc_id % 5 = 0 THEN 'maybe' ELSE 'approved' END AS decision FROM documents WHERE doc_id BETWEEN 20 AND 519),
+@query("""WITH a AS (SELECT doc_id AS ordinal, sha256(text) AS h FROM documents), b AS (SELECT CASE WHEN doc_id % 23 = 0 THEN -1 - doc_id ELSE doc_id END AS ordinal, CASE WHEN doc_id % 17 = 0 THEN 'stale' ELSE sha256(text) END AS h, CASE WHEN doc_id % 5 = 0 THEN 'maybe' ELSE 'approved' END AS decision FROM documents),
 j AS (SELECT coalesce(a.ordinal, b.ordinal) AS ordinal, a.ordinal IS NOT NULL AS w, b.ordinal IS NOT NULL AS g, a.h IS NOT DISTINCT FROM b.h AS same, decision FROM a FULL JOIN b USING (ordinal))
 SELECT ordinal, 'missing' AS rule FROM j WHERE NOT g UNION ALL SELECT ordinal, 'extra' FROM j WHERE NOT w UNION ALL SELECT ordinal, 'identity' FROM j WHERE NOT (w AND g AND same) UNION ALL SELECT ordinal, 'decision' FROM j WHERE coalesce(decision, '') NOT IN ('approved', 'rebuild') UNION ALL SELECT ordinal, 'evidence' FROM j WHERE NOT g""")
 def class_e_review_errors(t: Tables):
@@ -108,7 +108,7 @@ def body_eligibility(t: Tables):
     return edits.eligible_body(tokens, ["user_id"]).select("user_id", "event_id", "eligible")
 
 
-@query("""WITH s AS (SELECT l_orderkey AS doc_id, l_linenumber AS section, l_returnflag AS borders, l_tax > 0.075 AS m FROM lineitem WHERE l_orderkey % 3 = 0), w AS (SELECT l_orderkey AS doc_id, l_linenumber AS section, CASE WHEN l_quantity > 40 THEN 'none' ELSE l_returnflag END AS borders FROM lineitem WHERE l_orderkey % 3 = 0 AND l_discount < 0.09),
+@query("""WITH s AS (SELECT l_orderkey AS doc_id, l_linenumber AS section, l_returnflag AS borders, l_tax > 0.075 AS m FROM lineitem), w AS (SELECT l_orderkey AS doc_id, l_linenumber AS section, CASE WHEN l_quantity > 40 THEN 'none' ELSE l_returnflag END AS borders FROM lineitem WHERE l_discount < 0.09),
 r AS (SELECT a.doc_id FROM (SELECT doc_id, count(*) AS a, bool_or(m) AS m FROM s GROUP BY 1) a LEFT JOIN (SELECT doc_id, count(*) AS b FROM w GROUP BY 1) b USING (doc_id) WHERE m OR a IS DISTINCT FROM b)
 SELECT s.doc_id, s.section, w.borders AS old, s.borders AS new FROM s JOIN w USING (doc_id, section) ANTI JOIN r ON r.doc_id = s.doc_id WHERE s.borders IS DISTINCT FROM w.borders""")
 def page_style_edits(t: Tables):

@@ -89,7 +89,7 @@ def center_drift(t: Tables):
     return t.orders.join(final, "o_orderkey").select("o_orderkey", G.centre_drift(F.col("o_totalprice"), F.col("x"), alignment, 3000.0).alias("drifts"))
 
 
-@query("SELECT l_orderkey, l_linenumber, l_returnflag AS before, l_linestatus AS after FROM lineitem WHERE l_returnflag IS NOT NULL AND l_linestatus IS NOT NULL AND l_returnflag <> l_linestatus AND l_linenumber = 1")
+@query("SELECT l_orderkey, l_linenumber, l_returnflag AS before, l_linestatus AS after FROM lineitem WHERE l_returnflag IS NOT NULL AND l_linestatus IS NOT NULL AND l_returnflag <> l_linestatus")
 def alignment_breaks(t: Tables):
     return t.lineitem.where("l_returnflag <> l_linestatus").select("l_orderkey", "l_linenumber", F.col("l_returnflag").alias("before"), F.col("l_linestatus").alias("after"))
 

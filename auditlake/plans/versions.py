@@ -110,7 +110,7 @@ def coverage_two_way(t: Tables):
     return compare.two_way_coverage(expected, found, ["doc", "ordinal"])
 
 
-@query("""WITH e AS (SELECT l_suppkey AS target, unnest([l_orderkey, l_orderkey + l_linenumber]) AS ordinal FROM lineitem WHERE l_partkey % 20 = 0)
+@query("""WITH e AS (SELECT l_suppkey AS target, unnest([l_orderkey, l_orderkey + l_linenumber]) AS ordinal FROM lineitem)
 SELECT ordinal, count(*) AS owners, count(DISTINCT target) AS targets FROM e GROUP BY ordinal HAVING count(*) > 1""")
 def single_owner_violations(t: Tables):
     rows = t.lineitem.select(F.col("l_suppkey").alias("target"), F.array(F.col("l_orderkey"), F.col("l_orderkey") + F.col("l_linenumber")).alias("ordinals"))
