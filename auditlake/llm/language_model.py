@@ -267,7 +267,7 @@ def _counted(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     cuts = np.cumsum([len(w) for w in words])[:-1]
     cell = (names & _U(CELLS - 1)).astype(np.int64)
     n, v = (np.bincount(cell, weights=x, minlength=CELLS).astype(np.int64) for x in (count, count > 0))
-    top = np.lexsort((names, -count))[:OWN]
+    top = np.lexsort((names.view(np.int64), -count))[:OWN]
     top = top[count[top] > 0]
     bucket = key[0].as_py()
     rows = [(c, bucket, _packed(count[part]), None, None, None, None) for c, part in zip(chunks, np.split(at, cuts), strict=True)]

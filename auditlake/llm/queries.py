@@ -164,18 +164,23 @@ def _op8_level(name: str, parent: str, key: str) -> str:
 {name}_r AS (SELECT {name}.*, ({name}.x + m * p.mean) / ({name}.n + m) AS mean, {name}.n + m AS weight FROM {name} JOIN {parent} p USING ({key}) CROSS JOIN {name}_m)"""
 
 
+_OP8_DOMAIN, _OP8_TLD = "'.' || array_to_string(string_split(host, '.')[-2:], '.')", "string_split(host, '.')[-1]"
+
 OP8_SQL = (
-    r"""
+    rf"""
 WITH u AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
       regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 2) AS path FROM pages),
-host AS (SELECT host, '.' || array_to_string(string_split(host, '.')[-2:], '.') AS domain, string_split(host, '.')[-1] AS tld, CAST(count(*) AS DOUBLE) AS n,
+host AS (SELECT host, {_OP8_DOMAIN} AS domain, {_OP8_TLD} AS tld, CAST(count(*) AS DOUBLE) AS n,
          CAST(sum(CASE WHEN toxic = 1 OR quality = 0 THEN 1 ELSE 0 END) AS DOUBLE) AS x
          FROM u JOIN labels ON labels.doc_id = u.page_id WHERE host <> '' GROUP BY host),
 domain AS (SELECT domain, tld, sum(n) AS n, sum(x) AS x FROM host GROUP BY ALL),
 tld AS (SELECT tld, 1 AS top, sum(n) AS n, sum(x) AS x FROM domain GROUP BY tld),
-world AS (SELECT 1 AS top, (sum(x) + 1) / (sum(n) + 2) AS mean FROM tld),"""
+world AS (SELECT 1 AS top, (coalesce(sum(x), 0) + 1) / (coalesce(sum(n), 0) + 2) AS mean FROM tld),"""
     + ",".join((_op8_level("tld", "world", "top"), _op8_level("domain", "tld_r", "tld"), _op8_level("host", "domain_r", "domain")))
-    + r"""
+    + rf""",
+known AS (SELECT h.host, coalesce(r.mean, d.mean, t.mean, w.mean) AS mean, coalesce(r.weight, m.m) AS weight
+          FROM (SELECT DISTINCT host, {_OP8_DOMAIN} AS domain, {_OP8_TLD} AS tld FROM u WHERE host <> '') h
+          LEFT JOIN host_r r ON r.host = h.host LEFT JOIN domain_r d ON d.domain = h.domain LEFT JOIN tld_r t ON t.tld = h.tld CROSS JOIN world w CROSS JOIN host_m m)
 SELECT page_id, u.host, path, CASE
          WHEN ('.' || u.host) LIKE '%.example.net' AND starts_with(path, '/de/8') THEN 'example.net/de/8'
          WHEN ('.' || u.host) LIKE '%.example.com' AND starts_with(path, '/en/7') THEN 'example.com/en/7'
@@ -184,7 +189,7 @@ SELECT page_id, u.host, path, CASE
          WHEN ('.' || u.host) LIKE '%.org' AND starts_with(path, '/es/') THEN 'org/es/' END AS rule,
        CASE WHEN rule = 'example.com/en/7' THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
             WHEN mean - 1.6448536269514722 * sqrt(mean * (1 - mean) / (weight + 1)) > 0.2 THEN 'block' ELSE 'allow' END AS verdict
-FROM u LEFT JOIN host_r USING (host)
+FROM u LEFT JOIN known USING (host)
 """
 )
 
