@@ -18,7 +18,8 @@ How the work stays linear when a third of the corpus is one group:
 * each list is compared with one typical member, its centre.  Lists that still hold several
   components are split by what their members do *not* share with the centre (below), and
   the parts are treated in the same way until nothing is left.  Pairs are only made in lists of
-  at most ``SMALL`` members, or where one side of a list has no more: at most ``SMALL`` for each entry.
+  at most ``SMALL`` members, or where one side of a list has no more: at most ``SMALL`` for each entry;
+  or where those of all lists are fewer than the classes.
 
 Splitting a list.  For a centre c let D(x) be the symmetric difference of x and c.  Then
 |x ^ y| = |D(x) ^ D(y)|, and two classes are linked when (100 + p) |x ^ y| <= (100 - p) (|x| + |y|).
@@ -332,7 +333,7 @@ def _links(rows: DataFrame, known: DataFrame, size: int, percent: int) -> DataFr
     # the texts of the classes that are left, one each; a repeated id brings its own text only
     texts = rows.where("id is not null").join(heads, "id").mapInArrow(_own_text(size), "cls long, text string, n long, sketch array<long>")
     texts = stored(texts, "candidates")
-    total, values = texts.agg(F.sum(F.octet_length("text")), F.sum("n")).first()
+    total, values, len_texts = texts.agg(F.sum(F.octet_length("text")), F.sum("n"), F.count("*")).first()
     chunks = (total or 0) // chunk_bytes(total or 0) + 1
     exact = _shared_values(texts.select("cls", "text"), values or 0, _pack_texts(size))
     left = texts.groupBy("cls").agg(F.min("n").alias("n")).join(exact, "cls").where(F.col("shared") * 100 >= F.col("n") * percent)
@@ -383,7 +384,13 @@ def _links(rows: DataFrame, known: DataFrame, size: int, percent: int) -> DataFr
         pairs.append(met(apart.where(F.least("loose", "others") <= SMALL), linked.where(F.least("loose", "others") <= SMALL), F.lit(True)))
         pairs.append(met(close.where(F.col("close") <= SMALL), close.where(F.col("close") <= SMALL), F.col("a") < F.col("b")))
         lists = parts.where(F.least("loose", "others") > SMALL).unionByName(close.where(F.col("close") > SMALL).withColumn("list", F.xxhash64("list")))
-        lists = stored(_of_use(lists).select("list", "cls", "n", "shared", "typical"), "lists")
+        lists = stored(_of_use(lists).select("list", "cls", "n", "shared", "typical", "root"), "lists")
+        # where all pairs of all lists are no more than there are classes, they are made at once
+        possible = lists.groupBy("list").agg(F.count("*").alias("size")).agg(F.sum(F.col("size") * (F.col("size") - 1) / 2)).first()[0] or 0
+        if possible <= len_texts:
+            pairs.append(met(lists, lists, F.col("a") < F.col("b")))
+            break
+        lists = lists.drop("root")
     every = reduce(DataFrame.unionByName, pairs)
     swapped = F.col("a") > F.col("b")
     every = every.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(swapped, F.col("nb")).otherwise(F.col("na")).alias("na"), F.when(swapped, F.col("na")).otherwise(F.col("nb")).alias("nb"))
