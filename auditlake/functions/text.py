@@ -175,3 +175,29 @@ def number_state(num_id: Column) -> Column:
 def ordinals(listed: Column) -> Column:
     """A comma-separated list as sorted distinct numbers; blanks are dropped."""
     return F.array_sort(F.array_distinct(F.transform(F.filter(F.split(listed, ","), lambda x: F.trim(x) != ""), lambda x: F.trim(x).cast("int"))))
+
+
+def single_dollar(tex: Column) -> Column:
+    """A formula between single dollar signs, whatever it stood between."""
+    v = strip(tex)
+    size = F.length(v)
+    double = F.startswith(v, F.lit("$$")) & F.endswith(v, F.lit("$$")) & (size >= 4)
+    single = F.startswith(v, F.lit("$")) & F.endswith(v, F.lit("$"))
+    bare = F.regexp_replace(v, r"^\$+|\$+$", "")
+    return F.when(double, F.concat(F.lit("$"), F.substring(v, F.lit(3), size - 4), F.lit("$"))).when(single, v).otherwise(F.concat(F.lit("$"), bare, F.lit("$")))
+
+
+def inline_tex(tex: Column) -> Column:
+    """A round trip's formula for a line of text: single dollars, no hard space set upright."""
+    return F.replace(single_dollar(tex), F.lit("\\mathrm{\u00a0}"), F.lit(""))
+
+
+def clean_text(text: Column) -> Column:
+    """Text of an application: line ends as line feeds, no bell, what is no UTF-8 replaced."""
+    return F.replace(F.translate(F.make_valid_utf8(F.coalesce(text, F.lit(""))), "\r\u0007", "\n"), F.lit("\u0007"), F.lit(""))
+
+
+def numbering_fields(instructions: Column) -> Column:
+    """Kinds of numbering fields in field instructions, sorted."""
+    found = F.regexp_extract_all(F.upper(instructions), F.lit(r"\b(SEQ|LISTNUM|AUTONUMLGL|AUTONUMOUT|AUTONUM)\b"), F.lit(1))
+    return F.array_sort(F.array_distinct(found))

@@ -58,6 +58,12 @@ def unique_anchor(anchors: DataFrame, rows: DataFrame, key: str) -> DataFrame:
     return anchors.join(found, [key, "anchor"], "left").select(key, "anchor", F.coalesce("hits", F.lit(0)).alias("hits"), F.when(F.col("hits") == 1, F.col("p")).alias("p"))
 
 
+def ordinal_pairs(one: DataFrame, two: DataFrame, ordinal: str) -> DataFrame:
+    """Rows of both sides by ordinal, only where both sides have the same number of rows; else none."""
+    counts = one.agg(F.count("*").alias("a"), F.lit(1).alias("one")).join(two.agg(F.count("*").alias("b"), F.lit(1).alias("one")), "one")
+    return one.join(two, ordinal).withColumn("one", F.lit(1)).join(F.broadcast(counts.where("a = b").select("one")), "one").drop("one")
+
+
 def two_way_coverage(expected: DataFrame, found: DataFrame, key: list[str]) -> DataFrame:
     """Keys on one side only, with the side they lack."""
     missing = expected.select(*key).distinct().join(found, key, "left_anti").withColumn("kind", F.lit("missing"))
@@ -65,17 +71,18 @@ def two_way_coverage(expected: DataFrame, found: DataFrame, key: list[str]) -> D
     return missing.unionByName(extra)
 
 
-def several_owners(targets: DataFrame, ordinals: str = "ordinals", owner: str = "target") -> DataFrame:
-    """Ordinals that belong to more than one target, or to one target twice."""
-    each = targets.select(owner, F.explode(ordinals).alias("ordinal"))
-    return each.groupBy("ordinal").agg(F.count("*").alias("owners"), F.countDistinct(owner).alias("targets")).where("owners > 1")
+def several_owners(targets: DataFrame, scope: list[str], ordinals: str = "ordinals", owner: str = "target") -> DataFrame:
+    """Ordinals of a map (the columns of ``scope``) that belong to more than one of its targets, or to one target twice."""
+    each = targets.select(*scope, owner, F.explode(ordinals).alias("ordinal"))
+    return each.groupBy(*scope, "ordinal").agg(F.count("*").alias("owners"), F.countDistinct(owner).alias("targets")).where("owners > 1")
 
 
-def assembled(targets: DataFrame, exports: DataFrame, key: str, joiner: str = "\n") -> DataFrame:
-    """Texts of the ordinals of each target, in the order of its map."""
-    each = targets.select(key, F.posexplode("ordinals").alias("at", "ordinal")).join(exports, "ordinal")
+def assembled(targets: DataFrame, exports: DataFrame, key: str, scope: list[str], joiner: str = "\n") -> DataFrame:
+    """Texts of the ordinals of each target, in the order of its map; ordinals count within ``scope`` (a document)."""
+    columns = list(dict.fromkeys([*scope, key]))
+    each = targets.select(*columns, F.posexplode("ordinals").alias("at", "ordinal")).join(exports, [*scope, "ordinal"])
     parts = F.array_sort(F.collect_list(F.struct("at", "text")))
-    return each.groupBy(key).agg(F.array_join(F.transform(parts, lambda x: x["text"]), joiner).alias("text"))
+    return each.groupBy(*columns).agg(F.array_join(F.transform(parts, lambda x: x["text"]), joiner).alias("text"))
 
 
 def union_flags(one: DataFrame, two: DataFrame, key: str) -> DataFrame:

@@ -89,28 +89,33 @@ def structure_defects(expected: DataFrame, actual: DataFrame, key: str, metrics:
 
 def review_errors(inventory: DataFrame, reviews: DataFrame, key: str, digest: str) -> DataFrame:
     """Duplicates, missing and extra reviews, stale hashes, and reviews that are not passed; unknown is not passed."""
-    counted = reviews.groupBy(key).agg(F.count("*").alias("n"), F.first(digest).alias("seen"), F.bool_and(holds(F.col("passed"))).alias("passed"))
+    counted = reviews.groupBy(key).agg(F.count("*").alias("n"), F.min(digest).alias("low"), F.max(digest).alias("high"), F.count(digest).alias("known"), F.bool_and(holds(F.col("passed"))).alias("passed"))
     both = inventory.select(key, F.col(digest).alias("digest"), F.lit(True).alias("there")).join(counted, key, "full_outer")
-    known = F.col("there").isNotNull() & F.col("n").isNotNull()
+    both_there = F.col("there").isNotNull() & F.col("n").isNotNull()
+    # every review of a key must carry its hash
+    same = F.col("digest").eqNullSafe(F.col("low")) & F.col("digest").eqNullSafe(F.col("high")) & (F.col("digest").isNull() | (F.col("known") == F.col("n")))
     return errors(
         both, key, ("duplicate", F.coalesce(F.col("n") <= 1, F.lit(True))), ("missing", F.col("n").isNotNull()), ("extra", F.col("there").isNotNull()),
-        ("hash_mismatch", ~known | F.col("digest").eqNullSafe(F.col("seen"))), ("not_passed", ~known | holds(F.col("passed"))),
+        ("hash_mismatch", ~both_there | same), ("not_passed", ~both_there | holds(F.col("passed"))),
     ).drop("priority")
 
 
-def inherited_first(styles: DataFrame, view: str, attribute: str) -> str:
-    """SQL for the nearest ancestor's non-null attribute; a visited list ends cycles, and depth ends at the number of styles on a path.
+def inherited_first(styles: DataFrame, attribute: str, owner: list[str]) -> DataFrame:
+    """For each style of an owner (a document), the attribute of the nearest ancestor, itself first, that has one.
 
-    ``view`` holds ``style_id, based_on`` and the attribute.
+    ``styles`` holds the owner's columns, ``style_id``, ``based_on`` and the attribute.  The styles of one owner
+    are folded in one map; as many steps as it has styles end cycles, and a missing parent ends the search.
     """
-    styles.createOrReplaceTempView(view)
-    return f"""
-WITH RECURSIVE up(style_id, at, depth, seen, found) AS (
-  SELECT style_id, based_on, 0, array(style_id), {attribute} FROM {view}
-  UNION ALL
-  SELECT u.style_id, s.based_on, u.depth + 1, array_append(u.seen, s.style_id), s.{attribute}
-  FROM up u JOIN {view} s ON s.style_id = u.at WHERE u.found IS NULL AND NOT array_contains(u.seen, s.style_id))
-SELECT style_id, min_by(found, depth) FILTER (WHERE found IS NOT NULL) AS {attribute} FROM up GROUP BY style_id"""
+    one = styles.groupBy(*owner, "style_id").agg(F.min(F.struct("based_on", F.col(attribute).alias("value"))).alias("style"))
+    folded = one.groupBy(*owner).agg(F.map_from_entries(F.collect_list(F.struct("style_id", "style"))).alias("by"))
+
+    def up(state: Column, _: Column) -> Column:
+        parent = F.try_element_at("by", state["at"])
+        return F.when(state["value"].isNotNull() | state["at"].isNull(), state).otherwise(F.struct(parent["based_on"].alias("at"), F.try_element_at("by", parent["based_on"])["value"].alias("value")))
+
+    rows = folded.select(*owner, "by", F.explode("by").alias("style_id", "style"))
+    start = F.struct(F.col("style_id").alias("at"), F.col("style.value").alias("value"))
+    return rows.select(*owner, "style_id", F.aggregate(F.sequence(F.lit(1), F.size("by")), start, up)["value"].alias(attribute))
 
 
 def label_counts(df: DataFrame, label: str, missing: str = "<missing>") -> DataFrame:

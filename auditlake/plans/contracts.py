@@ -24,7 +24,7 @@ v AS (SELECT l.doc_id + CASE WHEN l.doc_id % 40 = 0 THEN 1000000 ELSE 0 END AS d
 c AS (SELECT doc_id, count(*) AS n, min(digest) AS lo, max(digest) AS hi, bool_and(coalesce(passed, false)) AS passed FROM v GROUP BY doc_id),
 b AS (SELECT coalesce(i.doc_id, c.doc_id) AS doc_id, i.doc_id IS NOT NULL AS there, i.digest, n, lo, hi, passed FROM i FULL JOIN c USING (doc_id)),
 e AS (SELECT doc_id, 'duplicate' AS rule FROM b WHERE n > 1 UNION ALL SELECT doc_id, 'missing' FROM b WHERE n IS NULL UNION ALL SELECT doc_id, 'extra' FROM b WHERE NOT there
-  UNION ALL SELECT doc_id, 'hash_mismatch' FROM b WHERE there AND n IS NOT NULL AND digest IS DISTINCT FROM lo UNION ALL SELECT doc_id, 'not_passed' FROM b WHERE there AND n IS NOT NULL AND NOT passed)"""
+  UNION ALL SELECT doc_id, 'hash_mismatch' FROM b WHERE there AND n IS NOT NULL AND (digest IS DISTINCT FROM lo OR digest IS DISTINCT FROM hi) UNION ALL SELECT doc_id, 'not_passed' FROM b WHERE there AND n IS NOT NULL AND NOT passed)"""
 
 
 def _review(t: Tables):
@@ -35,10 +35,7 @@ def _review(t: Tables):
     digest = F.when(F.col("doc_id") % 14 == 0, "stale").otherwise(F.col("sha256"))
     first = said.select((F.col("doc_id") + F.when(F.col("doc_id") % 40 == 0, 1000000).otherwise(0)).alias("doc_id"), digest.alias("digest"), passed.alias("passed"))
     second = t.documents.where("doc_id % 26 = 0").select("doc_id", F.sha2("text", 256).alias("digest"), F.lit(True).alias("passed"))
-    # where a key was reviewed twice, the lesser hash stands for it
-    reviews = first.unionByName(second)
-    least = reviews.groupBy("doc_id").agg(F.min("digest").alias("digest"))
-    return inventory, R.review_errors(inventory, reviews.drop("digest").join(least, "doc_id"), "doc_id", "digest")
+    return inventory, R.review_errors(inventory, first.unionByName(second), "doc_id", "digest")
 
 
 @query(f"WITH {_REVIEW_SQL} SELECT doc_id, rule FROM e")
@@ -191,14 +188,17 @@ def local_layout_plan(t: Tables):
     return rows.select("conv_id", F.col("turn").alias("p"), "text", (F.col("turn") - 1).alias("working_source_p")).where("working_source_p >= 1")
 
 
-_STYLES = "VALUES ('a', NULL, '1', '7'), ('b', 'a', NULL, NULL), ('c', 'b', NULL, '0'), ('d', 'c', NULL, NULL), ('x', 'y', NULL, NULL), ('y', 'x', NULL, NULL), ('z', 'y', '2', NULL), ('q', 'gone', NULL, NULL)"
+_PART_STYLES = """SELECT p_partkey // 50 AS doc_id, CAST(p_partkey AS VARCHAR) AS style_id, CASE WHEN p_size > 40 THEN p_size END AS num_id,
+CAST(CASE WHEN p_partkey % 50 = 49 THEN p_partkey - 3 WHEN p_partkey % 5 <> 0 THEN p_partkey + 1 END AS VARCHAR) AS based_on FROM part"""
 
 
-@query(f"""WITH RECURSIVE s(style_id, based_on, outline, num_id) AS ({_STYLES}),
-up(style_id, nxt, depth, seen, found) AS (SELECT style_id, based_on, 0, [style_id], num_id FROM s
-  UNION ALL SELECT u.style_id, s.based_on, u.depth + 1, list_append(u.seen, s.style_id), s.num_id FROM up u JOIN s ON s.style_id = u.nxt WHERE u.found IS NULL AND NOT list_contains(u.seen, s.style_id))
-SELECT style_id, arg_min(found, depth) FILTER (WHERE found IS NOT NULL) AS num_id FROM up GROUP BY style_id""")
+@query(f"""WITH RECURSIVE s AS ({_PART_STYLES}),
+up(doc_id, style_id, nxt, depth, seen, found) AS (SELECT doc_id, style_id, based_on, 0, [style_id], num_id FROM s
+  UNION ALL SELECT u.doc_id, u.style_id, s.based_on, u.depth + 1, list_append(u.seen, s.style_id), s.num_id FROM up u JOIN s ON s.doc_id = u.doc_id AND s.style_id = u.nxt WHERE u.found IS NULL AND NOT list_contains(u.seen, s.style_id))
+SELECT doc_id, style_id, arg_min(found, depth) FILTER (WHERE found IS NOT NULL) AS num_id FROM up GROUP BY doc_id, style_id""")
 def style_ancestry_first_non_null(t: Tables):
-    """A disabled list (0) stops the search like any other value; cycles and missing parents end it."""
-    styles = t.spark.sql(f"SELECT * FROM {_STYLES} AS s(style_id, based_on, outline, num_id)")
-    return t.spark.sql(R.inherited_first(styles, "auditlake_styles", "num_id"))
+    """Parts as styles, fifty a document; cycles and parents in another document end the search."""
+    k = F.col("p_partkey")
+    based_on = F.when(k % 50 == 49, k - 3).when(k % 5 != 0, k + 1).cast("string")
+    styles = t.part.select(F.floor(k / 50).alias("doc_id"), k.cast("string").alias("style_id"), based_on.alias("based_on"), F.when(F.col("p_size") > 40, F.col("p_size")).alias("num_id"))
+    return R.inherited_first(styles, "num_id", ["doc_id"])

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from auditlake.operators import formulas as M
@@ -47,12 +49,19 @@ def preview_flags(t: Tables):
     return t.lineitem.select("l_orderkey", "l_linenumber", M.suspicious_preview(F.col("l_quantity") * 6, F.col("l_tax") * 40, F.col("l_discount") / 100).alias("suspicious"), M.plausible_donor(F.col("l_quantity"), F.col("l_extendedprice") / 50).alias("donor"))
 
 
-@query()
+_TEX = "CASE turn % 6 WHEN 0 THEN '\\left |' || text || '\\right|' WHEN 1 THEN '|' || text || '|' WHEN 2 THEN '\\bigg|' || text WHEN 3 THEN '\\{' || text || '\\}' WHEN 4 THEN '\\vert ' || text || '\\vert' ELSE '\\langle(' || text || '\\lfloor' END"
+
+
+@query(f"""WITH d AS (SELECT conv_id, turn, {_TEX} AS x FROM conversations), c AS (SELECT *, len(replace(x, '\\|', '')) - len(replace(replace(x, '\\|', ''), '|', '')) >= 2 OR len(regexp_extract_all(x, '\\\\vert(?:[^A-Za-z]|$)')) >= 2 AS bars FROM d)
+SELECT conv_id, turn, bars OR regexp_matches(x, '\\\\(lvert|left|bigl|Bigl|biggl|Biggl)\\s*\\|') AS bar_begin, bars OR regexp_matches(x, '\\\\(rvert|right|bigr|Bigr|biggr|Biggr)\\s*\\|') AS bar_end, contains(x, '\\{{') AS brace, contains(x, '(') AS paren,
+  contains(x, '⟨') OR contains(x, '\\langle') AS angle, contains(x, '⌊') OR contains(x, '\\lfloor') AS floor FROM c""")
 def delimiter_presence(t: Tables):
-    cases = (r"\left|x\right|", "|x|", "|x", r"\vert x\vert", r"\{x\}", "(x]", r"\langle x⟩", r"\lfloor x\rceil")
-    rows = t.spark.createDataFrame(list(enumerate(cases)), "case_id long, tex string")
+    """Every turn within one of six pairs of delimiters."""
+    n, text = F.col("turn") % 6, F.col("text")
+    forms = (("\\left |", "\\right|"), ("|", "|"), ("\\bigg|", ""), ("\\{", "\\}"), ("\\vert ", "\\vert"), ("\\langle(", "\\lfloor"))
+    tex = reduce(lambda w, k: w.when(n == k, F.concat(F.lit(forms[k][0]), text, F.lit(forms[k][1]))), range(1, 6), F.when(n == 0, F.concat(F.lit(forms[0][0]), text, F.lit(forms[0][1]))))
     signs = (("|", "begin", "bar_begin"), ("|", "end", "bar_end"), ("{", "begin", "brace"), ("(", "begin", "paren"), ("⟨", "begin", "angle"), ("⌊", "begin", "floor"))
-    return rows.select("case_id", *(M.delimiter_present(F.col("tex"), s, side).alias(name) for s, side, name in signs))
+    return t.conversations.withColumn("tex", tex).select("conv_id", "turn", *(M.delimiter_present(F.col("tex"), s, side).alias(name) for s, side, name in signs))
 
 
 @query("""WITH t AS (SELECT l_suppkey AS k, bool_and(l_linenumber <= 6) AS single FROM lineitem WHERE l_linenumber > 5 GROUP BY 1)
@@ -71,17 +80,20 @@ def service_errors(t: Tables):
     return t.events.select("event_id", M.service_error(status, code).alias("error"))
 
 
-_STYLES = "VALUES ('n', CAST(NULL AS STRING), CAST(NULL AS STRING), false), ('h', CAST(NULL AS STRING), CAST(NULL AS STRING), true), ('l', '4', CAST(NULL AS STRING), false), ('o', CAST(NULL AS STRING), '1', false), ('b', CAST(NULL AS STRING), '9', true)"
-_PARAGRAPHS = "VALUES (1, 1, 'n', CAST(NULL AS STRING), CAST(NULL AS STRING), CAST(NULL AS STRING)), (1, 2, 'h', NULL, NULL, NULL), (1, 3, 'l', NULL, NULL, NULL), (1, 4, 'l', '0', NULL, NULL), (1, 5, 'o', NULL, NULL, NULL), (1, 6, 'o', NULL, '9', NULL), (1, 7, 'n', '2', NULL, NULL), (1, 8, 'n', NULL, NULL, ' seq Figure '), (1, 9, 'n', NULL, NULL, 'REF x'), (1, 10, 'b', NULL, NULL, NULL), (1, 11, 'gone', NULL, NULL, NULL)"
-
-
-@query(f"""WITH s(style_id, num_id, outline, heading) AS ({_STYLES}), p(doc_id, p, style_id, num_id, outline, instr) AS ({_PARAGRAPHS}),
+@query("""WITH s AS (SELECT s_suppkey % 10 AS doc_id, s_suppkey AS style_id, CASE WHEN s_suppkey % 3 = 0 THEN CAST(s_nationkey AS VARCHAR) END AS num_id, CASE WHEN s_suppkey % 4 = 1 THEN CAST(s_nationkey % 10 AS VARCHAR) END AS outline, s_acctbal < 0 AS heading FROM supplier),
+p AS (SELECT l_suppkey % 10 AS doc_id, l_orderkey * 10 + l_linenumber AS p, l_suppkey AS style_id, CASE WHEN l_quantity < 3 THEN '0' END AS num_id, CASE WHEN l_quantity > 48 THEN '9' END AS outline, CASE WHEN l_tax > 0.07 THEN ' seq Figure ' WHEN l_tax > 0.06 THEN 'REF x' END AS instr FROM lineitem),
 j AS (SELECT doc_id, p, coalesce(coalesce(p.num_id, s.num_id) <> '0', false) AS automatic, coalesce(regexp_matches(upper(instr), '\\b(SEQ|LISTNUM|AUTONUM|AUTONUMLGL|AUTONUMOUT)\\b'), false) AS field,
-  coalesce(coalesce(p.outline, s.outline) <> '9', coalesce(heading, false)) AS outline, coalesce(heading, false) AS heading FROM p LEFT JOIN s USING (style_id))
+  coalesce(coalesce(p.outline, s.outline) <> '9', coalesce(heading, false)) AS outline, coalesce(heading, false) AS heading FROM p LEFT JOIN s USING (doc_id, style_id))
 SELECT * FROM j WHERE automatic OR field OR outline OR heading""")
 def numbering_candidates(t: Tables):
-    styles = t.spark.sql(f"SELECT * FROM {_STYLES} AS s(style_id, num_id, outline, heading)")
-    paragraphs = t.spark.sql(f"SELECT * FROM {_PARAGRAPHS} AS p(doc_id, p, style_id, num_id, outline, instr)")
+    """Lines as paragraphs, suppliers as their styles, ten documents."""
+    k = F.col("s_suppkey")
+    styles = t.supplier.select((k % 10).alias("doc_id"), k.alias("style_id"), F.when(k % 3 == 0, F.col("s_nationkey").cast("string")).alias("num_id"), F.when(k % 4 == 1, (F.col("s_nationkey") % 10).cast("string")).alias("outline"), (F.col("s_acctbal") < 0).alias("heading"))
+    quantity, tax = F.col("l_quantity"), F.col("l_tax")
+    paragraphs = t.lineitem.select(
+        (F.col("l_suppkey") % 10).alias("doc_id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("p"), F.col("l_suppkey").alias("style_id"),
+        F.when(quantity < 3, "0").alias("num_id"), F.when(quantity > 48, "9").alias("outline"), F.when(tax > 0.07, " seq Figure ").when(tax > 0.06, "REF x").alias("instr"),
+    )
     return M.numbering_candidates(paragraphs, styles)
 
 

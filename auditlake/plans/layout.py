@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from auditlake.operators import compare
 from auditlake.operators import geometry as G
 from auditlake.operators import rules as R
 from auditlake.plans.registry import Tables, query
@@ -148,10 +149,10 @@ def text_bounds(t: Tables):
     return t.lineitem.select("l_orderkey", "l_linenumber", b.alias("b")).select("l_orderkey", "l_linenumber", "b.reason", F.col("b.right").alias("text_right"))
 
 
-@query("""WITH c AS (SELECT (SELECT count(*) FROM orders) AS a, (SELECT count(DISTINCT l_orderkey) FROM lineitem) AS b)
-SELECT o_orderkey, round(x / o_totalprice, 6) AS ratio FROM (SELECT l_orderkey AS o_orderkey, sum(l_quantity) AS x FROM lineitem GROUP BY 1) JOIN orders USING (o_orderkey) WHERE (SELECT a >= b FROM c)""")
+@query("""WITH c AS (SELECT (SELECT count(*) FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem)) AS a, (SELECT count(DISTINCT l_orderkey) FROM lineitem) AS b)
+SELECT o_orderkey, round(x / o_totalprice, 6) AS ratio FROM (SELECT l_orderkey AS o_orderkey, sum(l_quantity) AS x FROM lineitem GROUP BY 1) JOIN (SELECT * FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem)) o USING (o_orderkey) WHERE (SELECT a = b FROM c)""")
 def ordinal_pair_join(t: Tables):
-    """Pairs by ordinal, only where the counts allow it."""
+    """Orders with lines and their sums as the two sides, paired by ordinal where both have as many."""
     final = t.lineitem.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.sum("l_quantity").alias("x"))
-    counts = t.orders.agg(F.count("*").alias("a"), F.lit(1).alias("one")).join(final.agg(F.count("*").alias("b"), F.lit(1).alias("one")), "one").where("a >= b").select("one")
-    return t.orders.join(final, "o_orderkey").withColumn("one", F.lit(1)).join(F.broadcast(counts), "one").select("o_orderkey", F.round(F.col("x") / F.col("o_totalprice"), 6).alias("ratio"))
+    with_lines = t.orders.join(t.lineitem.select(F.col("l_orderkey").alias("o_orderkey")).distinct(), "o_orderkey", "left_semi")
+    return compare.ordinal_pairs(with_lines, final, "o_orderkey").select("o_orderkey", F.round(F.col("x") / F.col("o_totalprice"), 6).alias("ratio"))

@@ -1,4 +1,4 @@
-"""Text rules: over the driver's documents, and over literal cases where those hold no such text."""
+"""Text rules over whole tables; where these hold no formulas or labels, their texts are turned into such by letters."""
 
 from __future__ import annotations
 
@@ -8,21 +8,19 @@ from auditlake.functions import tex
 from auditlake.functions import text as X
 from auditlake.plans.registry import Tables, query
 
-# Cases: inputs that the rules for formulas and labels must handle.
-TEX_CASES = (
-    "$F′(x)$", "$F″(x)$", "$F‴(x)$", "$y′²$", r"${f}^{\prime2}$", r"$\lim_{x\to0}f(x)$", r"$\lim\limits_{x\to0}f(x)$", r"$\limsup_{n\to\infty}a_n$",
-    r"\underset{x\to0}{\lim}^{+}", "$y''''$", r"\frac{a}{b}\le \left(\alpha x\right)", r"\smallint x", r"\begin{cases}x&y\end{cases}", "x^2'", "", "a{b", "b}a", "𝑥+1", "▒x", "x\ry",
-)
-LABEL_CASES = ("1、甲", "（２）、乙", "\t３、丙\n４、丁", "第1、2项", "甲、乙", "a 1、b", "")
+_FROM, _TO = "aeioumnw,;", "′″‴²'_^{}⁺"
+_TEX_SQL = f"SELECT conv_id, turn, '\\lim_{{x\\to0}} ' || translate(text, '{_FROM}', '{_TO.replace(chr(39), chr(39) * 2)}') || '\\smallint x' AS tex FROM conversations"
+_LABELS_SQL = "SELECT conv_id, turn, '（' || turn || '）、' || replace(text, '. ', chr(10) || '3、') AS label FROM conversations"
 
 
-def _cases(t: Tables, cases: tuple, name: str = "input"):
-    return t.spark.createDataFrame(list(enumerate(cases)), f"case_id long, {name} string")
+def _formulas(t: Tables):
+    """Every turn as a formula: some of its letters become primes, scripts and braces."""
+    return t.conversations.select("conv_id", "turn", F.concat(F.lit("\\lim_{x\\to0} "), F.translate("text", _FROM, _TO), F.lit("\\smallint x")).alias("tex"))
 
 
-def _values(cases: tuple) -> str:
-    text = ", ".join("({}::BIGINT, '{}')".format(n, c.replace("'", "''").replace("\r", "' || chr(13) || '").replace("\n", "' || chr(10) || '").replace("\t", "' || chr(9) || '")) for n, c in enumerate(cases))
-    return f"(VALUES {text}) v(case_id, input)"
+def _labels(t: Tables):
+    """Every turn as labelled lines."""
+    return t.conversations.select("conv_id", "turn", F.concat(F.lit("（"), F.col("turn"), F.lit("）、"), F.replace("text", F.lit(". "), F.lit("\n3、"))).alias("label"))
 
 
 @query("SELECT page_id, len(regexp_extract_all(html, '<h1')) AS headings, len(regexp_extract_all(html, '<li')) AS items, len(regexp_extract_all(html, '<h1')) > 0 OR len(regexp_extract_all(html, '<li')) > 8 AS candidate FROM pages")
@@ -64,12 +62,12 @@ def text_context_window(t: Tables):
     return rows.select("doc_id", X.context_window(F.col("text"), F.col("at")).alias("context"))
 
 
-_STYLE_CASES = ("width:12.5pt;height:8pt", "HEIGHT: 20pt ; Width :30pt", "position:absolute", "width:-3pt", "xwidth:9pt", "width:7px")
-
-
-@query(f"SELECT case_id, TRY_CAST(nullif(regexp_extract(input, '(?i)(?:^|;)\\s*width\\s*:\\s*(-?[0-9.]+)pt', 1), '') AS DOUBLE) AS width, TRY_CAST(nullif(regexp_extract(input, '(?i)(?:^|;)\\s*height\\s*:\\s*(-?[0-9.]+)pt', 1), '') AS DOUBLE) AS height FROM {_values(_STYLE_CASES)}")
+@query("""SELECT l_orderkey, l_linenumber, TRY_CAST(nullif(regexp_extract(x, '(?i)(?:^|;)\\s*width\\s*:\\s*(-?[0-9.]+)pt', 1), '') AS DOUBLE) AS width, TRY_CAST(nullif(regexp_extract(x, '(?i)(?:^|;)\\s*height\\s*:\\s*(-?[0-9.]+)pt', 1), '') AS DOUBLE) AS height
+FROM (SELECT l_orderkey, l_linenumber, CASE l_linenumber % 3 WHEN 0 THEN 'width:' || CAST(l_quantity AS BIGINT) || '.5pt;height:8pt' WHEN 1 THEN 'HEIGHT: -3pt ; Width :' || CAST(l_quantity AS BIGINT) || 'pt' ELSE 'xwidth:9pt;width:7px' END AS x FROM lineitem)""")
 def style_dimension_extract(t: Tables):
-    return _cases(t, _STYLE_CASES).select("case_id", X.style_points(F.col("input"), "width").alias("width"), X.style_points(F.col("input"), "height").alias("height"))
+    n, whole = F.col("l_linenumber") % 3, F.col("l_quantity").cast("long").cast("string")
+    style = F.when(n == 0, F.concat(F.lit("width:"), whole, F.lit(".5pt;height:8pt"))).when(n == 1, F.concat(F.lit("HEIGHT: -3pt ; Width :"), whole, F.lit("pt"))).otherwise("xwidth:9pt;width:7px")
+    return t.lineitem.select("l_orderkey", "l_linenumber", X.style_points(style, "width").alias("width"), X.style_points(style, "height").alias("height"))
 
 
 @query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, CASE WHEN json_type(props) = 'ARRAY' THEN 'array' ELSE 'object' END AS shape FROM events")
@@ -84,36 +82,36 @@ def body_period_replace(t: Tables):
     return t.documents.select("doc_id", X.replace_period(text, eligible).alias("body"), F.when(eligible, X.occurrences(text, "。")).otherwise(0).cast("long").alias("replaced"))
 
 
-@query(f"""SELECT case_id, regexp_replace(input, '(^|\\n)([ \\t　]*(?:[0-9０-９]+|[（(][0-9０-９]+[)）]))、', '\\1\\2.', 'g') AS line_start, input AS preserved FROM {_values(LABEL_CASES)}""")
+@query(f"""SELECT conv_id, turn, regexp_replace(label, '(^|\\n)([ \\t　]*(?:[0-9０-９]+|[（(][0-9０-９]+[)）]))、', '\\1\\2.', 'g') AS line_start, label AS preserved FROM ({_LABELS_SQL})""")
 def numbering_normalize(t: Tables):
-    return _cases(t, LABEL_CASES).select("case_id", X.normalize_labels(F.col("input")).alias("line_start"), X.normalize_labels(F.col("input"), "preserve").alias("preserved"))
+    return _labels(t).select("conv_id", "turn", X.normalize_labels(F.col("label")).alias("line_start"), X.normalize_labels(F.col("label"), "preserve").alias("preserved"))
 
 
 @query()
 def numbering_anywhere(t: Tables):
-    return _cases(t, LABEL_CASES).select("case_id", X.normalize_labels(F.col("input"), "anywhere").alias("anywhere"))
+    return _labels(t).select("conv_id", "turn", X.normalize_labels(F.col("label"), "anywhere").alias("anywhere"))
 
 
-@query(f"""SELECT case_id, regexp_matches(input, '[''′″‴⁗ʹʺ’‘]|\\\\prime([^A-Za-z0-9_]|$)') AS has_prime, trim(input) = '' AS blank, regexp_matches(input, '[\\r\\n\\t]') AS line_control FROM {_values(TEX_CASES)}""")
+@query(f"""SELECT conv_id, turn, regexp_matches(tex, '[''′″‴⁗ʹʺ’‘]|\\\\prime([^A-Za-z0-9_]|$)') AS has_prime, trim(tex) = '' AS blank, regexp_matches(tex, '[\\r\\n\\t]') AS line_control FROM ({_TEX_SQL})""")
 def prime_markers(t: Tables):
-    value = F.col("input")
-    return _cases(t, TEX_CASES).select("case_id", X.has_prime(value).alias("has_prime"), X.blank(value).alias("blank"), value.rlike(r"[\r\n\t]").alias("line_control"))
-
+    value = F.col("tex")
+    return _formulas(t).select("conv_id", "turn", X.has_prime(value).alias("has_prime"), X.blank(value).alias("blank"), value.rlike(r"[\r\n\t]").alias("line_control"))
 
-_PROGIDS = ("Equation.AxMath", "equation.axmath", " Equation.3 ", "Equation.DSMT4", "Package", "")
 
-
-@query(f"SELECT case_id, CASE WHEN lower(trim(input)) = 'equation.axmath' THEN 'axmath' WHEN regexp_matches(lower(trim(input)), '^equation\\.(3|dsmt)') THEN 'legacy_equation' ELSE 'unclassified' END AS kind FROM {_values(_PROGIDS)}")
+@query("""SELECT p_partkey, CASE WHEN lower(trim(x)) = 'equation.axmath' THEN 'axmath' WHEN regexp_matches(lower(trim(x)), '^equation\\.(3|dsmt)') THEN 'legacy_equation' ELSE 'unclassified' END AS kind
+FROM (SELECT p_partkey, CASE p_size % 5 WHEN 0 THEN 'Equation.AxMath' WHEN 1 THEN ' equation.axmath ' WHEN 2 THEN ' Equation.3 ' WHEN 3 THEN 'Equation.DSMT' || p_size ELSE p_name END AS x FROM part)""")
 def object_kinds(t: Tables):
-    return _cases(t, _PROGIDS).select("case_id", X.object_kind(F.col("input")).alias("kind"))
-
-
-_HEADINGS = ("Heading 1", "heading2", "标题 3", "Heading 4 Char", "Heading", "Heading 0", "My Heading 1", "标题9 char")
+    n = F.col("p_size") % 5
+    progid = F.when(n == 0, "Equation.AxMath").when(n == 1, " equation.axmath ").when(n == 2, " Equation.3 ").when(n == 3, F.concat(F.lit("Equation.DSMT"), F.col("p_size"))).otherwise(F.col("p_name"))
+    return t.part.select("p_partkey", X.object_kind(progid).alias("kind"))
 
 
-@query(f"SELECT case_id, regexp_full_match(input, '(?i)(heading|标题)\\s*[1-9](\\s*char)?') AS heading FROM {_values(_HEADINGS)}")
+@query("""SELECT o_orderkey, regexp_full_match(x, '(?i)(heading|标题)\\s*[1-9](\\s*char)?') AS heading
+FROM (SELECT o_orderkey, CASE o_custkey % 4 WHEN 0 THEN 'Heading ' || o_orderkey % 12 WHEN 1 THEN '标题' || o_orderkey % 12 || ' Char' WHEN 2 THEN 'My Heading ' || o_orderkey % 12 ELSE o_orderpriority END AS x FROM orders)""")
 def heading_identity(t: Tables):
-    return _cases(t, _HEADINGS).select("case_id", X.is_heading(F.col("input")).alias("heading"))
+    n, level = F.col("o_custkey") % 4, F.col("o_orderkey") % 12
+    name = F.when(n == 0, F.concat(F.lit("Heading "), level)).when(n == 1, F.concat(F.lit("标题"), level, F.lit(" Char"))).when(n == 2, F.concat(F.lit("My Heading "), level)).otherwise(F.col("o_orderpriority"))
+    return t.orders.select("o_orderkey", X.is_heading(name).alias("heading"))
 
 
 @query("""SELECT user_id, list_sort(list_distinct([CAST(x AS INTEGER) FOR x IN string_split(o, ',') IF trim(x) <> ''])) AS ordinals FROM (SELECT user_id, string_agg(CAST(event_id % 40 AS VARCHAR), ',') || ', ,' AS o FROM events GROUP BY user_id)""")
@@ -125,22 +123,22 @@ def ordinal_list_parsing(t: Tables):
 @query()
 def tex_rules(t: Tables):
     """Issue codes, prime orders and reasons, by expressions alone."""
-    v = F.col("input")
-    return _cases(t, TEX_CASES).select(
-        "case_id", X.prime_issues(v).alias("prime_issues"), X.prime_orders(v).alias("prime_orders"), X.source_prime_orders(v).alias("source_orders"), X.small_integral_issues(v).alias("integral_issues"), X.latex_reasons(v).alias("reasons"),
+    v = F.col("tex")
+    return _formulas(t).select(
+        "conv_id", "turn", X.prime_issues(v).alias("prime_issues"), X.prime_orders(v).alias("prime_orders"), X.source_prime_orders(v).alias("source_orders"), X.small_integral_issues(v).alias("integral_issues"), X.latex_reasons(v).alias("reasons"),
         X.superscripts(X.prime_tokens(v)).alias("tokens"), X.align_at_equals(v).alias("aligned"),
     )
 
 
 @query()
 def tex_normalize(t: Tables):
-    v = F.col("input")
-    return _cases(t, TEX_CASES).select("case_id", tex.normalize_udf(v).alias("normalized"), tex.limit_issues_udf(v).alias("limit_issues"), tex.limit_placements_udf(v).alias("placements"), tex.exported_udf(v).alias("exported"))
+    v = F.col("tex")
+    return _formulas(t).select("conv_id", "turn", tex.normalize_udf(v).alias("normalized"), tex.limit_issues_udf(v).alias("limit_issues"), tex.limit_placements_udf(v).alias("placements"), tex.exported_udf(v).alias("exported"))
 
 
 @query()
 def semantic_tokens(t: Tables):
-    return _cases(t, TEX_CASES).select("case_id", tex.tokens_udf("input").alias("tokens"), tex.structure_udf("input").alias("structure"))
+    return _formulas(t).select("conv_id", "turn", tex.tokens_udf("tex").alias("tokens"), tex.structure_udf("tex").alias("structure"))
 
 
 @query()
@@ -150,18 +148,23 @@ def nfkc_anchor(t: Tables):
 
 @query()
 def cjk_similarity(t: Tables):
-    pairs = _cases(t, LABEL_CASES).join(_cases(t, (*LABEL_CASES[1:], "甲乙丙"), "other"), "case_id")
-    return pairs.select("case_id", tex.cjk_ratio_udf("input", "other").alias("ratio"))
+    """Each turn, its letters as ideographs, against the next one of its conversation."""
+    rows = t.conversations.select("conv_id", "turn", F.translate("text", "etaoin", "一二三四五六").alias("a"))
+    other = rows.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("a").alias("b"))
+    return rows.join(other, ["conv_id", "turn"]).select("conv_id", "turn", tex.cjk_ratio_udf("a", "b").alias("ratio"))
 
 
 @query()
 def plain_math_class(t: Tables):
-    cases = [(0, "x", "设x为", 1, None), (1, "3", "3、甲", 0, None), (2, "x+1=2", "有x+1=2", 1, None), (3, "2", "x2", 1, "superscript"), (4, "甲", "甲", 0, None), (5, "½", "取½", 1, None), (6, "A", "A甲", 0, None)]
-    rows = t.spark.createDataFrame(cases, "case_id long, run string, paragraph string, start int, vertical string")
-    return rows.select("case_id", tex.plain_math_udf("run", "paragraph", "start", "vertical").alias("c")).select("case_id", "c.is_math", "c.kind")
+    """The first word of every turn as a run of its paragraph."""
+    run = F.regexp_extract("text", r"^\S+", 0)
+    rows = t.conversations.withColumn("paragraph", F.when(F.col("turn") % 3 == 0, F.concat(F.lit("3、"), "text")).otherwise(F.col("text")))
+    vertical = F.when(F.col("turn") % 5 == 0, "superscript")
+    return rows.select("conv_id", "turn", tex.plain_math_udf(F.when(F.col("turn") % 3 == 0, F.lit("3")).otherwise(run), "paragraph", F.lit(0), vertical).alias("c")).select("conv_id", "turn", "c.is_math", "c.kind")
 
 
 @query()
 def canonical_xml(t: Tables):
-    cases = ('<a b="1" a="2"/>', "<a><b></b></a>", "<a>", "")
-    return _cases(t, cases).select("case_id", tex.canonical_xml_udf("input").alias("canonical"))
+    """Every page, and one element made of its address, as XML; most pages are none."""
+    element = F.concat(F.lit("<a z='1' b='"), F.regexp_replace("url", "[<&']", ""), F.lit("'><c/></a>"))
+    return t.pages.select("page_id", tex.canonical_xml_udf("html").alias("page"), tex.canonical_xml_udf(element).alias("element"))

@@ -110,11 +110,11 @@ def coverage_two_way(t: Tables):
     return compare.two_way_coverage(expected, found, ["doc", "ordinal"])
 
 
-@query("""WITH e AS (SELECT l_suppkey AS target, unnest([l_orderkey, l_orderkey + l_linenumber]) AS ordinal FROM lineitem)
-SELECT ordinal, count(*) AS owners, count(DISTINCT target) AS targets FROM e GROUP BY ordinal HAVING count(*) > 1""")
+@query("""WITH e AS (SELECT l_returnflag AS map_id, l_suppkey AS target, unnest([l_orderkey, l_orderkey + l_linenumber]) AS ordinal FROM lineitem)
+SELECT map_id, ordinal, count(*) AS owners, count(DISTINCT target) AS targets FROM e GROUP BY map_id, ordinal HAVING count(*) > 1""")
 def single_owner_violations(t: Tables):
-    rows = t.lineitem.select(F.col("l_suppkey").alias("target"), F.array(F.col("l_orderkey"), F.col("l_orderkey") + F.col("l_linenumber")).alias("ordinals"))
-    return compare.several_owners(rows)
+    rows = t.lineitem.select(F.col("l_returnflag").alias("map_id"), F.col("l_suppkey").alias("target"), F.array(F.col("l_orderkey"), F.col("l_orderkey") + F.col("l_linenumber")).alias("ordinals"))
+    return compare.several_owners(rows, ["map_id"])
 
 
 @query("SELECT l_orderkey, count(*) = max(l_linenumber) AND count(DISTINCT l_linenumber) = max(l_linenumber) AND min(l_linenumber) >= 1 AS complete FROM lineitem GROUP BY 1")
@@ -125,9 +125,9 @@ def ordinal_completeness(t: Tables):
 
 @query("SELECT conv_id, string_agg(text, chr(10) ORDER BY turn) AS text FROM conversations GROUP BY conv_id")
 def mapped_text_in_order(t: Tables):
-    rows = t.conversations.withColumn("ordinal", F.concat_ws("-", "conv_id", "turn"))
-    targets = rows.groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "ordinal"))), lambda x: x["ordinal"]).alias("ordinals"))
-    return compare.assembled(targets, rows.select("ordinal", "text"), "conv_id")
+    rows = t.conversations.withColumnRenamed("turn", "ordinal")
+    targets = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list("ordinal")).alias("ordinals"))
+    return compare.assembled(targets, rows.select("conv_id", "ordinal", "text"), "conv_id", ["conv_id"])
 
 
 @query("""WITH a AS (SELECT conv_id, turn AS p, text AS plain FROM conversations), b AS (SELECT conv_id, turn + 2 AS p, text AS plain FROM conversations),
