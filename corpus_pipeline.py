@@ -1,4 +1,8 @@
-"""The corpus pipeline: five stages over documents, each written as Parquet and read as the next one's input."""
+"""The corpus pipeline: five stages over documents, each written as Parquet and read as the next one's input.
+
+Every stage takes tables without rows, null ids and texts, empty and very long texts, repeated rows and
+columns of any name, as its operator defines them; a null text is no document and goes with the quality rules.
+"""
 
 from __future__ import annotations
 
@@ -38,9 +42,15 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays."""
-    kept = near_duplicates(docs.select("doc_id", "text")).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").unionByName(docs.where("doc_id is null"))
+    """One document of each group of near-duplicates stays, and of rows that repeat an id and its text one.
+
+    Rows that repeat an id with unlike texts are each judged by their own; rows without id stay.
+    """
+    found = near_duplicates(docs.select("doc_id", "text")).where("doc_id is not null")
+    ids = found.groupBy("doc_id").agg(F.count_if("kept").alias("kept"), F.count("*").alias("rows")).where("kept > 0")
+    single = docs.join(ids.where("rows = 1").select("doc_id"), "doc_id", "left_semi")
+    several = docs.join(ids.where("rows > 1").select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    return single.unionByName(several).unionByName(docs.where("doc_id is null"))
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
