@@ -5,7 +5,10 @@ from __future__ import annotations
 import math
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+_PARTS = 64
 
 
 def chunk_bytes(total: int) -> int:
@@ -18,9 +21,11 @@ def chunk_bytes(total: int) -> int:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one set here where it is unset, as in tests."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or one set here where it is unset and there are no executors, as in tests."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = "/tmp/checkpoints/auditlake"
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
         spark.sparkContext.setCheckpointDir(folder)
@@ -35,6 +40,19 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def least_by_hash(rows: DataFrame, group: str, key: str, most: int) -> DataFrame:
+    """The ``most`` rows of each group with the least hash of their key.
+
+    Ranked first within ``_PARTS`` parts of a group, then among what is left, so that the last task
+    holds at most ``_PARTS`` * ``most`` rows of a group, however large it is.
+    """
+    by_hash = [F.xxhash64(key), F.col(key)]
+    parts = rows.withColumn("_part", F.pmod(F.xxhash64(key, F.lit("part")), F.lit(_PARTS)))
+    for within in ([group, "_part"], [group]):
+        parts = parts.withColumn("_rank", F.row_number().over(Window.partitionBy(*within).orderBy(*by_hash))).where(F.col("_rank") <= most).drop("_rank")
+    return parts.drop("_part")
+
+
 def checked_name(df: DataFrame, *names: str) -> None:
     missing = [n for n in names if n not in df.columns]
     if missing:

@@ -17,11 +17,11 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from auditlake.llm import _hashing as H
-from auditlake.llm._frames import checked_name
+from auditlake.llm._frames import checked_name, least_by_hash
 
 ORDER = 4
 _PIECE = 1 << 19
@@ -239,8 +239,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     """Fit on at most ``per_language`` rows of each non-null language, those of least xxhash64 of their id."""
     spark = docs.sparkSession
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), F.col(f"`{lang_col}`").alias("lang")).where("id is not null and text is not null and lang is not null")
-    by_hash = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    chosen = rows.select("id", "lang").withColumn("rank", F.row_number().over(by_hash)).where(F.col("rank") <= per_language).select("id", "lang").distinct()
+    chosen = least_by_hash(rows.select("id", "lang").distinct(), "lang", "id", per_language)
     sample = rows.join(F.broadcast(chosen), ["id", "lang"])
     got = sample.select("lang", "text").groupBy("lang").applyInArrow(_count_grams, "lang string, grams binary, counts binary").collect()
     model = fit({r.lang: (np.frombuffer(r.grams, np.uint32).reshape(-1, ORDER), np.frombuffer(r.counts, np.int64)) for r in got})
@@ -271,7 +270,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     language, which leaves ``lang_pred`` as it is.
 
     Defined cases: a null text or one without a letter is ``und`` with score 0, no cross-entropy and
-    rejected; ties go to the first language by name; a model without languages says ``und``
+    rejected; a text of any length is read whole, in slices; ties go to the first language by name; a model without languages says ``und``
     throughout; repeated rows get the same result; other columns are not looked at.
     """
     checked_name(docs, id_col, text_col)

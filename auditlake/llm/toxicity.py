@@ -18,11 +18,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from auditlake.llm import _hashing as H
-from auditlake.llm._frames import checked_name
+from auditlake.llm._frames import checked_name, least_by_hash
 
 _WORDS = H.alnum_words()
 HEADS = (4, 5, 6, 7, 8)
@@ -121,10 +121,9 @@ def fit(rows: list[tuple[int, np.ndarray]], grades: int, least_df: int = 5, leas
 
 
 def train(docs: DataFrame, graded: DataFrame, grades: int, id_col: str = "doc_id", text_col: str = "text", per_grade: int = 1000, split: bool = False) -> Model:
-    """``graded`` has the id and ``grade`` (0 to ``grades`` - 1; others and nulls are ignored)."""
+    """``graded`` has the id and ``grade`` (0 to ``grades`` - 1; others and nulls are ignored; a label that is repeated counts once)."""
     known = graded.select(F.col(f"`{id_col}`").alias("id"), F.col("grade").cast("int").alias("grade")).where(F.col("id").isNotNull() & F.col("grade").between(0, grades - 1))
-    by_hash = Window.partitionBy("grade").orderBy(F.xxhash64("id"), "id")
-    chosen = known.withColumn("rank", F.row_number().over(by_hash)).where(F.col("rank") <= per_grade).select("id", "grade")
+    chosen = least_by_hash(known.distinct(), "grade", "id", per_grade)
     # at most grades * per_grade ids
     sample = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).join(F.broadcast(chosen), "id").select("grade", "text")
 
@@ -141,7 +140,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     """Per row: the id column, ``severity`` (expected grade), ``p_toxic`` (P(grade > 0)) and ``toxic`` (p_toxic above ``limit``).
 
     Words are ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` after lower-casing A-Z.  Defined cases: a null or empty
-    text has no features and gets what the thresholds alone say; a model fit on no rows says 0 words matter;
+    text has no features and gets what the thresholds alone say; a text of any length is read whole, in slices; a model fit on no rows says 0 words matter;
     repeated rows get the same result; other columns are not looked at; empty tables are fine.
     """
     checked_name(docs, id_col, text_col)
