@@ -37,6 +37,14 @@ def parser() -> argparse.ArgumentParser:
     return top
 
 
+def listed(df, most: int = 1000) -> None:
+    """Prints rows, and says so where there are more than are shown."""
+    df.show(most, truncate=False)
+    total = df.count()
+    if total > most:
+        print(f"the first {most} of {total} rows are shown")
+
+
 def main(argv: list[str] | None = None) -> int:
     args = parser().parse_args(argv)
     from pyspark.sql import SparkSession
@@ -50,11 +58,11 @@ def main(argv: list[str] | None = None) -> int:
     name = F.element_at(F.split("path", "/"), -1)
     if args.verb == "query":
         df = catalogue.queries()[args.name](spark, args.folder)
-        df.write.mode("errorifexists").parquet(args.out) if args.out else df.show(50, truncate=80)
+        df.write.mode("errorifexists").parquet(args.out) if args.out else listed(df, 50)
         return 0
     if args.verb == "status":
         tags = spark.read.text(args.folder, wholetext=True).select(F.get_json_object("value", "$.schema").alias("schema"), F.get_json_object("value", "$.status").alias("status"))
-        tags.groupBy("schema", "status").count().orderBy("schema", "status").show(100, truncate=False)
+        listed(tags.groupBy("schema", "status").count().orderBy("schema", "status"))
         return 0
 
     def tokens(folder: str):
@@ -64,7 +72,7 @@ def main(argv: list[str] | None = None) -> int:
         counts = packages.inventory(tokens(args.folder))
         state = rules.source_state(F.col("foreign") + F.col("outside_main"), F.col("native"), F.col("converted"))
         found = counts.select(name.alias("name"), "*", state.alias("state")).drop("path")
-        found.orderBy("name").show(1000, truncate=False)
+        listed(found.orderBy("name"))
         return int(found.where("state = 'blocked'").limit(1).count() > 0)
     if args.verb == "cache-analyze":
         formulas = tokens(args.folder).where("kind = 'math'")
@@ -73,7 +81,7 @@ def main(argv: list[str] | None = None) -> int:
         return int(not summary.first().allowed)
     texts = [packages.paragraph_texts(tokens(f)).where(F.col("story") == packages.MAIN).select(name.alias("doc_id"), F.col("p").cast("long").alias("p"), "plain") for f in (args.source, args.working)]
     gate = compare.content_gate(*texts)
-    gate.orderBy("doc_id").show(1000, truncate=False)
+    listed(gate.orderBy("doc_id"))
     return 2 if gate.where("state <> 'exact'").limit(1).count() == 0 else 1
 
 

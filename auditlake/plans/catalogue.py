@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from auditlake.plans import contracts, evidence, formulas, layout, registry, repairs, texts, versions  # noqa: F401
+from auditlake.plans import contracts, evidence, formulas, layout, packages, registry, repairs, texts, versions  # noqa: F401
 
 
 def queries() -> dict:

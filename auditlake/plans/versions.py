@@ -201,11 +201,13 @@ def expected_increase(t: Tables):
     return t.events.withColumn("n", n).groupBy("user_id").agg(F.sum(more).alias("increase"), (F.count("*") + F.sum(more)).alias("expected_final"), F.min(F.when(F.col("n") > 1, F.col("event_id"))).alias("first_repair"))
 
 
-@query("""SELECT DISTINCT part_name, a.h AS before, b.h AS after FROM (SELECT CAST(doc_id AS VARCHAR) AS part_name, sha256(text) AS h FROM documents) a
-FULL JOIN (SELECT CAST(doc_id AS VARCHAR) AS part_name, sha256(CASE WHEN doc_id % 50 = 0 THEN text || '.' ELSE text END) AS h FROM documents WHERE doc_id % 97 <> 1) b USING (part_name) WHERE a.h IS DISTINCT FROM b.h""")
+@query("""SELECT package, part_name, a.h AS before, b.h AS after FROM (SELECT source AS package, CAST(doc_id AS VARCHAR) AS part_name, sha256(text) AS h FROM documents) a
+FULL JOIN (SELECT source AS package, CAST(doc_id AS VARCHAR) AS part_name, sha256(CASE WHEN doc_id % 50 = 0 THEN text || '.' ELSE text END) AS h FROM documents WHERE doc_id % 97 <> 1) b USING (package, part_name) WHERE a.h IS DISTINCT FROM b.h""")
 def changed_parts(t: Tables):
+    """Documents as the parts of their source."""
     from auditlake.sources.packages import changed_parts as differ
 
-    one = t.documents.select(F.col("doc_id").cast("string").alias("part_name"), F.sha2("text", 256).alias("part_sha256"))
-    two = t.documents.where("doc_id % 97 <> 1").select(F.col("doc_id").cast("string").alias("part_name"), F.sha2(F.when(F.col("doc_id") % 50 == 0, F.concat("text", F.lit("."))).otherwise(F.col("text")), 256).alias("part_sha256"))
-    return differ(one, two)
+    name = [F.col("source").alias("package"), F.col("doc_id").cast("string").alias("part_name")]
+    one = t.documents.select(*name, F.sha2("text", 256).alias("part_sha256"))
+    two = t.documents.where("doc_id % 97 <> 1").select(*name, F.sha2(F.when(F.col("doc_id") % 50 == 0, F.concat("text", F.lit("."))).otherwise(F.col("text")), 256).alias("part_sha256"))
+    return differ(one, two, ["package"])

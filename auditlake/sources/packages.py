@@ -8,9 +8,12 @@ from __future__ import annotations
 
 import hashlib
 import io
+import posixpath
 import re
+import stat
 import xml.etree.ElementTree as ET
 import zipfile
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -24,9 +27,10 @@ M = "{http://schemas.openxmlformats.org/officeDocument/2006/math}"
 O = "{urn:schemas-microsoft-com:office:office}"  # noqa: E741
 STORY = re.compile(r"word/(document|footnotes|endnotes|comments|header\d+|footer\d+)\.xml")
 MAIN = "word/document.xml"
+LIMIT_NODES = frozenset(f"{M}{name}" for name in ("limLow", "limUpp", "sSub", "sSup", "sSubSup"))
 
 _PARTS = "path string, doc_sha256 string, part_no int, part_name string, part_sha256 string, content binary"
-_TOKENS = "path string, story string, p int, pos int, kind string, text string, in_table boolean, progid string, style_id string, ole_style string"
+_TOKENS = "path string, story string, p int, pos int, kind string, text string, in_table boolean, progid string, style_id string, ole_style string, font string, vertical string, width double, height double, math_group int"
 
 
 def read_packages(spark: SparkSession, folder: str) -> DataFrame:
@@ -42,79 +46,190 @@ def safe_entry(name: str) -> bool:
 
 
 def parts(packages: DataFrame) -> DataFrame:
-    """One row per part, in the order of the package; what cannot be opened has a single row without part."""
+    """One row per part, in the order of the package; what cannot be opened has a single row without part.
+
+    Packages are opened one after the other; entries that step out of the package, are links, are encrypted
+    or cannot be read are left out.
+    """
+
+    def opened(path: str, content: bytes) -> list[tuple]:
+        digest = hashlib.sha256(content).hexdigest()
+        rows = []
+        try:
+            with zipfile.ZipFile(io.BytesIO(content)) as z:
+                for n, entry in enumerate(z.infolist(), 1):
+                    if not safe_entry(entry.filename) or stat.S_ISLNK(entry.external_attr >> 16) or entry.flag_bits & 1:
+                        continue
+                    try:
+                        body = z.read(entry)
+                    except (zipfile.BadZipFile, zlib.error, NotImplementedError, EOFError):
+                        continue
+                    rows.append((path, digest, n, entry.filename, hashlib.sha256(body).hexdigest(), body))
+        except zipfile.BadZipFile:
+            rows = [(path, digest, None, None, None, None)]
+        return rows
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = []
             for path, content in zip(batch["path"], batch["content"], strict=True):
-                digest = hashlib.sha256(content).hexdigest()
-                try:
-                    with zipfile.ZipFile(io.BytesIO(content)) as z:
-                        for n, name in enumerate(z.namelist(), 1):
-                            if safe_entry(name):
-                                body = z.read(name)
-                                rows.append((path, digest, n, name, hashlib.sha256(body).hexdigest(), body))
-                except zipfile.BadZipFile:
-                    rows.append((path, digest, None, None, None, None))
-            yield pd.DataFrame(rows, columns=["path", "doc_sha256", "part_no", "part_name", "part_sha256", "content"])
+                yield pd.DataFrame(opened(path, content), columns=["path", "doc_sha256", "part_no", "part_name", "part_sha256", "content"])
 
     return packages.mapInPandas(run, _PARTS)
 
 
-def _walk(node: ET.Element, inside: frozenset = frozenset()) -> Iterator[tuple[ET.Element, frozenset]]:
-    yield node, inside
-    below = inside | {node.tag}
-    for child in node:
-        yield from _walk(child, below)
+def _root(body: bytes) -> ET.Element | None:
+    """The root of a part; null for what is no XML."""
+    try:
+        return ET.fromstring(body)
+    except ET.ParseError:
+        return None
+
+
+def _walk(top: ET.Element, stop: str | None = None) -> Iterator[tuple[ET.Element, frozenset]]:
+    """Nodes in document order with the tags around them; what lies below a ``stop`` node within is left out."""
+    waiting = [(top, frozenset())]
+    while waiting:
+        node, inside = waiting.pop()
+        yield node, inside
+        if node is top or node.tag != stop:
+            below = inside | {node.tag}
+            waiting.extend((child, below) for child in reversed(node))
+
+
+def _points(style: str, name: str) -> float | None:
+    """A length in points from a list of style declarations."""
+    for part in style.split(";"):
+        key, _, value = part.partition(":")
+        if key.strip().lower() == name and value.strip().endswith("pt"):
+            try:
+                return float(value.strip()[:-2])
+            except ValueError:
+                return None
+    return None
 
 
 def _tokens(story: str, body: bytes) -> Iterator[tuple]:
-    """Tokens of every paragraph in document order: text, breaks, tabs, objects, formulas, fields."""
+    """Tokens of every paragraph in document order: text, breaks, tabs, objects, formulas, fields.
+
+    A paragraph within another (a text box) has its own tokens, which the outer one does not repeat.
+    """
     simple = {f"{W}br": ("br", "\n"), f"{W}cr": ("br", "\n"), f"{W}tab": ("tab", "\t"), f"{W}drawing": ("drawing", "￼")}
-    root = ET.fromstring(body)
+    root = _root(body)
     number = 0
-    for paragraph, around in _walk(root):
+    for paragraph, around in _walk(root) if root is not None else ():
         if paragraph.tag != f"{W}p":
             continue
         number += 1
         style = paragraph.find(f"{W}pPr/{W}pStyle")
         style_id = None if style is None else style.get(f"{W}val")
-        position = 0
-        for node, inside in _walk(paragraph):
-            kind, text, progid, look = None, None, None, None
+        position, font, group = 0, None, 0
+        for node, inside in _walk(paragraph, f"{W}p"):
+            if node.tag == f"{W}p" and node is not paragraph:
+                continue
+            kind, text, progid, look, size = None, None, None, None, (None, None)
+            if node.tag == f"{W}r":
+                fonts = node.find(f"{W}rPr/{W}rFonts")
+                font = None if fonts is None else fonts.get(f"{W}ascii") or fonts.get(f"{W}hAnsi")
+                raised = node.find(f"{W}rPr/{W}vertAlign")
+                vertical = None if raised is None else raised.get(f"{W}val")
+            elif node.tag == f"{M}oMathPara":
+                group += 1
             if node.tag == f"{W}t" and f"{M}oMath" not in inside:
                 kind, text = "text", node.text or ""
-            elif node.tag in simple and node is not paragraph and f"{W}pPr" not in inside:
+            elif node.tag in simple and f"{W}pPr" not in inside:
                 kind, text = simple[node.tag]
             elif node.tag == f"{M}oMath" and f"{M}oMath" not in inside:
                 kind, text = "math", "".join(t.text or "" for t in node.iter(f"{M}t"))
+            elif node.tag in LIMIT_NODES:
+                base = node.find(f"{M}e")
+                kind, text = node.tag[len(M) :], "" if base is None else "".join(t.text or "" for t in base.iter(f"{M}t"))
             elif node.tag == f"{O}OLEObject":
                 kind, text, progid = "object", "￼", node.get("ProgID") or ""
             elif node.tag.endswith("}shape") and node.get("style"):
                 kind, look = "shape", node.get("style")
+                size = _points(look, "width"), _points(look, "height")
             elif node.tag == f"{W}fldChar":
                 kind = {"begin": "fldBegin", "end": "fldEnd"}.get(node.get(f"{W}fldCharType", ""))
             elif node.tag == f"{W}instrText":
                 kind, text = "instr", node.text or ""
             if kind:
                 position += 1
-                yield story, number, position, kind, text, f"{W}tbl" in around, progid, style_id, look
+                is_run = f"{W}r" in inside
+                yield story, number, position, kind, text, f"{W}tbl" in around, progid, style_id, look, font if is_run else None, vertical if is_run else None, *size, group if f"{M}oMathPara" in inside else None
 
 
 def tokens(package_parts: DataFrame) -> DataFrame:
-    """Paragraph tokens of all stories."""
+    """Paragraph tokens of all stories; a part that is no XML has none."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [f.split()[0] for f in _TOKENS.split(", ")]
         for batch in batches:
-            rows = [(path, *t) for path, name, body in zip(batch["path"], batch["part_name"], batch["content"], strict=True) for t in _tokens(name, body)]
-            yield pd.DataFrame(rows, columns=names)
+            for path, name, body in zip(batch["path"], batch["part_name"], batch["content"], strict=True):
+                yield pd.DataFrame([(path, *t) for t in _tokens(name, body)], columns=names)
 
     stories = package_parts.where(F.col("part_name").rlike(f"^{STORY.pattern}$")).select("path", "part_name", "content")
     return stories.mapInPandas(run, _TOKENS)
 
 
+def styles(package_parts: DataFrame) -> DataFrame:
+    """``path, style_id, based_on, name, num_id, outline`` of the styles of each package."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for path, body in zip(batch["path"], batch["content"], strict=True):
+                root = _root(body)
+                rows = []
+                for style in root.iter(f"{W}style") if root is not None else ():
+                    found = [style.find(f"{W}{x}") for x in ("basedOn", "name", "pPr/" + W + "numPr/" + W + "numId", "pPr/" + W + "outlineLvl")]
+                    rows.append((path, style.get(f"{W}styleId"), *(None if x is None else x.get(f"{W}val") for x in found)))
+                yield pd.DataFrame(rows, columns=["path", "style_id", "based_on", "name", "num_id", "outline"])
+
+    return package_parts.where(F.col("part_name") == "word/styles.xml").select("path", "content").mapInPandas(run, "path string, style_id string, based_on string, name string, num_id string, outline string")
+
+
+def relationships(package_parts: DataFrame) -> DataFrame:
+    """``path, part_name, rel_id, kind, target`` of every relationship, and the hash of the part it leads to."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for path, name, body in zip(batch["path"], batch["part_name"], batch["content"], strict=True):
+                root = _root(body)
+                folder, file = name.replace("_rels/", "").removesuffix(".rels").rpartition("/")[::2]
+                rows = [
+                    (path, f"{folder}/{file}".lstrip("/"), r.get("Id"), (r.get("Type") or "").rpartition("/")[2], posixpath.normpath(posixpath.join(folder, r.get("Target") or "")).lstrip("/")) for r in (root if root is not None else ())
+                ]
+                yield pd.DataFrame(rows, columns=["path", "part_name", "rel_id", "kind", "target"])
+
+    rels = package_parts.where(F.endswith("part_name", F.lit(".rels"))).select("path", "part_name", "content")
+    found = rels.mapInPandas(run, "path string, part_name string, rel_id string, kind string, target string")
+    return found.join(package_parts.select("path", F.col("part_name").alias("target"), F.col("part_sha256").alias("target_sha256")), ["path", "target"], "left")
+
+
+def sections(package_parts: DataFrame) -> DataFrame:
+    """``path, section, text_width`` in points: the page without its margins."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for path, body in zip(batch["path"], batch["content"], strict=True):
+                root = _root(body)
+                rows = []
+                for n, section in enumerate(root.iter(f"{W}sectPr") if root is not None else (), 1):
+                    page, margin = section.find(f"{W}pgSz"), section.find(f"{W}pgMar")
+                    twips = [int(x.get(f"{W}{k}", "0")) if x is not None else 0 for x, k in ((page, "w"), (margin, "left"), (margin, "right"))]
+                    rows.append((path, n, (twips[0] - twips[1] - twips[2]) / 20 if twips[0] else None))
+                yield pd.DataFrame(rows, columns=["path", "section", "text_width"])
+
+    return package_parts.where(F.col("part_name") == MAIN).select("path", "content").mapInPandas(run, "path string, section int, text_width double")
+
+
+def formula_places(found: DataFrame) -> DataFrame:
+    """``path, ordinal, p``: the paragraph of each native formula of the main story, numbered through the document."""
+    from pyspark.sql import Window
+
+    rows = found.where((F.col("story") == MAIN) & (F.col("kind") == "math"))
+    return rows.select("path", F.row_number().over(Window.partitionBy("path").orderBy("p", "pos")).alias("ordinal"), "p", "text", "math_group")
+
+
 def paragraph_texts(found: DataFrame) -> DataFrame:
     """Two projections of each paragraph: ``plain`` drops objects, ``contract`` keeps a mark where one stood."""
     row = F.struct("pos", "kind", "text")
@@ -142,10 +257,10 @@ def inventory(found: DataFrame) -> DataFrame:
     )
 
 
-def changed_parts(one: DataFrame, two: DataFrame) -> DataFrame:
-    """Names of parts that differ between two versions of a package, with both hashes."""
-    a, b = one.select("part_name", F.col("part_sha256").alias("before")), two.select("part_name", F.col("part_sha256").alias("after"))
-    return a.join(b, "part_name", "full_outer").where(~F.col("before").eqNullSafe(F.col("after")))
+def changed_parts(one: DataFrame, two: DataFrame, key: list[str]) -> DataFrame:
+    """Parts that differ between two versions of packages, with both hashes; ``key`` names the package on both sides."""
+    a, b = one.select(*key, "part_name", F.col("part_sha256").alias("before")), two.select(*key, "part_name", F.col("part_sha256").alias("after"))
+    return a.join(b, [*key, "part_name"], "full_outer").where(~F.col("before").eqNullSafe(F.col("after")))
 
 
 SCHEMA = T.StructType([T.StructField("path", T.StringType()), T.StructField("content", T.BinaryType())])

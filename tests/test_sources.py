@@ -2,6 +2,7 @@ import json
 import zipfile
 
 from auditlake.sources import evidence, packages
+from pyspark.sql import functions as F
 
 NS = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main" xmlns:m="http://schemas.openxmlformats.org/officeDocument/2006/math" xmlns:o="urn:schemas-microsoft-com:office:office"'
 BODY = f"""<w:document {NS}><w:body>
@@ -38,7 +39,21 @@ def test_changed_parts(spark, tmp_path):
         (tmp_path / name).mkdir()
         package(tmp_path / name / "x.docx", body)
     one, two = (packages.parts(packages.read_packages(spark, str(tmp_path / n))) for n in "ab")
-    assert [r.part_name for r in packages.changed_parts(one, two).collect()] == ["word/document.xml"]
+    named = [d.withColumn("name", F.element_at(F.split("path", "/"), -1)) for d in (one, two)]
+    assert [(r.name, r.part_name) for r in packages.changed_parts(*named, ["name"]).collect()] == [("x.docx", "word/document.xml")]
+    # two packages compared with themselves
+    assert packages.changed_parts(*(d.unionByName(d.withColumn("name", F.lit("y"))) for d in (named[0], named[0])), ["name"]).count() == 0
+
+
+def test_parts_that_are_no_xml_and_text_boxes(spark, tmp_path):
+    package(tmp_path / "bad.docx", "<w:document")
+    inner = BODY.replace("<w:t>two</w:t>", "<w:t>two</w:t><w:p><w:r><w:t>boxed</w:t></w:r></w:p>")
+    package(tmp_path / "box.docx", inner)
+    texts = packages.paragraph_texts(packages.tokens(packages.parts(packages.read_packages(spark, str(tmp_path)))))
+    main = [r.plain for r in texts.where("story = 'word/document.xml'").orderBy("p").collect()]
+    assert main[:2] == ["one two", "boxed"]
+    deep = "<a>" * 5000 + "</a>" * 5000
+    assert sum(1 for _ in packages._walk(packages._root(deep.encode()))) == 5000
 
 
 def test_evidence(spark, tmp_path):
