@@ -11,8 +11,8 @@ relative frequency, with one place for all unknown words.
 * Counts cover all learned documents and grow with them.  Documents are dealt into chunks; a chunk
   sends each of its distinct words once, to the bucket of the word, and the bucket answers with its
   count.  A word that every document has is one entry a chunk.
-* Training takes ``STEPS`` synchronous steps, each over the documents of its share (by hash of the
-  id): tasks sum observed and expected counts of each feature and cell, sums of blocks of rows are
+* Training takes a synchronous step for each of ``SHARES``, over the documents of that share (by hash
+  of the id; each document is in one): tasks sum observed and expected counts of each feature and cell, sums of blocks of rows are
   added up, and the step is the gradient over its diagonal curvature.  Expected counts are whole
   numbers of 2**-16, so that sums do not depend on how rows are split: scores are a property of
   the documents alone.
@@ -39,10 +39,11 @@ CELLS = CLASSES * CLASSES
 OWN = 15 * CLASSES  # words with a cell of their own
 LEAST_ROWS, MOST_ROWS = 1 << 11, 1 << 16
 FEATURES = 3
-STEPS = 3
-RATE, PRIOR = 0.5, 4.0
+#: Tenths of the documents that each step sums; the first is the largest, because from no weights expected counts are products.
+SHARES = (6, 2, 2)
+RATE, PRIOR = 0.5, 8.0
 ONE = 1 << 16  # expected counts are whole numbers of 1 / ONE
-_BATCH = 4096
+_BATCH = 1 << 14
 _BLOCK = 16  # rows of a table that travel together
 _SLICE = 1 << 21
 _WORDS = H.whitespace_words(True)
@@ -134,16 +135,6 @@ def table_places(found: np.ndarray, classes: np.ndarray, size: int) -> np.ndarra
     return np.stack([found & _U(size - 1), cells & _U(size - 1)]).astype(np.int64)
 
 
-def _slices(batch: pa.RecordBatch, text_at: int) -> Iterator[tuple[int, int, list]]:
-    texts = batch.column(text_at).to_pylist()
-    start = held = 0
-    for i, text in enumerate(texts):
-        held += len(text or "")
-        if held >= _SLICE or i + 1 == len(texts):
-            yield start, i + 1, texts[start : i + 1]
-            start, held = i + 1, 0
-
-
 class Sums:
     """Observed and expected counts of every feature and class or cell over some documents, in whole numbers."""
 
@@ -151,6 +142,8 @@ class Sums:
         self.model = model
         self.observed = np.zeros((2, FEATURES, model.size, CLASSES), np.int64)
         self.expected = np.zeros((2, FEATURES, model.size, CLASSES), np.int64)
+        self.fresh = not model.tables.any()
+        self.times = np.zeros((2, FEATURES, model.size, CLASSES), np.int64) if self.fresh else None
 
     def add(self, texts: list) -> None:
         model = self.model
@@ -162,16 +155,39 @@ class Sums:
             classes = part // CLASSES
             rows = table_places(found[:, at : at + _BATCH], classes, model.size)
             for level, target in ((0, classes), (1, part % CLASSES)):
-                chance = np.rint(model.chances(level, rows[level], classes) * ONE).astype(np.int32)
+                for f in range(FEATURES):
+                    self._count(self.observed[level, f], rows[level, f], target)
+                    if self.fresh and level:
+                        self._count(self.times[1, f], rows[1, f], classes)
+                if self.fresh:
+                    continue
+                chance = self._whole(model.chances(level, rows[level], classes))
                 for f in range(FEATURES):
                     row = rows[level, f]
                     order = np.argsort(row, kind="stable")
                     first = np.flatnonzero(np.r_[True, np.diff(row[order]) != 0])
                     self.expected[level, f, row[order][first]] += np.add.reduceat(chance[order], first, axis=0)
-                    np.add.at(self.observed[level, f].reshape(-1), row * CLASSES + target, 1)
+
+    @staticmethod
+    def _whole(chance: np.ndarray) -> np.ndarray:
+        return np.rint(chance * ONE).astype(np.int32)
+
+    def _count(self, table: np.ndarray, rows: np.ndarray, columns: np.ndarray) -> None:
+        table += np.bincount(rows * CLASSES + columns, minlength=table.size).reshape(table.shape)
+
+    def settle(self) -> None:
+        """Without weights, what is expected of a feature is how often it came with a class, times the shares of the class's cells."""
+        if self.fresh:
+            none = np.zeros((FEATURES, 1), np.int64)
+            of_classes = self._whole(self.model.chances(0, none, none[0]))[0].astype(np.int64)
+            each = np.arange(CLASSES)
+            of_cells = self._whole(self.model.chances(1, np.zeros((FEATURES, CLASSES), np.int64), each)).astype(np.int64)
+            self.expected[0] = self.observed[0].sum(axis=-1, keepdims=True) * of_classes
+            self.expected[1] = self.times[1] @ of_cells
 
     def blocks(self) -> Iterator[tuple[int, bytes]]:
         """Blocks of rows that some token used."""
+        self.settle()
         observed, expected = (x.reshape(-1, _BLOCK * CLASSES) for x in (self.observed, self.expected))
         for block in np.flatnonzero(observed.any(axis=1)).tolist():
             yield block, observed[block].tobytes() + expected[block].tobytes()
@@ -190,16 +206,17 @@ def _batch(rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["block", "body"])
 
 
-def train(docs: DataFrame, model: Model, steps: int = STEPS) -> Model:
+def train(docs: DataFrame, model: Model, shares: tuple[int, ...] = SHARES) -> Model:
     """``docs``: id and text of the documents to learn from.  The model is changed in place and returned."""
     context = docs.sparkSession.sparkContext
-    for s in range(steps):
+    tenth = F.pmod(F.xxhash64("id"), F.lit(sum(shares)))
+    for s, size in enumerate(shares):
         shared = context.broadcast(model)
 
         def sums(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             held = Sums(shared.value)
             for batch in batches:
-                for _, _, texts in _slices(batch, 0):
+                for texts in _slices_of(batch.column(0).to_pylist()):
                     held.add(texts)
             rows: list[tuple[int, bytes]] = []
             for row in held.blocks():
@@ -217,7 +234,8 @@ def train(docs: DataFrame, model: Model, steps: int = STEPS) -> Model:
                     held[block] = held[block] + counts if block in held else counts
             yield _batch([(block, step(*np.split(counts, 2)).tobytes()) for block, counts in held.items()])
 
-        share = docs.where(F.pmod(F.xxhash64("id"), F.lit(steps)) == s) if steps > 1 else docs
+        low = sum(shares[:s])
+        share = docs.where((tenth >= low) & (tenth < low + size))
         flat = model.tables.reshape(-1, _BLOCK * CLASSES)
         # a block's sums all go to one partition and are added as they come
         for row in share.select("text").mapInArrow(sums, _PACKED).repartition("block").mapInArrow(added, _PACKED).toLocalIterator():
@@ -230,16 +248,26 @@ _MESSAGE = "bucket int, chunk int, words binary, times binary"
 _ANSWER = "chunk int, bucket int, counts binary, n array<long>, v array<long>, word array<long>, times array<long>"
 
 
-def _distinct(texts: list, learned: np.ndarray | None, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[tuple[int, int, int]]]:
-    """Distinct words of a chunk in order of their buckets, their learned counts, the index of sorted words among them, and the runs of buckets."""
+def _slices_of(texts: list) -> Iterator[list]:
+    start = held = 0
+    for i, text in enumerate(texts):
+        held += len(text or "")
+        if held >= _SLICE or i + 1 == len(texts):
+            yield texts[start : i + 1]
+            start, held = i + 1, 0
+
+
+def _distinct(found: list[tuple[np.ndarray, np.ndarray]], learned: np.ndarray | None, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[tuple[int, int, int]]]:
+    """Distinct words of a chunk (given as ``tokens`` of its slices), their learned counts, the order of their buckets, and the runs of buckets in it."""
     words: list[np.ndarray] = []
     times: list[np.ndarray] = []
-    for a in range(0, len(texts), 1024):
-        hashes, offsets = tokens(texts[a : a + 1024])
-        use = np.repeat(learned[a : a + 1024], np.diff(offsets)) if learned is not None else None
+    done = 0
+    for hashes, offsets in found:
+        n = len(offsets) - 1
         w, at = np.unique(hashes, return_inverse=True)
         words.append(w)
-        times.append(np.bincount(at, weights=use, minlength=len(w)) if use is not None else np.zeros(len(w)))
+        times.append(np.bincount(at, weights=np.repeat(learned[done : done + n], np.diff(offsets)), minlength=len(w)) if learned is not None else np.zeros(len(w)))
+        done += n
     every, at = np.unique(np.concatenate(words), return_inverse=True)
     counts = np.bincount(at, weights=np.concatenate(times), minlength=len(every)).astype(np.int64)
     home = ((every >> _U(24)) % _U(buckets)).astype(np.int64)
@@ -293,10 +321,8 @@ def counted_model(answers: DataFrame, size: int) -> Model:
     return Model(own[order], order.astype(np.int64), n, v, size)
 
 
-def score_texts(model: Model, texts: list, counts_of) -> tuple[np.ndarray, ...]:
-    """For each text: tokens, known tokens, sum of log10(count + 1), log10 probability; ``counts_of`` gives learned counts of hashes."""
-    hashes, offsets = tokens(texts)
-    count = counts_of(hashes)
+def score_tokens(model: Model, hashes: np.ndarray, offsets: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, ...]:
+    """For each text: tokens, known tokens, sum of log10(count + 1), log10 probability; ``count`` has the learned count of each token."""
     logs = np.log10(count + 1.0)
     cells, alone = model.cells(hashes)
     found = histories(hashes, offsets)
@@ -311,7 +337,7 @@ def score_texts(model: Model, texts: list, counts_of) -> tuple[np.ndarray, ...]:
     return np.diff(offsets), np.add.reduceat((count > 0).astype(np.int64), begin), np.add.reduceat(logs, begin), np.add.reduceat(each, begin)
 
 
-def score(docs: DataFrame, learned, id_col: str = "doc_id", text_col: str = "text", steps: int = STEPS) -> DataFrame:
+def score(docs: DataFrame, learned, id_col: str = "doc_id", text_col: str = "text", shares: tuple[int, ...] = SHARES) -> DataFrame:
     """Score every document; ``learned`` is a boolean column over ``docs``, true for those to learn from.
 
     Returns the id column, ``n_tokens`` (words and one end), ``n_known`` (tokens that occur in the
@@ -332,7 +358,8 @@ def score(docs: DataFrame, learned, id_col: str = "doc_id", text_col: str = "tex
     by_chunk = rows.withColumn("chunk", F.pmod(F.xxhash64("id", "text"), F.lit(chunks)).cast("int")).groupBy("chunk")
 
     def send(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        words, times, order, runs = _distinct(table["text"].to_pylist(), table["learned"].to_numpy().astype(float), buckets)
+        found = [tokens(texts) for texts in _slices_of(table["text"].to_pylist())]
+        words, times, order, runs = _distinct(found, table["learned"].to_numpy().astype(float), buckets)
         out = [(bucket, key[0].as_py(), words[order[a:b]].tobytes(), _packed(times[order[a:b]])) for bucket, a, b in runs]
         kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary())
         return pa.table({c: pa.array(x, k) for c, x, k in zip(("bucket", "chunk", "words", "times"), zip(*out, strict=True), kinds, strict=True)})
@@ -340,18 +367,16 @@ def score(docs: DataFrame, learned, id_col: str = "doc_id", text_col: str = "tex
     answers = stored(by_chunk.applyInArrow(send, _MESSAGE).groupBy("bucket").applyInArrow(_counted, _ANSWER), "counts")
     model = counted_model(answers, table_rows(total))
     n, v = int(model.n.sum()), int(model.v.sum())
-    shared = spark.sparkContext.broadcast(train(rows.where("learned and id is not null").select("id", "text"), model, steps))
+    shared = spark.sparkContext.broadcast(train(rows.where("learned and id is not null").select("id", "text"), model, shares))
 
     def run(key: tuple[pa.Scalar, ...], table: pa.Table, told: pa.Table) -> pa.Table:
-        texts = table["text"].to_pylist()
-        words, _, order, runs = _distinct(texts, None, buckets)
+        found = [tokens(texts) for texts in _slices_of(table["text"].to_pylist())]
+        words, _, order, runs = _distinct(found, None, buckets)
         payload = dict(zip(told["bucket"].to_pylist(), told["counts"].to_pylist(), strict=True))
         count = np.zeros(len(words), np.int64)
         for bucket, a, b in runs:
             count[order[a:b]] = _unpacked(payload[bucket], b - a)
-        parts = []
-        for _, _, some in _slices(table.select(["text"]).combine_chunks().to_batches()[0], 0):
-            parts.append(score_texts(shared.value, some, lambda h: count[np.searchsorted(words, h)]))
+        parts = [score_tokens(shared.value, hashes, offsets, count[np.searchsorted(words, hashes)]) for hashes, offsets in found]
         columns = [np.concatenate(c) for c in zip(*parts, strict=True)]
         return pa.table([table["id"], *(pa.array(c) for c in columns)], names=["id", "n_tokens", "n_known", "logs", "score"])
 

@@ -192,6 +192,22 @@ def test_scores_are_a_property_of_the_documents(spark, edges):
     assert one == two and len(one) == docs.count()
 
 
+def test_first_step_by_products_equals_the_sums():
+    rng = np.random.RandomState(5)
+    texts = [" ".join(f"w{rng.randint(400)}" for _ in range(200)) for _ in range(20)]
+    hashes, _ = language_model.tokens(texts)
+    words, counts = np.unique(hashes, return_counts=True)
+    cell = (words & np.uint64(language_model.CELLS - 1)).astype(int)
+    n, v = (np.bincount(cell, weights=x, minlength=language_model.CELLS).astype(np.int64) for x in (counts, np.ones(len(words))))
+    model = language_model.Model(np.zeros(0, np.uint64), np.zeros(0, np.int64), n, v, 2048)
+    one, two = language_model.Sums(model), language_model.Sums(model)
+    two.fresh = False
+    for sums in (one, two):
+        sums.add(texts)
+        sums.settle()
+    assert (one.observed == two.observed).all() and (one.expected == two.expected).all() and one.observed.sum() == 6 * len(hashes)
+
+
 def brute_model(texts, size, steps_of):
     """The model of a few texts with dictionaries: log10 probability of any text, word by word."""
     L = language_model
@@ -253,9 +269,9 @@ def test_language_model_against_brute_force(spark):
     texts = [" ".join(f"w{rng.zipf(1.15) % 5000}" for _ in range(rng.randint(1, 60))) for _ in range(60)]
     assert len({w for t in texts for w in t.split()}) > language_model.OWN + 100
     rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    share = {r.doc_id: r.s for r in rows.select("doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(language_model.STEPS)).alias("s")).collect()}
+    share = {r.doc_id: r.s for r in rows.select("doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(sum(language_model.SHARES))).alias("s")).collect()}
     learned = [i for i in range(60) if i % 4]
-    score = brute_model([texts[i] for i in learned], language_model.LEAST_ROWS, [[texts[i] for i in learned if share[i] == s] for s in range(language_model.STEPS)])
+    score = brute_model([texts[i] for i in learned], language_model.LEAST_ROWS, [[texts[i] for i in learned if at <= share[i] < at + size] for at, size in zip(np.cumsum([0, *language_model.SHARES]), language_model.SHARES, strict=False)])
     got = {r.doc_id: r for r in language_model.score(rows, F.col("doc_id") % 4 != 0).collect()}
     for i, t in enumerate(texts):
         assert math.isclose(got[i].score, score(t), rel_tol=1e-3), i
