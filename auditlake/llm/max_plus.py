@@ -5,7 +5,8 @@ the other begins, if the model allows the pair.  The best path is the tokenisati
 
 * unigram models: a piece weighs its score, every pair is allowed;
 * BPE models: pieces weigh nothing, and a pair is allowed if merging its characters by rank
-  gives the pair again.  A sequence whose neighbours are all allowed is the BPE encoding.
+  gives the pair again.  A sequence whose neighbours are all allowed is the BPE encoding; as all
+  paths weigh the same, the first path found is the best one.
 
 A state at a boundary is the piece that reaches it or straddles it.  A chunk is a matrix of best
 scores from the states at its begin to those at its end; matrices combine associatively.  Where
@@ -49,7 +50,10 @@ class Pieces:
         # ranks of a BPE model are whole numbers that fall by one
         values = sorted(self.scores.values(), reverse=True)
         self.bpe = all(v == int(v) for v in values[:1000])
-        self._single: dict[str, bool] = {}
+        # how each piece is merged from two; only for pieces that merging gives
+        self._halves: dict[str, tuple[str, str] | None] = {}
+        if self.bpe:
+            self._halves = {p: h for p in self.ids if (h := self._last_merge(p)) is not None or len(p) == 1}
         self._pairs: dict[tuple[str, str], bool] = {}
         self._words: dict[str, list[int]] = {}
         self.least = min(self.scores.values()) - 10
@@ -75,21 +79,52 @@ class Pieces:
                 return parts
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
 
+    def _last_merge(self, piece: str) -> tuple[str, str] | None:
+        """The two parts that merge last; null where merging does not give the piece."""
+        parts = list(piece)
+        while len(parts) > 2:
+            best, at = NEVER, -1
+            for i in range(len(parts) - 1):
+                score = self.scores.get(parts[i] + parts[i + 1], NEVER)
+                if score > best:
+                    best, at = score, i
+            if at < 0:
+                return None
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+        return (parts[0], parts[1]) if len(parts) == 2 else None
+
     def stands(self, piece: str) -> bool:
-        if not self.bpe or len(piece) == 1:
-            return True
-        if piece not in self._single:
-            self._single[piece] = self.merged(piece) == [piece]
-        return self._single[piece]
+        return not self.bpe or len(piece) == 1 or piece in self._halves
 
     def allowed(self, one: str, two: str) -> bool:
         if not self.bpe or (one[-1] != MARK and two[0] == MARK):
             return True
-        if (one, two) not in self._pairs:
+        key = one, two
+        if key not in self._pairs:
             if len(self._pairs) > _HELD:
                 self._pairs.clear()
-            self._pairs[one, two] = self.merged(one + two) == [one, two]
-        return self._pairs[one, two]
+            self._pairs[key] = self._apart(one, two)
+        return self._pairs[key]
+
+    def _apart(self, one: str, two: str) -> bool:
+        """Whether no merge crosses the border of two pieces: merges are undone from the last to the first, and at no time
+        may what stands at the border make a piece that would merge sooner than the next merge undone."""
+        scores, halves = self.scores, self._halves
+        next_left, next_right = NEVER, NEVER  # scores of the merge undone last, on either side
+        while True:
+            across = scores.get(one + two, NEVER)
+            # of equal merges the left one comes first
+            if across > NEVER and across > next_left and across >= next_right:
+                return False
+            left = scores[one] if halves.get(one) else None
+            right = scores[two] if halves.get(two) else None
+            if left is None and right is None:
+                return True
+            # the merge with the lower score came later
+            if right is None or (left is not None and left < right):
+                one, next_left, next_right = halves[one][1], left, NEVER
+            else:
+                two, next_left, next_right = halves[two][0], NEVER, right
 
     def weight(self, piece: str) -> float:
         return 0.0 if self.bpe else self.scores.get(piece, self.least)
@@ -106,6 +141,34 @@ class Pieces:
 
     def best(self, word: str) -> list[int]:
         """Ids of the best path over what lies between two forced cuts."""
+        return self._first(word) if self.bpe else self._heaviest(word)
+
+    def _first(self, word: str) -> list[int]:
+        """The first path, longest pieces first; a piece from which no path goes on is left for good."""
+        size, halves, longest = len(word), self._halves, self.longest
+        path: list[tuple[int, int]] = []
+        waiting: list[list[int]] = []  # ends still to try behind each piece of the path, the longest last
+        dead: set[tuple[int, int]] = set()
+        at = 0
+        while at < size:
+            if len(waiting) == len(path):
+                ends = [j for j in range(at + 1, min(size, at + longest) + 1) if word[at:j] in halves]
+                waiting.append(ends if ends and ends[0] == at + 1 else [at + 1, *ends])
+            before = word[path[-1][0] : at] if path else None
+            ends = waiting[-1]
+            while ends:
+                j = ends.pop()
+                if (at, j) not in dead and (before is None or self.allowed(before, word[at:j])):
+                    path.append((at, j))
+                    at = j
+                    break
+            else:
+                waiting.pop()
+                dead.add(path[-1])
+                at = path.pop()[0]
+        return [n for a, b in path for n in self.numbers(word[a:b])]
+
+    def _heaviest(self, word: str) -> list[int]:
         # {piece end: {piece begin: (score, begin of the piece before)}}
         ending: list[dict[int, tuple[float, int]]] = [{} for _ in range(len(word) + 1)]
         for i in range(len(word)):
