@@ -41,6 +41,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -94,22 +95,33 @@ def set_class(values: np.ndarray) -> int:
 
 
 def _slices(texts: list) -> Iterator[tuple[int, int]]:
+    return _runs_of([len(text or "") for text in texts])
+
+
+def _runs_of(sizes: list[int]) -> Iterator[tuple[int, int]]:
+    """Runs of texts of these sizes, each of about _SLICE."""
     start = held = 0
-    for i, text in enumerate(texts):
-        held += len(text or "")
+    for i, size in enumerate(sizes):
+        held += size
         if held >= _SLICE:
             yield start, i + 1
             start, held = i + 1, 0
-    if start < len(texts):
-        yield start, len(texts)
+    if start < len(sizes):
+        yield start, len(sizes)
+
+
+def _opened(column: pa.Array) -> Iterator[tuple[int, int, list]]:
+    """Slices of a column of texts, turned into strings one after the other."""
+    for a, b in _runs_of(pc.fill_null(pc.binary_length(column), 0).to_pylist()):
+        yield a, b, column.slice(a, b - a).to_pylist()
 
 
 def _sketches(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1).to_pylist()
-            for a, b in _slices(texts):
-                sets = shingle_sets([H.utf8(t) for t in texts[a:b]], size)
+            ids = batch.column(0)
+            for a, b, texts in _opened(batch.column(1)):
+                sets = shingle_sets([H.utf8(t) for t in texts], size)
                 yield pa.RecordBatch.from_arrays(
                     [
                         ids.slice(a, b - a),
@@ -228,9 +240,9 @@ def _pack_texts(size: int):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             packer = _Packer(buckets)
             for batch in batches:
-                classes, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-                for a, b in _slices(texts):
-                    yield packer.pack(classes[a:b], shingle_sets([H.utf8(t) for t in texts[a:b]], size))
+                classes = batch.column(0).to_pylist()
+                for a, b, texts in _opened(batch.column(1)):
+                    yield packer.pack(classes[a:b], shingle_sets([H.utf8(t) for t in texts], size))
 
         return run
 
@@ -427,9 +439,9 @@ def _of_use(lists: DataFrame) -> DataFrame:
 def _own_text(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, classes = batch.column(batch.schema.get_field_index("text")).to_pylist(), batch.column(batch.schema.get_field_index("cls")).to_pylist()
-            for a, b in _slices(texts):
-                kept = [(c, t, s) for c, t, s in zip(classes[a:b], texts[a:b], shingle_sets([H.utf8(t) for t in texts[a:b]], size), strict=True) if len(s) and set_class(s) == c]
+            classes = batch.column(batch.schema.get_field_index("cls")).to_pylist()
+            for a, b, texts in _opened(batch.column(batch.schema.get_field_index("text"))):
+                kept = [(c, t, s) for c, t, s in zip(classes[a:b], texts, shingle_sets([H.utf8(t) for t in texts], size), strict=True) if len(s) and set_class(s) == c]
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([c for c, _, _ in kept], pa.int64()),
