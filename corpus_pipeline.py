@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from auditlake.llm import sentencepiece_codec
-from auditlake.llm._frames import shared_folder
+from auditlake.llm._frames import shared_folder, stored
 from auditlake.llm.decontamination import decontaminate
 from auditlake.llm.near_duplicates import near_duplicates
 from auditlake.llm.quality_rules import quality_rules
@@ -48,9 +48,14 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     found = near_duplicates(docs.select("doc_id", "text")).where("doc_id is not null")
     ids = found.groupBy("doc_id").agg(F.count_if("kept").alias("kept"), F.count("*").alias("rows")).where("kept > 0")
-    single = docs.join(ids.where("rows = 1").select("doc_id"), "doc_id", "left_semi")
-    several = docs.join(ids.where("rows > 1").select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return single.unionByName(several).unionByName(docs.where("doc_id is null"))
+    ids = stored(ids.select("doc_id", "rows"), "kept")
+    kept = docs.join(ids.where("rows = 1").select("doc_id"), "doc_id", "left_semi").unionByName(docs.where("doc_id is null"))
+    repeated = ids.where("rows > 1").select("doc_id")
+    if repeated.isEmpty():
+        return kept
+    # of rows with equal hashes of their text one is kept
+    rows = docs.join(repeated, "doc_id", "left_semi").withColumn("__hash", F.sha2("text", 256))
+    return kept.unionByName(rows.dropDuplicates(["doc_id", "__hash"]).drop("__hash"))
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
