@@ -54,8 +54,12 @@ class Pieces:
         self._halves: dict[str, tuple[str, str] | None] = {}
         if self.bpe:
             self._halves = {p: h for p in self.ids if (h := self._last_merge(p)) is not None or len(p) == 1}
+        # length of the longest piece with these two characters in front
+        self._reach: dict[str, int] = {}
+        for p in self._halves:
+            self._reach[p[:2]] = max(len(p), self._reach.get(p[:2], 0))
         self._pairs: dict[tuple[str, str], bool] = {}
-        self._words: dict[str, list[int]] = {}
+        self._words: dict[str, tuple[int, ...]] = {}
         self.least = min(self.scores.values()) - 10
         # what each id decodes to; bytes are put together
         self.shown = [self._text(i) for i in range(n)]
@@ -145,28 +149,42 @@ class Pieces:
 
     def _first(self, word: str) -> list[int]:
         """The first path, longest pieces first; a piece from which no path goes on is left for good."""
-        size, halves, longest = len(word), self._halves, self.longest
+        size, halves, reach, pairs, ids = len(word), self._halves, self._reach, self._pairs, self.ids
         path: list[tuple[int, int]] = []
         waiting: list[list[int]] = []  # ends still to try behind each piece of the path, the longest last
         dead: set[tuple[int, int]] = set()
-        at = 0
+        at, before = 0, ""
         while at < size:
             if len(waiting) == len(path):
-                ends = [j for j in range(at + 1, min(size, at + longest) + 1) if word[at:j] in halves]
-                waiting.append(ends if ends and ends[0] == at + 1 else [at + 1, *ends])
-            before = word[path[-1][0] : at] if path else None
+                ends = [at + 1]
+                for j in range(at + 2, min(size, at + reach.get(word[at : at + 2], 0)) + 1):
+                    if word[at:j] in halves:
+                        ends.append(j)
+                waiting.append(ends)
             ends = waiting[-1]
             while ends:
                 j = ends.pop()
-                if (at, j) not in dead and (before is None or self.allowed(before, word[at:j])):
+                piece = word[at:j]
+                fits = not before or pairs.get((before, piece))
+                if fits is None:
+                    fits = self.allowed(before, piece)
+                if fits and (not dead or (at, j) not in dead):
                     path.append((at, j))
-                    at = j
+                    at, before = j, piece
                     break
             else:
                 waiting.pop()
                 dead.add(path[-1])
                 at = path.pop()[0]
-        return [n for a, b in path for n in self.numbers(word[a:b])]
+                before = word[path[-1][0] : at] if path else ""
+        out: list[int] = []
+        for a, b in path:
+            n = ids.get(word[a:b])
+            if n is None:
+                out += self.numbers(word[a:b])
+            else:
+                out.append(n)
+        return out
 
     def _heaviest(self, word: str) -> list[int]:
         # {piece end: {piece begin: (score, begin of the piece before)}}
@@ -202,7 +220,7 @@ class Pieces:
                 if len(word) <= _LONG:
                     if len(known) >= _HELD:
                         known.clear()
-                    known[word] = ids
+                    known[word] = tuple(ids)  # which the collector of cycles need not look at
             out += ids
         return out
 
