@@ -9,9 +9,11 @@ from auditlake.llm import language_id, language_model, sentencepiece_codec, toxi
 from auditlake.llm.decontamination import decontaminate
 from auditlake.llm.license_scan import scan_licences
 from auditlake.llm.near_duplicates import near_duplicates
+from auditlake.llm.periodic_runs import periodic_runs
 from auditlake.llm.quality_rules import COMMON_WORDS, quality_rules
 from auditlake.llm.substring_dedup import remove_repeats
 from auditlake.llm.url_filter import filter_urls
+from auditlake.llm.vector_search import top_k
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -206,6 +208,60 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("held_out", F.coalesce(~language_id.learned_from("doc_id", 5, 0), F.lit(False)))
 
 
+def op11_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five highest inner products of every fiftieth vector with all others."""
+    return top_k(_read(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 50 == 0)
+
+
+OP11_SQL = """
+WITH v AS (SELECT vec_id, [floor(256 * CAST(x AS DOUBLE)) FOR x IN embedding] AS e, row_number() OVER () AS n FROM embeddings
+           WHERE embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NOT NULL AND isfinite(x)]) = len(embedding)),
+s AS (SELECT q.n, q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score FROM v q JOIN v c ON q.n <> c.n WHERE q.vec_id % 50 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY n ORDER BY score DESC, vec_id NULLS LAST) AS rank FROM s)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+_SPACE_WORD = r"[^\x20\x09-\x0D]+"
+
+
+def with_period(docs: DataFrame) -> DataFrame:
+    """Texts of a tenth of the documents, by crc32 of the id, repeat a stretch from some word on to their end; others stay."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    cut = docs.withColumn("_g", F.floor(h / 10)).withColumn("_words", F.when(h % 10 == 0, F.regexp_extract_all("text", F.lit(_SPACE_WORD), F.lit(0))))
+    n = F.size("_words").cast("bigint")
+    a = F.col("_g") % n
+    p = 1 + F.floor((n - a) / (3 + F.col("_g") % 8))
+    start, period, rest = a.cast("int"), p.cast("int"), (n - a).cast("int")
+    unit = F.slice("_words", start + 1, period)
+    repeated = F.slice(F.flatten(F.array_repeat(unit, F.ceil(rest / period).cast("int"))), F.lit(1), rest)
+    text = F.when(n > 0, F.array_join(F.concat(F.slice("_words", F.lit(1), start), repeated), " ")).otherwise(F.col("text"))
+    return cut.withColumn("text", F.when(F.col("_words").isNotNull(), text).otherwise(F.col("text"))).select(*docs.columns)
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs(with_period(_read(spark, sf_dir, "documents").select("doc_id", "text")))
+    # runs come by start, then period, so the first of equal quotients is the one that ties ask for
+    best = F.aggregate(
+        "runs",
+        F.get("runs", F.lit(0)),
+        lambda x, y: F.when(y["length"] * x["period"] > x["length"] * y["period"], y).otherwise(x),
+    )
+    each = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    return (
+        found.withColumn("best", best)
+        .select(
+            "doc_id",
+            F.size("runs").cast("bigint").alias("n_runs"),
+            "best.start",
+            "best.length",
+            "best.period",
+            F.floor(1000 * F.col("best.length") / F.col("best.period")).alias("exponent_milli"),
+            F.sha2(F.array_join(each, ""), 256).alias("runs_sha256"),
+            F.sha2("collapsed_text", 256).alias("collapsed_sha256"),
+        )
+    )
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_decontamination": op2_decontamination,
@@ -217,5 +273,7 @@ QUERIES = {
     "op8_url_filter": op8_url_filter,
     "op9_lm_scoring": op9_lm_scoring,
     "op10_language_id": op10_language_id,
+    "op11_vector_search": op11_vector_search,
+    "op13_periodic_runs": op13_periodic_runs,
 }
-ORACLE_SQL = {"op2_decontamination": OP2_SQL, "op3_substring_dedup": OP3_SQL, "op6_quality_rules": OP6_SQL, "op7_minhash_near_dedup": OP7_SQL, "op8_url_filter": OP8_SQL}
+ORACLE_SQL = {"op2_decontamination": OP2_SQL, "op3_substring_dedup": OP3_SQL, "op6_quality_rules": OP6_SQL, "op7_minhash_near_dedup": OP7_SQL, "op8_url_filter": OP8_SQL, "op11_vector_search": OP11_SQL}
