@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from auditlake.llm import language_id, language_model, sentencepiece_codec, toxicity
+from auditlake.llm.conversation_repair import repair
 from auditlake.llm.decontamination import decontaminate
 from auditlake.llm.license_scan import scan_licences
 from auditlake.llm.near_duplicates import near_duplicates
@@ -221,6 +222,64 @@ r AS (SELECT *, row_number() OVER (PARTITION BY n ORDER BY score DESC, vec_id NU
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5
 """
 
+def damaged(rows: DataFrame) -> DataFrame:
+    """Conversation rows with one in four damaged, by crc32 of conversation and turn; a null is one space."""
+    blank = F.lit(" ")
+    key = F.concat_ws(":", *(F.coalesce(F.col(c).cast("string"), blank) for c in ("conv_id", "turn")))
+    fault = F.crc32(key.cast("binary")) % 20
+    text, role = F.coalesce("text", blank), F.coalesce("role", blank)
+    return rows.select(
+        "conv_id",
+        "turn",
+        F.when(fault == 4, "user").otherwise(role).alias("role"),
+        F.when(fault == 1, "").when(fault == 2, F.translate(text, ".!?", "")).otherwise(text).alias("text"),
+        F.explode(F.array_repeat(F.lit(0), F.when(fault == 0, 0).when(fault == 3, 2).otherwise(1))).alias("copy"),
+    ).drop("copy")
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    found = repair(damaged(rows))[0].withColumnRenamed("conv_id", "c")
+    every = rows.select("conv_id").distinct().join(found, F.col("conv_id").eqNullSafe(F.col("c")), "left").drop("c")
+    counts = ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")
+    nothing = {"audit": F.lit(""), "repaired_sha256": F.sha2(F.lit(""), 256)}
+    return every.select("conv_id", *(F.coalesce(c, F.lit(0).cast("bigint")).alias(c) for c in counts), *(F.coalesce(c, v).alias(c) for c, v in nothing.items()))
+
+
+OP12_SQL = r"""
+WITH RECURSIVE bits AS (SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: xor(c >> 1, (c & 1) * 3988292384)) AS c FROM range(256) r(i))),
+k AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, t,
+      [CAST(ascii(c) AS BIGINT) FOR c IN string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), '')] AS b FROM conversations, bits),
+f AS (SELECT *, xor(list_reduce(list_concat([4294967295], b), lambda c, x: xor(c >> 8, t[CAST(xor(c, x) & 255 AS INTEGER) + 1])), 4294967295) % 20 AS f FROM k),
+d AS (SELECT conv_id, turn, CASE f WHEN 4 THEN 'user' ELSE role END AS role, CASE f WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+      unnest(range(CASE f WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM f),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text), copy) AS p FROM d),
+r AS (SELECT conv_id, turn, p, role, text, left(role, 1) AS i, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY p) || left(role, 1) AS pair,
+      CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY p) > 1 THEN 'duplicate'
+           WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 'truncated' ELSE 'none' END AS fault FROM o),
+ins(a, b, c, t) AS (VALUES (0, 0, 0, ''), (0, 2, 3, 'I'), (0, 3, 6, 'II'), (1, 1, 0, ''), (1, 2, 3, 'I'), (1, 3, 6, 'II'), (2, 2, 0, ''), (2, 3, 3, 'I'), (3, 3, 0, ''), (3, 2, 3, 'I')),
+ed(a, b, c, t, i) AS (VALUES (0, 0, 4, 'D', NULL), (1, 1, 4, 'D', NULL), (2, 2, 4, 'D', NULL), (3, 3, 4, 'D', NULL), (0, 2, 3, 'R', NULL), (1, 2, 3, 'R', NULL), (2, 3, 3, 'R', NULL), (3, 2, 3, 'R', NULL),
+      (0, 1, 0, 'K', 's'), (0, 2, 0, 'K', 'u'), (1, 2, 0, 'K', 'u'), (3, 2, 0, 'K', 'u'), (2, 3, 0, 'K', 'a')),
+go AS (SELECT ins.a, ed.b, ins.c + ed.c AS c, ins.t || ed.t AS t, ed.t AS e, ed.i FROM ins JOIN ed ON ins.b = ed.a),
+w AS (SELECT conv_id, CAST(0 AS BIGINT) AS p, 0 AS s, {'c': CAST(0 AS BIGINT), 't': ''} AS x FROM (SELECT DISTINCT conv_id FROM r)
+      UNION ALL
+      SELECT w.conv_id, w.p + 1, go.b, min({'c': CAST(w.x.c + go.c + CASE WHEN r.fault = 'truncated' AND go.e <> 'D' THEN 3 ELSE 0 END AS BIGINT), 't': w.x.t || go.t})
+      FROM w JOIN r ON r.conv_id IS NOT DISTINCT FROM w.conv_id AND r.p = w.p + 1 JOIN go ON go.a = w.s AND (go.i IS NULL OR go.i = r.i) AND (go.e = 'D' OR r.fault NOT IN ('blank', 'duplicate'))
+      GROUP BY w.conv_id, w.p + 1, go.b),
+n AS (SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+      count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal FROM r GROUP BY conv_id),
+b AS (SELECT n.*, x.c AS cost, x.t AS audit FROM n JOIN (SELECT w.conv_id, w.p, min({'c': w.x.c + ins.c, 't': w.x.t || ins.t}) AS x FROM w JOIN ins ON ins.a = w.s AND ins.b IN (0, 3) GROUP BY ALL) z
+      ON z.conv_id IS NOT DISTINCT FROM n.conv_id AND z.p = n.n),
+l AS (SELECT conv_id, unnest(string_split(audit, '')) AS e, unnest(range(1, length(audit) + 1)) AS q FROM b WHERE audit <> ''),
+m AS (SELECT *, count(*) FILTER (e <> 'I') OVER (PARTITION BY conv_id ORDER BY q) AS p FROM l),
+g AS (SELECT m.conv_id, m.q, m.e, r.role, CASE WHEN m.e = 'I' THEN '' ELSE r.text END AS text, row_number() OVER (PARTITION BY m.conv_id ORDER BY m.q) AS nth,
+      first_value(m.e = 'K' AND r.i = 's') OVER (PARTITION BY m.conv_id ORDER BY m.q) AS s FROM m LEFT JOIN r ON r.conv_id IS NOT DISTINCT FROM m.conv_id AND r.p = m.p AND m.e <> 'I' WHERE m.e <> 'D'),
+h AS (SELECT conv_id, string_agg(CASE WHEN e = 'K' THEN role WHEN (nth - CASE WHEN s THEN 1 ELSE 0 END) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || text, chr(10) ORDER BY q) AS text FROM g GROUP BY conv_id)
+SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+       coalesce(cost, 0) AS cost, coalesce(audit, '') AS audit, sha256(coalesce(h.text, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN b ON b.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN h ON h.conv_id IS NOT DISTINCT FROM c.conv_id
+"""
+
 _SPACE_WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -274,6 +333,7 @@ QUERIES = {
     "op9_lm_scoring": op9_lm_scoring,
     "op10_language_id": op10_language_id,
     "op11_vector_search": op11_vector_search,
+    "op12_conversation_repair": op12_conversation_repair,
     "op13_periodic_runs": op13_periodic_runs,
 }
-ORACLE_SQL = {"op2_decontamination": OP2_SQL, "op3_substring_dedup": OP3_SQL, "op6_quality_rules": OP6_SQL, "op7_minhash_near_dedup": OP7_SQL, "op8_url_filter": OP8_SQL, "op11_vector_search": OP11_SQL}
+ORACLE_SQL = {"op2_decontamination": OP2_SQL, "op3_substring_dedup": OP3_SQL, "op6_quality_rules": OP6_SQL, "op7_minhash_near_dedup": OP7_SQL, "op8_url_filter": OP8_SQL, "op11_vector_search": OP11_SQL, "op12_conversation_repair": OP12_SQL}
