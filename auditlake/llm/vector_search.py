@@ -153,7 +153,7 @@ def _cell(queries: pa.Table, candidates: pa.Table, k: int) -> pa.Table:
     n = candidates.column("n").to_pylist()
     at = {pair: i for i, pair in enumerate(zip(rows, vectors, strict=True))}
     ids, asked = queries.column("vec_id").to_pylist(), queries.column("vector").to_pylist()
-    floors = queries.column("floor").cast(pa.float64()).fill_null(-math.inf).to_numpy(zero_copy_only=False)
+    floors = queries.column("floor").cast(pa.float64(), safe=False).fill_null(-math.inf).to_numpy(zero_copy_only=False)
     # a query whose row has copies finds the copies
     own = np.array([i if (i := at.get(pair, -1)) >= 0 and n[i] == 1 else -1 for pair in zip(ids, asked, strict=True)], np.int64)
     found = search(asked, floors, vectors, own, k) if ids and rows else []
@@ -202,6 +202,7 @@ def top_k(rows: DataFrame, asked: Column, k: int = 5, scale: int = 256) -> DataF
         left = floors.withColumn("r", F.explode(F.sequence(F.lit(first), F.lit(end - 1)))).select("g", F.col("r").cast("bigint").alias("r"), "vec_id", "vector", "n", "floor")
         right = dealt.where((F.col("r") >= first) & (F.col("r") < end))
         right = right.withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(across - 1)))).select(F.col("g").cast("bigint").alias("g"), "r", "vec_id", "vector", "n")
+        left, right = left.toDF(*left.columns), right.toDF(*right.columns)
         return left.groupBy("g", "r").cogroup(right.groupBy("g", "r")).applyInArrow(lambda q, x: _cell(q, x, k), _FOUND)
 
     first = math.ceil(down / 16)

@@ -103,13 +103,19 @@ def conversations(seed, many):
     return out
 
 
-@pytest.mark.parametrize("rows_a_piece", [4096, 3])
-def test_repair(spark, monkeypatch, rows_a_piece):
-    monkeypatch.setattr(C, "_PIECE_ROWS", rows_a_piece)
-    rows = conversations(rows_a_piece, 60)
+@pytest.mark.parametrize("coalesced", [True, False])
+def test_repair(spark, coalesced):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", coalesced)
+    try:
+        _repairs(spark, int(coalesced))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def _repairs(spark, seed):
+    rows = conversations(seed, 60)
     rows += [(99, t, "user" if t % 2 else "assistant", f"{t}." if t % 5 else "same.") for t in range(700)]  # over several tasks
     df = spark.createDataFrame([(*r, 1) for r in rows], "conv_id long, turn long, role string, text string, cost int").repartition(3)
-    # tasks have limits of their own here, set in the workers by the closure
     conversations_, turns = C.repair(df)
     got = {r.conv_id: tuple(r)[1:] for r in conversations_.collect()}
     by = {c: [r[1:] for r in rows if r[0] == c] for c in {r[0] for r in rows}}
