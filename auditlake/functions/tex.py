@@ -524,6 +524,7 @@ limit_placements_udf = _udf(limit_placements, T.ArrayType(_TEXTS))
 nfkc_udf = _udf(nfkc, _TEXT)
 anchor_udf = _udf(anchor, _TEXT)
 exported_udf = _udf(normalize_exported, _TEXT)
+safe_udf = _udf(lambda text: normalize(strip_delimiters(text)), _TEXT)
 canonical_xml_udf = _udf(canonical_xml, _TEXT)
 
 
