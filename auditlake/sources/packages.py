@@ -29,6 +29,9 @@ STORY = re.compile(r"word/(document|footnotes|endnotes|comments|header\d+|footer
 MAIN = "word/document.xml"
 LIMIT_NODES = frozenset(f"{M}{name}" for name in ("limLow", "limUpp", "sSub", "sSup", "sSubSup"))
 
+#: Unpacked bytes of the largest part that is read.
+MOST_BYTES = 512 << 20
+
 _PARTS = "path string, doc_sha256 string, part_no int, part_name string, part_sha256 string, content binary"
 _TOKENS = "path string, story string, p int, pos int, kind string, text string, in_table boolean, progid string, style_id string, ole_style string, font string, vertical string, width double, height double, math_group int"
 
@@ -46,10 +49,10 @@ def safe_entry(name: str) -> bool:
 
 
 def parts(packages: DataFrame) -> DataFrame:
-    """One row per part, in the order of the package; what cannot be opened has a single row without part.
+    """One row per part, in the order of the package; what cannot be opened, or has no entry that may be read, has a single row without part.
 
-    Packages are opened one after the other; entries that step out of the package, are links, are encrypted
-    or cannot be read are left out.
+    Packages are opened one after the other; entries that step out of the package, are links, are encrypted,
+    unpack to more than ``MOST_BYTES`` or cannot be read are left out.
     """
 
     def opened(path: str, content: bytes) -> list[tuple]:
@@ -61,13 +64,16 @@ def parts(packages: DataFrame) -> DataFrame:
                     if not safe_entry(entry.filename) or stat.S_ISLNK(entry.external_attr >> 16) or entry.flag_bits & 1:
                         continue
                     try:
-                        body = z.read(entry)
+                        with z.open(entry) as stream:
+                            body = stream.read(MOST_BYTES + 1)
+                        if len(body) > MOST_BYTES:
+                            continue
                     except (zipfile.BadZipFile, zlib.error, NotImplementedError, EOFError):
                         continue
                     rows.append((path, digest, n, entry.filename, hashlib.sha256(body).hexdigest(), body))
         except zipfile.BadZipFile:
-            rows = [(path, digest, None, None, None, None)]
-        return rows
+            rows = []
+        return rows or [(path, digest, None, None, None, None)]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -108,6 +114,13 @@ def _points(style: str, name: str) -> float | None:
     return None
 
 
+def _number(value: str) -> float | None:
+    try:
+        return float(value)
+    except ValueError:
+        return None
+
+
 def _tokens(story: str, body: bytes) -> Iterator[tuple]:
     """Tokens of every paragraph in document order: text, breaks, tabs, objects, formulas, fields.
 
@@ -188,25 +201,28 @@ def styles(package_parts: DataFrame) -> DataFrame:
 
 
 def relationships(package_parts: DataFrame) -> DataFrame:
-    """``path, part_name, rel_id, kind, target`` of every relationship, and the hash of the part it leads to."""
+    """``path, part_name, rel_id, kind, target, external`` of every relationship, and the hash of the part it leads to; a target outside stays as it is and has none."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for path, name, body in zip(batch["path"], batch["part_name"], batch["content"], strict=True):
                 root = _root(body)
                 folder, file = name.replace("_rels/", "").removesuffix(".rels").rpartition("/")[::2]
-                rows = [
-                    (path, f"{folder}/{file}".lstrip("/"), r.get("Id"), (r.get("Type") or "").rpartition("/")[2], posixpath.normpath(posixpath.join(folder, r.get("Target") or "")).lstrip("/")) for r in (root if root is not None else ())
-                ]
-                yield pd.DataFrame(rows, columns=["path", "part_name", "rel_id", "kind", "target"])
+                rows = []
+                for r in root if root is not None else ():
+                    external, target = r.get("TargetMode") == "External", r.get("Target") or ""
+                    inner = posixpath.normpath(posixpath.join("/" + folder, target)).lstrip("/")
+                    rows.append((path, f"{folder}/{file}".lstrip("/"), r.get("Id"), (r.get("Type") or "").rpartition("/")[2], target if external else inner, external))
+                yield pd.DataFrame(rows, columns=["path", "part_name", "rel_id", "kind", "target", "external"])
 
     rels = package_parts.where(F.endswith("part_name", F.lit(".rels"))).select("path", "part_name", "content")
-    found = rels.mapInPandas(run, "path string, part_name string, rel_id string, kind string, target string")
-    return found.join(package_parts.select("path", F.col("part_name").alias("target"), F.col("part_sha256").alias("target_sha256")), ["path", "target"], "left")
+    found = rels.mapInPandas(run, "path string, part_name string, rel_id string, kind string, target string, external boolean")
+    there = package_parts.select("path", F.col("part_name").alias("target"), F.lit(False).alias("external"), F.col("part_sha256").alias("target_sha256"))
+    return found.join(there, ["path", "target", "external"], "left")
 
 
 def sections(package_parts: DataFrame) -> DataFrame:
-    """``path, section, text_width`` in points: the page without its margins."""
+    """``path, section, text_width`` in points: the page without its margins; null where a size is no number."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -215,9 +231,9 @@ def sections(package_parts: DataFrame) -> DataFrame:
                 rows = []
                 for n, section in enumerate(root.iter(f"{W}sectPr") if root is not None else (), 1):
                     page, margin = section.find(f"{W}pgSz"), section.find(f"{W}pgMar")
-                    twips = [int(x.get(f"{W}{k}", "0")) if x is not None else 0 for x, k in ((page, "w"), (margin, "left"), (margin, "right"))]
-                    rows.append((path, n, (twips[0] - twips[1] - twips[2]) / 20 if twips[0] else None))
-                yield pd.DataFrame(rows, columns=["path", "section", "text_width"])
+                    twips = [_number(x.get(f"{W}{k}", "0")) if x is not None else 0.0 for x, k in ((page, "w"), (margin, "left"), (margin, "right"))]
+                    rows.append((path, n, None if None in twips or not twips[0] else (twips[0] - twips[1] - twips[2]) / 20))
+                yield pd.DataFrame(rows, columns=["path", "section", "text_width"]).astype({"text_width": float})
 
     return package_parts.where(F.col("part_name") == MAIN).select("path", "content").mapInPandas(run, "path string, section int, text_width double")
 
