@@ -1,4 +1,4 @@
-"""Verbs over packages and evidence.  Exit codes: 0 fine, 1 blocked or failed, 2 awaits review."""
+"""Verbs over packages and evidence.  Exit codes: 0 fine, 1 failed, 2 awaits review; of inspect 0 fine, 2 a package is blocked or cannot be read."""
 
 from __future__ import annotations
 
@@ -50,7 +50,7 @@ def main(argv: list[str] | None = None) -> int:
     from pyspark.sql import SparkSession
     from pyspark.sql import functions as F
 
-    from auditlake.operators import compare, duplicates, rules
+    from auditlake.operators import compare, duplicates
     from auditlake.plans import catalogue
     from auditlake.sources import packages
 
@@ -69,11 +69,10 @@ def main(argv: list[str] | None = None) -> int:
         return packages.tokens(packages.parts(packages.read_packages(spark, folder)))
 
     if args.verb == "inspect":
-        counts = packages.inventory(tokens(args.folder))
-        state = rules.source_state(F.col("foreign") + F.col("outside_main"), F.col("native"), F.col("converted"))
-        found = counts.select(name.alias("name"), "*", state.alias("state")).drop("path")
+        parts = packages.parts(packages.read_packages(spark, args.folder))
+        found = packages.document_states(parts, packages.tokens(parts)).select(name.alias("name"), "*").drop("path")
         listed(found.orderBy("name"))
-        return int(found.where("state = 'blocked'").limit(1).count() > 0)
+        return 2 * int(not found.where("state in ('blocked', 'invalid', 'no_document')").isEmpty())
     if args.verb == "cache-analyze":
         formulas = tokens(args.folder).where("kind = 'math'")
         summary = duplicates.worth_caching(duplicates.duplicate_summary(formulas, "text"), args.least)

@@ -15,6 +15,8 @@ FOREIGN_PRIMES = "′″‴⁗ʹʺ’‘"
 SUPERSCRIPTS = "⁰¹²³⁴⁵⁶⁷⁸⁹⁺⁻"
 SUPERSCRIPT_DIGITS = "0123456789+-"
 CONTROL = r"[\x00-\x08\x0b\x0c\x0e-\x1f]"
+# Orders of the prime glyphs that sources use.
+SOURCE_PRIMES = {"′": 1, "ʹ": 1, "’": 1, "‘": 1, "″": 2, "ʺ": 2, "‴": 3}
 LABEL_LINE_START = r"(?md)^([ \t\u3000]*(?:[0-9０-９]+|[（(][0-9０-９]+[)）]))、"
 LABEL_ANYWHERE = r"(?<![0-9０-９])((?:[0-9０-９]+|[（(][0-9０-９]+[)）]))、"
 
@@ -68,9 +70,9 @@ def prime_orders(tex: Column) -> Column:
 
 
 def source_prime_orders(text: Column) -> Column:
-    """The same for source glyphs: runs of apostrophes count their length."""
-    found = F.regexp_extract_all(text, F.lit(r"('+|[′″‴])"), F.lit(1))
-    return F.transform(found, lambda t: F.when(t == "′", 1).when(t == "″", 2).when(t == "‴", 3).otherwise(F.length(t)))
+    """The same for glyphs of a source: apostrophes count in runs of at most three, other glyphs by themselves."""
+    found = F.regexp_extract_all(text, F.lit(f"('{{1,3}}|[{''.join(SOURCE_PRIMES)}])"), F.lit(1))
+    return F.transform(found, lambda t: F.coalesce(*(F.when(t == g, n) for g, n in SOURCE_PRIMES.items()), F.length(t)))
 
 
 def prime_issues(tex: Column) -> Column:

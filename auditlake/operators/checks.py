@@ -10,7 +10,8 @@ from auditlake.operators.rules import errors, holds
 
 # Most ordinals in one batch, by kind of work; kinds of targets in a map; decisions of a review.
 BATCH_LIMITS = {"baseline": 3, "inline": 12, "review": 24, "export": 48}
-TARGET_KINDS = ("source", "added_numbering", "added_reference")
+TARGET_KINDS = ("source_formula", "source_formula_visual", "added_body_math")
+MAP_SCHEMA = "formula-map/v1"
 DECISIONS = ("approved", "rebuild")
 # Steps of a recognition job.
 JOB_STEPS = {
@@ -35,22 +36,35 @@ def internal_audit(header: DataFrame, exports: DataFrame, key: str = "audit_id")
 
 
 def formula_map(header: DataFrame, targets: DataFrame, key: str = "map_id") -> DataFrame:
-    """Kinds, anchors, and that every source and final ordinal has exactly one owner."""
-    each = targets.select(key, F.explode("final_ordinals").alias("o"))
-    finals = each.groupBy(key).agg(F.count("*").alias("final_n"), F.countDistinct("o").alias("final_kinds"), F.min("o").alias("final_low"), F.max("o").alias("final_high"))
-    source = F.col("kind") == "source"
-    sources = targets.groupBy(key).agg(
-        F.count_if(source).alias("source_n"), F.countDistinct(F.when(source, F.col("source_ordinal"))).alias("source_kinds"), F.min(F.when(source, F.col("source_ordinal"))).alias("source_low"), F.max(F.when(source, F.col("source_ordinal"))).alias("source_high"),
-        F.count_if(~holds(F.col("kind").isin(*TARGET_KINDS))).alias("bad_kinds"), F.count_if(source & blank(F.col("source_anchor"))).alias("no_anchor"), F.count_if(blank(F.col("expected_tex"))).alias("no_tex"), F.count_if(~holds(F.size("final_ordinals") > 0)).alias("no_output"),
+    """Is a map bound to its two documents, and has every formula of both exactly one owner?  ``key, rule, priority``.
+
+    ``header``: schema, source_path, source_sha256, source_count and final_path, final_sha256, final_count as the map says, and the
+    same with ``now_``.  ``targets``: target_id, kind, source_ordinal, source_anchor, expected_tex, final_ordinals.
+    """
+    named = targets.groupBy(key, "target_id").agg(F.count("*").alias("n")).groupBy(key).agg(F.count_if(blank(F.col("target_id")) | (F.col("n") > 1)).alias("bad_ids"))
+    finals = targets.select(key, F.explode(F.array_distinct("final_ordinals")).alias("o")).groupBy(key, "o").agg(F.count("*").alias("owners"))
+    final = finals.join(header.select(key, "now_final_count"), key).groupBy(key).agg(
+        F.count_if(F.col("owners") > 1).alias("shared"), F.count_if(~holds(F.col("o").between(1, F.col("now_final_count")))).alias("final_outside"), F.count_if(F.col("o").between(1, F.col("now_final_count"))).alias("final_inside"),
     )
-    both = header.join(finals, key, "left").join(sources, key, "left")
-
-    def covers(side: str, total: str):
-        return (F.col(f"{side}_kinds") == F.col(total)) & (F.col(f"{side}_low") == 1) & (F.col(f"{side}_high") == F.col(total))
-
+    of_source = targets.where(holds(F.col("kind") == "source_formula") & holds(F.size("final_ordinals") > 0))
+    source = of_source.groupBy(key, "source_ordinal").agg(F.count("*").alias("n")).join(header.select(key, "now_source_count"), key).groupBy(key).agg(
+        F.count_if(F.col("source_ordinal").isNull()).alias("invalid"), F.count_if(F.col("n") > 1).alias("twice"), F.count_if(~F.col("source_ordinal").between(1, F.col("now_source_count"))).alias("source_outside"), F.count_if(F.col("source_ordinal").between(1, F.col("now_source_count"))).alias("source_inside"),
+    )
+    rows = targets.groupBy(key).agg(
+        F.count_if(~holds(F.col("kind").isin(*TARGET_KINDS))).alias("bad_kinds"), F.count_if(blank(F.col("source_anchor"))).alias("no_anchor"), F.count_if(blank(F.col("expected_tex"))).alias("no_tex"), F.count_if(~holds(F.size("final_ordinals") > 0)).alias("no_output"),
+        F.count_if(F.size(F.array_distinct("final_ordinals")) < F.size("final_ordinals")).alias("repeated"),
+    )
+    both = header
+    for part in (named, final, source, rows):
+        both = both.join(part, key, "left")
+    zero = lambda c: F.coalesce(c, F.lit(0)) == 0
+    same = lambda c: F.col(c).eqNullSafe(F.col(f"now_{c}"))
     return errors(
-        both, key, ("stale_source", F.lower("source_sha256") == F.lower("expected_source")), ("kind", F.col("bad_kinds") == 0), ("source_anchor", F.col("no_anchor") == 0), ("expected_tex", F.col("no_tex") == 0), ("no_output", F.col("no_output") == 0),
-        ("several_owners", (F.col("final_n") == F.col("final_kinds")) & (F.col("source_n") == F.col("source_kinds"))), ("source_coverage", covers("source", "formula_count")), ("final_coverage", covers("final", "axmath_count")),
+        both, key, ("schema", F.endswith("schema", F.lit(MAP_SCHEMA))), ("other_source", F.col("source_path") == F.col("now_source_path")), ("stale_source", F.lower("source_sha256") == F.lower("now_source_sha256")), ("source_count", same("source_count")),
+        ("other_final", F.col("final_path") == F.col("now_final_path")), ("stale_final", F.lower("final_sha256") == F.lower("now_final_sha256")), ("final_count", same("final_count")), ("target_id", zero("bad_ids")), ("no_output", zero("no_output")),
+        ("repeated_output", zero("repeated")), ("final_out_of_range", zero("final_outside")), ("several_owners", zero("shared")), ("source_ordinal", zero("invalid")), ("source_out_of_range", zero("source_outside")), ("source_mapped_twice", zero("twice")),
+        ("source_anchor", zero("no_anchor")), ("expected_tex", zero("no_tex")), ("kind", zero("bad_kinds")),
+        ("source_coverage", (F.coalesce("source_inside", F.lit(0)) == F.col("now_source_count")) & zero("source_outside") & zero("invalid")), ("final_coverage", (F.coalesce("final_inside", F.lit(0)) == F.col("now_final_count")) & zero("final_outside")),
     )
 
 

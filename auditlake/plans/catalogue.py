@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from auditlake.plans import contracts, diagnosis, evidence, formulas, layout, maps, office, packages, pairs, registry, repairs, texts, versions  # noqa: F401
+from auditlake.plans import acceptance, contracts, diagnosis, evidence, formulas, layout, maps, office, packages, pairs, registry, repairs, texts, versions  # noqa: F401
 
 
 def queries() -> dict:

@@ -30,16 +30,33 @@ def internal_audit_errors(t: Tables):
     return checks.internal_audit(header, exports)
 
 
-@query("""WITH t AS (SELECT l_orderkey AS map_id, l_linenumber AS s, [l_linenumber, l_linenumber + 1] AS f FROM lineitem WHERE l_linenumber % 2 = 1),
-e AS (SELECT map_id, unnest(f) AS o FROM t), c AS (SELECT map_id, count(*) AS n, count(DISTINCT o) AS k, min(o) AS lo, max(o) AS hi FROM e GROUP BY 1), g AS (SELECT map_id, count(*) AS n, count(DISTINCT s) AS k FROM t GROUP BY 1),
-b AS (SELECT map_id, c.n AS cn, c.k AS ck, lo, hi, g.n AS gn, g.k AS gk FROM c JOIN g USING (map_id))
-SELECT map_id, 'several_owners' AS rule FROM b WHERE cn <> ck OR gn <> gk UNION ALL SELECT map_id, 'final_coverage' FROM b WHERE NOT (ck = 6 AND lo = 1 AND hi = 6)""")
+@query("""WITH h AS (SELECT o_orderkey AS k, count(*) AS n FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1), r AS (SELECT k, n, unnest([CASE WHEN k % 40 = 1 THEN 'schema' END, CASE WHEN k % 40 = 2 THEN 'other_source' END, CASE WHEN k % 40 = 3 THEN 'stale_source' END, CASE WHEN k % 40 = 4 THEN 'source_count' END, CASE WHEN k % 40 = 5 THEN 'other_final' END, CASE WHEN k % 40 = 6 THEN 'stale_final' END,
+  CASE WHEN k % 40 = 7 THEN 'final_count' END, CASE WHEN k % 40 = 32 THEN 'target_id' END, CASE WHEN k % 40 = 33 THEN 'no_output' END, CASE WHEN k % 40 = 34 THEN 'repeated_output' END, CASE WHEN k % 40 = 35 THEN 'final_out_of_range' END, CASE WHEN k % 40 = 36 AND n > 1 THEN 'several_owners' END, CASE WHEN k % 40 = 37 THEN 'source_ordinal' END,
+  CASE WHEN k % 40 = 38 THEN 'source_out_of_range' END, CASE WHEN k % 40 = 39 AND n > 1 THEN 'source_mapped_twice' END, CASE WHEN k % 40 = 0 THEN 'source_anchor' END, CASE WHEN k % 40 = 0 THEN 'expected_tex' END, CASE WHEN k % 40 = 1 THEN 'kind' END,
+  CASE WHEN k % 40 IN (1, 33, 37, 38) OR (k % 40 = 39 AND n > 1) THEN 'source_coverage' END, CASE WHEN k % 40 IN (33, 35) OR (k % 40 = 36 AND n > 1) THEN 'final_coverage' END]) AS rule FROM h) SELECT k AS map_id, rule FROM r WHERE rule IS NOT NULL""")
 def formula_map_errors(t: Tables):
-    """Odd lines own themselves and the next; a map should cover six outputs."""
-    rows = t.lineitem.where("l_linenumber % 2 = 1")
-    targets = rows.select(F.col("l_orderkey").alias("map_id"), F.lit("source").alias("kind"), F.col("l_linenumber").alias("source_ordinal"), F.lit("a").alias("source_anchor"), F.lit("x").alias("expected_tex"), F.array(F.col("l_linenumber"), F.col("l_linenumber") + 1).alias("final_ordinals"))
-    header = rows.select(F.col("l_orderkey").alias("map_id")).distinct().select("map_id", F.lit("h").alias("source_sha256"), F.lit("H").alias("expected_source"), F.lit(3).alias("formula_count"), F.lit(6).alias("axmath_count"))
-    return checks.formula_map(header, targets).where("rule in ('several_owners', 'final_coverage')").drop("priority")
+    """Every order is a map: its lines are formulas, every third of them has two outputs; one order in forty breaks each rule."""
+    from pyspark.sql import Window
+
+    lines = t.lineitem.join(t.orders.select(F.col("o_orderkey").alias("l_orderkey")), "l_orderkey", "left_semi")
+    s = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber"))
+    # a third formula has two outputs, so the outputs before one are as many as formulas and thirds before it
+    rows = lines.select(F.col("l_orderkey").alias("map_id"), s.alias("s")).select("map_id", "s", (F.col("s") + F.floor((F.col("s") - 1) / 3)).alias("f"), F.when(F.col("s") % 3 == 0, 2).otherwise(1).alias("w"), (F.col("s") == 1).alias("first"))
+    m, odd = F.col("map_id") % 40, lambda n: (F.col("map_id") % 40 == n) & F.col("first")
+    own = F.when(F.col("w") == 2, F.array("f", F.col("f") + 1)).otherwise(F.array("f"))
+    outputs = F.when(odd(33), F.array().cast("array<bigint>")).when(odd(34), F.array("f", "f")).when(odd(35), F.array("f", F.lit(10000).cast("bigint"))).when((m == 36) & (F.col("s") == 2), F.array(F.lit(1).cast("bigint"))).otherwise(own)
+    targets = rows.select(
+        "map_id", F.when(odd(32), " ").otherwise(F.format_string("SRC-%04d", "s")).alias("target_id"), F.when(odd(1), "other").otherwise("source_formula").alias("kind"),
+        F.when(odd(37), None).when(odd(38), 999).when((m == 39) & (F.col("s") == 2), 1).otherwise(F.col("s")).cast("long").alias("source_ordinal"),
+        F.when(odd(0), "").otherwise("near").alias("source_anchor"), F.when(odd(0), None).otherwise("x").alias("expected_tex"), outputs.alias("final_ordinals"),
+    )
+    header = rows.groupBy("map_id").agg(F.count("*").alias("n"), F.sum("w").alias("w"))
+    when = lambda n, a, b: F.when(m == n, a).otherwise(b)
+    header = header.select(
+        "map_id", when(1, "other/v1", f"x-{checks.MAP_SCHEMA}").alias("schema"), F.lit("s").alias("source_path"), when(2, "t", "s").alias("now_source_path"), F.lit("AB").alias("source_sha256"), when(3, "ac", "ab").alias("now_source_sha256"), (F.col("n") + when(4, 1, 0)).alias("source_count"), F.col("n").alias("now_source_count"),
+        F.lit("f").alias("final_path"), when(5, "g", "f").alias("now_final_path"), F.lit("cd").alias("final_sha256"), when(6, None, "CD").alias("now_final_sha256"), when(7, None, F.col("w")).alias("final_count"), F.col("w").alias("now_final_count"),
+    )
+    return checks.formula_map(header, targets).drop("priority")
 
 
 @query("""WITH a AS (SELECT doc_id AS ordinal, sha256(text) AS h FROM documents), b AS (SELECT CASE WHEN doc_id % 23 = 0 THEN -1 - doc_id ELSE doc_id END AS ordinal, CASE WHEN doc_id % 17 = 0 THEN 'stale' ELSE sha256(text) END AS h, CASE WHEN doc_id % 5 = 0 THEN 'maybe' ELSE 'approved' END AS decision FROM documents),

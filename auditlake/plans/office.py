@@ -244,3 +244,14 @@ def office_clones(t: Tables):
     links = F.when((F.col("n") == 1) & (F.col("conv_id") % 3 > 0), F.array(F.lit("rId2"), F.lit("rId3"))).when(F.col("n") > 1, F.array(F.when(F.col("conv_id") % 2 == 0, "rId4").otherwise("rId5")))
     made = writer.cloned(_packages(t), objects.select(F.col("conv_id").cast("string").alias("path"), F.explode(links).alias("rel_id")))
     return made.select("path", "status", F.coalesce("clones", F.array().cast("array<struct<rel_id:string,new_id:string,new_part:string>>")).alias("clones"))
+
+
+@query(f"""WITH {_T}, c AS (SELECT path, conv_id, count(*) AS n, count(*) FILTER (turn % 2 = 1) AS native, count(*) FILTER (turn % 5 = 0) AS converted FROM t GROUP BY ALL)
+SELECT path, CASE WHEN conv_id % 7 IN (3, 5) THEN 0 ELSE n END AS paragraphs, CASE WHEN conv_id % 7 IN (3, 5) THEN 0 ELSE native END AS native, CASE WHEN conv_id % 7 IN (3, 5) THEN 0 ELSE converted END AS converted, CAST(0 AS BIGINT) AS "foreign", CAST(0 AS BIGINT) AS outside_main,
+  CASE WHEN conv_id % 7 = 3 THEN 'invalid' WHEN conv_id % 7 = 5 THEN 'no_document' WHEN native > 0 AND converted > 0 THEN 'mixed' WHEN native > 0 THEN 'ready_officemath' WHEN converted > 0 THEN 'already_axmath' ELSE 'no_native_math' END AS state FROM c""")
+def office_states(t: Tables):
+    """Every package has a state, also one that was cut short and one whose main part is gone."""
+    conv = F.col("path").cast("long") % 7
+    packages = _packages(t).withColumn("content", F.when(conv == 3, F.substring("content", 1, 40)).otherwise(F.col("content")))
+    parts = stored(P.parts(packages).where(~((conv == 5) & (F.coalesce("part_name", F.lit("")) == P.MAIN))), "parts")
+    return P.document_states(parts, P.tokens(parts)).select("path", "paragraphs", "native", "converted", "foreign", "outside_main", "state")

@@ -273,6 +273,25 @@ def inventory(found: DataFrame) -> DataFrame:
     )
 
 
+def document_states(package_parts: DataFrame, found: DataFrame) -> DataFrame:
+    """One row for every package, also those that cannot be opened: its counts (0 where unknown) and its state.
+
+    ``invalid``: no package, or one without an entry that may be read; ``no_document``: its main part is missing or no XML;
+    else what its formulas and objects say.
+    """
+    from auditlake.operators.rules import source_state
+
+    known = package_parts.groupBy("path").agg(F.count("part_name").alias("parts"), F.count_if(F.col("part_name") == MAIN).alias("main"))
+    counts = inventory(found)
+    names = [c for c in counts.columns if c != "path"]
+    readable = found.where(F.col("story") == MAIN).select("path").distinct().withColumn("readable", F.lit(True))
+    both = known.join(counts, "path", "left").join(readable, "path", "left")
+    zero = F.lit(0).cast("long")
+    both = both.select("path", "parts", "main", "readable", *(F.coalesce(c, zero).alias(c) for c in names))
+    state = F.when(F.col("parts") == 0, "invalid").when((F.col("main") == 0) | F.col("readable").isNull(), "no_document").otherwise(source_state(F.col("foreign") + F.col("outside_main"), F.col("native"), F.col("converted")))
+    return both.select("path", *names, state.alias("state"))
+
+
 def changed_parts(one: DataFrame, two: DataFrame, key: list[str]) -> DataFrame:
     """Parts that differ between two versions of packages, with both hashes; ``key`` names the package on both sides."""
     a, b = one.select(*key, "part_name", F.col("part_sha256").alias("before")), two.select(*key, "part_name", F.col("part_sha256").alias("after"))

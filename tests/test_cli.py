@@ -20,7 +20,10 @@ def test_verbs(spark, tmp_path):
     for side, body in (("a", BODY), ("b", BODY), ("c", BODY.replace("two", "three"))):
         (tmp_path / side).mkdir()
         package(tmp_path / side / "x.docx", body)
-    assert cli.main(["inspect", str(tmp_path / "a")]) == 1  # a foreign object blocks
+    assert cli.main(["inspect", str(tmp_path / "a")]) == 2  # a foreign object blocks
+    (tmp_path / "d").mkdir()
+    (tmp_path / "d" / "y.docx").write_bytes(b"no package")
+    assert cli.main(["inspect", str(tmp_path / "d")]) == 2
     assert cli.main(["compare", str(tmp_path / "a"), str(tmp_path / "b")]) == 2  # equal, but a review is still due
     assert cli.main(["compare", str(tmp_path / "a"), str(tmp_path / "c")]) == 1
     assert cli.main(["cache-analyze", str(tmp_path / "a")]) == 1
