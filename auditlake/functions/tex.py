@@ -49,15 +49,15 @@ EQUATION_ARRAYS = frozenset({"cases", "dcases", "rcases", "aligned", "alignedat"
 STRUCTURE = ("fractions", "radicals", "matrices", "equation_arrays", "subscripts", "superscripts", "subsuperscripts")
 # Signs and commands of relations and operators, by name.
 RELATIONS = {
-    "le": "≤ le leq leqslant", "ge": "≥ ge geq geqslant", "ne": "≠ ne neq", "lt": "< lt", "gt": "> gt", "eq": "=", "plus": "+", "minus": "- −",
-    "pm": "± pm", "mp": "∓ mp", "times": "× times", "divide": "÷ div", "cdot": "· cdot",
+    "le": ("≤", "\\le", "\\leq", "\\leqslant"), "ge": ("≥", "\\ge", "\\geq", "\\geqslant"), "ne": ("≠", "\\ne", "\\neq"), "lt": ("<", "\\lt"), "gt": (">", "\\gt"),
+    "eq": ("=",), "plus": ("+",), "minus": ("-", "−"), "pm": ("±", "\\pm"), "mp": ("∓", "\\mp"), "times": ("×", "\\times"), "divide": ("÷", "\\div"), "cdot": ("·", "\\cdot"),
 }
 OPERATORS = {
-    "integral": "∫ int", "double_integral": "∬ iint", "triple_integral": "∭ iiint", "contour_integral": "∮ oint", "sum": "∑ sum", "product": "∏ prod",
-    "coproduct": "∐ coprod", "union": "∪ cup bigcup", "intersection": "∩ cap bigcap", "membership": "∈ in", "nonmembership": "∉ notin", "arrow": "→ to",
-    "mapsto": "↦ mapsto", "implies": "⇒ Rightarrow", "equivalence": "⇔ Leftrightarrow", "infinity": "∞ infty",
+    "integral": ("∫", "\\int"), "double_integral": ("∬", "\\iint"), "triple_integral": ("∭", "\\iiint"), "contour_integral": ("∮", "\\oint"), "sum": ("∑", "\\sum"),
+    "product": ("∏", "\\prod"), "coproduct": ("∐", "\\coprod"), "union": ("∪", "\\cup", "\\bigcup"), "intersection": ("∩", "\\cap", "\\bigcap"), "membership": ("∈", "\\in"),
+    "nonmembership": ("∉", "\\notin"), "arrow": ("→", "\\to"), "mapsto": ("↦", "\\mapsto"), "implies": ("⇒", "\\Rightarrow"), "equivalence": ("⇔", "\\Leftrightarrow"), "infinity": ("∞", "\\infty"),
 }
-_NAMED = {word if len(word) == 1 else f"\\{word}": (kind, name) for kind, table in (("relations", RELATIONS), ("operators", OPERATORS)) for name, words in table.items() for word in words.split()}
+_NAMED = {token: (kind, name) for kind, table in (("relations", RELATIONS), ("operators", OPERATORS)) for name, tokens in table.items() for token in tokens}
 
 
 @dataclass(frozen=True)
@@ -95,74 +95,107 @@ def scan(text: str, at: int = 0) -> list[Item]:
 
 @dataclass
 class Limit:
-    """A limit operator: its span with scripts, whether and how it is wrapped, and its scripts in order."""
+    """A limit operator: what its wrapper puts below it (null without one), whether a command places its scripts, and the scripts in order."""
 
-    begin: int
-    end: int
-    lower: str | None  # of the wrapper
-    wrapped: bool
+    lower: str | None
     placed: bool
     scripts: list[tuple[str, str]]
 
+    def issues(self) -> set[str]:
+        below = any(mark == "_" for mark, _ in self.scripts)
+        return {
+            code
+            for code, found in (
+                ("empty_underset_lim", self.lower == ""),
+                ("lim_limits_command_not_allowed", self.placed),
+                ("lim_subscript_requires_underset", below and self.lower is None),
+                ("duplicate_lim_subscript", below and self.lower is not None),
+            )
+            if found
+        }
+
 
-def _scripts(text: str, at: int) -> tuple[list[tuple[str, str]], int, bool]:
-    items = [i for i in scan(text, at)]
-    k, end, placed, found = 0, at, False, []
+class _LimitWalk:
+    """One walk over the items of a formula, groups within groups: the text with lower scripts put below, and all limits on the way."""
 
-    def skip(k: int) -> int:
+    def __init__(self, text: str) -> None:
+        self.found: list[Limit] = []
+        self.text = self._formula(text)
+
+    def _formula(self, text: str) -> str:
+        items, out, k = scan(text), [], 0
+        while k < len(items):
+            piece, k = self._next(items, k)
+            out.append(piece)
+        return "".join(out)
+
+    def _next(self, items: list[Item], k: int) -> tuple[str, int]:
+        item = items[k]
+        if item.inner == "\\lim" and item.kind == "command":
+            return self._bare(items, k)
+        if item.inner == "\\underset" and item.kind == "command":
+            first = self._skip(items, k + 1)
+            second = self._skip(items, first + 1)
+            if second < len(items) and items[second].inner.strip() == "\\lim":
+                return self._wrapped(items, k, first, second)
+        return self._plain(item), k + 1
+
+    @staticmethod
+    def _skip(items: list[Item], k: int) -> int:
         while k < len(items) and items[k].kind == "space":
             k += 1
         return k
 
-    k = skip(k)
-    if k < len(items) and items[k].inner in ("\\limits", "\\nolimits"):
-        placed, end, k = True, items[k].end, k + 1
-    while (j := skip(k)) < len(items) and items[j].kind == "char" and items[j].inner in "_^":
-        argument = skip(j + 1)
-        if argument >= len(items):
-            break
-        found.append((items[j].inner, items[argument].inner.strip()))
-        end, k = items[argument].end, argument + 1
-    return found, end, placed
+    def _plain(self, item: Item) -> str:
+        if item.kind != "group":
+            return item.inner
+        return "{" + self._formula(item.inner) + ("}" if item.closed else "")
+
+    def _scripts(self, items: list[Item], k: int) -> tuple[bool, list[tuple[str, int]], int]:
+        """Whether a command places the scripts from ``k`` on, their marks and arguments, and where they end."""
+        at = self._skip(items, k)
+        placed = at < len(items) and items[at].inner in ("\\limits", "\\nolimits")
+        end, marks = at + 1 if placed else k, []
+        while True:
+            mark = self._skip(items, end)
+            argument = self._skip(items, mark + 1)
+            if argument >= len(items) or items[mark].kind != "char" or items[mark].inner not in "_^":
+                return placed, marks, end
+            marks.append((items[mark].inner, argument))
+            end = argument + 1
+
+    def _bare(self, items: list[Item], k: int) -> tuple[str, int]:
+        placed, marks, end = self._scripts(items, k + 1)
+        self.found.append(Limit(None, placed, [(mark, items[at].inner.strip()) for mark, at in marks]))
+        if not marks and not placed:
+            return items[k].inner, k + 1
+        texts: dict[str, str] = {}
+        for mark, at in marks:
+            inner = self._formula(items[at].inner) if items[at].kind == "group" else items[at].inner
+            texts.setdefault(mark, inner.strip())
+        below = f"\\underset{{{texts['_']}}}{{\\lim}}" if "_" in texts else "\\lim"
+        return below + (f"^{{{texts['^']}}}" if "^" in texts else ""), end
+
+    def _wrapped(self, items: list[Item], k: int, first: int, second: int) -> tuple[str, int]:
+        before = [self._plain(i) for i in items[k : first + 1]]
+        placed, marks, end = self._scripts(items, second + 1)
+        self.found.append(Limit(items[first].inner.strip(), placed, [(mark, items[at].inner.strip()) for mark, at in marks]))
+        between = ["{" + i.inner + "}" if i.kind == "group" else i.inner for i in items[first + 1 : second + 1]]
+        return "".join([*before, *between, *(self._plain(i) for i in items[second + 1 : end])]), end
 
 
 def limits(text: str) -> list[Limit]:
     """All ``\\lim`` operators, nested ones included, in text order."""
-    wrappers: dict[int, tuple[str, int]] = {}
-    for m in re.finditer(r"\\underset(?![A-Za-z])", text):
-        arguments = [i for i in scan(text, m.end()) if i.kind != "space"][:2]
-        if len(arguments) == 2 and arguments[1].inner.strip() == "\\lim":
-            wrappers[text.index("\\lim", arguments[1].begin)] = arguments[0].inner.strip(), arguments[1].end
-    out = []
-    for m in re.finditer(r"\\lim(?![A-Za-z])", text):
-        lower, after = wrappers.get(m.start(), (None, m.end()))
-        scripts, end, placed = _scripts(text, after)
-        out.append(Limit(m.start(), end, lower, m.start() in wrappers, placed, scripts))
-    return out
+    return _LimitWalk(text).found
 
 
 def place_limits(text: str) -> str:
-    """A lower script of a limit goes below it by ``\\underset``; operators are rewritten from the last to the first."""
-    for limit in reversed(limits(text)):
-        scripts = dict(reversed(limit.scripts))
-        if limit.wrapped or not (scripts or limit.placed):
-            continue
-        body = f"\\underset{{{scripts['_']}}}{{\\lim}}" if "_" in scripts else "\\lim"
-        body += f"^{{{scripts['^']}}}" if "^" in scripts else ""
-        text = text[: limit.begin] + body + text[limit.end :]
-    return text
+    """A lower script of a limit goes below it by ``\\underset``."""
+    return _LimitWalk(text).text
 
 
 def limit_issues(text: str) -> list[str]:
-    codes = set()
-    for limit in limits(text):
-        if limit.wrapped and not limit.lower:
-            codes.add("empty_underset_lim")
-        if limit.placed:
-            codes.add("lim_limits_command_not_allowed")
-        if any(mark == "_" for mark, _ in limit.scripts):
-            codes.add("duplicate_lim_subscript" if limit.wrapped else "lim_subscript_requires_underset")
-    return sorted(codes)
+    return sorted(set().union(*(limit.issues() for limit in limits(text))))
 
 
 def limit_placements(text: str) -> list[list[str]]:

@@ -134,9 +134,13 @@ def page_style_edits(t: Tables):
     return edits.page_styles(rows, working)[0]
 
 
-@query("SELECT conv_id, '\\begin{aligned}' || string_agg('&' || left(regexp_replace(text, '[={}]', '', 'g'), 20), ' \\\\ ' ORDER BY turn) || '\\end{aligned}' AS tex FROM conversations GROUP BY conv_id")
+@query("""WITH l AS (SELECT conv_id, turn, replace(regexp_replace(text, '[={}]', '', 'g'), ', ', CASE WHEN turn % 2 = 0 THEN ' = ' ELSE ' {=} ' END) AS x FROM conversations),
+n AS (SELECT *, instr(regexp_replace(x, '\\{=\\}', '___', 'g'), '=') AS eq FROM l)
+SELECT conv_id, '\\begin{aligned}' || string_agg(CASE WHEN eq > 0 THEN left(x, eq - 1) || '&' || x[eq:] ELSE '&' || x END, ' \\\\ ' ORDER BY turn) || '\\end{aligned}' AS tex FROM n GROUP BY conv_id""")
 def aligned_assembly(t: Tables):
-    """Lines without an equals sign are aligned at their begin."""
-    lines = t.conversations.select("conv_id", F.struct("turn", F.left(F.regexp_replace("text", "[={}]", ""), F.lit(20)).alias("x")).alias("line"))
+    """Whole turns as lines, aligned at their first equals sign outside braces, or at their begin."""
+    text = F.regexp_replace("text", "[={}]", "")
+    line = F.when(F.col("turn") % 2 == 0, F.replace(text, F.lit(", "), F.lit(" = "))).otherwise(F.replace(text, F.lit(", "), F.lit(" {=} ")))
+    lines = t.conversations.select("conv_id", F.struct("turn", line.alias("x")).alias("line"))
     lists = lines.groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list("line")), lambda e: e["x"]).alias("lines"))
     return lists.select("conv_id", X.aligned(F.col("lines")).alias("tex"))

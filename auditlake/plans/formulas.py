@@ -64,10 +64,10 @@ def delimiter_presence(t: Tables):
     return t.conversations.withColumn("tex", tex).select("conv_id", "turn", *(M.delimiter_present(F.col("tex"), s, side).alias(name) for s, side, name in signs))
 
 
-@query("""WITH t AS (SELECT l_suppkey AS k, bool_and(l_linenumber <= 6) AS single FROM lineitem WHERE l_linenumber > 5 GROUP BY 1)
+@query("""WITH t AS (SELECT l_suppkey AS k, bool_and(l_quantity <= 45) AS single FROM lineitem GROUP BY 1)
 SELECT s_suppkey AS k, CASE WHEN s_acctbal > 0 AND s_nationkey % 3 = 0 AND coalesce(single, true) THEN 'source_final_map' WHEN s_acctbal > 0 THEN 'visual_only_due_validated_formula_map' ELSE 'unavailable' END AS mode FROM supplier LEFT JOIN t ON k = s_suppkey""")
 def mapping_modes(t: Tables):
-    targets = t.lineitem.where("l_linenumber > 5").select(F.col("l_suppkey").alias("k"), F.sequence(F.lit(6), F.greatest(F.col("l_linenumber"), F.lit(6))).alias("final_ordinals"))
+    targets = t.lineitem.select(F.col("l_suppkey").alias("k"), F.when(F.col("l_quantity") > 45, F.array("l_linenumber", "l_partkey")).otherwise(F.array("l_linenumber")).alias("final_ordinals"))
     headers = t.supplier.select(F.col("s_suppkey").alias("k"), (F.col("s_acctbal") > 0).alias("mapping_pass"), (F.col("s_nationkey") % 3).alias("added"))
     return M.mapping_mode(targets, headers, "k")
 

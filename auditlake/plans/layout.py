@@ -67,10 +67,10 @@ def right_overflow(t: Tables):
     return t.lineitem.select("l_orderkey", "l_linenumber", F.round(over, 6).alias("overflow"), R.holds(over > G.OVERFLOW).alias("flagged"))
 
 
-@query("""WITH s AS (SELECT l_orderkey AS doc_id, count(*) AS n, max(CASE WHEN l_tax > 0.05 THEN 2 ELSE 1 END) AS c, max(l_quantity) * 20 AS w FROM lineitem WHERE l_linenumber = 1 GROUP BY 1 HAVING count(*) = 1)
+@query("""WITH s AS (SELECT l_orderkey AS doc_id, count(*) AS n, max(CASE WHEN l_tax > 0.05 THEN 2 ELSE 1 END) AS c, max(l_quantity) * 20 AS w FROM lineitem GROUP BY 1 HAVING count(*) = 1)
 SELECT o_orderkey AS doc_id, round(o_totalprice / 500, 6) AS width FROM orders JOIN s ON doc_id = o_orderkey WHERE c = 1 AND o_orderstatus <> 'P' AND o_totalprice / 500 > w + 2""")
 def overwide_static(t: Tables):
-    sections = t.lineitem.where("l_linenumber = 1").select(F.col("l_orderkey").alias("doc_id"), F.when(F.col("l_tax") > 0.05, 2).otherwise(1).alias("columns"), (F.col("l_quantity") * 20).alias("text_width"))
+    sections = t.lineitem.select(F.col("l_orderkey").alias("doc_id"), F.when(F.col("l_tax") > 0.05, 2).otherwise(1).alias("columns"), (F.col("l_quantity") * 20).alias("text_width"))
     objects = t.orders.select(F.col("o_orderkey").alias("doc_id"), (F.col("o_totalprice") / 500).alias("width"), (F.col("o_orderstatus") != "P").alias("direct_body"))
     return G.overwide(objects, sections).select("doc_id", F.round("width", 6).alias("width"))
 

@@ -110,13 +110,13 @@ def job_step_errors(t: Tables):
 _FILE = "CASE l_linenumber % 4 WHEN 0 THEN 'a/Full.docx' WHEN 1 THEN 'b/part' || l_suppkey || '.docx' WHEN 2 THEN 'c/page.md' ELSE 'd/image' || l_linenumber || '.png' END"
 
 
-@query(f"""WITH f AS (SELECT l_orderkey, {_FILE} AS path FROM lineitem WHERE l_quantity > 20), c AS (SELECT l_orderkey, count(*) FILTER (WHERE path LIKE '%.docx') AS n, count(*) FILTER (WHERE path = 'a/Full.docx') AS u, min(path) FILTER (WHERE path LIKE '%.docx') AS sole FROM f GROUP BY 1)
+@query(f"""WITH f AS (SELECT l_orderkey, {_FILE} AS path FROM lineitem), c AS (SELECT l_orderkey, count(*) FILTER (WHERE path LIKE '%.docx') AS n, count(*) FILTER (WHERE path = 'a/Full.docx') AS u, min(path) FILTER (WHERE path LIKE '%.docx') AS sole FROM f GROUP BY 1)
 SELECT l_orderkey, CASE WHEN u = 1 THEN 'a/Full.docx' WHEN n = 1 THEN sole END AS path, CASE WHEN u = 1 OR n = 1 THEN NULL WHEN n = 0 THEN 'no_document' ELSE 'several_documents' END AS reason FROM c""")
 def chosen_documents(t: Tables):
-    """Lines of more than twenty as files of an order's archive."""
+    """Lines as files of an order's archive."""
     n = F.col("l_linenumber") % 4
     path = F.when(n == 0, "a/Full.docx").when(n == 1, F.concat(F.lit("b/part"), "l_suppkey", F.lit(".docx"))).when(n == 2, "c/page.md").otherwise(F.concat(F.lit("d/image"), "l_linenumber", F.lit(".png")))
-    return repairs.chosen_document(t.lineitem.where("l_quantity > 20").select("l_orderkey", path.alias("path")), "l_orderkey")
+    return repairs.chosen_document(t.lineitem.select("l_orderkey", path.alias("path")), "l_orderkey")
 
 
 @query("""WITH r AS (SELECT event_id, user_id, event_id // 500 AS stamp, row_number() OVER (PARTITION BY user_id, event_id // 500 ORDER BY event_id) AS n FROM events) SELECT event_id, user_id, 'run-' || stamp || CASE WHEN n > 1 THEN '-' || n ELSE '' END AS run FROM r""")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from auditlake.functions import tex
 from auditlake.functions import text as X
+from auditlake.operators.numbering import offsets
 from auditlake.plans.registry import Tables, query
 
 _FROM, _TO = "aeioumnw,;", "′″‴²'_^{}⁺"
@@ -156,11 +157,13 @@ def cjk_similarity(t: Tables):
 
 @query()
 def plain_math_class(t: Tables):
-    """The first word of every turn as a run of its paragraph."""
-    run = F.regexp_extract("text", r"^\S+", 0)
-    rows = t.conversations.withColumn("paragraph", F.when(F.col("turn") % 3 == 0, F.concat(F.lit("3、"), "text")).otherwise(F.col("text")))
-    vertical = F.when(F.col("turn") % 5 == 0, "superscript")
-    return rows.select("conv_id", "turn", tex.plain_math_udf(F.when(F.col("turn") % 3 == 0, F.lit("3")).otherwise(run), "paragraph", F.lit(0), vertical).alias("c")).select("conv_id", "turn", "c.is_math", "c.kind")
+    """Every word of every turn as a run of its paragraph, where it stands; every third paragraph begins with a label."""
+    paragraph = F.when(F.col("turn") % 3 == 0, F.concat(F.lit("3、"), "text")).otherwise(F.col("text"))
+    rows = t.conversations.select("conv_id", "turn", paragraph.alias("paragraph"))
+    words = rows.select("conv_id", "turn", "paragraph", F.posexplode(F.split("paragraph", " ")).alias("k", "run"))
+    placed = offsets(words.withColumn("spaced", F.concat("run", F.lit(" "))), ["conv_id", "turn"], ["k"], "spaced").where("run <> ''")
+    vertical = F.when(F.col("k") % 5 == 4, "superscript")
+    return placed.select("conv_id", "turn", "k", tex.plain_math_udf("run", "paragraph", F.col("run_start").cast("int"), vertical).alias("c")).select("conv_id", "turn", "k", "c.is_math", "c.kind")
 
 
 @query()

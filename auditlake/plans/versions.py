@@ -139,12 +139,14 @@ def offset_join_stability(t: Tables):
     return compare.offset_stability(source, source.withColumn("p", F.col("p") + 2), F.lit(2), "conv_id")
 
 
-@query(f"WITH {P_SQL}, " + """a AS (SELECT doc_id, left(plain, 12) AS anchor FROM p WHERE p = 1 AND plain <> '')
+@query(f"WITH {P_SQL}, " + """n AS (SELECT doc_id, count(*) AS n FROM p GROUP BY 1), a AS (SELECT doc_id, plain AS anchor FROM p JOIN n USING (doc_id) WHERE p = doc_id % n + 1 AND plain <> '')
 SELECT a.doc_id, anchor, count(p.plain) FILTER (WHERE contains(p.plain, anchor)) AS hits, CASE WHEN count(*) FILTER (WHERE contains(p.plain, anchor)) = 1 THEN min(p.p) FILTER (WHERE contains(p.plain, anchor)) END AS p
 FROM a LEFT JOIN p ON p.doc_id = a.doc_id GROUP BY a.doc_id, anchor""")
 def unique_anchor(t: Tables):
     rows = compare.paragraphs(t.documents)
-    anchors = rows.where("p = 1 and plain <> ''").select("doc_id", F.left("plain", F.lit(12)).alias("anchor"))
+    # a whole paragraph of each document, any of its paragraphs
+    numbers = rows.groupBy("doc_id").agg(F.count("*").alias("n"))
+    anchors = rows.join(numbers, "doc_id").where("p = doc_id % n + 1 and plain <> ''").select("doc_id", F.col("plain").alias("anchor"))
     return compare.unique_anchor(anchors, rows, "doc_id")
 
 

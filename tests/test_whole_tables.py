@@ -35,16 +35,63 @@ def test_class_e_review_takes_every_document(spark, tmp_path):
 
 
 def test_formula_map_takes_every_order(spark):
-    sources, finals = defaultdict(list), defaultdict(list)
-    for k, n in zip(*(table("lineitem")[c].tolist() for c in ("l_orderkey", "l_linenumber")), strict=True):
-        if n % 2:
-            sources[k].append(n)
-            finals[k] += [n, n + 1]
-    want = [(k, "several_owners") for k in sources if len(set(sources[k])) < len(sources[k]) or len(set(finals[k])) < len(finals[k])]
-    want += [(k, "final_coverage") for k in sources if (len(set(finals[k])), min(finals[k]), max(finals[k])) != (6, 1, 6)]
+    """Every order is a map; its targets and outputs are made and judged here one by one."""
+    orders, counts = set(table("orders")["o_orderkey"].tolist()), Counter(table("lineitem")["l_orderkey"].tolist())
+    want = []
+    for k, n in counts.items():
+        if k not in orders:
+            continue
+        m, at, targets = k % 40, 1, []
+        for s in range(1, n + 1):
+            width = 2 if s % 3 == 0 else 1
+            targets.append([f"SRC-{s:04d}", "source_formula", s, "near", "x", list(range(at, at + width))])
+            at += width
+        finals, first = at - 1, targets[0]
+        if m == 32:
+            first[0] = " "
+        if m == 33:
+            first[5] = []
+        if m == 34:
+            first[5] = [1, 1]
+        if m == 35:
+            first[5] = [1, 10000]
+        if m == 36 and n > 1:
+            targets[1][5] = [1]
+        if m in (37, 38):
+            first[2] = None if m == 37 else 999
+        if m == 39 and n > 1:
+            targets[1][2] = 1
+        if m == 0:
+            first[3], first[4] = "", None
+        if m == 1:
+            first[1] = "other"
+        bound = {1: "schema", 2: "other_source", 3: "stale_source", 4: "source_count", 5: "other_final", 6: "stale_final", 7: "final_count"}
+        rules = {bound[m]} if m in bound else set()
+        owners = Counter(o for t in targets for o in set(t[5]))
+        of_source = [t[2] for t in targets if t[1] == "source_formula" and t[5]]
+        rules |= {
+            rule
+            for rule, broken in (
+                ("target_id", any(not t[0].strip() for t in targets)),
+                ("no_output", any(not t[5] for t in targets)),
+                ("repeated_output", any(len(set(t[5])) < len(t[5]) for t in targets)),
+                ("final_out_of_range", any(not 1 <= o <= finals for o in owners)),
+                ("several_owners", any(c > 1 for c in owners.values())),
+                ("source_ordinal", None in of_source),
+                ("source_out_of_range", any(o is not None and not 1 <= o <= n for o in of_source)),
+                ("source_mapped_twice", len(set(of_source)) < len(of_source)),
+                ("source_anchor", any(not t[3] for t in targets)),
+                ("expected_tex", any(not t[4] for t in targets)),
+                ("kind", any(t[1] == "other" for t in targets)),
+                ("source_coverage", set(of_source) != set(range(1, n + 1))),
+                ("final_coverage", set(owners) != set(range(1, finals + 1))),
+            )
+            if broken
+        }
+        want += [(k, rule) for rule in rules]
     got = found(spark, "formula_map_errors", "map_id", "rule")
     assert got == sorted(want)
-    assert any(k % 5 for k, _ in got)
+    assert len({rule for _, rule in got}) == 20
 
 
 def test_page_styles_take_every_order(spark):
