@@ -42,7 +42,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from auditlake.llm import _hashing as H
@@ -302,12 +302,14 @@ def _compared(pairs: DataFrame, texts: DataFrame, size: int, percent: int, chunk
     return by_chunk.cogroup(told.groupBy("chunk")).applyInArrow(compare, "a long, b long, linked boolean" + ", elements array<long>, places int, short int" * split)
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 85) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 85, detail: bool = False) -> DataFrame:
     """Groups of documents linked by ``100 * |A & B| >= percent * |A | B|`` over their shingle sets.
 
     Returns one row per input row: the id column, ``n_shingles`` (size of the set),
     ``component_id`` (least id reachable over links, its own included) and ``kept`` (the
-    id is the component's).  Words are ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z.
+    id is the component's).  Words are ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z.  With ``detail`` also ``set_class``
+    (of the row's shingle set, see ``text_class``) and ``root`` (the least class reachable; components that begin with one id
+    differ in it), both null for an empty set.
 
     Defined cases: a text of 1 to ``size`` - 1 words is one shingle; a null text or one without
     words has an empty set and is linked with nothing; a document without id is linked with
@@ -324,13 +326,27 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = known.where("cls is not null and id is not null").groupBy("cls").agg(F.min("id").alias("least"))
     grouped = classes.join(connected_components(links).select(F.col("node").alias("cls"), "root"), "cls", "left")
     roots = grouped.where("root is not null").groupBy("root").agg(F.min("least").alias("lowest"))
-    grouped = grouped.join(roots, "root", "left").select("cls", F.coalesce("lowest", "least").alias("found"))
+    grouped = grouped.join(roots, "root", "left").select("cls", F.coalesce("lowest", "least").alias("found"), F.coalesce("root", "cls").alias("root"))
     component = F.when(F.col("id").isNotNull(), F.coalesce("found", "id"))
+    more = [F.col("cls").alias("set_class"), "root"] if detail else []
     return known.select("id", "n", "cls").join(grouped, "cls", "left").select(
-        F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept")
+        F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"), *more
     )
 
 
+def text_class(text: Column, size: int = 5) -> Column:
+    """The class of a text's shingle set, by which rows of one id are told apart; null for an empty set."""
+
+    @F.arrow_udf("bigint")
+    def classes(texts: pa.Array) -> pa.Array:
+        out: list[int | None] = []
+        for _, _, part in _opened(texts):
+            out += [set_class(s) if len(s) else None for s in shingle_sets([H.utf8(t) for t in part], size)]
+        return pa.array(out, pa.int64())
+
+    return classes(text)
+
+
 def _links(rows: DataFrame, known: DataFrame, size: int, percent: int) -> DataFrame:
     listed = known.where("cls is not null and id is not null")
     retained = listed.agg(F.sum(F.size("sketch"))).first()[0] or 0

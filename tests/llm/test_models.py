@@ -1,5 +1,6 @@
 """Operators that SQL cannot express: round trips, held-out accuracy and brute force."""
 
+import hashlib
 import math
 import re
 from collections import Counter
@@ -357,6 +358,32 @@ def test_pipeline_against_brute_force(spark, pieces):
         assert list(got[i].ids) == pieces.lib.encode(t), i
 
 
+def test_near_dedup_judges_rows_of_repeated_ids_by_their_own_text(spark):
+    """Against groups by brute force, where ids repeat with copies, near copies and unlike texts."""
+    import corpus_pipeline
+    from test_exact import brute_groups
+
+    rng = np.random.RandomState(6)
+    bases = [[f"{b}w{i}" for i in range(90)] for b in "abcdef"]
+    near = lambda b, n: " ".join(w if i % 89 or not n else f"x{n}" for i, w in enumerate(bases[b]))
+    rows = [(0, near(1, 0)), (1, near(0, 0)), (1, near(1, 0)), (2, near(0, 0)), (3, near(2, 1)), (3, near(2, 2)), (3, near(2, 1)), (4, near(3, 0)), (4, near(4, 0)), (4, near(4, 1)), (5, near(3, 0))]
+    rows += [(9, ""), (9, " "), (9, None), (9, ""), (None, near(0, 0)), (None, near(0, 0))]
+    rows += [(int(rng.randint(10, 30)), near(rng.randint(6), rng.randint(3))) for _ in range(60)]
+    told = brute_groups(rows)
+    groups: dict = {}
+    # brute groups by text, so that components that begin with one id are told apart
+    texts = sorted({t for _, t in rows if (t or "").split()})
+    parts = {t: c for (_, _, c), t in zip(sorted(brute_groups([(n, t) for n, t in enumerate(texts)])), texts, strict=True)}
+    for i, t in rows:
+        if i is not None and (t or "").split():
+            groups.setdefault(parts[t], []).append((i, hashlib.sha256(t.encode()).hexdigest(), t))
+    want = [min(g)[::2] for g in groups.values()] + [(9, ""), (9, " "), (9, None)] + [r for r in rows if r[0] is None]
+    docs = spark.createDataFrame([(*r, "s") for r in rows], "doc_id long, text string, source string").repartition(3)
+    got = corpus_pipeline.near_dedup(spark, docs, DATA)
+    assert got.columns == docs.columns and len(told) == len(rows)
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=repr) == sorted(want, key=repr)
+
+
 def test_pipeline_stages_keep_clashing_columns(spark, edges, nothing):
     import corpus_pipeline
 
