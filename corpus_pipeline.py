@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from auditlake.llm import sentencepiece_codec
 from auditlake.llm._frames import shared_folder, stored
 from auditlake.llm.decontamination import decontaminate
-from auditlake.llm.near_duplicates import near_duplicates
+from auditlake.llm.near_duplicates import near_duplicates, text_class
 from auditlake.llm.quality_rules import quality_rules
 from auditlake.llm.substring_dedup import remove_repeats
 
@@ -42,20 +42,25 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays, and of rows that repeat an id and its text one.
+    """One document of each group of near-duplicates stays: the row of the least id.
 
-    Rows that repeat an id with unlike texts are each judged by their own; rows without id stay.
+    Rows that repeat an id are each judged by their own text; of those of one group that have its least id, the one with
+    the least hash of its text stays.  Rows without id stay.
     """
-    found = near_duplicates(docs.select("doc_id", "text")).where("doc_id is not null")
+    found = near_duplicates(docs.select("doc_id", "text"), detail=True).where("doc_id is not null")
     ids = found.groupBy("doc_id").agg(F.count_if("kept").alias("kept"), F.count("*").alias("rows")).where("kept > 0")
     ids = stored(ids.select("doc_id", "rows"), "kept")
     kept = docs.join(ids.where("rows = 1").select("doc_id"), "doc_id", "left_semi").unionByName(docs.where("doc_id is null"))
     repeated = ids.where("rows > 1").select("doc_id")
     if repeated.isEmpty():
         return kept
-    # of rows with equal hashes of their text one is kept
-    rows = docs.join(repeated, "doc_id", "left_semi").withColumn("__hash", F.sha2("text", 256))
-    return kept.unionByName(rows.dropDuplicates(["doc_id", "__hash"]).drop("__hash"))
+    verdicts = found.where("kept").join(repeated, "doc_id").select(F.col("doc_id").alias("__id"), F.col("set_class").alias("__set"), F.col("root").alias("__root")).distinct()
+    rows = docs.join(repeated, "doc_id", "left_semi").withColumn("__class", text_class(F.col("text"))).withColumn("__hash", F.sha2(F.coalesce("text", F.lit("")), 256))
+    judged = rows.join(verdicts, (F.col("doc_id") == F.col("__id")) & F.col("__class").eqNullSafe(F.col("__set")))
+    # a row without words is in no group but its own
+    group = F.coalesce(F.col("__root").cast("string"), F.concat(F.col("__hash"), F.col("text").isNull().cast("string"))).alias("__group")
+    one = judged.groupBy("doc_id", group).agg(F.min_by(F.struct(*(F.col(c) for c in docs.columns)), "__hash").alias("__row"))
+    return kept.unionByName(one.select("__row.*"))
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
