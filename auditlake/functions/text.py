@@ -203,3 +203,26 @@ def numbering_fields(instructions: Column) -> Column:
     """Kinds of numbering fields in field instructions, sorted."""
     found = F.regexp_extract_all(F.upper(instructions), F.lit(r"\b(SEQ|LISTNUM|AUTONUMLGL|AUTONUMOUT|AUTONUM)\b"), F.lit(1))
     return F.array_sort(F.array_distinct(found))
+
+
+# Identifiers of things by their number.
+IDENTIFIERS = {"template": "AXD%05d", "source": "SRC-%04d", "formula": "omath-%04d"}
+
+
+def identifier(kind: str, number: Column) -> Column:
+    """The identifier of the ``number``-th thing of a kind; null without a number."""
+    return F.when(number.isNotNull(), F.format_string(IDENTIFIERS[kind], number))
+
+
+def as_list(value: Column, item: str) -> Column:
+    """Evidence that is one object or a list of objects as a list of the fields ``item`` (DDL); null and what is neither is an empty list, a damaged object one without fields."""
+    empty = F.array().cast(f"array<struct<{item}>>")
+    bare = F.ltrim(value)
+    one = F.from_json(value, f"struct<{item}>")
+    found = F.when(F.startswith(bare, F.lit("[")), F.from_json(value, f"array<struct<{item}>>")).when(F.startswith(bare, F.lit("{")) & one.isNotNull(), F.array(one))
+    return F.coalesce(found, empty)
+
+
+def known_fields(*columns: str) -> Column:
+    """The columns that are not null, as one object."""
+    return F.to_json(F.struct(*columns), {"ignoreNullFields": "true"})

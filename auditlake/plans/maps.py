@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from auditlake.operators import diagnosis
 from auditlake.operators import repair_maps as R
 from auditlake.plans.registry import Tables, query
 
@@ -120,3 +121,50 @@ SELECT doc, count(*) AS targets, CAST(sum(expected_after - 1) AS BIGINT) AS incr
 def visual_line_split_totals(t: Tables):
     rows, headers = _split(t)
     return R.map_totals(rows, headers, "doc")
+
+
+@query(f"""WITH {_FORMULAS} SELECT doc, ordinal, CASE WHEN turn % 5 = 0 THEN 1 ELSE 0 END AS limits, CASE WHEN turn % 5 = 0 THEN [['below']] ELSE [] END AS placements, CASE WHEN turn % 10 = 0 THEN [2] WHEN turn % 50 = 11 THEN [3] ELSE [] END AS prime_orders,
+  CASE WHEN turn % 5 = 0 THEN [{{'name': 'subscripts', 'n': 1}}] ELSE [] END AS structure FROM f WHERE turn % 5 = 0 OR turn % 50 = 11""")
+def contract_targets(t: Tables):
+    """What each formula of a conversation asks of its converted form."""
+    return diagnosis.contract_targets(_formulas(t), "doc")
+
+
+_WHY = ("audit_missing", "audit_schema", "audit_not_complete", "audit_of_another_file", "audit_stale", "audit_failed", "audit_incomplete")
+
+
+@query(f"""WITH n AS (SELECT conv_id AS doc, count(*) AS n, count(*) FILTER (role = 'user') AS u FROM conversations GROUP BY 1), k AS (SELECT *, doc % 4 AS kind, doc // 4 % 10 AS why FROM n),
+r AS (SELECT *, CASE WHEN kind = 3 AND u > 0 AND u < n THEN 'mixed_baseline' WHEN kind IN (1, 2) AND why < 7 THEN (['{"', '".join(_WHY)}'])[why + 1] END AS refused FROM k)
+SELECT doc, CASE WHEN refused IS NOT NULL THEN NULL WHEN kind = 0 THEN 'native' WHEN kind = 3 AND u = n THEN 'native' ELSE 'converted' END AS baseline, refused, CASE WHEN refused IS NULL THEN n END AS formula_count FROM r WHERE NOT (kind = 3 AND u = 0) UNION ALL SELECT doc, NULL, 'audit_missing', NULL FROM r WHERE kind = 3 AND u = 0""")
+def bound_contracts(t: Tables):
+    """Sources of native, of converted and of both kinds of formulas; converted ones with exports that break one rule each."""
+    doc, kind, why = F.col("conv_id"), F.col("conv_id") % 4, F.floor(F.col("conv_id") / 4) % 10
+    mixed = kind == 3
+    counts = t.conversations.groupBy("conv_id").agg(F.count("*").alias("n"), F.count_if(F.col("role") == "user").alias("u"))
+    native = F.when(kind == 0, F.col("n")).when(mixed, F.col("u")).otherwise(0)
+    headers = counts.select(doc.alias("doc"), native.alias("native"), (F.col("n") - native).alias("converted"), F.lit("p").alias("path"), F.sha2(doc.cast("string"), 256).alias("sha256"))
+    odd = lambda n, a, b: F.when(why == n, a).otherwise(b)
+    digest = F.upper(F.sha2(doc.cast("string"), 256))
+    audits = counts.where(kind.isin(1, 2) & (why != 0)).select(
+        doc.alias("doc"), odd(1, "x", "x-internal-tex-diagnostic/v1").alias("schema"), F.lit("full").alias("scope"), odd(2, None, True).alias("read_only"), odd(3, "q", "p").alias("path"), digest.alias("sha_before"), odd(4, "0", digest).alias("sha_after"),
+        F.lit(True).alias("success"), odd(5, 1, 0).alias("failed"),
+    )
+    # where one is missing, the first turn has no export
+    exports = t.conversations.where((why != 6) | (F.col("turn") > 0)).select(doc.alias("doc"), (F.col("turn") + 1).alias("ordinal"))
+    return diagnosis.bound_contract(headers, audits, exports, "doc")
+
+
+_TERMS = (*diagnosis.RUN_FLAGS, *diagnosis.RUN_ZEROS)
+
+
+@query(f"""WITH r AS (SELECT o_orderkey AS run_id, o_custkey % 34 AS a, CAST(floor(o_totalprice) AS BIGINT) % 51 AS b FROM orders) SELECT run_id, a > 16 AND b > 16 AS accepted, (['{"', '".join(_TERMS)}'])[nullif(least(CASE WHEN a > 16 THEN 99 ELSE a END, CASE WHEN b > 16 THEN 99 ELSE b END), 99) + 1] AS first_missing FROM r""")
+def accepted_runs(t: Tables):
+    """Orders as runs: of each up to two of the seventeen terms fail, one is false or counted, one is unknown."""
+    a, b = F.col("o_custkey") % 34, F.floor("o_totalprice") % 51
+
+    def term(n: int, name: str):
+        good, bad = (F.lit(True), F.lit(False)) if name in diagnosis.RUN_FLAGS else (F.lit(0), F.lit(1))
+        return F.when(b == n, None).when(a == n, bad).otherwise(good).alias(name)
+
+    runs = t.orders.select(F.col("o_orderkey").alias("run_id"), *(term(n, name) for n, name in enumerate(_TERMS)))
+    return diagnosis.run_accepted(runs, "run_id")

@@ -171,3 +171,14 @@ def canonical_xml(t: Tables):
     """Every page, and one element made of its address, as XML; most pages are none."""
     element = F.concat(F.lit("<a z='1' b='"), F.regexp_replace("url", "[<&']", ""), F.lit("'><c/></a>"))
     return t.pages.select("page_id", tex.canonical_xml_udf("html").alias("page"), tex.canonical_xml_udf(element).alias("element"))
+
+
+@query("""WITH e AS (SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events)
+SELECT event_id, CASE WHEN event_id % 7 = 0 THEN [] WHEN event_id % 2 = 0 THEN [k, k] ELSE [k] END AS keys, CASE WHEN event_id % 3 = 0 THEN '{"event_id":' || event_id || '}' WHEN k IS NULL THEN '{"event_id":' || event_id || '}' ELSE '{"event_id":' || event_id || ',"k":' || k || '}' END AS known,
+  format('SRC-{:04d}', event_id) AS source_name, format('omath-{:04d}', event_id) AS formula_name FROM e""")
+def evidence_projection(t: Tables):
+    """Properties as one object or a list of two, read as lists; what is known of each event; names by number."""
+    props = F.when(F.col("event_id") % 7 == 0, None).when(F.col("event_id") % 2 == 0, F.concat(F.lit(" ["), "props", F.lit(","), "props", F.lit("]"))).otherwise(F.col("props"))
+    k = F.get_json_object("props", "$.k").cast("long")
+    rows = t.events.select("event_id", F.transform(X.as_list(props, "k:bigint"), lambda x: x["k"]).alias("keys"), F.when(F.col("event_id") % 3 != 0, k).alias("k"))
+    return rows.select("event_id", "keys", X.known_fields("event_id", "k").alias("known"), X.identifier("source", F.col("event_id")).alias("source_name"), X.identifier("formula", F.col("event_id")).alias("formula_name"))

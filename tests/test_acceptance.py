@@ -3,7 +3,7 @@
 import pytest
 from auditlake.functions import text
 from auditlake.operators import acceptance as A
-from auditlake.operators import checks
+from auditlake.operators import checks, diagnosis
 from pyspark.sql import functions as F
 
 
@@ -105,3 +105,48 @@ def test_orders_of_source_primes(spark):
     cases = {"f'": [1], "f''''": [3, 1], "f′ g″ h‴": [1, 2, 3], "aʹ b’ c‘ dʺ": [1, 1, 1, 2], "x": [], "'''''''": [3, 3, 1], "′′": [1, 1]}
     df = spark.createDataFrame([(c,) for c in cases], "v string")
     assert {r[0]: r[1] for r in df.select("v", text.source_prime_orders(F.col("v"))).collect()} == cases
+
+
+def contract(spark, header=(), audit=(), ordinals=(1, 2), audited=True):
+    h = {"native": 0, "converted": 2, "path": "p", "sha256": "ab"} | dict(header)
+    a = {"schema": "internal-tex-diagnostic/v1", "scope": "full", "read_only": True, "path": "p", "sha_before": "AB", "sha_after": "ab", "success": True, "failed": 0} | dict(audit)
+    headers = spark.createDataFrame([(1, *h.values())], "doc long, native long, converted long, path string, sha256 string")
+    audits = spark.createDataFrame([(1, *a.values())] if audited else [], "doc long, schema string, scope string, read_only boolean, path string, sha_before string, sha_after string, success boolean, failed long")
+    r = diagnosis.bound_contract(headers, audits, spark.createDataFrame([(1, o) for o in ordinals], "doc long, ordinal long"), "doc").first()
+    return r.baseline, r.refused, r.formula_count
+
+
+def test_a_converted_source_needs_its_own_complete_export(spark):
+    assert contract(spark) == ("converted", None, 2)
+    assert contract(spark, {"native": 3, "converted": 0}, audited=False) == ("native", None, 3)
+    assert contract(spark, {"converted": 0}, audited=False) == ("no_formulas", None, 0)
+    assert contract(spark, {"native": 1})[1] == "mixed_baseline"
+    assert contract(spark, audited=False)[1] == "audit_missing"
+    for reason, change in (
+        ("audit_schema", {"schema": None}), ("audit_not_complete", {"scope": "selected"}), ("audit_not_complete", {"read_only": None}), ("audit_of_another_file", {"path": "q"}), ("audit_stale", {"sha_before": None}), ("audit_stale", {"sha_after": "x"}),
+        ("audit_failed", {"success": False}), ("audit_failed", {"failed": 1}),
+    ):
+        assert contract(spark, audit=change) == (None, reason, None)
+    for ordinals in ((1,), (1, 1), (1, 2, 3), ()):
+        assert contract(spark, ordinals=ordinals)[1] == "audit_incomplete"
+
+
+def test_a_run_is_accepted_on_all_terms(spark):
+    names = [*diagnosis.RUN_FLAGS, *diagnosis.RUN_ZEROS]
+    assert len(names) == 17
+    good = [True] * len(diagnosis.RUN_FLAGS) + [0] * len(diagnosis.RUN_ZEROS)
+    rows = [("good", *good)]
+    for n, name in enumerate(names):
+        for bad in (None, False if n < len(diagnosis.RUN_FLAGS) else 2):
+            rows.append((name, *(bad if i == n else v for i, v in enumerate(good))))
+    df = spark.createDataFrame(rows, "run string, " + ", ".join(f"{n} {'boolean' if i < len(diagnosis.RUN_FLAGS) else 'long'}" for i, n in enumerate(names)))
+    for r in diagnosis.run_accepted(df, "run").collect():
+        assert (r.accepted, r.first_missing) == ((True, None) if r.run == "good" else (False, r.run))
+
+
+def test_lists_of_evidence(spark):
+    cases = ['{"k": 1}', ' [{"k": 1}, {"k": null}, {}]', "[]", None, "", "3", "{bad"]
+    df = spark.createDataFrame([(c,) for c in cases], "v string").select(text.as_list(F.col("v"), "k:bigint").alias("x"))
+    assert [[i.k for i in r.x] for r in df.collect()] == [[1], [1, None, None], [], [], [], [], [None]]
+    row = spark.createDataFrame([(1, None, "a")], "a int, b string, c string").select(text.known_fields("a", "b", "c").alias("j"), text.identifier("template", F.col("a")).alias("i"), text.identifier("source", F.lit(None).cast("int")).alias("n")).first()
+    assert tuple(row) == ('{"a":1,"c":"a"}', "AXD00001", None)
