@@ -155,3 +155,25 @@ def test_runs_and_plain_mathematics(spark):
     body = f'<w:document {NS}><w:p><w:r><w:rPr><w:i/><w:rFonts w:ascii="F"/></w:rPr><w:t>ab</w:t></w:r><m:oMath><w:r><w:t>in</w:t></w:r></m:oMath><w:r><w:rPr><w:vertAlign w:val="superscript"/></w:rPr><w:t>2</w:t></w:r></w:p></w:document>'
     got = [(r.run, r.text, r.start, r.in_math, r.fonts, r.vertical, r.italic) for r in nodes.runs(parts_of(spark, body)).collect()]
     assert got == [(1, "ab", 0, False, ["F"], None, True), (2, "in", 2, True, [], None, False), (3, "2", 4, False, [], "superscript", False)]
+
+
+def test_plain_mathematics_of_every_package(spark):
+    """The rule on every run, taken from the turns without packages."""
+    import re
+
+    from auditlake.functions.tex import plain_math
+    from auditlake.plans import catalogue
+    from helpers import DATA
+
+    turns = {}
+    for r in spark.read.parquet(f"{DATA}/conversations.parquet").collect():
+        turns.setdefault(r.conv_id, []).append((r.turn, re.sub("[^A-Za-z0-9 .,]", "", r.text).strip(" ")))
+    want = []
+    for conv, rows in turns.items():
+        for p, (turn, x) in enumerate(sorted(rows), 1):
+            first = x.split(" ")[0]
+            for at, text, vertical in ((0, first, "superscript" if turn % 8 == 3 else None), (len(first), x[len(first) :], None)):
+                found, kind = plain_math(text, x, at, vertical) if text else (False, None)
+                want += [(str(conv), p, text, at, kind)] if found else []
+    got = [(r.path, r.p, r.text, r.start, r.kind) for r in catalogue.queries()["office_plain_math"](spark, DATA).collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr) and want
