@@ -95,14 +95,14 @@ def _facts(t: Tables) -> DataFrame:
 
 
 def _sides(t: Tables) -> tuple[DataFrame, DataFrame]:
-    rows = _facts(t).withColumn("plain", anchor_udf("plain"))
+    rows = stored(_facts(t).withColumn("plain", anchor_udf("plain")), "normal")
     return tuple(rows.where(F.col("version") == v).drop("version") for v in ("source", "working"))
 
 
 def _anchors(t: Tables) -> DataFrame:
     """The first forty characters of one of the first five paragraphs."""
     rows = _turns(t).where(F.col("p") == F.col("doc") % 5 + 1)
-    return rows.select("doc", anchor_udf(F.left("plain", F.lit(40))).alias("anchor"))
+    return stored(rows.select("doc", anchor_udf(F.left("plain", F.lit(40))).alias("anchor")), "anchors")
 
 
 _DOCS = """t AS (SELECT conv_id // 4 AS doc, turn, regexp_replace(text, '[^A-Za-z0-9 .,]', '', 'g') AS x, row_number() OVER (PARTITION BY conv_id // 4 ORDER BY conv_id, turn) AS p FROM conversations),
