@@ -47,7 +47,7 @@ from pyspark.sql import functions as F
 
 from auditlake.llm import _hashing as H
 from auditlake.llm._components import connected_components
-from auditlake.llm._frames import checked_name, chunk_bytes, stored
+from auditlake.llm._frames import FEW, checked_name, chunk_bytes, small, stored
 
 SKETCH = 64
 #: A list is compared pair by pair where one of its sides has so many members, or fewer.
@@ -262,7 +262,9 @@ def _difference(centre: np.ndarray, other: np.ndarray, percent: int) -> tuple[bo
 
 
 def _compared(pairs: DataFrame, texts: DataFrame, size: int, percent: int, chunks: int, split: bool = False) -> DataFrame:
-    """The pairs (a, b) and whether exact Jaccard links them; the set of ``a`` is sent once to each chunk that needs it.
+    """The pairs (a, b), a table read back, and whether exact Jaccard links them; the set of ``a`` is sent once to each chunk that needs it.
+
+    Only texts that the pairs name are moved, unless the pairs are more than FEW.
 
     With ``split`` also their difference and under how many of its elements ``b`` is listed (``_difference``), ``a`` being the centre.
     """
@@ -295,11 +297,16 @@ def _compared(pairs: DataFrame, texts: DataFrame, size: int, percent: int, chunk
         return pa.table(out)
 
     message = "chunk int, a long, b long, body binary"
-    by_chunk = texts.withColumn("chunk", home("cls")).groupBy("chunk")
+    some = pairs.count() <= FEW
+
+    def by_chunk(side: str):
+        named = texts.join(F.broadcast(pairs.select(F.col(side).alias("cls")).distinct()), "cls", "left_semi") if some else texts
+        return named.withColumn("chunk", home("cls")).groupBy("chunk")
+
     asked = pairs.select("a", home("a").alias("chunk"), home("b").alias("to")).distinct()
-    sent = by_chunk.cogroup(asked.groupBy("chunk")).applyInArrow(send, message)
+    sent = by_chunk("a").cogroup(asked.groupBy("chunk")).applyInArrow(send, message)
     told = sent.unionByName(pairs.select(home("b").alias("chunk"), "a", "b", F.lit(None).cast("binary").alias("body")))
-    return by_chunk.cogroup(told.groupBy("chunk")).applyInArrow(compare, "a long, b long, linked boolean" + ", elements array<long>, places int, short int" * split)
+    return by_chunk("b").cogroup(told.groupBy("chunk")).applyInArrow(compare, "a long, b long, linked boolean" + ", elements array<long>, places int, short int" * split)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 85, detail: bool = False) -> DataFrame:
@@ -357,6 +364,7 @@ def _links(rows: DataFrame, known: DataFrame, size: int, percent: int) -> DataFr
     possible = _shared_values(listed.select("cls", "sketch"), retained, _pack_sketches)
     heads = listed.groupBy("cls").agg(F.min("id").alias("id"), F.min("n").alias("n"))
     heads = heads.join(possible, "cls").where(F.col("shared") >= enough).select("cls", "id")
+    heads = small(stored(heads, "heads"))
 
     # the texts of the classes that are left, one each; a repeated id brings its own text only
     texts = rows.where("id is not null").join(heads, "id").mapInArrow(_own_text(size), "cls long, text string, n long, sketch array<long>")

@@ -232,3 +232,14 @@ def test_unlabelled_hosts_take_the_judgement_of_their_domain(spark):
     m = strength([(100, 95, mean["bad.xyz"]), (100, 97, mean["bad.xyz"]), (300, 0, mean["fine.xyz"]), (100, 100, mean["foul.biz"]), (300, 2, mean["good.dev"])])
     for host, mu in zip(fresh, (mean["bad.xyz"], mean["fine.xyz"], top["biz"], mean["good.dev"], overall), strict=True):
         assert abs(got[host].bad_bound - (mu - 1.6448536269514722 * (mu * (1 - mu) / (m + 1)) ** 0.5)) < 1e-9
+
+
+def test_only_texts_that_pairs_name_are_moved(spark):
+    from auditlake.llm import near_duplicates as N
+    from auditlake.llm._frames import stored
+
+    texts = stored(spark.createDataFrame([(i, f"a b c d e f {i % 2}") for i in range(9)], "cls long, text string"), "t")
+    pairs = stored(spark.createDataFrame([(1, 3), (2, 3)], "a long, b long"), "p")
+    found = N._compared(pairs, texts, 5, 85, 2)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Join LeftSemi") == 2
+    assert sorted(map(tuple, found.collect())) == [(1, 3, True), (2, 3, False)]
