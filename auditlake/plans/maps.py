@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from auditlake.operators import diagnosis
 from auditlake.operators import repair_maps as R
-from auditlake.plans.registry import Tables, query
+from auditlake.plans.registry import Tables, dealt, query
 
 _X = "trim(regexp_replace(text, '[^A-Za-z0-9 .,]', '', 'g'))"
 
@@ -127,7 +127,7 @@ def visual_line_split_totals(t: Tables):
   CASE WHEN turn % 5 = 0 THEN [{{'name': 'subscripts', 'n': 1}}] ELSE [] END AS structure FROM f WHERE turn % 5 = 0 OR turn % 50 = 11""")
 def contract_targets(t: Tables):
     """What each formula of a conversation asks of its converted form."""
-    return diagnosis.contract_targets(_formulas(t), "doc")
+    return diagnosis.contract_targets(dealt(_formulas(t)), "doc")
 
 
 _WHY = ("audit_missing", "audit_schema", "audit_not_complete", "audit_of_another_file", "audit_stale", "audit_failed", "audit_incomplete")
