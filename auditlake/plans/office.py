@@ -106,7 +106,7 @@ def _packages(t: Tables) -> DataFrame:
     words = t.conversations.select("conv_id", "turn", F.split_part(plain, F.lit(" "), F.lit(1)).alias("first"), plain.alias("plain"))
     turns = words.select("conv_id", F.struct("turn", "first", F.expr("substring(plain, length(first) + 1)").alias("rest")).alias("t"))
     grouped = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("turns"))
-    return stored(grouped.mapInPandas(_written, "path string, content binary"), "packages")
+    return stored(P.by_pieces(grouped, _written, "path string, content binary"), "packages")
 
 
 def _parts(t: Tables) -> DataFrame:

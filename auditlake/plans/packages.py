@@ -60,7 +60,7 @@ _TURNS = "SELECT CAST(conv_id AS VARCHAR) AS path, turn, row_number() OVER (PART
 def _parts(t: Tables):
     plain = t.conversations.select("conv_id", F.struct("turn", F.regexp_replace("text", "[^A-Za-z0-9 .,]", "").alias("text")).alias("t"))
     grouped = plain.groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("turns"))
-    return P.parts(grouped.mapInPandas(_written, "path string, content binary"))
+    return P.parts(P.by_pieces(grouped, _written, "path string, content binary"))
 
 
 @query(f"""WITH c AS ({_TURNS}) SELECT path, p, plain, CASE turn % 4 WHEN 1 THEN 2 WHEN 3 THEN 1 ELSE 0 END AS formulas, CASE WHEN turn % 5 = 0 THEN 1 ELSE 0 END AS objects, CASE WHEN turn % 5 = 0 THEN 1 ELSE 0 END AS soft_breaks FROM c""")

@@ -80,7 +80,7 @@ def _facts(t: Tables) -> DataFrame:
     """One row a paragraph of every version: text, formulas, objects, breaks, the widest shell, the width of the text."""
     grouped = _turns(t).groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("p", "turn", "plain"))).alias("turns"))
     # packages are opened once; tokens and sections come from the parts kept
-    parts = stored(P.parts(grouped.mapInPandas(_packages, "path string, content binary")), "parts")
+    parts = stored(P.parts(P.by_pieces(grouped, _packages, "path string, content binary")), "parts")
     found = P.tokens(parts).where(F.col("story") == P.MAIN)
     count = lambda kind: F.count_if(F.col("kind") == kind)
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == "text", F.struct("pos", "text")))), lambda x: x["text"]), "")

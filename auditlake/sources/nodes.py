@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from auditlake.sources.packages import MAIN, STORY, M, O, W, _points, _root, _walk
+from auditlake.sources.packages import by_pieces, MAIN, STORY, M, O, W, _points, _root, _walk
 
 V = "{urn:schemas-microsoft-com:vml}"
 R = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
@@ -27,7 +27,7 @@ def _scan(parts: DataFrame, rows_of: Callable[[ET.Element], Iterator[tuple]], sc
                 yield pd.DataFrame([(path, name, *r) for r in (rows_of(root) if root is not None else ())], columns=names).astype(object)
 
     kept = parts.where(F.col("part_name").rlike(f"^{STORY.pattern}$")) if stories else parts
-    return kept.select("path", "part_name", "content").mapInPandas(run, f"path string, story string, {schema}")
+    return by_pieces(kept.select("path", "part_name", "content"), run, f"path string, story string, {schema}")
 
 
 def _main(parts: DataFrame) -> DataFrame:

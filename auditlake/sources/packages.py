@@ -17,6 +17,7 @@ import zlib
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -36,6 +37,32 @@ _PARTS = "path string, doc_sha256 string, part_no int, part_name string, part_sh
 _TOKENS = "path string, story string, p int, pos int, kind string, text string, in_table boolean, progid string, style_id string, ole_style string, font string, vertical string, width double, height double, math_group int"
 
 
+#: Bytes and rows of one batch that a function on packages is given; see ``by_pieces``.
+PIECE_BYTES, PIECE_ROWS = 4 << 20, 256
+
+
+def _pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Slices of PIECE_ROWS rows at most, and of one row where rows are large."""
+    rows = max(1, min(PIECE_ROWS, PIECE_BYTES * batch.num_rows // max(1, batch.nbytes)))
+    for start in range(0, batch.num_rows, rows):
+        yield batch.slice(start, rows)
+
+
+def by_pieces(df: DataFrame, function, schema: str) -> DataFrame:
+    """``df.mapInPandas(function, schema)`` whose function holds a few packages at a time, however many rows Spark puts in a batch."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    wanted = to_arrow_schema(T._parse_datatype_string(schema))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frames = (piece.to_pandas() for batch in batches for piece in _pieces(batch))
+        for frame in function(frames):
+            found = pa.RecordBatch.from_pandas(frame, schema=wanted, preserve_index=False)
+            yield from _pieces(found)
+
+    return df.mapInArrow(run, schema)
+
+
 def read_packages(spark: SparkSession, folder: str) -> DataFrame:
     """``path, content`` of the packages under a folder; lock files are left out."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.docx").load(folder)
@@ -80,7 +107,7 @@ def parts(packages: DataFrame) -> DataFrame:
             for path, content in zip(batch["path"], batch["content"], strict=True):
                 yield pd.DataFrame(opened(path, content), columns=["path", "doc_sha256", "part_no", "part_name", "part_sha256", "content"])
 
-    return packages.mapInPandas(run, _PARTS)
+    return by_pieces(packages, run, _PARTS)
 
 
 def _root(body: bytes) -> ET.Element | None:
@@ -181,7 +208,7 @@ def tokens(package_parts: DataFrame) -> DataFrame:
                 yield pd.DataFrame([(path, *t) for t in _tokens(name, body)], columns=names)
 
     stories = package_parts.where(F.col("part_name").rlike(f"^{STORY.pattern}$")).select("path", "part_name", "content")
-    return stories.mapInPandas(run, _TOKENS)
+    return by_pieces(stories, run, _TOKENS)
 
 
 def styles(package_parts: DataFrame) -> DataFrame:
@@ -197,7 +224,7 @@ def styles(package_parts: DataFrame) -> DataFrame:
                     rows.append((path, style.get(f"{W}styleId"), *(None if x is None else x.get(f"{W}val") for x in found)))
                 yield pd.DataFrame(rows, columns=["path", "style_id", "based_on", "name", "num_id", "outline"])
 
-    return package_parts.where(F.col("part_name") == "word/styles.xml").select("path", "content").mapInPandas(run, "path string, style_id string, based_on string, name string, num_id string, outline string")
+    return by_pieces(package_parts.where(F.col("part_name") == "word/styles.xml").select("path", "content"), run, "path string, style_id string, based_on string, name string, num_id string, outline string")
 
 
 def relationships(package_parts: DataFrame) -> DataFrame:
@@ -216,7 +243,7 @@ def relationships(package_parts: DataFrame) -> DataFrame:
                 yield pd.DataFrame(rows, columns=["path", "part_name", "rel_id", "kind", "target", "external"])
 
     rels = package_parts.where(F.endswith("part_name", F.lit(".rels"))).select("path", "part_name", "content")
-    found = rels.mapInPandas(run, "path string, part_name string, rel_id string, kind string, target string, external boolean")
+    found = by_pieces(rels, run, "path string, part_name string, rel_id string, kind string, target string, external boolean")
     there = package_parts.select("path", F.col("part_name").alias("target"), F.lit(False).alias("external"), F.col("part_sha256").alias("target_sha256"))
     return found.join(there, ["path", "target", "external"], "left")
 
@@ -235,7 +262,7 @@ def sections(package_parts: DataFrame) -> DataFrame:
                     rows.append((path, n, None if None in twips or not twips[0] else (twips[0] - twips[1] - twips[2]) / 20))
                 yield pd.DataFrame(rows, columns=["path", "section", "text_width"]).astype({"text_width": float})
 
-    return package_parts.where(F.col("part_name") == MAIN).select("path", "content").mapInPandas(run, "path string, section int, text_width double")
+    return by_pieces(package_parts.where(F.col("part_name") == MAIN).select("path", "content"), run, "path string, section int, text_width double")
 
 
 def formula_places(found: DataFrame) -> DataFrame:

@@ -62,3 +62,18 @@ def test_evidence(spark, tmp_path):
     good, bad = evidence.read_evidence(spark, str(tmp_path), "visual-review/v2")
     assert good.selectExpr("inline(pages)").collect()[0].passed is None
     assert [r.schema for r in bad.collect()] == ["other/v1"]
+
+
+def test_functions_on_packages_hold_a_few_rows(spark):
+    """However many rows Spark puts into a batch; before, a function got all of them at once."""
+    import pandas as pd
+    from auditlake.sources import packages as P
+
+    def sizes(batches):
+        for b in batches:
+            yield pd.DataFrame({"n": [len(b)]})
+
+    for width, most in ((10, P.PIECE_ROWS), (100_000, 50)):
+        rows = spark.range(0, 1000, 1, 1).selectExpr("id", f"cast(repeat('x', {width}) as binary) as content")
+        got = [r.n for r in P.by_pieces(rows, sizes, "n int").collect()]
+        assert sum(got) == 1000 and max(got) <= most
