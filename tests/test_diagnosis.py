@@ -38,3 +38,15 @@ def test_publish(spark, tmp_path):
     assert spark.read.parquet(path).count() == 5
     with pytest.raises(FileExistsError):
         publish(df, path, lambda back: True)
+
+
+def test_equal_formulas_are_dealt_and_not_read(spark):
+    """A text that says the same letter by letter is left out of what Python reads, whatever it holds; primes are still judged."""
+    targets = spark.createDataFrame([(1, "a", "x = y", [1]), (1, "b", "x''^2", [2]), (1, "c", None, [3]), (1, "d", "x < y", [4])], "doc int, target_id string, expected_tex string, ordinals array<int>")
+    exports = spark.createDataFrame([(1, 1, "x = y"), (1, 2, "x''^2"), (1, 3, None), (1, 4, "x = y")], "doc int, ordinal int, text string")
+    found = diagnosis.layout_defects(targets, exports, ["doc"])
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan
+    got = {(r.target_id, r.reason) for r in found.collect()}
+    assert ("b", "noncanonical_prime_syntax") in got and {("d", "source_formula_semantic_token_mismatch"), ("d", "structure_mismatch")} <= got
+    assert not {"a", "c"} & {t for t, _ in got}
