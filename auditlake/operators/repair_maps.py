@@ -10,10 +10,11 @@ the original), working_native and working_objects, and what each kind below name
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from auditlake.functions import tex as X
+from auditlake.functions.dealt import dealt
 from auditlake.functions.text import aligned, latex_reasons, prime_issues, prime_orders
 from auditlake.operators.rules import count_state, holds
 
@@ -33,8 +34,8 @@ def _judged(rows: DataFrame, headers: DataFrame, key: str, refusals: list[tuple[
     first = lambda rules: F.coalesce(*(F.when(~holds(~bad), code) for code, bad in rules))
     documents = headers.select(key, first(about).alias("about"))
     both = rows.withColumn("own", first(refusals)).join(documents, key, "left").withColumn("refusal", F.when(F.col("about").isNotNull(), F.col("about")).otherwise(F.col("own")))
-    refused = both.where("refusal is not null").select(key).distinct().withColumn("refused", F.lit(True))
-    return both.join(refused, key, "left").withColumn("planned", F.col("refused").isNull()).drop("own", "about", "refused")
+    # a window over each document, so that its rows, made in Python, are made once
+    return both.withColumn("planned", F.every(F.col("refusal").isNull()).over(Window.partitionBy(key))).drop("own", "about")
 
 
 def limit_layout(headers: DataFrame, formulas: DataFrame, requested: DataFrame, scripts: DataFrame, primes: DataFrame, locations: DataFrame, key: str) -> DataFrame:
@@ -44,7 +45,7 @@ def limit_layout(headers: DataFrame, formulas: DataFrame, requested: DataFrame,
     have any); ``locations``: ordinal, p, local.
     """
     rows = requested.select(key, "ordinal").distinct().join(formulas.select(key, "ordinal", "tex"), [key, "ordinal"], "left")
-    rows = with_safe_tex(rows, F.col("tex")).withColumn("placements", X.limit_placements_udf("safe_tex"))
+    rows = with_safe_tex(dealt(rows), F.col("tex")).withColumn("placements", X.limit_placements_udf("safe_tex"))
     for other in (scripts.select(key, "ordinal", F.col("n").alias("scripts")), primes.select(key, "ordinal", F.col("orders").alias("source_orders")), locations.select(key, "ordinal", "p", "local")):
         rows = rows.join(other, [key, "ordinal"], "left")
     own = [
@@ -70,7 +71,7 @@ def multisibling(headers: DataFrame, groups: DataFrame, formulas: DataFrame, key
     ``groups``: p, ordinals (of one group); ``headers`` names its ``extra`` formulas; ``formulas``: ordinal, tex.
     """
     each = groups.select(key, "p", "ordinals", F.posexplode("ordinals").alias("at", "ordinal")).join(formulas.select(key, "ordinal", "tex"), [key, "ordinal"], "left")
-    each = with_safe_tex(each, F.col("tex"))
+    each = with_safe_tex(dealt(each), F.col("tex"))
     lists = F.array_sort(F.collect_list(F.struct("at", F.concat(F.lit("$"), "safe_tex", F.lit("$")).alias("tex"))))
     rows = each.groupBy(key, "p", "ordinals").agg(lists.alias("lines"), F.count_if(F.size("rejected") > 0).alias("bad"))
     state = count_state(F.col("source_native"), F.col("extra"), F.col("working_objects"), F.col("working_native"))
@@ -81,7 +82,7 @@ def multisibling(headers: DataFrame, groups: DataFrame, formulas: DataFrame, key
 def chosen_lines(exports: DataFrame, key: str) -> DataFrame:
     """The text of every visual line: the one exported where it is sane, else that of the fragment; with why the export was not taken."""
     reasons = latex_reasons(F.col("exported"))
-    rows = exports.withColumn("export_reasons", reasons)
+    rows = dealt(exports).withColumn("export_reasons", reasons)
     sane = F.size("export_reasons") == 0
     rows = with_safe_tex(rows, F.when(sane, X.exported_udf("exported")).otherwise(F.col("fragment")))
     return rows.withColumn("provenance", F.when(sane, "export").otherwise("fragment"))
@@ -89,11 +90,11 @@ def chosen_lines(exports: DataFrame, key: str) -> DataFrame:
 
 def _lines(exports: DataFrame, key: str) -> DataFrame:
     """One row a formula: whether its export succeeded, its lines in order, and how many of them are rejected."""
-    lines = chosen_lines(exports.where("line is not null"), key)
-    ordered = F.array_sort(F.collect_list(F.struct("line", "safe_tex", "provenance")))
-    made = lines.groupBy(key, "ordinal").agg(ordered.alias("lines"), F.count_if(F.size("rejected") > 0).alias("bad"))
-    success = exports.groupBy(key, "ordinal").agg(F.bool_and(holds(F.col("success"))).alias("success"))
-    return success.join(made, [key, "ordinal"], "left").withColumn("n", F.coalesce(F.size("lines"), F.lit(0)))
+    lines, there = chosen_lines(exports, key), F.col("line").isNotNull()
+    ordered = F.array_sort(F.collect_list(F.when(there, F.struct("line", "safe_tex", "provenance"))))
+    made = lines.groupBy(key, "ordinal").agg(F.bool_and(holds(F.col("success"))).alias("success"), ordered.alias("lines"), F.count_if(there & (F.size("rejected") > 0)).alias("bad")).withColumn("n", F.size("lines"))
+    # without lines, neither they nor what is rejected of them is known
+    return made.select(key, "ordinal", "success", *(F.when(F.col("n") > 0, F.col(c)).alias(c) for c in ("lines", "bad")), "n")
 
 
 def visual_wrap(headers: DataFrame, exports: DataFrame, locations: DataFrame, key: str) -> DataFrame:

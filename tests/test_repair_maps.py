@@ -2,6 +2,8 @@
 
 import pytest
 from auditlake.operators import repair_maps as R
+from auditlake.plans import catalogue
+from helpers import DATA
 from pyspark.sql import functions as F
 
 
@@ -105,3 +107,16 @@ def test_a_split_adds_an_object_a_line(spark):
     got = {r.ordinal: (r.refusal, r.planned) for r in made(1, 3, 4).collect()}
     assert got == {1: (None, False), 3: ("export_missing", False), 4: ("fewer_than_two_lines", False)}
     assert R.map_totals(made(1, 3), header, "doc").count() == 0
+
+
+@pytest.mark.parametrize(("name", "steps"), [("multisibling_map", 2), ("limit_layout_map", 3), ("visual_wrap_map", 3), ("visual_line_split_map", 3)])
+def test_texts_are_dealt_and_read_once(spark, name, steps):
+    plan = catalogue.queries()[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") <= steps and "REPARTITION_BY_NUM" in plan
+
+
+def test_a_failed_export_without_lines_has_none(spark):
+    rows = spark.createDataFrame([(1, 1, False, None, None, None), (1, 2, True, 1, "a", "b"), (1, 2, True, None, "c", "d")], "doc int, ordinal int, success boolean, line int, exported string, fragment string")
+    got = {r.ordinal: r for r in R._lines(rows, "doc").collect()}
+    assert (got[1].lines, got[1].bad, got[1].n, got[1].success) == (None, None, 0, False)
+    assert ([x.safe_tex for x in got[2].lines], got[2].bad, got[2].n) == (["a"], 0, 1)
