@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from auditlake.functions.dealt import dealt_by
 from auditlake.functions.text import blank, has_control
 from auditlake.operators.rules import errors, holds
 
@@ -99,10 +100,13 @@ def resume_checkpoint(checkpoints: DataFrame, now: DataFrame, key: str = "run_id
     )
 
 
-def restore_gate(header: DataFrame, before: DataFrame, after: DataFrame, key: str = "doc_id") -> DataFrame:
-    """A restored document has the original's formula count in every paragraph, zeros included."""
+def restore_gate(header: DataFrame, before: DataFrame, after: DataFrame, key: str = "doc_id", tasks: int | None = None) -> DataFrame:
+    """A restored document has the original's formula count in every paragraph, zeros included.
+
+    ``tasks``: into how many tasks the paragraphs of both are dealt by document.
+    """
     a, b = before.select(key, "p", F.col("formulas").alias("x")), after.select(key, "p", F.col("formulas").alias("y"))
-    moved = a.join(b, [key, "p"], "full_outer").groupBy(key).agg(F.count_if(~F.col("x").eqNullSafe(F.col("y"))).alias("moved"), F.sum("x").alias("total"))
+    moved = dealt_by(a.join(b, [key, "p"], "full_outer"), [key], tasks).groupBy(key).agg(F.count_if(~F.col("x").eqNullSafe(F.col("y"))).alias("moved"), F.sum("x").alias("total"))
     both = header.join(moved, key, "left")
     return errors(both, key, ("status", F.col("status") == "ready"), ("original_changed", F.lower("original_sha256") == F.lower("now_sha256")), ("counts", F.col("total") == F.col("formula_count")), ("paragraph_sequence", F.col("moved") == 0))
 

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from auditlake.functions.dealt import dealt_by
+
 MISSING = "<MISSING>"
 
 
@@ -64,16 +69,24 @@ def ordinal_pairs(one: DataFrame, two: DataFrame, ordinal: str) -> DataFrame:
     return one.join(two, ordinal).withColumn("one", F.lit(1)).join(F.broadcast(counts.where("a = b").select("one")), "one").drop("one")
 
 
-def two_way_coverage(expected: DataFrame, found: DataFrame, key: list[str]) -> DataFrame:
-    """Keys on one side only, with the side they lack."""
-    missing = expected.select(*key).distinct().join(found, key, "left_anti").withColumn("kind", F.lit("missing"))
-    extra = found.select(*key).distinct().join(expected, key, "left_anti").withColumn("kind", F.lit("extra"))
-    return missing.unionByName(extra)
+def two_way_coverage(expected: DataFrame, found: DataFrame, key: list[str], tasks: int | None = None) -> DataFrame:
+    """Keys on one side only, with the side they lack; one grouping of both sides.  A key with a null is like no other.
+
+    ``tasks``: into how many tasks the rows are dealt by key.
+    """
+    sides = expected.select(*key, F.lit(True).alias("__e"), F.lit(False).alias("__f")).unionByName(found.select(*key, F.lit(False).alias("__e"), F.lit(True).alias("__f")))
+    both = dealt_by(sides, key, tasks).groupBy(*key).agg(F.max("__e").alias("__e"), F.max("__f").alias("__f"))
+    unlike = reduce(or_, (F.col(k).isNull() for k in key))
+    missing, extra = (F.when(F.col(one) & (~F.col(other) | unlike), F.lit(kind)) for one, other, kind in (("__e", "__f", "missing"), ("__f", "__e", "extra")))
+    return both.where(~(F.col("__e") & F.col("__f")) | unlike).select(*key, F.explode(F.array_compact(F.array(missing, extra))).alias("kind"))
+
 
+def several_owners(targets: DataFrame, scope: list[str], ordinals: str = "ordinals", owner: str = "target", tasks: int | None = None) -> DataFrame:
+    """Ordinals of a map (the columns of ``scope``) that belong to more than one of its targets, or to one target twice.
 
-def several_owners(targets: DataFrame, scope: list[str], ordinals: str = "ordinals", owner: str = "target") -> DataFrame:
-    """Ordinals of a map (the columns of ``scope``) that belong to more than one of its targets, or to one target twice."""
-    each = targets.select(*scope, owner, F.explode(ordinals).alias("ordinal"))
+    ``tasks``: into how many tasks the rows are dealt by ordinal.
+    """
+    each = dealt_by(targets.select(*scope, owner, F.explode(ordinals).alias("ordinal")), [*scope, "ordinal"], tasks)
     return each.groupBy(*scope, "ordinal").agg(F.count("*").alias("owners"), F.countDistinct(owner).alias("targets")).where("owners > 1")
 
 

@@ -29,13 +29,15 @@ def clamped_depth(df: DataFrame, within: list[str], order: list, step: Column, n
     return df.withColumn(name, (F.col("__sum") - F.least(F.lit(0), F.min("__sum").over(so_far))).cast("long")).drop("__sum")
 
 
-def complete(df: DataFrame, within: list[str], number: str, total: Column) -> DataFrame:
-    """Whether the numbers of each group are exactly 1..total: finds missing, repeated and out-of-range ones.
+def complete(df: DataFrame, within: list[str], number: str, total: Column | None = None) -> DataFrame:
+    """Whether the numbers of each group are exactly 1..total: finds missing, repeated and out-of-range ones.  Without a total the highest number is it.
 
     Uses counts, not lists, so that a large group is never gathered.
     """
-    inside = F.count_if(F.col(number).between(1, total))
-    return df.groupBy(*within).agg(((F.count("*") == F.max(total)) & (inside == F.max(total)) & (F.countDistinct(number) == F.max(total))).alias("complete"))
+    n = F.col(number)
+    most = F.max(n if total is None else total)
+    inside = F.count_if(n >= 1 if total is None else n.between(1, total))
+    return df.groupBy(*within).agg(((F.count("*") == most) & (inside == most) & (F.countDistinct(number) == most)).alias("complete"))
 
 
 def allocated(df: DataFrame, existing: DataFrame, key: str, order: list, name: str = "new_id") -> DataFrame:

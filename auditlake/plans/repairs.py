@@ -6,14 +6,14 @@ from pyspark.sql import functions as F
 
 from auditlake.functions import text as X
 from auditlake.operators import checks, edits, repairs
-from auditlake.plans.registry import Tables, query
+from auditlake.plans.registry import Tables, dealt_by, query, tasks_for
 
 # Lines whose number is repeated in an order are one.
 _LINES = "(SELECT l_orderkey, l_linenumber, max(l_quantity) AS l_quantity, max(l_tax) AS l_tax, max(l_discount) AS l_discount FROM lineitem GROUP BY ALL)"
 
 
-def _lines(t: Tables):
-    return t.lineitem.groupBy("l_orderkey", "l_linenumber").agg(*(F.max(c).alias(c) for c in ("l_quantity", "l_tax", "l_discount")))
+def _lines(t: Tables, tasks: int | None = None):
+    return dealt_by(t.lineitem, ["l_orderkey", "l_linenumber"], tasks).groupBy("l_orderkey", "l_linenumber").agg(*(F.max(c).alias(c) for c in ("l_quantity", "l_tax", "l_discount")))
 
 
 _DOLLARS = "CASE turn % 5 WHEN 0 THEN '$$' || text || '$$' WHEN 1 THEN '$' || text || '$' WHEN 2 THEN ' $' || text || ' ' WHEN 3 THEN text || '$$' ELSE text || '\\mathrm{' || chr(160) || '}' END"
@@ -84,12 +84,13 @@ h AS (SELECT o_orderkey AS doc_id, o_orderstatus, o_custkey FROM orders), j AS (
 SELECT doc_id, 'status' AS rule FROM j WHERE o_orderstatus = 'P' UNION ALL SELECT doc_id, 'original_changed' FROM j WHERE o_custkey % 9 = 0 UNION ALL SELECT doc_id, 'counts' FROM j WHERE coalesce(total > 100, true) UNION ALL SELECT doc_id, 'paragraph_sequence' FROM j WHERE coalesce(moved <> 0, true)""")
 def restore_errors(t: Tables):
     """Lines as paragraphs, quantities as formula counts; a header names no more than a hundred."""
-    before = _lines(t).select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("p"), F.col("l_quantity").cast("long").alias("formulas"))
+    tasks = tasks_for(t.lineitem.count())
+    before = _lines(t, tasks).select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("p"), F.col("l_quantity").cast("long").alias("formulas"))
     after = before.where(~((F.col("doc_id") % 17 == 0) & (F.col("p") == 1))).withColumn("formulas", F.when(F.col("formulas") == 50, 0).otherwise(F.col("formulas")))
-    sums = before.groupBy("doc_id").agg(F.sum("formulas").alias("x"))
+    sums = dealt_by(before, ["doc_id"], tasks).groupBy("doc_id").agg(F.sum("formulas").alias("x"))
     header = t.orders.select(F.col("o_orderkey").alias("doc_id"), F.when(F.col("o_orderstatus") == "P", "open").otherwise("ready").alias("status"), F.lit("A").alias("original_sha256"), F.when(F.col("o_custkey") % 9 == 0, "b").otherwise("a").alias("now_sha256"))
-    header = header.join(sums, "doc_id", "left").select("doc_id", "status", "original_sha256", "now_sha256", F.least("x", F.lit(100)).alias("formula_count"))
-    return checks.restore_gate(header, before, after).drop("priority")
+    header = dealt_by(header, ["doc_id"], tasks).join(sums, "doc_id", "left").select("doc_id", "status", "original_sha256", "now_sha256", F.least("x", F.lit(100)).alias("formula_count"))
+    return checks.restore_gate(header, before, after, tasks=tasks).drop("priority")
 
 
 _STATES = tuple(checks.JOB_STEPS)

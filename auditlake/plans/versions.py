@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from auditlake.operators import compare, duplicates, numbering
-from auditlake.plans.registry import Tables, query
+from auditlake.plans.registry import Tables, dealt_by, query, tasks_for
 
 P_SQL = "p AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS plain, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS p FROM documents)"
 C_SQL = """c AS (SELECT doc_id, p, CASE WHEN doc_id % 50 = 0 AND p % 3 = 0 THEN replace(plain, 'the', 'THE') ELSE plain END AS plain FROM p
@@ -107,20 +107,20 @@ def coverage_two_way(t: Tables):
     """Every order should have exactly the line numbers 1 to 4."""
     expected = t.orders.select(F.col("o_orderkey").alias("doc"), F.explode(F.sequence(F.lit(1).cast("long"), F.lit(4).cast("long"))).alias("ordinal"))
     found = t.lineitem.select(F.col("l_orderkey").alias("doc"), F.col("l_linenumber").cast("long").alias("ordinal"))
-    return compare.two_way_coverage(expected, found, ["doc", "ordinal"])
+    return compare.two_way_coverage(expected, found, ["doc", "ordinal"], tasks_for(4 * t.orders.count() + t.lineitem.count()))
 
 
 @query("""WITH e AS (SELECT l_returnflag AS map_id, l_suppkey AS target, unnest([l_orderkey, l_orderkey + l_linenumber]) AS ordinal FROM lineitem)
 SELECT map_id, ordinal, count(*) AS owners, count(DISTINCT target) AS targets FROM e GROUP BY map_id, ordinal HAVING count(*) > 1""")
 def single_owner_violations(t: Tables):
     rows = t.lineitem.select(F.col("l_returnflag").alias("map_id"), F.col("l_suppkey").alias("target"), F.array(F.col("l_orderkey"), F.col("l_orderkey") + F.col("l_linenumber")).alias("ordinals"))
-    return compare.several_owners(rows, ["map_id"])
+    return compare.several_owners(rows, ["map_id"], tasks=tasks_for(2 * t.lineitem.count()))
 
 
 @query("SELECT l_orderkey, count(*) = max(l_linenumber) AND count(DISTINCT l_linenumber) = max(l_linenumber) AND min(l_linenumber) >= 1 AS complete FROM lineitem GROUP BY 1")
 def ordinal_completeness(t: Tables):
-    top = t.lineitem.groupBy("l_orderkey").agg(F.max("l_linenumber").alias("total"))
-    return numbering.complete(t.lineitem.join(top, "l_orderkey"), ["l_orderkey"], "l_linenumber", F.col("total"))
+    rows = t.lineitem.select("l_orderkey", "l_linenumber")
+    return numbering.complete(dealt_by(rows, ["l_orderkey"], tasks_for(t.lineitem.count())), ["l_orderkey"], "l_linenumber")
 
 
 @query("SELECT conv_id, string_agg(text, chr(10) ORDER BY turn) AS text FROM conversations GROUP BY conv_id")

@@ -1,5 +1,10 @@
-from auditlake.functions import text
+import re
+
+import pytest
+from auditlake.functions import dealt, text
 from auditlake.operators import compare, duplicates, geometry, numbering, rules
+from auditlake.plans import catalogue
+from helpers import DATA
 from pyspark.sql import functions as F
 
 
@@ -81,3 +86,21 @@ def test_unknown_scope():
 
     with pytest.raises(ValueError, match="unknown scope"):
         text.normalize_labels(None, "everywhere")
+
+
+def test_coverage_of_keys_with_nulls_and_copies(spark):
+    kind = "doc int, n int"
+    one, two = spark.createDataFrame([(1, 1), (1, 1), (1, 2), (2, None)], kind), spark.createDataFrame([(1, 2), (1, 3), (1, 3), (2, None)], kind)
+    want = [(1, 1, "missing"), (1, 3, "extra"), (2, None, "extra"), (2, None, "missing")]
+    for tasks in (None, 3):
+        found = compare.two_way_coverage(one, two, ["doc", "n"], tasks)
+        assert sorted((tuple(r) for r in found.collect()), key=repr) == sorted(want, key=repr)
+
+
+@pytest.mark.parametrize("name", ["coverage_two_way", "single_owner_violations", "ordinal_completeness", "restore_errors"])
+def test_rows_are_dealt_by_key_in_a_number_that_follows_them(spark, monkeypatch, name):
+    """Partitions of a stated number are not merged; with few rows a task, there are more tasks."""
+    monkeypatch.setattr(dealt, "ROWS_A_TASK", 100)
+    plan = catalogue.queries()[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    stated = [int(n) for n in re.findall(r"hashpartitioning\([^)]*, (\d+)\), REPARTITION_BY_NUM", plan)]
+    assert stated and min(stated) >= spark.read.parquet(f"{DATA}/lineitem.parquet").count() // 100
