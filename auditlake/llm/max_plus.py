@@ -27,16 +27,17 @@ MARK = "▁"
 NEVER = -np.inf
 State = tuple[int, int]  # begin and end, counted from the boundary
 _WORD = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
-_HELD = 1 << 19  # distinct words, or pairs of pieces, that a worker remembers
+HELD = 1 << 19  # distinct words, or pairs of pieces, that a worker remembers
 _LONG = 64  # longer words are not remembered
 
 
 class Pieces:
     """The pieces of a SentencePiece model and its rules."""
 
-    def __init__(self, proto: bytes):
+    def __init__(self, proto: bytes, held: int = HELD):
         import sentencepiece
 
+        self.held = held
         self.lib = sentencepiece.SentencePieceProcessor(model_proto=proto)
         lib, n = self.lib, self.lib.get_piece_size()
         self.ids = {lib.id_to_piece(i): i for i in range(n) if not (lib.is_control(i) or lib.is_unknown(i) or lib.is_byte(i) or lib.is_unused(i))}
@@ -105,7 +106,7 @@ class Pieces:
             return True
         key = one, two
         if key not in self._pairs:
-            if len(self._pairs) > _HELD:
+            if len(self._pairs) >= self.held:
                 self._pairs.clear()
             self._pairs[key] = self._apart(one, two)
         return self._pairs[key]
@@ -218,7 +219,7 @@ class Pieces:
             if ids is None:
                 ids = self.best(word)
                 if len(word) <= _LONG:
-                    if len(known) >= _HELD:
+                    if len(known) >= self.held:
                         known.clear()
                     known[word] = tuple(ids)  # which the collector of cycles need not look at
             out += ids

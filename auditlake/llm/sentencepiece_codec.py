@@ -29,12 +29,13 @@ _CHUNK = "key long, n int, body string, begin int, end int, is_first boolean, is
 _held: dict[int, M.Pieces] = {}
 
 
-def _pieces(shared) -> M.Pieces:
-    """The model, opened once in each worker."""
+def _pieces(shared, held: int = M.HELD) -> M.Pieces:
+    """The model, opened once in each worker, which remembers ``held`` words and pairs of pieces at most."""
     key = hash(shared.value)
     if key not in _held:
         _held.clear()
         _held[key] = M.Pieces(shared.value)
+    _held[key].held = held
     return _held[key]
 
 
@@ -52,14 +53,15 @@ def _read_model(path: str) -> bytes:
         return f.read()
 
 
-def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", chunk_chars: int = CHUNK_CHARS) -> DataFrame:
+def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", chunk_chars: int = CHUNK_CHARS, held: int = M.HELD) -> DataFrame:
     """Per row: the id column, ``n_ids``, ``ids`` (array of piece ids) and ``round_trip`` (decoding gives the text back).
 
     Defined cases: a null text has null ``ids``, 0 ``n_ids`` and a true ``round_trip``; an empty text has
     an empty array; a text of any length is encoded whole; a text that holds the model's own space mark (U+2581) comes back with a space there,
     and ``round_trip`` says so; lone surrogates cannot reach Spark strings; rows that repeat an id are
     encoded by their own texts and repeated rows get the same result; an empty table gives an empty one;
-    other columns are not looked at.
+    other columns are not looked at.  ``held`` bounds what a worker remembers, some 250 bytes for a word and for a pair;
+    what it forgets it finds again, so results do not depend on it.
     """
     checked_name(docs, id_col, text_col)
     shared = docs.sparkSession.sparkContext.broadcast(_read_model(model_path))
@@ -68,7 +70,7 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
     giant = F.coalesce(F.length("text") > chunk_chars, F.lit(False))
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = _pieces(shared)
+        pieces = _pieces(shared, held)
         for batch in batches:
             every = batch.column(1).to_pylist()
             for a, b in _slices(every):
@@ -82,16 +84,16 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
     schema = f"id {kind}, n_ids long, ids array<int>, round_trip boolean"
     small = rows.where(~giant).mapInArrow(whole, schema)
     large = rows.where(giant).withColumn("key", F.xxhash64("id", "text"))
-    traced = _scan(large.select("key", "text"), shared, chunk_chars)
+    traced = _scan(large.select("key", "text"), shared, chunk_chars, held)
     found = large.select("id", "key").join(traced, "key")
     return small.unionByName(found.select("id", "n_ids", "ids", "round_trip")).withColumnRenamed("id", id_col)
 
 
-def _scan(large: DataFrame, shared, chunk_chars: int) -> DataFrame:
+def _scan(large: DataFrame, shared, chunk_chars: int, held: int) -> DataFrame:
     """key, n_ids, ids, round_trip of giant documents; equal documents are encoded once."""
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reach = _pieces(shared).longest
+        reach = _pieces(shared, held).longest
         for batch in batches:
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 body = M.marked(text)
@@ -105,7 +107,7 @@ def _scan(large: DataFrame, shared, chunk_chars: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
     def opened(batch: pa.RecordBatch) -> Iterator[tuple[int, int, M.Chunk]]:
-        pieces = _pieces(shared)
+        pieces = _pieces(shared, held)
         names = ("key", "n", "body", "begin", "end", "is_first", "is_last")
         for key, n, body, begin, end, first, last in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in names), strict=True):
             yield key, n, M.Chunk(pieces, body, begin, end, first, last)
@@ -130,7 +132,7 @@ def _scan(large: DataFrame, shared, chunk_chars: int) -> DataFrame:
 
     def join_up(key: tuple[pa.Scalar, ...], parts: pa.Table, text: pa.Table) -> pa.Table:
         ids = [i for _, part in sorted(zip(parts["n"].to_pylist(), parts["ids"].to_pylist(), strict=True)) for i in part]
-        same = _pieces(shared).decode(ids) == text["text"][0].as_py()
+        same = _pieces(shared, held).decode(ids) == text["text"][0].as_py()
         return pa.table({"key": pa.array([key[0].as_py()], pa.int64()), "n_ids": pa.array([len(ids)], pa.int64()), "ids": pa.array([ids], pa.list_(pa.int32())), "round_trip": pa.array([same])})
 
     once = large.dropDuplicates(["key"])

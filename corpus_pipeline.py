@@ -19,6 +19,8 @@ from auditlake.llm.quality_rules import quality_rules
 from auditlake.llm.substring_dedup import remove_repeats
 
 TOKENIZER = "/opt/tokenizers/piece_bpe_32k.model"
+#: Words, and pairs of pieces, that a worker remembers; fewer than alone, as workers still hold what earlier stages left.
+REMEMBERED = 1 << 16
 
 
 def _aside(docs: DataFrame) -> tuple[DataFrame, list]:
@@ -80,7 +82,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Piece ids of every document that is left."""
-    return sentencepiece_codec.encode(docs.select("doc_id", "text"), TOKENIZER)
+    return sentencepiece_codec.encode(docs.select("doc_id", "text"), TOKENIZER, held=REMEMBERED)
 
 
 STAGES = [

@@ -243,3 +243,14 @@ def test_only_texts_that_pairs_name_are_moved(spark):
     found = N._compared(pairs, texts, 5, 85, 2)
     assert found._jdf.queryExecution().optimizedPlan().toString().count("Join LeftSemi") == 2
     assert sorted(map(tuple, found.collect())) == [(1, 3, True), (2, 3, False)]
+
+
+def test_a_small_memory_gives_the_same_pieces_and_stays_small():
+    from auditlake.llm import max_plus
+
+    with open("/opt/tokenizers/piece_bpe_32k.model", "rb") as f:
+        proto = f.read()
+    text = " ".join(f"word{i}le unfound{i % 7}ation" for i in range(400))
+    whole, little = max_plus.Pieces(proto), max_plus.Pieces(proto, held=8)
+    assert little.encode(text) == whole.encode(text) == whole.lib.encode(text)
+    assert len(little._words) <= 8 and len(little._pairs) <= 8
