@@ -382,7 +382,7 @@ def _links(rows: DataFrame, known: DataFrame, size: int, percent: int) -> DataFr
     rank = "row_number() over (partition by cls order by df, value)"
     entries = entries.selectExpr("*", f"{rank} as rank", "count(*) over (partition by cls) as c", "sum(df) over (partition by cls) / k as typical")
     lists = entries.where("c - rank >= enough - 1").select(F.col("value").alias("list"), "cls", "n", "shared", "typical")
-    lists = stored(lists, "lists")
+    lists = stored(_of_use(stored(lists, "entries"), "cls"), "lists")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         found = _compared(stored(_estimated(pairs, texts, percent, common), "pairs"), texts.select("cls", "text"), size, percent, chunks)
@@ -400,27 +400,31 @@ def _links(rows: DataFrame, known: DataFrame, size: int, percent: int) -> DataFr
 
     links, pairs = None, []
     while True:
-        # the most typical member is the list's centre; members of later lists come after it in this order, so that rounds end
-        centres = lists.groupBy("list").agg(F.min(F.struct(-F.col("typical"), "cls", "n", "shared")).alias("m"))
-        centres = centres.select("list", F.col("m.cls").alias("a"), F.col("m.n").alias("na"), F.col("m.shared").alias("sa"))
-        star = lists.select("list", *two).join(centres, "list").where(F.col("a") != F.col("b")).where(bounded)
+        star = lists.select("a", "na", "sa", *two).where(F.col("a") != F.col("b")).where(bounded)
         found = confirmed(star.select("a", "b", "na", "nb").distinct())
         links = found if links is None else links.unionByName(found)
         roots = connected_components(links).withColumnRenamed("node", "cls")
         held = lists.join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-        mixed = held.groupBy("list").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("size")).where("low <> high").select("list", "size")
-        held = stored(held.join(mixed, "list"), "mixed")
+        of_centre = F.max(F.when(F.col("cls") == F.col("a"), F.col("root"))).alias("component")
+        mixed = held.groupBy("list").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("size"), F.first("a").alias("a"), F.first("order").alias("order"), of_centre)
+        mixed = stored(mixed.where("low <> high"), "several")
+        # large lists whose centres are in one component are split by the most typical of these, so that a member is compared once for all of them;
+        # the first of all members is the hub of every list that holds it and is in no list after that, so that rounds end
+        hubs = mixed.where(F.col("size") > SMALL).groupBy("component").agg(F.min(F.struct("order", "a")).alias("m")).select("component", F.col("m.a").alias("hub"))
+        mixed = mixed.select("list", "size", "component").join(hubs, "component", "left").drop("component")
+        held = stored(held.drop("a").join(mixed, "list"), "mixed")
         few, many = held.where(F.col("size") <= SMALL), held.where(F.col("size") > SMALL)
         pairs.append(met(few, few, F.col("a") < F.col("b")))
         if many.isEmpty():
             break
-        members = many.join(centres.select("list", "a"), "list").where(F.col("a") != F.col("cls"))
-        parts = _split(members, lambda asked: _compared(stored(asked, "pairs"), texts.select("cls", "text"), size, percent, chunks, split=True))
+        members = many.withColumnRenamed("hub", "a").where(F.col("a") != F.col("cls"))
+        parts, beside = _split(members, lambda asked: _compared(stored(asked, "pairs"), texts.select("cls", "text"), size, percent, chunks, split=True))
+        links = links.unionByName(beside)
         linked, apart, close = parts.where("not apart"), parts.where("apart"), parts.where("apart and short")
         pairs.append(met(apart.where(F.least("loose", "others") <= SMALL), linked.where(F.least("loose", "others") <= SMALL), F.lit(True)))
         pairs.append(met(close.where(F.col("close") <= SMALL), close.where(F.col("close") <= SMALL), F.col("a") < F.col("b")))
         lists = parts.where(F.least("loose", "others") > SMALL).unionByName(close.where(F.col("close") > SMALL).withColumn("list", F.xxhash64("list")))
-        lists = stored(_of_use(lists).select("list", "cls", "n", "shared", "typical", "root"), "lists")
+        lists = stored(_of_use(lists).select("list", "cls", "n", "shared", "typical", "root", "a", "na", "sa", "order"), "lists")
         # where all pairs of all lists are no more than there are classes, they are made at once
         possible = lists.groupBy("list").agg(F.count("*").alias("size")).agg(F.sum(F.col("size") * (F.col("size") - 1) / 2)).first()[0] or 0
         if possible <= len_texts:
@@ -433,14 +437,17 @@ def _links(rows: DataFrame, known: DataFrame, size: int, percent: int) -> DataFr
     return links.unionByName(confirmed(every.distinct()))
 
 
-def _split(members: DataFrame, compared) -> DataFrame:
-    """Parts of lists by what their members (``cls``) do not share with the centre ``a``, lists of a centre together.
+def _split(members: DataFrame, compared) -> tuple[DataFrame, DataFrame]:
+    """Parts of lists by what their members (``cls``) do not share with the centre ``a``, lists of a centre together; and the links of members with it.
 
     Of each member of a part: whether it is apart from the centre and serves for pairs with others apart (``short``);
     and how many members of the part are apart (``loose``), linked with the centre (``others``), and both apart and short (``close``).
     """
     told = compared(members.select("a", F.col("cls").alias("b")).distinct())
-    told = stored(told.select(F.col("b").alias("cls"), (~F.col("linked")).alias("apart"), "places", "short", "a", F.explode("elements").alias("element")).withColumn("list", F.xxhash64("a", "element")), "split")
+    told = stored(told.select(F.col("b").alias("cls"), (~F.col("linked")).alias("apart"), "places", "short", "a", "elements"), "differences")
+    beside = told.where("not apart").select("a", F.col("cls").alias("b"))
+    told = _listed(told).select("cls", "apart", "places", "short", "a", F.explode("elements").alias("element"))
+    told = stored(told.withColumn("list", F.xxhash64("a", "element")), "split")
     often = told.groupBy("list").agg(F.count("*").alias("df"), F.count_if("apart").alias("loose")).where("df > 1").select("list", "df", F.col("loose").alias("any"))
     found = told.join(often, "list").selectExpr("*", "row_number() over (partition by a, cls order by df, element) as rank", "count(*) over (partition by a, cls) as c")
     # elements that no other member has come first and are not listed
@@ -450,14 +457,26 @@ def _split(members: DataFrame, compared) -> DataFrame:
     sides = found.groupBy("list").agg(F.count_if("apart").alias("loose"), F.count_if(~F.col("apart")).alias("others"), F.count_if(F.col("apart") & F.col("short")).alias("close"))
     used = found.join(sides.where("loose > 0 and (others > 0 or close > 1)"), "list")
     kinds = members.groupBy("cls").agg(*(F.max(c).alias(c) for c in ("n", "shared", "typical", "root")))
-    return stored(used.join(kinds, "cls"), "parts")
+    return stored(used.join(kinds, "cls"), "parts"), beside
 
 
-def _of_use(lists: DataFrame) -> DataFrame:
-    """Lists of several components; of lists with the same members one is kept."""
+def _listed(told: DataFrame) -> DataFrame:
+    """The members that can be listed: those with so many elements that no other member of the centre has are not.
+
+    Such a member shares fewer elements with any other than a link needs.  Elements are counted by the packed exchange, 4 bytes each.
+    """
+    sets = told.select(F.xxhash64("a", "cls").alias("cls"), F.transform("elements", lambda e: F.xxhash64("a", e)).alias("sketch"))
+    met = _shared_values(sets, told.agg(F.sum(F.size("elements"))).first()[0] or 0, _pack_sketches).withColumnRenamed("cls", "key")
+    both = told.withColumn("key", F.xxhash64("a", "cls")).join(met, "key")
+    return both.where(F.size("elements") - F.col("shared") < F.col("places")).select(*told.columns)
+
+
+def _of_use(lists: DataFrame, apart: str = "root") -> DataFrame:
+    """Lists of several components (``apart``), with their most typical member, the centre; of lists with the same members one is kept."""
     marks = [F.bit_xor(F.xxhash64("cls", F.lit(i))).alias(f"mark{i}") for i in (1, 2)]
-    several = lists.groupBy("list").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("size"), *marks).where("low <> high")
-    return lists.join(several.groupBy("size", "mark1", "mark2").agg(F.min("list").alias("list")).select("list"), "list")
+    centre = F.min(F.struct((-F.col("typical")).alias("order"), F.col("cls").alias("a"), F.col("n").alias("na"), F.col("shared").alias("sa"))).alias("centre")
+    several = lists.groupBy("list").agg(F.min(apart).alias("low"), F.max(apart).alias("high"), F.count("*").alias("size"), centre, *marks).where("low <> high")
+    return lists.join(several.groupBy("size", "mark1", "mark2").agg(F.min(F.struct("list", "centre")).alias("m")).select("m.list", "m.centre.*"), "list")
 
 
 def _own_text(size: int):

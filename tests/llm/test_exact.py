@@ -2,7 +2,7 @@
 
 import hashlib
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -254,3 +254,26 @@ def test_a_small_memory_gives_the_same_pieces_and_stays_small():
     whole, little = max_plus.Pieces(proto), max_plus.Pieces(proto, held=8)
     assert little.encode(text) == whole.encode(text) == whole.lib.encode(text)
     assert len(little._words) <= 8 and len(little._pairs) <= 8
+
+
+def test_a_hot_group_of_copies_is_split_by_few_centres(spark, monkeypatch):
+    """Rows made of differences; the group's own members are centres of many of its lists."""
+    rng = np.random.RandomState(8)
+    base = [f"b{i}" for i in range(120)]
+    rows = []
+    for i in range(400):
+        words = list(base)
+        for _ in range(rng.randint(0, 9)):
+            words[rng.randint(len(words))] = f"e{rng.randint(40)}"
+        rows.append((i, " ".join(words)))
+    counts, stored = Counter(), near_duplicates.stored
+
+    def counted(df, name):
+        out = stored(df, name)
+        counts[name] += out.count()
+        return out
+
+    monkeypatch.setattr(near_duplicates, "stored", counted)
+    got = near_duplicates.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=repr) == brute_groups(rows)
+    assert counts["split"] < 20 * len(rows)
