@@ -55,10 +55,15 @@ class Pieces:
         self._halves: dict[str, tuple[str, str] | None] = {}
         if self.bpe:
             self._halves = {p: h for p in self.ids if (h := self._last_merge(p)) is not None or len(p) == 1}
-        # length of the longest piece with these two characters in front
-        self._reach: dict[str, int] = {}
+        # what pieces begin with, and how long the longest piece is that it begins with
+        self._begun: dict[str, int] = {}
         for p in self._halves:
-            self._reach[p[:2]] = max(len(p), self._reach.get(p[:2], 0))
+            length = 1
+            for k in range(2, len(p) + 1):
+                length = k if p[:k] in self._halves else length
+                self._begun[p[:k]] = length
+        # two neighbouring characters that no piece holds: every path cuts between them, and no merge crosses the cut
+        self._joined = {p[k : k + 2] for p in self.ids for k in range(len(p) - 1)}
         self._pairs: dict[tuple[str, str], bool] = {}
         self._words: dict[str, tuple[int, ...]] = {}
         self.least = min(self.scores.values()) - 10
@@ -136,6 +141,15 @@ class Pieces:
 
     def starting(self, text: str, at: int) -> list[int]:
         """Ends of the pieces that begin at ``at``; a character that no piece is stands alone."""
+        if self.bpe:
+            ends = [at + 1]
+            for j in range(at + 2, len(text) + 1):
+                length = self._begun.get(text[at:j])
+                if length is None:
+                    break
+                if length == j - at:
+                    ends.append(j)
+            return ends
         ends = [b for b in range(at + 1, min(len(text), at + self.longest) + 1) if text[at:b] in self.ids and self.stands(text[at:b])]
         return ends if ends and ends[0] == at + 1 else [at + 1, *ends]
 
@@ -146,38 +160,59 @@ class Pieces:
 
     def best(self, word: str) -> list[int]:
         """Ids of the best path over what lies between two forced cuts."""
-        return self._first(word) if self.bpe else self._heaviest(word)
+        if not self.bpe:
+            return self._heaviest(word)
+        joined, known = self._joined, self._words
+        cuts = [k for k in range(1, len(word)) if word[k - 1 : k + 1] not in joined]
+        if not cuts:
+            return self._first(word)
+        out: list[int] = []
+        begin = 0
+        for end in (*cuts, len(word)):
+            part = word[begin:end]
+            ids = known.get(part)
+            if ids is None:
+                ids = self._first(part)
+                self._remember(part, ids)
+            out += ids
+            begin = end
+        return out
+
+    def _remember(self, word: str, ids: list[int]) -> None:
+        if len(word) <= _LONG:
+            if len(self._words) >= self.held:
+                self._words.clear()
+            self._words[word] = tuple(ids)  # which the collector of cycles need not look at
 
     def _first(self, word: str) -> list[int]:
         """The first path, longest pieces first; a piece from which no path goes on is left for good."""
-        size, halves, reach, pairs, ids = len(word), self._halves, self._reach, self._pairs, self.ids
+        size, begun, pairs, ids = len(word), self._begun, self._pairs, self.ids
         path: list[tuple[int, int]] = []
-        waiting: list[list[int]] = []  # ends still to try behind each piece of the path, the longest last
         dead: set[tuple[int, int]] = set()
-        at, before = 0, ""
+        at, j, before = 0, -1, ""  # the end to try next; below 0 the farthest
         while at < size:
-            if len(waiting) == len(path):
-                ends = [at + 1]
-                for j in range(at + 2, min(size, at + reach.get(word[at : at + 2], 0)) + 1):
-                    if word[at:j] in halves:
-                        ends.append(j)
-                waiting.append(ends)
-            ends = waiting[-1]
-            while ends:
-                j = ends.pop()
+            if j < 0:
+                j = at + 1
+                for k in range(at + 2, size + 1):
+                    length = begun.get(word[at:k])
+                    if length is None:
+                        break
+                    j = at + length
+            while j > at:
                 piece = word[at:j]
                 fits = not before or pairs.get((before, piece))
                 if fits is None:
                     fits = self.allowed(before, piece)
                 if fits and (not dead or (at, j) not in dead):
                     path.append((at, j))
-                    at, before = j, piece
+                    at, j, before = j, -1, piece
                     break
+                j = at + begun[word[at : j - 1]] if j - at > 2 else j - 1
             else:
-                waiting.pop()
                 dead.add(path[-1])
-                at = path.pop()[0]
+                at, j = path.pop()
                 before = word[path[-1][0] : at] if path else ""
+                j = at + begun[word[at : j - 1]] if j - at > 2 else j - 1
         out: list[int] = []
         for a, b in path:
             n = ids.get(word[a:b])
@@ -218,10 +253,7 @@ class Pieces:
             ids = known.get(word)
             if ids is None:
                 ids = self.best(word)
-                if len(word) <= _LONG:
-                    if len(known) >= self.held:
-                        known.clear()
-                    known[word] = tuple(ids)  # which the collector of cycles need not look at
+                self._remember(word, ids)
             out += ids
         return out
 

@@ -277,3 +277,16 @@ def test_a_hot_group_of_copies_is_split_by_few_centres(spark, monkeypatch):
     got = near_duplicates.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=repr) == brute_groups(rows)
     assert counts["split"] < 20 * len(rows)
+
+
+def test_parts_that_no_piece_joins_are_found_once(monkeypatch):
+    from auditlake.llm import max_plus
+
+    with open("/opt/tokenizers/piece_bpe_32k.model", "rb") as f:
+        pieces = max_plus.Pieces(f.read())
+    asked, first = [], max_plus.Pieces._first
+    monkeypatch.setattr(max_plus.Pieces, "_first", lambda self, word: asked.append(word) or first(self, word))
+    ends = [f"{a},{b}" for a in ("ting", "thre", "é", "日本", "x") for b in ("erth", "ou", "ß", "\n", "語", "")]
+    text = " ".join(f"{a};{b}" for a in ends for b in ends)
+    assert pieces.encode(text) == pieces.lib.encode(text)
+    assert len(asked) == len(set(asked)) < len(ends) ** 2 / 4
