@@ -42,30 +42,36 @@ def formula_map(header: DataFrame, targets: DataFrame, key: str = "map_id") -> D
     ``header``: schema, source_path, source_sha256, source_count and final_path, final_sha256, final_count as the map says, and the
     same with ``now_``.  ``targets``: target_id, kind, source_ordinal, source_anchor, expected_tex, final_ordinals.
     """
-    named = targets.groupBy(key, "target_id").agg(F.count("*").alias("n")).groupBy(key).agg(F.count_if(blank(F.col("target_id")) | (F.col("n") > 1)).alias("bad_ids"))
-    finals = targets.select(key, F.explode(F.array_distinct("final_ordinals")).alias("o")).groupBy(key, "o").agg(F.count("*").alias("owners"))
-    final = finals.join(header.select(key, "now_final_count"), key).groupBy(key).agg(
-        F.count_if(F.col("owners") > 1).alias("shared"), F.count_if(~holds(F.col("o").between(1, F.col("now_final_count")))).alias("final_outside"), F.count_if(F.col("o").between(1, F.col("now_final_count"))).alias("final_inside"),
-    )
-    of_source = targets.where(holds(F.col("kind") == "source_formula") & holds(F.size("final_ordinals") > 0))
-    source = of_source.groupBy(key, "source_ordinal").agg(F.count("*").alias("n")).join(header.select(key, "now_source_count"), key).groupBy(key).agg(
-        F.count_if(F.col("source_ordinal").isNull()).alias("invalid"), F.count_if(F.col("n") > 1).alias("twice"), F.count_if(~F.col("source_ordinal").between(1, F.col("now_source_count"))).alias("source_outside"), F.count_if(F.col("source_ordinal").between(1, F.col("now_source_count"))).alias("source_inside"),
-    )
-    rows = targets.groupBy(key).agg(
-        F.count_if(~holds(F.col("kind").isin(*TARGET_KINDS))).alias("bad_kinds"), F.count_if(blank(F.col("source_anchor"))).alias("no_anchor"), F.count_if(blank(F.col("expected_tex"))).alias("no_tex"), F.count_if(~holds(F.size("final_ordinals") > 0)).alias("no_output"),
-        F.count_if(F.size(F.array_distinct("final_ordinals")) < F.size("final_ordinals")).alias("repeated"),
-    )
-    both = header
-    for part in (named, final, source, rows):
-        both = both.join(part, key, "left")
-    zero = lambda c: F.coalesce(c, F.lit(0)) == 0
+    with_output = holds(F.size("final_ordinals") > 0)
+    # one row for each thing a target claims, and for each flaw of its own: a map is then judged by two groupings and one join
+    claim = lambda what, name=None, o=None: F.struct(F.lit(what).alias("what"), F.lit(name).cast("string").alias("id"), F.lit(o).cast("long").alias("o"))
+    flaws = {
+        "bad_kind": ~holds(F.col("kind").isin(*TARGET_KINDS)), "no_anchor": blank(F.col("source_anchor")), "no_tex": blank(F.col("expected_tex")), "no_output": ~with_output,
+        "repeated": F.size(F.array_distinct("final_ordinals")) < F.size("final_ordinals"),
+    }
+    own = F.array(claim("id", F.col("target_id")), F.when(holds(F.col("kind") == "source_formula") & with_output, claim("source", o=F.col("source_ordinal"))), *(F.when(wrong, claim(flaw)) for flaw, wrong in flaws.items()))
+    outputs = F.coalesce(F.transform(F.array_distinct("final_ordinals"), lambda o: claim("final", o=o)), F.array())
+    claims = targets.select(key, F.explode(F.concat(F.filter(own, lambda x: x.isNotNull()), outputs)).alias("c")).groupBy(key, "c.what", "c.id", "c.o").agg(F.count("*").alias("n"))
+    is_a, o = (lambda what: F.col("what") == what), F.col("o")
+    numbers = lambda what: [
+        F.count_if(is_a(what) & (F.col("n") > 1)).alias(f"{what}_twice"), F.count_if(is_a(what) & o.isNull()).alias(f"{what}_nulls"), F.count_if(is_a(what) & o.isNotNull()).alias(f"{what}_kinds"),
+        F.min(F.when(is_a(what), o)).alias(f"{what}_low"), F.max(F.when(is_a(what), o)).alias(f"{what}_high"),
+    ]
+    bad_id = is_a("id") & (blank(F.col("id")) | (F.col("n") > 1))
+    made = claims.groupBy(key).agg(F.count_if(bad_id).alias("bad_ids"), *(F.count_if(is_a(flaw)).alias(flaw) for flaw in flaws), *numbers("final"), *numbers("source"))
+    both = header.join(made, key, "left")
+    count = lambda c: F.coalesce(c, F.lit(0))
+    zero = lambda c: count(c) == 0
     same = lambda c: F.col(c).eqNullSafe(F.col(f"now_{c}"))
+    # all ordinals lie in a range if the least and the greatest do; an output without a number, or of a document of unknown size, lies outside
+    final_inside = (zero("final_kinds") & zero("final_nulls")) | (zero("final_nulls") & (F.col("final_low") >= 1) & (F.col("final_high") <= F.col("now_final_count")))
+    source_inside = F.coalesce(F.col("source_low") >= 1, F.lit(True)) & F.coalesce(F.col("source_high") <= F.col("now_source_count"), F.lit(True))
     return errors(
         both, key, ("schema", F.endswith("schema", F.lit(MAP_SCHEMA))), ("other_source", F.col("source_path") == F.col("now_source_path")), ("stale_source", F.lower("source_sha256") == F.lower("now_source_sha256")), ("source_count", same("source_count")),
         ("other_final", F.col("final_path") == F.col("now_final_path")), ("stale_final", F.lower("final_sha256") == F.lower("now_final_sha256")), ("final_count", same("final_count")), ("target_id", zero("bad_ids")), ("no_output", zero("no_output")),
-        ("repeated_output", zero("repeated")), ("final_out_of_range", zero("final_outside")), ("several_owners", zero("shared")), ("source_ordinal", zero("invalid")), ("source_out_of_range", zero("source_outside")), ("source_mapped_twice", zero("twice")),
-        ("source_anchor", zero("no_anchor")), ("expected_tex", zero("no_tex")), ("kind", zero("bad_kinds")),
-        ("source_coverage", (F.coalesce("source_inside", F.lit(0)) == F.col("now_source_count")) & zero("source_outside") & zero("invalid")), ("final_coverage", (F.coalesce("final_inside", F.lit(0)) == F.col("now_final_count")) & zero("final_outside")),
+        ("repeated_output", zero("repeated")), ("final_out_of_range", final_inside), ("several_owners", zero("final_twice")), ("source_ordinal", zero("source_nulls")), ("source_out_of_range", source_inside), ("source_mapped_twice", zero("source_twice")),
+        ("source_anchor", zero("no_anchor")), ("expected_tex", zero("no_tex")), ("kind", zero("bad_kind")),
+        ("source_coverage", (count("source_kinds") == F.col("now_source_count")) & source_inside & zero("source_nulls")), ("final_coverage", (count("final_kinds") == F.col("now_final_count")) & final_inside),
     )
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from auditlake.functions import text as X
 from auditlake.operators import checks, edits
-from auditlake.plans.registry import Tables, query
+from auditlake.plans.registry import Tables, dealt_by, query, tasks_for
 
 _AUDIT_SQL = """h AS (SELECT o_orderkey AS audit_id, CASE WHEN o_orderkey % 50 = 0 THEN 'x-other/v1' ELSE 'x-internal-tex-diagnostic/v1' END AS schema, CASE WHEN o_orderkey % 31 = 0 THEN 'selected' ELSE 'full' END AS scope,
   o_orderstatus <> 'P' AS success, o_orderkey % 37 = 0 AS stale, (SELECT 4) AS total FROM orders),
@@ -38,10 +38,13 @@ def formula_map_errors(t: Tables):
     """Every order is a map: its lines are formulas, every third of them has two outputs; one order in forty breaks each rule."""
     from pyspark.sql import Window
 
-    lines = t.lineitem.join(t.orders.select(F.col("o_orderkey").alias("l_orderkey")), "l_orderkey", "left_semi")
-    s = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber"))
+    # a line makes about four rows in the check; all steps by map follow in the tasks that lines are dealt to
+    tasks = tasks_for(4 * t.lineitem.count())
+    lines = dealt_by(t.lineitem.where(F.col("l_orderkey").isNotNull()).select("l_orderkey", "l_linenumber"), ["l_orderkey"], tasks)
+    of_map = Window.partitionBy("l_orderkey").orderBy("l_linenumber")
+    s, n = F.row_number().over(of_map), F.count("*").over(of_map.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     # a third formula has two outputs, so the outputs before one are as many as formulas and thirds before it
-    rows = lines.select(F.col("l_orderkey").alias("map_id"), s.alias("s")).select("map_id", "s", (F.col("s") + F.floor((F.col("s") - 1) / 3)).alias("f"), F.when(F.col("s") % 3 == 0, 2).otherwise(1).alias("w"), (F.col("s") == 1).alias("first"))
+    rows = lines.select(F.col("l_orderkey").alias("map_id"), s.alias("s"), n.alias("n")).select("map_id", "s", "n", (F.col("s") + F.floor((F.col("s") - 1) / 3)).alias("f"), F.when(F.col("s") % 3 == 0, 2).otherwise(1).alias("w"), (F.col("s") == 1).alias("first"))
     m, odd = F.col("map_id") % 40, lambda n: (F.col("map_id") % 40 == n) & F.col("first")
     own = F.when(F.col("w") == 2, F.array("f", F.col("f") + 1)).otherwise(F.array("f"))
     outputs = F.when(odd(33), F.array().cast("array<bigint>")).when(odd(34), F.array("f", "f")).when(odd(35), F.array("f", F.lit(10000).cast("bigint"))).when((m == 36) & (F.col("s") == 2), F.array(F.lit(1).cast("bigint"))).otherwise(own)
@@ -50,7 +53,9 @@ def formula_map_errors(t: Tables):
         F.when(odd(37), None).when(odd(38), 999).when((m == 39) & (F.col("s") == 2), 1).otherwise(F.col("s")).cast("long").alias("source_ordinal"),
         F.when(odd(0), "").otherwise("near").alias("source_anchor"), F.when(odd(0), None).otherwise("x").alias("expected_tex"), outputs.alias("final_ordinals"),
     )
-    header = rows.groupBy("map_id").agg(F.count("*").alias("n"), F.sum("w").alias("w"))
+    # both sides are dealt alike: they are merged, nothing is broadcast
+    orders = dealt_by(t.orders.select(F.col("o_orderkey").alias("map_id")), ["map_id"], tasks).hint("merge")
+    header = rows.where("first").select("map_id", "n", (F.col("n") + F.floor(F.col("n") / 3)).alias("w")).join(orders, "map_id", "left_semi")
     when = lambda n, a, b: F.when(m == n, a).otherwise(b)
     header = header.select(
         "map_id", when(1, "other/v1", f"x-{checks.MAP_SCHEMA}").alias("schema"), F.lit("s").alias("source_path"), when(2, "t", "s").alias("now_source_path"), F.lit("AB").alias("source_sha256"), when(3, "ac", "ab").alias("now_source_sha256"), (F.col("n") + when(4, 1, 0)).alias("source_count"), F.col("n").alias("now_source_count"),

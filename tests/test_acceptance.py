@@ -101,6 +101,21 @@ def test_rules_of_a_formula_map(spark, rules, change):
     assert broken(spark, **change) == rules
 
 
+@pytest.mark.parametrize(
+    ("rules", "change"),
+    [
+        (["final_count", "final_coverage", "final_out_of_range"], {"header": {"now_final_count": None}}),
+        (["source_count", "source_coverage"], {"header": {"now_source_count": None}}),
+        (["final_coverage", "final_out_of_range"], {"t2_finals": [3, None]}),
+        (["final_coverage", "final_out_of_range", "several_owners"], {"t1_finals": [2, None], "t2_finals": [3, None]}),
+        (["final_coverage", "final_out_of_range", "source_coverage", "source_out_of_range"], {"t0_finals": [0], "t0_source": 0}),
+        (["source_coverage", "source_mapped_twice", "source_ordinal"], {"t0_source": None, "t1_source": None}),
+    ],
+)
+def test_rules_of_a_formula_map_with_unknown_numbers(spark, rules, change):
+    assert broken(spark, **change) == rules
+
+
 def test_orders_of_source_primes(spark):
     cases = {"f'": [1], "f''''": [3, 1], "f′ g″ h‴": [1, 2, 3], "aʹ b’ c‘ dʺ": [1, 1, 1, 2], "x": [], "'''''''": [3, 3, 1], "′′": [1, 1]}
     df = spark.createDataFrame([(c,) for c in cases], "v string")

@@ -1,9 +1,11 @@
 """Queries over whole tables against brute force, also where their SQL looks at a part of the rows."""
 
 import hashlib
+import re
 from collections import Counter, defaultdict
 
 import pandas as pd
+from auditlake.functions import dealt
 from auditlake.plans import catalogue
 from helpers import DATA
 
@@ -94,6 +96,26 @@ def test_formula_map_takes_every_order(spark):
     assert len({rule for _, rule in got}) == 20
 
 
+def test_formula_map_is_dealt_by_map_once(spark, monkeypatch):
+    """Lines are dealt into tasks in a number that follows them, which are not merged; no later step deals rows anew.  Results are the same."""
+    want = found(spark, "formula_map_errors", "map_id", "rule")
+    monkeypatch.setattr(dealt, "ROWS_A_TASK", 1000)
+    plan = catalogue.queries()["formula_map_errors"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    exchanges = re.findall(r"Exchange hashpartitioning\([^)]*, (\d+)\), (\w+)", plan)
+    assert exchanges and {how for _, how in exchanges} == {"REPARTITION_BY_NUM"}
+    assert min(int(n) for n, _ in exchanges) >= 4 * len(table("lineitem")) // 1000
+    assert found(spark, "formula_map_errors", "map_id", "rule") == want
+
+
+def test_formula_map_leaves_out_lines_without_an_order(spark, tmp_path):
+    orders, lines = table("orders"), table("lineitem")
+    orders[orders.o_orderkey % 3 > 0].to_parquet(tmp_path / "orders.parquet")
+    lines = pd.concat([lines, lines.head(3).assign(l_orderkey=None)]).astype({"l_orderkey": "Int64"})
+    lines.to_parquet(tmp_path / "lineitem.parquet")
+    want = [r for r in found(spark, "formula_map_errors", "map_id", "rule") if r[0] % 3 > 0]
+    assert found(spark, "formula_map_errors", "map_id", "rule", folder=tmp_path) == want
+
+
 def test_page_styles_take_every_order(spark):
     source, working, refused = defaultdict(list), defaultdict(list), set()
     for line in table("lineitem").itertuples():
