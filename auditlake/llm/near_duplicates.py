@@ -249,8 +249,8 @@ def _pack_texts(size: int):
     return make
 
 
-def _difference(centre: np.ndarray, other: np.ndarray, percent: int) -> tuple[bool, np.ndarray, int, int]:
-    """Whether ``other`` is linked with the centre, their symmetric difference, and under how many of its elements ``other`` is listed: for any pairs, and for pairs with others that are not linked with the centre either."""
+def _difference(centre: np.ndarray, other: np.ndarray, percent: int) -> tuple[bool, np.ndarray, int, int, int]:
+    """Whether ``other`` is linked with the centre, their symmetric difference, and under how many of its elements ``other`` is listed: for any pairs, and for pairs with others that are not linked with the centre either; and its ``low`` (see ``_listed``)."""
     elements = np.setxor1d(other, centre, assume_unique=True)
     size, p, q = len(elements), 100 + percent, 100 - percent
     linked = p * size <= q * (len(other) + len(centre))
@@ -258,7 +258,7 @@ def _difference(centre: np.ndarray, other: np.ndarray, percent: int) -> tuple[bo
     with_any = max(1, -((q * len(other) - percent * size) // percent))
     with_apart = max(with_any, (p * size - q * len(other) + q * len(centre)) // (2 * p) + 1)
     short = max(0, size - with_apart + 1)
-    return linked, elements.view(np.int64), short if linked else max(0, size - with_any + 1), short
+    return linked, elements.view(np.int64), short if linked else max(0, size - with_any + 1), short, p * size - q * len(other)
 
 
 def _compared(pairs: DataFrame, texts: DataFrame, size: int, percent: int, chunks: int, split: bool = False) -> DataFrame:
@@ -293,7 +293,7 @@ def _compared(pairs: DataFrame, texts: DataFrame, size: int, percent: int, chunk
         found = [_difference(sent[x], own[y], percent) for x, y in todo]
         out = {"a": pa.array([x for x, _ in todo], pa.int64()), "b": pa.array([y for _, y in todo], pa.int64()), "linked": pa.array([f[0] for f in found], pa.bool_())}
         if split:
-            out |= {"elements": pa.array([f[1] for f in found], pa.list_(pa.int64())), "places": pa.array([f[2] for f in found], pa.int32()), "short": pa.array([f[3] for f in found], pa.int32())}
+            out |= {"elements": pa.array([f[1] for f in found], pa.list_(pa.int64())), "places": pa.array([f[2] for f in found], pa.int32()), "short": pa.array([f[3] for f in found], pa.int32()), "low": pa.array([f[4] for f in found], pa.int64())}
         return pa.table(out)
 
     message = "chunk int, a long, b long, body binary"
@@ -306,7 +306,7 @@ def _compared(pairs: DataFrame, texts: DataFrame, size: int, percent: int, chunk
     asked = pairs.select("a", home("a").alias("chunk"), home("b").alias("to")).distinct()
     sent = by_chunk("a").cogroup(asked.groupBy("chunk")).applyInArrow(send, message)
     told = sent.unionByName(pairs.select(home("b").alias("chunk"), "a", "b", F.lit(None).cast("binary").alias("body")))
-    return by_chunk("b").cogroup(told.groupBy("chunk")).applyInArrow(compare, "a long, b long, linked boolean" + ", elements array<long>, places int, short int" * split)
+    return by_chunk("b").cogroup(told.groupBy("chunk")).applyInArrow(compare, "a long, b long, linked boolean" + ", elements array<long>, places int, short int, low long" * split)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 85, detail: bool = False) -> DataFrame:
@@ -390,41 +390,58 @@ def _links(rows: DataFrame, known: DataFrame, size: int, percent: int) -> DataFr
 
     most = F.least("sa", "sb")
     bounded = (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent) & (most * 100 >= (F.col("na") + F.col("nb") - most) * percent)
+    # of the split that made a list (see _listed)
+    reach = F.coalesce((F.col("la") <= F.col("hb")) & (F.col("lb") <= F.col("ha")), F.lit(True))
     one = [F.col("cls").alias("a"), F.col("n").alias("na"), F.col("shared").alias("sa")]
     two = [F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("shared").alias("sb")]
+
     def met(left: DataFrame, right: DataFrame, once) -> DataFrame:
         """Pairs of members of two sides of lists, in different components and within the bounds."""
-        left = left.select("list", *one, F.col("root").alias("ra"))
-        right = right.select("list", *two, F.col("root").alias("rb"))
-        return left.join(right, "list").where((F.col("ra") != F.col("rb")) & once & bounded).select("a", "b", "na", "nb")
+        left = left.select("list", *one, F.col("root").alias("ra"), F.col("low").alias("la"), F.col("high").alias("ha"))
+        right = right.select("list", *two, F.col("root").alias("rb"), F.col("low").alias("lb"), F.col("high").alias("hb"), *[c for c in ("minor",) if c in right.columns])
+        return left.join(right, "list").where((F.col("ra") != F.col("rb")) & once & bounded & reach).select("a", "b", "na", "nb")
+
+    def across(held: DataFrame) -> DataFrame:
+        """Pairs of lists' members outside the largest component of their list with all others."""
+        return met(held.where("minor"), held, ~F.col("minor") | (F.col("a") < F.col("b")))
 
-    links, pairs = None, []
+    links, pairs, before = None, [], None
+    lists = lists.withColumn("low", F.lit(None).cast("long")).withColumn("high", F.lit(None).cast("long"))
     while True:
         star = lists.select("a", "na", "sa", *two).where(F.col("a") != F.col("b")).where(bounded)
         found = confirmed(star.select("a", "b", "na", "nb").distinct())
         links = found if links is None else links.unionByName(found)
         roots = connected_components(links).withColumnRenamed("node", "cls")
+        # what is linked so far, as stars, so that rounds do not add to it
+        links = roots.where("cls <> root").select(F.col("cls").alias("a"), F.col("root").alias("b"))
         held = lists.join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
         of_centre = F.max(F.when(F.col("cls") == F.col("a"), F.col("root"))).alias("component")
-        mixed = held.groupBy("list").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("size"), F.first("a").alias("a"), F.first("order").alias("order"), of_centre)
-        mixed = stored(mixed.where("low <> high"), "several")
+        counted = held.groupBy("list", "root").agg(F.count("*").alias("size"), F.first("a").alias("a"), F.first("order").alias("order"), of_centre)
+        largest = F.max(F.struct("size", "root")).alias("largest")
+        mixed = counted.groupBy("list").agg(F.count("*").alias("roots"), F.sum("size").alias("size"), largest, F.first("a").alias("a"), F.first("order").alias("order"), F.max("component").alias("component"))
+        mixed = mixed.where("roots > 1").select("*", F.col("largest.root").alias("main"), (F.col("size") - F.col("largest.size")).alias("outside")).drop("roots", "largest")
+        mixed = stored(mixed, "several")
         # large lists whose centres are in one component are split by the most typical of these, so that a member is compared once for all of them;
         # the first of all members is the hub of every list that holds it and is in no list after that, so that rounds end
-        hubs = mixed.where(F.col("size") > SMALL).groupBy("component").agg(F.min(F.struct("order", "a")).alias("m")).select("component", F.col("m.a").alias("hub"))
-        mixed = mixed.select("list", "size", "component").join(hubs, "component", "left").drop("component")
-        held = stored(held.drop("a").join(mixed, "list"), "mixed")
-        few, many = held.where(F.col("size") <= SMALL), held.where(F.col("size") > SMALL)
-        pairs.append(met(few, few, F.col("a") < F.col("b")))
-        if many.isEmpty():
+        hubs = mixed.where(F.col("outside") > SMALL).groupBy("component").agg(F.min(F.struct("order", "a")).alias("m")).select("component", F.col("m.a").alias("hub"))
+        mixed = mixed.select("list", "size", "outside", "main", "component").join(hubs, "component", "left").drop("component")
+        held = stored(held.drop("a").join(mixed, "list").withColumn("minor", F.col("root") != F.col("main")), "mixed")
+        few, many = held.where(F.col("outside") <= SMALL), held.where(F.col("outside") > SMALL)
+        pairs.append(across(few))
+        entries = many.count()
+        # a split that leaves most of what it was given is not repeated: members that lie equally far from each other are compared in pairs
+        if not entries or before is not None and entries * 4 > before * 3:
+            pairs.append(across(many))
             break
+        before = entries
         members = many.withColumnRenamed("hub", "a").where(F.col("a") != F.col("cls"))
-        parts, beside = _split(members, lambda asked: _compared(stored(asked, "pairs"), texts.select("cls", "text"), size, percent, chunks, split=True))
+        parts, beside = _split(members, percent, lambda asked: _compared(stored(asked, "pairs"), texts.select("cls", "text"), size, percent, chunks, split=True))
         links = links.unionByName(beside)
         linked, apart, close = parts.where("not apart"), parts.where("apart"), parts.where("apart and short")
         pairs.append(met(apart.where(F.least("loose", "others") <= SMALL), linked.where(F.least("loose", "others") <= SMALL), F.lit(True)))
         pairs.append(met(close.where(F.col("close") <= SMALL), close.where(F.col("close") <= SMALL), F.col("a") < F.col("b")))
         lists = parts.where(F.least("loose", "others") > SMALL).unionByName(close.where(F.col("close") > SMALL).withColumn("list", F.xxhash64("list")))
-        lists = stored(_of_use(lists).select("list", "cls", "n", "shared", "typical", "root", "a", "na", "sa", "order"), "lists")
+        lists = stored(_of_use(lists).select("list", "cls", "n", "shared", "typical", "root", "a", "na", "sa", "order", "low", "high"), "lists")
         # where all pairs of all lists are no more than there are classes, they are made at once
         possible = lists.groupBy("list").agg(F.count("*").alias("size")).agg(F.sum(F.col("size") * (F.col("size") - 1) / 2)).first()[0] or 0
         if possible <= len_texts:
@@ -437,38 +454,54 @@ def _links(rows: DataFrame, known: DataFrame, size: int, percent: int) -> DataFr
     return links.unionByName(confirmed(every.distinct()))
 
 
-def _split(members: DataFrame, compared) -> tuple[DataFrame, DataFrame]:
+def _split(members: DataFrame, percent: int, compared) -> tuple[DataFrame, DataFrame]:
     """Parts of lists by what their members (``cls``) do not share with the centre ``a``, lists of a centre together; and the links of members with it.
 
     Of each member of a part: whether it is apart from the centre and serves for pairs with others apart (``short``);
     and how many members of the part are apart (``loose``), linked with the centre (``others``), and both apart and short (``close``).
     """
     told = compared(members.select("a", F.col("cls").alias("b")).distinct())
-    told = stored(told.select(F.col("b").alias("cls"), (~F.col("linked")).alias("apart"), "places", "short", "a", "elements"), "differences")
+    told = stored(told.select(F.col("b").alias("cls"), (~F.col("linked")).alias("apart"), "places", "short", "low", "a", "elements"), "differences")
     beside = told.where("not apart").select("a", F.col("cls").alias("b"))
-    told = _listed(told).select("cls", "apart", "places", "short", "a", F.explode("elements").alias("element"))
+    told = _listed(told, percent).select("cls", "apart", "places", "short", "low", "high", "a", F.explode("elements").alias("element"))
     told = stored(told.withColumn("list", F.xxhash64("a", "element")), "split")
     often = told.groupBy("list").agg(F.count("*").alias("df"), F.count_if("apart").alias("loose")).where("df > 1").select("list", "df", F.col("loose").alias("any"))
     found = told.join(often, "list").selectExpr("*", "row_number() over (partition by a, cls order by df, element) as rank", "count(*) over (partition by a, cls) as c")
     # elements that no other member has come first and are not listed
     alone = told.groupBy("a", "cls").agg(F.count("*").alias("size"))
     found = found.join(alone, ["a", "cls"]).withColumn("place", F.col("size") - F.col("c") + F.col("rank")).where("place <= places and any > 0")
-    found = found.select("list", "cls", "apart", (F.col("place") <= F.col("short")).alias("short"))
+    found = found.select("list", "cls", "apart", (F.col("place") <= F.col("short")).alias("short"), "low", "high")
     sides = found.groupBy("list").agg(F.count_if("apart").alias("loose"), F.count_if(~F.col("apart")).alias("others"), F.count_if(F.col("apart") & F.col("short")).alias("close"))
     used = found.join(sides.where("loose > 0 and (others > 0 or close > 1)"), "list")
     kinds = members.groupBy("cls").agg(*(F.max(c).alias(c) for c in ("n", "shared", "typical", "root")))
     return stored(used.join(kinds, "cls"), "parts"), beside
 
 
-def _listed(told: DataFrame) -> DataFrame:
-    """The members that can be listed: those with so many elements that no other member of the centre has are not.
+def _listed(told: DataFrame, percent: int) -> DataFrame:
+    """The members that can be listed, with ``high``, and under fewer elements where their possible partners allow it.
 
-    Such a member shares fewer elements with any other than a link needs.  Elements are counted by the packed exchange, 4 bytes each.
+    With p = 100 + percent, q = 100 - percent and low(x) = p |D(x)| - q |x|, x and y are linked where low(x) + low(y) <= 2 p |D(x) & D(y)|.
+    No common element is one that no other member of the centre has; with shared(x) of x's elements in other members and
+    high(x) = 2 p shared(x) - low(x), a link needs low(x) <= high(y) and low(y) <= high(x).  So a member linked with the centre is listed
+    only where its high reaches the least low of those that are apart, and one that is apart only where its high reaches the least low of all;
+    and common elements needed follow from the least low among partners left.  A member with so many elements of its own that
+    too few are left is not listed either.  Elements are counted by the packed exchange, 4 bytes each.
     """
+    double = 2 * (100 + percent)
     sets = told.select(F.xxhash64("a", "cls").alias("cls"), F.transform("elements", lambda e: F.xxhash64("a", e)).alias("sketch"))
     met = _shared_values(sets, told.agg(F.sum(F.size("elements"))).first()[0] or 0, _pack_sketches).withColumnRenamed("cls", "key")
-    both = told.withColumn("key", F.xxhash64("a", "cls")).join(met, "key")
-    return both.where(F.size("elements") - F.col("shared") < F.col("places")).select(*told.columns)
+    both = told.withColumn("key", F.xxhash64("a", "cls")).join(met, "key").withColumn("high", double * F.col("shared") - F.col("low"))
+    both = stored(both.drop("key"), "shared")
+
+    def least(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("a").agg(F.min("low").alias("all"), F.min(F.when(F.col("apart"), F.col("low"))).alias("loosest"))
+
+    # without a member apart from the centre there is nothing to list
+    both = both.join(least(both), "a").where(F.col("high") >= F.when(F.col("apart"), F.col("all")).otherwise(F.col("loosest"))).drop("all", "loosest")
+    both = both.join(least(both), "a")
+    left = lambda other: (F.size("elements") - F.greatest(F.lit(1), F.ceil((F.col("low") + F.col(other)) / double - F.lit(1e-9))) + 1).cast("int")
+    both = both.withColumn("short", F.least("short", left("loosest"))).withColumn("places", F.least("places", F.when(F.col("apart"), left("all")).otherwise(left("loosest"))))
+    return both.where(F.size("elements") - F.col("shared") < F.col("places")).select(*told.columns, "high")
 
 
 def _of_use(lists: DataFrame, apart: str = "root") -> DataFrame:

@@ -290,3 +290,21 @@ def test_parts_that_no_piece_joins_are_found_once(monkeypatch):
     text = " ".join(f"{a};{b}" for a in ends for b in ends)
     assert pieces.encode(text) == pieces.lib.encode(text)
     assert len(asked) == len(set(asked)) < len(ends) ** 2 / 4
+
+
+def test_members_that_lie_equally_far_are_not_split_again_and_again(spark, monkeypatch):
+    """Members of a group that share no edits: a split leaves nearly all of a list, so it is not repeated; small lists with many members in one component are no large ones."""
+    rng = np.random.RandomState(3)
+    base = [f"b{i}" for i in range(400)]
+    rows = []
+    for i in range(500):
+        words = list(base)
+        for _ in range(rng.randint(0, 13)):
+            words[rng.randint(len(words))] = f"e{rng.randint(10**6)}"
+        rows.append((i, " ".join(words)))
+    names, stored = Counter(), near_duplicates.stored
+    monkeypatch.setattr(near_duplicates, "stored", lambda df, name: names.update([name]) or stored(df, name))
+    monkeypatch.setattr(near_duplicates, "SMALL", 2)
+    got = near_duplicates.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=repr) == brute_groups(rows)
+    assert names["differences"] <= 4
