@@ -116,3 +116,15 @@ def test_formulas_are_dealt_over_tasks(spark):
 
     rows = catalogue.queries()["tex_normalize"](spark, DATA)
     assert rows.rdd.getNumPartitions() >= 4
+
+
+def test_only_items_beside_a_primed_power_are_read(monkeypatch):
+    """Groups nested in groups, with primes and exponents that do not belong together, are not scanned; those around a primed power only for their groups."""
+    read, scan = [], tex.scan
+    monkeypatch.setattr(tex, "scan", lambda text, at=0: read.append(text) or scan(text, at))
+    apart = "{" * 9 + "x'' y^2 \\prime" + "}" * 9
+    assert tex._grouped(apart) == apart and not read
+    assert tex._grouped("{" * 9 + "x''^2" + "}" * 9) == "{" * 9 + "{x''}^{2}" + "}" * 9
+    assert read == ["x''^2"]
+    # an empty group after a bracket keeps it from being a base, as before
+    assert tex._grouped("({}a)''^2") == "({}a)''^2" and tex._grouped("(a{})''^2") == "{(a{})''}^{2}"
