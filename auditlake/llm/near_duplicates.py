@@ -18,8 +18,11 @@ How the work stays linear when a third of the corpus is one group:
 * each list is compared with one typical member, its centre.  Lists that still hold several
   components are split by what their members do *not* share with the centre (below), and
   the parts are treated in the same way until nothing is left.  Pairs are only made in lists of
-  at most ``SMALL`` members, or where one side of a list has no more: at most ``SMALL`` for each entry;
-  or where those of all lists are fewer than the classes.
+  at most ``SMALL`` members outside their largest component, or where one side of a list has no more:
+  at most ``SMALL`` for each entry; or where those of all lists are fewer than the classes;
+* where a split leaves over three quarters of the entries it was given, splitting ends and the members
+  outside the largest component of each list are paired with the others.  That is quadratic where many
+  members lie equally far from each other, but the pairs are joined and counted once in tasks that spill.
 
 Splitting a list.  For a centre c let D(x) be the symmetric difference of x and c.  Then
 |x ^ y| = |D(x) ^ D(y)|, and two classes are linked when (100 + p) |x ^ y| <= (100 - p) (|x| + |y|).
